@@ -39,8 +39,8 @@ UNRULY = """u AS (SELECT * REPLACE (CASE WHEN handle % 11 = 0 THEN 'MIB' ELSE un
   CASE WHEN handle % 13 = 0 THEN name || repeat('x', 60) WHEN handle % 17 = 0 THEN name || '.' || (handle % 40) ELSE name END AS name) FROM fx_measures),
 b AS (SELECT * FROM u UNION ALL SELECT * REPLACE ('(total)' AS task) FROM u),
 v AS (SELECT *, length(name) >= 64 OR length(method) >= 64 AS too_long,
-  first_value(unit) OVER w AS unit1, first_value(kind) OVER w AS kind1, first_value(arrival) OVER w AS seen
-  FROM b WINDOW w AS (PARTITION BY task, name, method ORDER BY arrival)),
+  first_value(unit) OVER w AS unit1, first_value(kind) OVER w AS kind1, first_value(arrival * 10 + nth) OVER w AS seen
+  FROM b WINDOW w AS (PARTITION BY task, name, method ORDER BY arrival * 10 + nth)),
 t AS (SELECT task, name, method, row_number() OVER (PARTITION BY task ORDER BY min(seen)) AS rn FROM v WHERE NOT too_long GROUP BY task, name, method),
 j AS (SELECT v.*, CASE WHEN too_long THEN 'name' WHEN rn > 32 THEN 'full' WHEN unit <> unit1 OR kind <> kind1 THEN 'unit' END AS refused
   FROM v LEFT JOIN t USING (task, name, method))"""

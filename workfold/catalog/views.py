@@ -52,7 +52,8 @@ SELECT handle, task, greatest(attempt, 1) AS attempt,
        min(ts_ms) FILTER (kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) AS closed_ms
 FROM fx_lifecycle GROUP BY ALL"""),
     "fx_measures": (["fx_attempts"], """
-SELECT *, handle * 1000 + attempt * 10 + CASE WHEN status = 'OK' THEN 3 ELSE 4 END AS arrival FROM (
+SELECT *, handle * 1000 + attempt * 10 + CASE WHEN status = 'OK' THEN 3 ELSE 4 END AS arrival,
+ list_position(['mem.peak','cpu.user_ms','exit.code','mem.cap_hit'], name) AS nth FROM (
 SELECT handle, task, attempt, status, mem_bytes, ended_ms AS ts_ms, 'mem.peak' AS name, mem_peak AS value, 'BYTES' AS unit, 'PEAK' AS kind, method FROM fx_attempts
 UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'cpu.user_ms', (ended_ms - started_ms) * (1 + handle % 3), 'MS', 'TOTAL', 'rusage.process' FROM fx_attempts
 UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'exit.code', CAST(exit_code AS BIGINT), 'CODE', 'CURRENT', 'posix.wait' FROM fx_attempts WHERE status = 'TASK'

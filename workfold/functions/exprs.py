@@ -21,6 +21,20 @@ def saturate(c) -> Column:
     return F.least(col(c).cast(U64), F.lit(str(M.U64_MAX)).cast(U64))
 
 
+def point(ts="ts_ms", arrival="arrival") -> Column:
+    """Stamp and arrival as one number: orders events, and hash aggregation can hold it in place."""
+    return (col(ts).cast("decimal(19,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + col(arrival)).cast(U64)
+
+
+def code_of(name, names: list[str]) -> Column:
+    """Position of a name in a fixed list (0: not in it), for aggregates that cannot hold text in place."""
+    return F.array_position(F.array(*[F.lit(n) for n in names]), col(name))
+
+
+def name_of(code, names: list[str]) -> Column:
+    return F.when(col(code) > 0, F.element_at(F.array(*[F.lit(n) for n in names]), col(code).cast("int")))
+
+
 def terminal(kind="kind", status="status") -> Column:
     """The event ends the item: a plain FAILED only ends one attempt."""
     kind, status = col(kind), col(status)

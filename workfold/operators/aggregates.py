@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workfold import model as M
-from workfold.functions.exprs import bucket_upper, log2_bucket, measure, terminal, why
+from workfold.functions.exprs import bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
 from workfold.plans.attempts import attempt_pivot, run_ms, state_of_handle, wait_ms
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -241,17 +241,19 @@ def run_report(lifecycle: DataFrame, by: str = "handle", refused: DataFrame | No
     """
     kind = F.col("kind")
     over = kind.isin("FINISHED", "DEAD_LETTERED", "DROPPED")
-    verdict = F.when(over, F.struct("ts_ms", "arrival", "kind", "status"))
+    statuses = list(M.STATUS_TEXT)
+    verdict = F.when(over, code_of("status", statuses) * 2 + (kind == "FINISHED").cast("long"))
     jobs = lifecycle.groupBy(by).agg(
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("start_ms"),
         F.max(F.when(over, F.col("ts_ms"))).alias("end_ms"),
         F.coalesce(F.max(F.when(kind == "STARTED", F.col("attempt"))), F.lit(0)).alias("tries"),
         F.max(measure("mem.peak")).cast("long").alias("peak"),
-        F.max(verdict).alias("last"),
+        F.max_by(verdict, F.when(over, point())).alias("last"),
     )
-    finished = F.col("last.kind") == "FINISHED"
+    finished = F.col("last") % 2 == 1
+    status = F.coalesce(name_of(F.floor(F.col("last") / 2), statuses), F.lit("?"))
     text = (F.when(finished & (F.col("tries") > 1), "finished after a retry").when(finished, "finished")
-            .when(F.col("last").isNotNull(), F.concat(F.lit("dead letter: "), F.col("last.status"))))
+            .when(F.col("last").isNotNull(), F.concat(F.lit("dead letter: "), status)))
     if refused is not None:
         jobs = jobs.join(refused.select(by, F.col("status").alias("_refused")), by, "full")
         text = F.when(F.col("_refused").isNotNull(), F.concat(F.lit("refused: "), F.col("_refused"))).otherwise(text)
@@ -312,8 +314,6 @@ def exit_codes(lifecycle: DataFrame) -> DataFrame:
 
 def shard_load(items: DataFrame, weight: str, shards: int, key: str = "tenant", order: str = "seq") -> DataFrame:
     """Work per shard under round-robin and under keyed routing, against an even split."""
-    from workfold.functions.exprs import shard_of
-
     placed = ordinal(items, [], [order], "_n").select(
         F.col(weight).alias("w"),
         F.explode(F.array(

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workfold import model as M
-from workfold.functions.exprs import U64, measure, measure_method, plus_pct, round_mib, saturate
+from workfold.functions.exprs import U64, measure, measure_method, plus_pct, point, round_mib, saturate
 from workfold.plans.running import BEFORE, UPTO, running
 
 POINT = ["ts_ms", "arrival"]
 
 
 def measure_rows(lifecycle: DataFrame) -> DataFrame:
-    """One row per measurement on an event."""
-    return lifecycle.where(F.size("measures") > 0).select(
-        "handle", "task", "attempt", "ts_ms", "arrival", F.inline("measures"))
+    """One row per measurement on an event; ``nth`` is its place among the event's."""
+    one = lifecycle.where(F.size("measures") > 0).select(
+        "handle", "task", "attempt", "ts_ms", "arrival", F.posexplode("measures").alias("nth", "m"))
+    return one.select("handle", "task", "attempt", "ts_ms", "arrival", "nth", "m.*")
 
 
 def _fold(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -23,8 +24,8 @@ def _fold(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("count"),
         F.sum(F.col("value").cast(U64)).alias("sum"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max(F.struct(*POINT, "value")).alias("newest"),
-        F.min("arrival").alias("seen"),
+        F.max(point()).alias("newest"), F.max_by("value", point()).alias("last"), F.max("ts_ms").alias("last_ms"),
+        F.min(F.col("arrival").cast(U64) * 1000 + F.col("nth")).alias("seen"),
     )
 
 
@@ -32,7 +33,8 @@ def _refold(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.sum("count").alias("count"), F.sum("sum").alias("sum"),
         F.min("min").alias("min"), F.max("max").alias("max"),
-        F.max("newest").alias("newest"), F.min("seen").alias("seen"),
+        F.max("newest").alias("newest"), F.max_by("last", "newest").alias("last"), F.max("last_ms").alias("last_ms"),
+        F.min("seen").alias("seen"),
     )
 
 
@@ -66,7 +68,7 @@ def measure_fold(rows: DataFrame, max_rows: int | None = M.MEASURE_ROWS) -> Data
     """Per task and '(total)', per (name, method): count, sum, min, max and last value."""
     return _judged(rows, max_rows).where("refused is null").select(
         "task", "name", "method", "unit", "kind", "count", saturate("sum").alias("sum"), "min", "max",
-        F.col("newest.value").alias("last"), F.col("newest.ts_ms").alias("last_ms"))
+        "last", "last_ms")
 
 
 def measure_drops(rows: DataFrame, max_rows: int | None = M.MEASURE_ROWS) -> DataFrame:
@@ -81,8 +83,8 @@ def measure_combine(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or ["handle"]
     per = rows.groupBy(*by, "name", "method", "unit", "kind").agg(
         F.max("value").cast(U64).alias("high"), F.sum(F.col("value").cast(U64)).alias("total"),
-        F.max(F.struct(*POINT, "value")).alias("newest"))
-    latest = F.col("newest.value").cast(U64)
+        F.max_by("value", point()).alias("latest"))
+    latest = F.col("latest").cast(U64)
     value = (F.when(F.col("unit") == "CODE", latest).when(F.col("kind") == "PEAK", F.col("high"))
              .when(F.col("kind") == "TOTAL", saturate("total"))
              .when(F.col("kind") == "FLAG", F.least("high", F.lit(1).cast(U64))).otherwise(latest))
@@ -94,9 +96,7 @@ def merge_measures(folded: DataFrame, by: str = "task") -> DataFrame:
     return folded.where(F.col("count") > 0).groupBy(by, "name", "method", "unit", "kind").agg(
         F.sum("count").alias("count"), saturate(F.sum("sum")).alias("sum"),
         F.min("min").alias("min"), F.max("max").alias("max"),
-        F.max(F.struct("last_ms", "last")).alias("newest"),
-    ).select(by, "name", "method", "unit", "kind", "count", "sum", "min", "max",
-             F.col("newest.last").alias("last"), F.col("newest.last_ms").alias("last_ms"))
+        F.max_by("last", point("last_ms", "last")).alias("last"), F.max("last_ms").alias("last_ms"))
 
 
 def peak_memory(lifecycle: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def peak_memory(lifecycle: DataFrame) -> DataFrame:
     """
     rows = lifecycle.select("task", *POINT, measure("mem.peak").alias("value"),
                             F.left(measure_method("mem.peak"), F.lit(M.METHOD_KEEP)).alias("method")).where("method is not null")
-    at = F.struct(*POINT)
+    at = point()
     newest = rows.groupBy("task", "method").agg(F.max(at).alias("at"))
     by_task = Window.partitionBy("task").orderBy(F.desc("at"))  # one row per method
     turn = newest.select("task", "method", "at", F.row_number().over(by_task).alias("n"),
@@ -147,12 +147,13 @@ def suggest_memory(lifecycle: DataFrame, min_samples: int = 5, headroom_pct: int
     Folded per (task, method) first; the method of a task's first peak is then picked among a
     few rows, and other methods' peaks are counted but not used.
     """
-    at = F.struct("arrival", "mem_bytes")
-    hit_row = F.when(F.col("was_hit"), at)
+    hit = F.col("was_hit")
     groups = evidence(lifecycle).groupBy("task", "method").agg(
         F.min("arrival").alias("seen"), F.count("*").alias("n"), F.count_if("was_hit").alias("hits"),
-        F.max("peak").alias("peak"), F.max(F.when(F.col("was_hit"), F.col("mem_bytes"))).alias("hit_declared"),
-        F.max(at).alias("newest"), F.max(hit_row).alias("newest_hit"))
+        F.max("peak").alias("peak"), F.max(F.when(hit, F.col("mem_bytes"))).alias("hit_declared"),
+        F.max("arrival").alias("at"), F.max_by("mem_bytes", "arrival").alias("declared"),
+        F.max(F.when(hit, F.col("arrival"))).alias("hit_at"),
+        F.max_by("mem_bytes", F.when(hit, F.col("arrival"))).alias("hit_at_declared"))
     by_task = Window.partitionBy("task")  # one row per method
     groups = groups.withColumn("own_seen", F.min(F.when(F.col("method").isNotNull(), F.col("seen"))).over(by_task))
     own = F.coalesce(F.col("method").isNotNull() & (F.col("seen") == F.col("own_seen")), F.lit(False))
@@ -162,7 +163,8 @@ def suggest_memory(lifecycle: DataFrame, min_samples: int = 5, headroom_pct: int
         F.sum(F.when(own, F.col("n")).otherwise(F.col("hits"))).alias("samples"),
         F.sum("hits").alias("cap_hits"),
         F.coalesce(F.max("hit_declared"), F.lit(0)).alias("hit_declared"),
-        F.max(F.when(own, F.col("newest")).otherwise(F.col("newest_hit")))["mem_bytes"].alias("declared"),
+        F.max_by(F.when(own, F.col("declared")).otherwise(F.col("hit_at_declared")),
+                 F.when(own, F.col("at")).otherwise(F.col("hit_at"))).alias("declared"),
         F.coalesce(F.sum(F.when(~own & F.col("method").isNotNull(), F.col("n"))), F.lit(0)).alias("other_method"))
     return report.withColumn("suggested", suggestion(
         "peak", "hit_declared", "samples", "cap_hits", min_samples, headroom_pct, grow_pct, floor_bytes))
@@ -172,8 +174,8 @@ def suggestion_history(lifecycle: DataFrame, min_samples: int = 5, headroom_pct:
                        floor_bytes: int = M.MIB) -> DataFrame:
     """The suggestion after each piece of evidence, kept where it changes."""
     rows = evidence(lifecycle)
-    firsts = rows.where("method is not null").groupBy("task").agg(F.min(F.struct("arrival", "method")).alias("f"))
-    rows = rows.join(firsts.select("task", F.col("f.method").alias("own")), "task", "left")
+    methods = rows.where("method is not null").groupBy("task", "method").agg(F.min("arrival").alias("seen"))
+    rows = rows.join(methods.groupBy("task").agg(F.min_by("method", "seen").alias("own")), "task", "left")
     rows = rows.withColumn("own_peak", F.when(F.col("method") == F.col("own"), F.col("peak")))
     rows = rows.where(F.col("own_peak").isNotNull() | F.col("was_hit"))
     one, hit = F.lit(1).cast("long"), F.col("was_hit").cast("long")
