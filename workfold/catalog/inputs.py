@@ -166,6 +166,92 @@ class Inputs:
         ))))
         return heads.unionByName(marks)
 
+    @cached_property
+    def config(self) -> DataFrame:
+        """Entity, key, value rows as a person would have written them: some fine, some not."""
+        entity, c, price, prio = F.col("entity"), F.col("c"), F.col("price"), F.col("prio")
+        base = self.table("orders").select(
+            F.col("o_orderkey").alias("entity"), F.col("o_custkey").alias("c"),
+            F.floor("o_totalprice").cast("long").alias("price"), F.col("o_orderpriority").alias("prio"))
+
+        def text(x):
+            return x.cast("string")
+
+        def pair(key, value):
+            return F.struct((F.lit(key) if isinstance(key, str) else key).alias("key"), value.alias("value"))
+
+        number = (F.when(c % 5 == 0, F.concat(F.lit(" "), text(c))).when(c % 5 == 1, "0x1f")
+                  .when(c % 5 == 2, F.concat(F.lit("-"), text(c))).otherwise(text(c)))
+        ratio = F.element_at(F.array(*[F.lit(v) for v in ("0.5", "1e-3", "nan", "1e999", "-0.25", "2")]), (c % 6 + 1).cast("int"))
+        pairs = F.array(
+            pair(F.concat(F.lit("tasks."), F.when(entity % 9 == 0, F.replace(prio, F.lit("E"), F.lit("3"))).otherwise(prio),
+                          F.lit(".max_kb")), text(price)),
+            pair("retry.mode", F.lower(F.substr(prio, F.lit(3)))),
+            pair(F.when(c % 7 == 0, "dispatch.interva1").otherwise("dispatch.interval"), number),
+            pair(F.when(c % 8 == 0, "trace.ration").otherwise("trace.ratio"), ratio),
+            pair("audit.on", F.when(entity % 3 == 0, "true").when(entity % 3 == 1, "false").otherwise("yes")),
+            pair("serial.first", F.when(entity % 4 == 0, "9223372036854775808").when(entity % 4 == 1, "-9223372036854775808")
+                 .otherwise(text(price * entity))),
+            pair("label", F.repeat(F.lit("x"), (250 + c % 12).cast("int"))),
+            pair(F.concat(F.lit("resources."), F.when(c % 10 == 0, "disk").otherwise("gpu")), text(c)),
+        )
+        return base.select("entity", F.inline(pairs))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        month = F.trunc("o_orderdate", "month")
+        per = self.table("orders").groupBy(F.col("o_orderpriority").alias("task"), month.alias("m")).agg(
+            F.floor(F.max("o_totalprice")).cast("long").alias("top"), F.count("*").alias("n"))
+        return per.select("task", "m", F.inline(F.array(
+            F.struct(F.lit("max_kb").alias("key"), F.col("top").cast("string").alias("value")),
+            F.struct(F.lit("workers").alias("key"), F.col("n").cast("string").alias("value")),
+        ))).where(~((F.col("key") == "workers") & (F.month("m") % 3 == 0))).select(
+            "task", "key", (_days("m") * DAY_MS).alias("ts_ms"), "value")
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"]
+        return self.table("customer").select(
+            F.col("c_custkey").alias("gate"),
+            F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % 6 + 1).cast("int")).alias("task"),
+            ((F.col("c_custkey") % 600) * 1000000).alias("mem_bytes"))
+
+    @property
+    def gate_deps(self) -> DataFrame:
+        return self._orders.select(F.col("tenant").alias("gate"), F.col("handle").alias("dep"))
+
+    @cached_property
+    def submissions(self) -> DataFrame:
+        return self.items.select(
+            F.concat(F.lit("b"), F.floor(F.col("seq") / 3).cast("string")).alias("business_id"),
+            (F.col("seq") % 3).cast("int").alias("round"), "handle",
+            (F.col("enqueue_ms") + (F.col("seq") % 3) * HOUR_MS).alias("ts_ms"))
+
+    @cached_property
+    def damaged(self) -> DataFrame:
+        """The log with every kind of contract violation written into it."""
+        kind, attempt, handle = F.col("kind"), F.col("attempt"), F.col("handle")
+        log = self.lifecycle.where(
+            ~((kind == "RETRIED") & (attempt == 3) & (handle % 101 == 0)) & ~((kind == "STARTED") & (attempt == 2) & (handle % 103 == 0)))
+        twice = kind.isin("FINISHED", "FAILED") & (handle % 223 == 0)
+        log = log.withColumns({
+            "ts_ms": F.when((kind == "STARTED") & (attempt == 1) & (handle % 97 == 0), F.col("ts_ms") + DAY_MS).otherwise(F.col("ts_ms")),
+            "flags": F.when((kind == "FAILED") & (handle % 211 == 0), 1).otherwise(0),
+            "measures": F.when(twice, F.concat("measures", "measures")).otherwise(F.col("measures"))})
+        again = self.lifecycle.where((kind == "FINISHED") & (handle % 37 == 0)).withColumns({
+            "kind": F.lit("DROPPED"), "ts_ms": F.col("ts_ms") + 1, "arrival": F.col("arrival") + 5,
+            "measures": F.lit(None).cast(self.lifecycle.schema["measures"].dataType)})
+        return log.unionByName(again)
+
+    @property
+    def settings_schema(self) -> DataFrame:
+        return self.rows([
+            (1, "dispatch.interval", "UINT", True, 1.0, 1000.0, "", "50"), (2, "retry.mode", "ENUM", False, 0.0, 0.0, "urgent|high|medium|low", "low"),
+            (3, "trace.ratio", "DOUBLE", True, 0.0, 1.0, "", "0.1"), (4, "audit.on", "BOOL", False, 0.0, 0.0, "", "false"),
+            (5, "serial.first", "INT", False, 0.0, 0.0, "", "1"), (6, "label", "STRING", False, 0.0, 0.0, "", ""),
+            (7, "trace.rate", "DOUBLE", False, 0.0, 0.0, "", "1"),
+        ], "nth int, key string, type string, has_range boolean, min double, max double, choices string, dflt string")
+
     # Rule tables: fixed, a few rows each.
     @property
     def policies(self) -> DataFrame:

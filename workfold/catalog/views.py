@@ -72,6 +72,65 @@ UNION ALL SELECT concat('j', CAST(s.f AS VARCHAR)), s.seq * 100 + 2 * a.attempt
             WHEN a.handle % 2 = 0 THEN 'Q' ELSE 'D' END, s.seq, NULL, NULL
 FROM s JOIN fx_attempts a ON a.handle = s.handle WHERE NOT (a.attempt = a.n_attempts AND a.handle % 7 = 0)
 UNION ALL SELECT concat('j', CAST(f AS VARCHAR)), seq * 100 + 99, 'P', seq - 1, 'stale', NULL FROM s WHERE handle % 50 = 0 AND seq > 1)"""),
+    "fx_config": ([], """
+SELECT entity, key, value FROM (SELECT o_orderkey AS entity, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderpriority AS prio FROM orders) o,
+LATERAL (VALUES
+ ('tasks.' || CASE WHEN entity % 9 = 0 THEN replace(prio, 'E', '3') ELSE prio END || '.max_kb', CAST(price AS VARCHAR)),
+ ('retry.mode', lower(substr(prio, 3))),
+ (CASE WHEN c % 7 = 0 THEN 'dispatch.interva1' ELSE 'dispatch.interval' END, CASE c % 5 WHEN 0 THEN ' ' || c WHEN 1 THEN '0x1f' WHEN 2 THEN '-' || c ELSE CAST(c AS VARCHAR) END),
+ (CASE WHEN c % 8 = 0 THEN 'trace.ration' ELSE 'trace.ratio' END, CASE c % 6 WHEN 0 THEN '0.5' WHEN 1 THEN '1e-3' WHEN 2 THEN 'nan' WHEN 3 THEN '1e999' WHEN 4 THEN '-0.25' ELSE '2' END),
+ ('audit.on', CASE entity % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'yes' END),
+ ('serial.first', CASE entity % 4 WHEN 0 THEN '9223372036854775808' WHEN 1 THEN '-9223372036854775808' ELSE CAST(price * entity AS VARCHAR) END),
+ ('label', repeat('x', CAST(250 + c % 12 AS INT))),
+ ('resources.' || CASE WHEN c % 10 = 0 THEN 'disk' ELSE 'gpu' END, CAST(c AS VARCHAR))) t(key, value)"""),
+    "settings_schema": ([], """
+SELECT * FROM (VALUES (1, 'dispatch.interval', 'UINT', TRUE, 1.0, 1000.0, '', '50'), (2, 'retry.mode', 'ENUM', FALSE, 0.0, 0.0, 'urgent|high|medium|low', 'low'),
+ (3, 'trace.ratio', 'DOUBLE', TRUE, 0.0, 1.0, '', '0.1'), (4, 'audit.on', 'BOOL', FALSE, 0.0, 0.0, '', 'false'),
+ (5, 'serial.first', 'INT', FALSE, 0.0, 0.0, '', '1'), (6, 'label', 'STRING', FALSE, 0.0, 0.0, '', ''), (7, 'trace.rate', 'DOUBLE', FALSE, 0.0, 0.0, '', '1'))
+ AS s(nth, key, type, has_range, min, max, choices, dflt)"""),
+    "fx_checked": (["fx_config", "settings_schema"], """
+SELECT entity, key, value, CASE WHEN length(value) >= 256 THEN 'too long'
+ WHEN type IN ('INT', 'UINT') AND NOT regexp_full_match(value, '[+-]?[0-9]+') THEN 'not a number'
+ WHEN type = 'UINT' AND value LIKE '-%' THEN 'negative'
+ WHEN type = 'INT' AND (TRY_CAST(value AS HUGEINT) IS NULL OR TRY_CAST(value AS HUGEINT) NOT BETWEEN -9223372036854775808 AND 9223372036854775807) THEN 'beyond its type'
+ WHEN type = 'UINT' AND (TRY_CAST(value AS HUGEINT) IS NULL OR TRY_CAST(value AS HUGEINT) > 18446744073709551615) THEN 'beyond its type'
+ WHEN type = 'DOUBLE' AND NOT regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'not a number'
+ WHEN type = 'DOUBLE' AND (TRY_CAST(value AS DOUBLE) IS NULL OR isinf(TRY_CAST(value AS DOUBLE))) THEN 'beyond its type'
+ WHEN type IN ('INT', 'UINT', 'DOUBLE') AND has_range AND TRY_CAST(value AS DOUBLE) NOT BETWEEN min AND max THEN 'out of range'
+ WHEN type = 'BOOL' AND value NOT IN ('true', 'false') THEN 'not true or false'
+ WHEN type = 'ENUM' AND NOT list_contains(string_split(choices, '|'), value) THEN 'not a choice' END AS problem
+FROM fx_config JOIN settings_schema USING (key)"""),
+    "fx_history": ([], f"""
+SELECT task, key, ts_ms, value FROM (SELECT o_orderpriority AS task, date_trunc('month', o_orderdate) AS m, CAST(floor(max(o_totalprice)) AS BIGINT) AS top, count(*) AS n
+  FROM orders GROUP BY ALL), LATERAL (VALUES ('max_kb', CAST(top AS VARCHAR)), ('workers', CAST(n AS VARCHAR))) v(key, value),
+  LATERAL (SELECT CAST({_days('m')} AS BIGINT) * 86400000 AS ts_ms)
+WHERE NOT (key = 'workers' AND month(m) % 3 = 0)"""),
+    "fx_gates": ([], """
+SELECT c_custkey AS gate, CASE c_custkey % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED'
+ WHEN 4 THEN '5-LOW' ELSE 'none' END AS task, (c_custkey % 600) * 1000000 AS mem_bytes FROM customer"""),
+    "fx_gate_deps": (["fx_items"], "SELECT tenant AS gate, handle AS dep FROM fx_items"),
+    "fx_outcomes": (["fx_lifecycle"], """
+SELECT handle, arg_min(kind, k) AS outcome, arg_min(status, k) AS status, arg_min(attempt, k) AS attempt, min(ts_ms) AS ended_ms, count(*) - 1 AS confirmations
+FROM (SELECT *, CAST(ts_ms AS HUGEINT) * 1000000000000 + arrival AS k FROM fx_lifecycle
+  WHERE kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) GROUP BY handle"""),
+    "fx_submissions": (["fx_items"], """
+SELECT 'b' || (seq // 3) AS business_id, CAST(seq % 3 AS INT) AS round, handle, enqueue_ms + (seq % 3) * 3600000 AS ts_ms FROM fx_items"""),
+    "fx_damaged": (["fx_lifecycle"], """
+SELECT kind, handle, task, CASE WHEN kind = 'STARTED' AND attempt = 1 AND handle % 97 = 0 THEN ts_ms + 86400000 ELSE ts_ms END AS ts_ms, status, attempt, arrival,
+ CASE WHEN kind = 'FAILED' AND handle % 211 = 0 THEN 1 ELSE 0 END AS flags, kind IN ('FINISHED', 'FAILED') AND handle % 223 = 0 AS twice
+FROM fx_lifecycle WHERE NOT (kind = 'RETRIED' AND attempt = 3 AND handle % 101 = 0) AND NOT (kind = 'STARTED' AND attempt = 2 AND handle % 103 = 0)
+UNION ALL SELECT 'DROPPED', handle, task, ts_ms + 1, status, attempt, arrival + 5, 0, FALSE FROM fx_lifecycle WHERE kind = 'FINISHED' AND handle % 37 = 0"""),
+    "fx_state": (["fx_journal"], """
+SELECT p.file, p.seq, p.name, coalesce(bool_or(m.type = 'D'), FALSE) AS done, coalesce(bool_or(m.type = 'Q'), FALSE) AS quarantined,
+ coalesce(arg_max(m.type, m.pos) FILTER (m.type IN ('S','F')) = 'S', FALSE) AS inflight,
+ coalesce(arg_max(CASE WHEN m.type = 'K' THEN m.k ELSE 0 END, m.pos) FILTER (m.type IN ('K','F')), 0) AS crashes
+FROM (SELECT * FROM (SELECT *, max(CASE WHEN type = 'P' THEN seq END) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+  FROM fx_journal) WHERE type = 'P' AND seq > coalesce(above, 0)) p
+LEFT JOIN fx_journal m ON m.file = p.file AND m.seq = p.seq AND m.type <> 'P' AND m.pos > p.pos GROUP BY p.file, p.seq, p.name"""),
+    "fx_opened": (["fx_state"], """
+SELECT file, seq, name, done, quarantined OR state = 'crash-quarantined' AS quarantined, inflight AND (done OR quarantined) AS inflight, n AS crashes, state FROM (
+ SELECT *, CASE WHEN done THEN 'done' WHEN quarantined THEN 'quarantined' WHEN n >= 3 THEN 'crash-quarantined' WHEN n >= 2 THEN 'suspect' ELSE 'pending' END AS state
+ FROM (SELECT *, crashes + CASE WHEN inflight AND NOT done AND NOT quarantined THEN 1 ELSE 0 END AS n FROM fx_state))"""),
     # Small rule tables used by the queries that need them.
     "policies": ([], """
 SELECT * FROM (VALUES ('1-URGENT', 0, 1, 0, 'dead_letter', 400000000, FALSE), ('2-HIGH', 1200, 2, 60, 'requeue', 300000000, FALSE),

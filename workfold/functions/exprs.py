@@ -116,11 +116,13 @@ def round_mib(x) -> Column:
 def due(enqueue_ms, deadline_in_ms) -> Column:
     """When an item is due; NULL without a deadline, and a stamp of 0 is stored as 1."""
     total = col(enqueue_ms).cast(U64) + col(deadline_in_ms).cast(U64)
-    return F.greatest(F.lit(1).cast("long"), F.least(total, F.lit(2**63 - 1).cast(U64)).cast("long"))
+    at = F.greatest(F.lit(1).cast("long"), F.least(total, F.lit(2**63 - 1).cast(U64)).cast("long"))
+    return F.when(col(deadline_in_ms).isNotNull(), at)
 
 
 def remaining(due_ms, now_ms) -> Column:
-    return F.greatest(F.lit(0).cast("long"), col(due_ms) - col(now_ms))
+    """What is left until due, never below 0; NULL without a due time."""
+    return F.when(col(due_ms).isNotNull(), F.greatest(F.lit(0).cast("long"), col(due_ms) - col(now_ms)))
 
 
 def shard_of(key, shards: int) -> Column:

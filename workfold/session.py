@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+OWN_DIR_CONF = "workfold.sharedDir"
 ROWS_PER_CELL_CONF = "workfold.rowsPerCell"
 DEFAULT_ROWS_PER_CELL = 2_000_000
 
@@ -21,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -33,13 +36,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local one only where nothing is named (tests)."""
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(OWN_DIR_CONF, None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     named = tempfile.mkdtemp(prefix="workfold-")
-    spark.conf.set(CHECKPOINT_CONF, named)
+    spark.conf.set(OWN_DIR_CONF, named)
     return named
 
 
