@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from workfold.catalog.registry import query
@@ -32,9 +33,8 @@ w AS (SELECT task, ts_ms // 604800000 AS window, max(greatest(in_flight, in_flig
 SELECT a.task, a.window, a.peak, greatest(a.peak, coalesce(b.peak, a.carried)) AS shown, (SELECT max(in_flight) FROM s WHERE s.task = a.task) AS highest
 FROM w a LEFT JOIN w b ON b.task = a.task AND b.window + 1 = a.window""", ["fx_pivot"])
 def _(fx):
-    log = fx.lifecycle
-    top = S.inflight_peak(log).withColumnRenamed("peak", "highest")
-    return S.inflight_peak_window(log, 604800000).join(top, "task")
+    windows = S.inflight_peak_window(fx.lifecycle, 604800000)
+    return windows.withColumn("highest", F.max("peak").over(Window.partitionBy("task")))
 
 
 @query("done_rate", """

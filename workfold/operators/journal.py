@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from workfold import model as M
 from workfold.functions.exprs import has_flag, point, remaining
 from workfold.operators.validation import journal_judged
-from workfold.plans.running import ordinal
+from workfold.plans.running import UPTO, running
 
 KEY = ["file", "seq"]
 OPTS = ["priority", "timeout_ms", "due_ms", "flags"]
@@ -78,9 +78,10 @@ def journal_crash_loop(state: DataFrame) -> DataFrame:
 def journal_recover(opened: DataFrame, now_ms: int) -> DataFrame:
     """Records to run again. Suspects take turns one at a time (``turn`` 1, 2, ..); the others are 0."""
     back = opened.where(F.col("state").isin("pending", "suspect"))
-    suspects = ordinal(back.where(F.col("state") == "suspect").select(*KEY), ["file"], ["seq"], "turn")
-    return back.join(suspects, KEY, "left").select(
-        "file", "seq", "name", "payload", F.coalesce("turn", F.lit(0)).alias("turn"),
+    suspect = F.col("state") == "suspect"
+    numbered = running(back, ["file"], ["seq"], {"_nth": ("sum", suspect.cast("long"), UPTO)})
+    return numbered.select(
+        "file", "seq", "name", "payload", F.when(suspect, F.col("_nth")).otherwise(F.lit(0)).alias("turn"),
         F.col("opts.priority").alias("priority"), F.col("opts.timeout_ms").alias("timeout_ms"),
         remaining("opts.due_ms", F.lit(now_ms)).alias("due_in_ms"))
 
