@@ -17,6 +17,9 @@ from workfold.streaming import state as S
 from workfold.streaming.run import drain, newest
 
 
+ORIGIN = 788918400000  # 1995-01-01, stamp 0 of the derived log
+
+
 def written(df, label: str) -> str:
     """The derived log as files in the shared folder, so that it can be streamed."""
     path = fresh_path(df.sparkSession, label)
@@ -87,7 +90,7 @@ SELECT task, count(*) AS expired FROM e WHERE latest + 864000000 + 1 < (SELECT m
 def _(fx):
     # Work queued before anyone listened: every item ends as a marker whose QUEUED never comes.
     log = fx.lifecycle.where(F.col("kind") != "QUEUED")
-    changes = drain(S.stream_lifecycle_state(streamed(fx, log, None), ttl_ms=864000000, delay="1 millisecond"), "ttl")
+    changes = drain(S.stream_lifecycle_state(streamed(fx, log, None), ttl_ms=864000000, delay="1 millisecond", origin_ms=ORIGIN), "ttl")
     return changes.groupBy("task").agg(F.sum("expired").alias("expired")).where("expired > 0")
 
 
@@ -141,7 +144,7 @@ SELECT handle, attempt, started_ms + timeout_s * 1000 AS deadline_ms, ended_ms -
 FROM fx_attempts JOIN policies USING (task) WHERE timeout_s > 0 AND ended_ms - started_ms > timeout_s * 1000""", ["fx_attempts", "policies"])
 def _(fx):
     limits = fx.policies.where("timeout_s > 0").select("task", (F.col("timeout_s").cast("long") * 1000).alias("limit_ms"))
-    return drain(S.stream_overrun_alert(streamed(fx, None, None), limits), "alerts").drop("batch")
+    return drain(S.stream_overrun_alert(streamed(fx, None, None), limits, origin_ms=ORIGIN), "alerts").drop("batch")
 
 
 @query("stream_latest_sample", """
