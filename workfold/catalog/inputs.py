@@ -141,7 +141,7 @@ class Inputs:
 
     @cached_property
     def journal(self) -> DataFrame:
-        numbered = ordinal(self.items.select("handle", "task", (F.col("handle") % 4).alias("f")), ["f"], ["handle"], "seq")
+        numbered = ordinal(self.items.select("handle", "task", (F.col("handle") % 4).alias("f")), ["f"], ["handle"], "seq", rows=self._orders.count())
         base = numbered.withColumn("file", F.concat(F.lit("j"), F.col("f").cast("string")))
         seq, handle = F.col("seq"), F.col("handle")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from workfold.catalog.registry import query
 from workfold.operators import journal as J
 from workfold.operators import validation as V
+from workfold.plans.pin import pin
 from workfold.plans.running import ordinal
 
 
@@ -45,7 +46,7 @@ def _opened(fx):
 SELECT file, seq, name, CASE WHEN state = 'suspect' THEN row_number() OVER (PARTITION BY file, state ORDER BY seq) ELSE 0 END AS turn
 FROM fx_opened WHERE state IN ('pending', 'suspect')""", ["fx_opened"])
 def _(fx):
-    return J.journal_recover(_opened(fx), now_ms=0).select("file", "seq", "name", "turn")
+    return J.journal_recover(pin(_opened(fx), "opened"), now_ms=0).select("file", "seq", "name", "turn")
 
 
 @query("journal_pending", "SELECT file, seq, name FROM fx_state WHERE NOT done AND NOT quarantined", ["fx_state"])
@@ -65,7 +66,7 @@ def _(fx):
 
 
 def _records(fx):
-    numbered = ordinal(fx.items.select("handle", (F.col("handle") % 4).alias("f")), ["f"], ["handle"], "seq")
+    numbered = ordinal(fx.items.select("handle", (F.col("handle") % 4).alias("f")), ["f"], ["handle"], "seq", rows=fx.table("orders").count())
     return numbered.select(F.concat(F.lit("j"), F.col("f").cast("string")).alias("file"), "seq", "handle")
 
 
@@ -95,7 +96,7 @@ def _(fx):
 SELECT 'drained' AS out, file, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS type, seq, name, crashes AS k FROM fx_opened WHERE quarantined AND NOT done
 UNION ALL SELECT 'journal', * FROM ({COMPACT.format(t='fx_opened', w='NOT done AND NOT quarantined')})""", ["fx_opened"])
 def _(fx):
-    drained, rest = J.quarantine_drain(_opened(fx))
+    drained, rest = J.quarantine_drain(pin(_opened(fx), "opened"))
     out = drained.select(F.lit("drained").alias("out"), "file", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("type"),
                          "seq", "name", F.col("crashes").alias("k"))
     return out.unionByName(J.journal_compact(rest).drop("payload", "opts").withColumn("out", F.lit("journal")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from workfold import model as M
 from workfold.functions.exprs import bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
 from workfold.plans.attempts import attempt_pivot, run_ms, state_of_handle, wait_ms
+from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
 
@@ -121,7 +122,7 @@ def exact_percentile(lifecycle: DataFrame, percents=(50, 95, 99)) -> DataFrame:
     no task holds all the samples of one work type.
     """
     counted = finish_times(lifecycle).groupBy("task", "finish_ms").agg(F.count("*").alias("n"))
-    run = running(counted, ["task"], ["finish_ms"], {
+    run = running(pin(counted, "latencies"), ["task"], ["finish_ms"], {
         "upto": ("sum", F.col("n"), UPTO), "total": ("sum", F.col("n"), ALL),
     })
     ranked = run.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in percents])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import U64, measure, measure_method, plus_pct, point, round_mib, saturate
+from workfold.plans.pin import pin
 from workfold.plans.running import BEFORE, UPTO, running
 
 POINT = ["ts_ms", "arrival"]
@@ -45,7 +46,7 @@ def _judged(rows: DataFrame, max_rows: int | None) -> DataFrame:
     per-value window, and one work type with most of the values is no hot spot.
     """
     keys = ["name", "method", "unit", "kind"]
-    per_task = _fold(rows, ["task", *keys])
+    per_task = pin(_fold(rows, ["task", *keys]), "measures")
     total = _refold(per_task, keys).withColumn("task", F.lit(M.TOTAL))
     groups = per_task.unionByName(total)
     too_long = (F.octet_length("name") >= M.NAME_MAX) | (F.octet_length("method") >= M.NAME_MAX) | F.col("name").isNull() | F.col("method").isNull()

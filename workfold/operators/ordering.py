@@ -36,10 +36,10 @@ def router_keys(by_deadline: bool = True) -> list[Column]:
     return [due, *priority_keys()]
 
 
-def ordered(items: DataFrame, keys: list[Column], out: str = "pos") -> DataFrame:
+def ordered(items: DataFrame, keys: list[Column], out: str = "pos", rows: int | None = None) -> DataFrame:
     """The items with their position under ``keys``, numbered without a global sort in one task."""
     named = {f"_k{i}": k for i, k in enumerate(keys)}
-    return ordinal(items.withColumns(named), [], list(named), out).drop(*named)
+    return ordinal(items.withColumns(named), [], list(named), out, rows=rows).drop(*named)
 
 
 def topk_per_task(items: DataFrame, keys: list[Column], k: int) -> DataFrame:
@@ -59,12 +59,13 @@ def order_fair_share(items: DataFrame, weight: Column | str, max_tenants: int =
 
     The k-th item of a share gets tag (k-1)*floor(2^20/weight); items go by tag, then submission.
     """
+    rows = items.count()
     weighed = items.join(_shares(items, max_tenants), "tenant")
     w = F.when(F.col("shared"), F.lit(1)).otherwise(F.least(F.greatest(col(weight), F.lit(1)), F.lit(M.FAIR_SCALE)))
     share = weighed.withColumns({"_share": F.when(F.col("shared"), F.lit(-1).cast("long")).otherwise(F.col("tenant")), "_w": w})
-    numbered = ordinal(share, ["shared", "_share"], ["seq"], "_k")
+    numbered = ordinal(share, ["shared", "_share"], ["seq"], "_k", rows=rows)
     tag = (F.col("_k") - 1) * F.floor(F.lit(M.FAIR_SCALE) / F.col("_w")).cast("long")
-    return ordered(numbered.withColumn("tag", tag), [F.col("tag"), F.col("seq")]).drop("_share", "_w", "_k")
+    return ordered(numbered.withColumn("tag", tag), [F.col("tag"), F.col("seq")], rows=rows).drop("_share", "_w", "_k")
 
 
 def fair_overflow(items: DataFrame, max_tenants: int = 64) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from workfold import model as M
 from workfold.functions.exprs import U64, event_class
 from workfold.plans.attempts import attempt_pivot, run_ms
+from workfold.plans.pin import pin
 from workfold.plans.running import ALL, BEFORE, UPTO, ordinal, running
 
 
@@ -27,14 +28,13 @@ def gauge_changes(lifecycle: DataFrame) -> DataFrame:
         _change(F.when(started.isNotNull() & end.isNotNull(), F.greatest(started, end)), 0, -1),
     )
     rows = pivot.select("task", F.inline(changes)).where("ts_ms is not null")
-    per_task = rows.groupBy("task", "ts_ms").agg(F.sum("dp").alias("dp"), F.sum("df").alias("df"))
-    both = per_task.select(F.explode(F.array("task", F.lit(M.TOTAL))).alias("task"), "ts_ms", "dp", "df")
+    both = rows.select(F.explode(F.array("task", F.lit(M.TOTAL))).alias("task"), "ts_ms", "dp", "df")
     return both.groupBy("task", "ts_ms").agg(F.sum("dp").alias("dp"), F.sum("df").alias("df"))
 
 
 def inflight_series(lifecycle: DataFrame) -> DataFrame:
     """Pending and in flight after each stamp, per task and '(total)'."""
-    return running(gauge_changes(lifecycle), ["task"], ["ts_ms"], {
+    return running(pin(gauge_changes(lifecycle), "gauges"), ["task"], ["ts_ms"], {
         "pending": ("sum", F.col("dp"), UPTO), "in_flight": ("sum", F.col("df"), UPTO),
     }).select("task", "ts_ms", "pending", "in_flight", (F.col("in_flight") - F.col("df")).alias("in_flight_before"))
 
@@ -103,10 +103,14 @@ def occupancy_series(lifecycle: DataFrame, task_costs: DataFrame, resources: Dat
         F.struct(F.greatest("started_ms", "ended_ms").alias("ts_ms"), F.lit(-1).alias("n"), (-F.col("mem_bytes")).alias("mem")),
     )), "ended_ms").where((F.col("n") == 1) | F.col("ended_ms").isNotNull())
     folded = marks.groupBy("task", "ts_ms").agg(F.sum("n").alias("n"), F.sum("mem").alias("mem"))
-    memory = folded.select(F.lit("memory").alias("resource"), "ts_ms", F.col("mem").alias("delta"))
-    named = folded.join(task_costs, "task").select(F.col("name").alias("resource"), "ts_ms", (F.col("n") * F.col("cost")).alias("delta"))
-    deltas = memory.unionByName(named).groupBy("resource", "ts_ms").agg(F.sum("delta").alias("delta"))
-    level = running(deltas, ["resource"], ["ts_ms"], {"in_use": ("sum", F.col("delta"), UPTO)})
+    # A task's costs are as many as there are resources.
+    named = task_costs.groupBy("task").agg(F.collect_list(F.struct("name", "cost")).alias("costs"))
+    memory = F.struct(F.lit("memory").alias("resource"), F.col("mem").alias("delta"))
+    rest = F.transform("costs", lambda c: F.struct(c["name"].alias("resource"), (F.col("n") * c["cost"]).alias("delta")))
+    spread = folded.join(named, "task", "left").select(
+        "ts_ms", F.inline(F.when(F.col("costs").isNull(), F.array(memory)).otherwise(F.concat(F.array(memory), rest))))
+    deltas = spread.groupBy("resource", "ts_ms").agg(F.sum("delta").alias("delta"))
+    level = running(pin(deltas, "occupancy"), ["resource"], ["ts_ms"], {"in_use": ("sum", F.col("delta"), UPTO)})
     budget = resources.select(F.col("name").alias("resource"), "budget")
     return level.join(budget, "resource", "left").select(
         "resource", "ts_ms", "in_use", "budget", F.coalesce(F.col("in_use") > F.col("budget"), F.lit(False)).alias("over"))
@@ -166,6 +170,7 @@ def deadline_overrun(lifecycle: DataFrame, policies: DataFrame, items: DataFrame
         F.struct(F.lit("timeout").alias("why"), (F.col("run_ms") - limit).alias("over_ms")),
         F.struct(F.lit("late").alias("why"), late.alias("over_ms")),
     ))).where("over_ms > 0")
+    rows = pin(rows, "overruns")
     values = rows.groupBy("why", "over_ms").agg(F.count("*").alias("_n")).withColumn("_down", -F.col("over_ms"))
     ranks = running(values, ["why"], ["_down"], {"_before": ("sum", F.col("_n"), BEFORE)}).select(
         "why", "over_ms", (F.col("_before") + 1).alias("rank"))

@@ -24,13 +24,14 @@ BEFORE = "before"  # rows strictly before
 ALL = "all"        # the whole group
 
 
-def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, tuple]) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, tuple], rows: int | None = None) -> DataFrame:
     """Add running columns: ``{out: (op, column, frame)}``, op 'sum', 'max' or 'min'.
 
     ``order`` holds ascending columns without NULLs that leave no ties inside a group
     (negate a number for descending). ``sum`` over nothing is 0, ``max``/``min`` NULL.
+    ``rows`` saves the count where the caller knows it. Pin an input that is costly to compute.
     """
-    layout = _layout(df, group, order)
+    layout = _layout(df, group, order, rows)
     if layout is None:
         keys = [F.col(g) for g in group] or [F.lit(0)]
         return _local(df, keys, order, aggs)
@@ -58,13 +59,14 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     )
 
 
-def ordinal(df: DataFrame, group: list[str], order: list[str], out: str, total: str | None = None) -> DataFrame:
+def ordinal(df: DataFrame, group: list[str], order: list[str], out: str, total: str | None = None,
+            rows: int | None = None) -> DataFrame:
     """1, 2, 3 .. within each group, and optionally the group's size."""
     one = F.lit(1).cast("long")
     aggs = {out: ("sum", one, UPTO)}
     if total:
         aggs[total] = ("sum", one, ALL)
-    return running(df, group, order, aggs)
+    return running(df, group, order, aggs, rows)
 
 
 def _agg(op: str):
@@ -97,11 +99,11 @@ def _local(df: DataFrame, keys: list[Column], order: list[str], aggs: dict[str,
     )
 
 
-def _layout(df: DataFrame, group: list[str], order: list[str]) -> DataFrame | None:
+def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None = None) -> DataFrame | None:
     """The input with a cell number, or None when every group fits one task."""
     per_cell = rows_per_cell(df.sparkSession)
     keys = df.select(*group, *order)
-    rows = keys.count()
+    rows = keys.count() if rows is None else rows
     if rows <= per_cell:
         return None
     cells = min(MAX_CELLS, -(-rows // per_cell))

@@ -12,7 +12,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 OWN_DIR_CONF = "workfold.sharedDir"
 ROWS_PER_CELL_CONF = "workfold.rowsPerCell"
-DEFAULT_ROWS_PER_CELL = 2_000_000
+DEFAULT_ROWS_PER_CELL = 500_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
