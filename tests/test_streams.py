@@ -119,6 +119,8 @@ def test_streams_equal_batch_in_random_order(spark, tmp_path, seed):
     got = by(S.fold_changes(drain(S.stream_lifecycle_state(stream), "life")).drop("expired"), "task")
     want = by(A.gauges(batch).join(A.wait_latency(batch), "task").join(A.run_latency(batch), "task"), "task")
     assert got == want
+    kept = newest(drain(G.stream_attempts(stream), "attempts"), ["handle", "task", "attempt"])
+    assert by(G.lifecycle_now(kept), "task") == want
     counts = by(newest(drain(G.stream_counters(stream), "count"), ["task"]), "task")
     assert counts == by(A.counters(batch), "task")
     first = by(newest(drain(S.stream_first_terminal(stream), "first"), ["handle"]), "handle")

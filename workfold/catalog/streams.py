@@ -83,6 +83,14 @@ def _(fx):
     return S.fold_changes(changes).drop("expired")
 
 
+@query("stream_attempts", f"""
+WITH {STATE}, g AS (SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS pending, count(*) FILTER (closed = 0 AND phase = 1) AS in_flight FROM h {ROLL}),
+l AS (SELECT {TASK}, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot {ROLL})
+SELECT * FROM g JOIN l USING (task)""", ["fx_lifecycle", "fx_pivot"])
+def _(fx):
+    return G.lifecycle_now(newest(drain(G.stream_attempts(streamed(fx)), "attempts"), ["handle", "task", "attempt"]))
+
+
 @query("stream_state_ttl", """
 WITH e AS (SELECT handle, task, max(ts_ms) AS latest FROM fx_lifecycle WHERE kind <> 'QUEUED' GROUP BY handle, task
   HAVING bool_or(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')))
