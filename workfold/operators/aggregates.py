@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
-from workfold.plans.attempts import attempt_pivot, run_ms, state_of_handle, wait_ms
+from workfold.plans.attempts import attempt_pivot, item_keys, run_ms, state_of_handle, wait_ms
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -210,7 +210,7 @@ def cpu_cores_used(lifecycle: DataFrame) -> DataFrame:
     cpu = F.when(kind.isin("FINISHED", "FAILED") & (measure("cpu.user_ms").isNotNull() | measure("cpu.sys_ms").isNotNull()),
                  F.coalesce(measure("cpu.user_ms"), F.lit(0)) + F.coalesce(measure("cpu.sys_ms"), F.lit(0)))
     per = lifecycle.where(kind.isin("STARTED", "FINISHED", "FAILED")).groupBy(
-        "handle", "task", "attempt").agg(
+        *item_keys(lifecycle), "task", "attempt").agg(
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
         F.min(F.when(kind != "STARTED", F.col("ts_ms"))).alias("ended_ms"),
         F.max(cpu).cast("long").alias("cpu_ms"),

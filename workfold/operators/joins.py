@@ -214,17 +214,16 @@ def ledger(submissions: DataFrame, facts: DataFrame) -> DataFrame:
     taken = submissions.select("business_id", (F.col("round") - 1).alias("round"), F.col("ts_ms").alias("_until"))
     rounds = submissions.select("business_id", "round", "handle").join(taken, ["business_id", "round"], "left")
     live = facts.select("handle", "ts_ms", "attempt", "ok", point().alias("_at"), code_of("status", STATUSES).alias("_status"))
-    matched = rounds.join(live, "handle", "left").where(
-        F.col("ts_ms").isNull() | F.col("_until").isNull() | (F.col("ts_ms") < F.col("_until")))
+    live = live.withColumnRenamed("handle", "_handle")
+    in_time = F.col("_until").isNull() | (F.col("ts_ms") < F.col("_until"))
+    matched = rounds.join(live, (F.col("handle") == F.col("_handle")) & in_time, "left")
     per_round = matched.groupBy("business_id", "round", "handle").agg(
         F.count("_at").alias("n"), F.min_by("_status", "_at").alias("_status"),
         F.min_by("attempt", "_at").alias("attempts"), F.min_by("ok", "_at").alias("ok"))
-    # A round whose every fact came too late still holds the row.
-    per_round = rounds.select("business_id", "round", "handle").join(per_round, ["business_id", "round", "handle"], "left")
-    extra = F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0))
+    extra = F.greatest(F.col("n") - 1, F.lit(0))
     current = {c: F.max_by(c, "round").alias(c) for c in ("handle", "n", "_status", "attempts", "ok")}
     rows = per_round.groupBy("business_id").agg(F.max("round").alias("rounds"), *current.values(), F.sum(extra).alias("confirmations"))
-    closed = F.coalesce(F.col("n") > 0, F.lit(False))
+    closed = F.col("n") > 0
     return rows.select(
         "business_id", "handle", "rounds", F.when(~closed, "open").when(F.col("ok"), "recovered").otherwise("dead").alias("state"),
         F.when(closed, name_of("_status", STATUSES)).alias("status"), F.when(closed, F.col("attempts")).alias("attempts"),

@@ -35,14 +35,19 @@ def with_cycle(lifecycle: DataFrame) -> DataFrame:
     return out.withColumn("cycle", F.greatest(F.lit(1).cast("long"), "cycle")).drop("_phase")
 
 
+def item_keys(lifecycle: DataFrame) -> list[str]:
+    """What identifies an item's attempts: its handle, and the cycle in a log that numbers them."""
+    return ["handle", "cycle"] if "cycle" in lifecycle.columns else ["handle"]
+
+
 def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per attempt: queued_ms, started_ms, ended_ms, closed_ms, finished, cancelled.
 
-    ``keys`` names the identity of an item besides its task; add 'cycle' for logs with requeues
-    (after ``with_cycle``) or 'shard' for a union of logs. Conditional minima only, so a hot
-    handle is reduced before the shuffle.
+    ``keys`` names the identity of an item besides its task, by default its handle, with the
+    cycle after ``with_cycle``; add 'shard' for a union of logs. Conditional minima only, so a
+    hot handle is reduced before the shuffle.
     """
-    keys = keys or ["handle"]
+    keys = keys or item_keys(lifecycle)
     kind = F.col("kind")
     return lifecycle.groupBy(*keys, "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
         F.min(F.when(kind.isin(*QUEUING), F.col("ts_ms"))).alias("queued_ms"),
