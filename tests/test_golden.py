@@ -47,6 +47,9 @@ def test_g1_counters(g1):
     assert by(A.run_latency(g1), "task")["(total)"]["run_samples"] == 6
     assert by(A.wait_latency(g1), "task")["(total)"]["wait_samples"] == 6
     assert V.audit_lifecycle(g1).count() == 0
+    everything = by(A.statistics(g1), "task")["(total)"]
+    assert everything == {**by(A.counters(g1), "task")["(total)"], **gauges, **by(A.run_latency(g1), "task")["(total)"],
+                          **by(A.wait_latency(g1), "task")["(total)"]}
 
 
 def test_g2_gauges(spark):

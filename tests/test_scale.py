@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tests.conftest import SF
 from workfold.operators import aggregates as A
 from workfold.operators import measures as P
@@ -81,17 +80,3 @@ def test_topk_is_limited_before_the_shuffle(spark):
 
     plan = plan_of(O.topk_per_task(Inputs(spark, SF).items, O.edf_keys(), 5))
     assert plan.count("WindowGroupLimit") >= 2
-
-
-NO_CROSS = [n for n in entry.queries() if not n.startswith("stream_")]
-
-
-def test_no_query_has_a_cross_join(spark):
-    bad = []
-    for name in NO_CROSS:
-        if name in ("sink_snapshot", "sink_dead_letter"):
-            continue
-        plan = plan_of(entry.queries()[name](spark, SF))
-        if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
-            bad.append(name)
-    assert not bad

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
-from workfold.plans.attempts import attempt_pivot, item_keys, run_ms, state_of_handle, wait_ms
+from workfold.plans.attempts import ENDING, QUEUING, attempt_pivot, item_keys, reached, run_ms, state_of_handle, wait_ms
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -160,14 +160,36 @@ def merge_counters(snapshots: DataFrame, by: str = "task") -> DataFrame:
         *[(F.max if c in SNAPSHOT_MAXIMA else F.sum)(c).alias(c) for c in folded])
 
 
+def statistics(lifecycle: DataFrame, since_ms: int | None = None) -> DataFrame:
+    """Counters, gauges and latencies per task and '(total)', from one scan of the log.
+
+    With ``since_ms`` counters and latencies start at that instant; the gauges stay live.
+    """
+    since = F.lit(True) if since_ms is None else F.col("ts_ms") >= since_ms
+    kind, counts = F.col("kind"), _counter_aggs(since)
+    keys = item_keys(lifecycle)
+    per_attempt = lifecycle.groupBy(*keys, "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
+        *[agg.alias(name) for name, (agg, _) in counts.items()],
+        F.min(F.when(kind.isin(*QUEUING), F.col("ts_ms"))).alias("queued_ms"),
+        F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
+        F.min(F.when(kind.isin(*ENDING), F.col("ts_ms"))).alias("ended_ms"),
+        F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"))
+    from_then = F.lit(True) if since_ms is None else F.greatest("started_ms", "queued_ms") >= since_ms
+    ended_then = F.lit(True) if since_ms is None else F.col("ended_ms") >= since_ms
+    times = {**_latency("wait", wait_ms(), from_then), **_latency("run", run_ms(), ended_then)}
+    per_item = per_attempt.groupBy("handle", "task").agg(
+        *[F.sum(name).alias(name) for name in counts], *[agg.alias(name) for name, (agg, _) in times.items()],
+        F.max("reached").alias("reached"), F.max("over").alias("over"))
+    live, at = ~F.col("over"), F.col("reached") % 4
+    return per_task_and_total(per_item, {
+        **{name: (F.sum(name), "sum") for name in counts},
+        **{name: ((F.max if how == "max" else F.sum)(name), how) for name, (_, how) in times.items()},
+        "pending": (F.count_if(live & (at == 0)), "sum"), "in_flight": (F.count_if(live & (at == 1)), "sum")})
+
+
 def stats_since(lifecycle: DataFrame, since_ms: int) -> DataFrame:
     """Counters and latencies of what happened from an instant on; the gauges stay live."""
-    counted = per_task_and_total(lifecycle, _counter_aggs(F.col("ts_ms") >= since_ms))
-    pivot = attempt_pivot(lifecycle)
-    waited = F.greatest("started_ms", "queued_ms") >= since_ms
-    timed = per_task_and_total(pivot, {
-        **_latency("wait", wait_ms(), waited), **_latency("run", run_ms(), F.col("ended_ms") >= since_ms)})
-    return counted.join(timed, "task").join(gauges(lifecycle), "task")
+    return statistics(lifecycle, since_ms)
 
 
 def task_table(lifecycle: DataFrame) -> DataFrame:

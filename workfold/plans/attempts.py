@@ -70,6 +70,14 @@ def run_ms():
     return F.when(F.col("ended_ms") >= F.col("started_ms"), F.col("ended_ms") - F.col("started_ms"))
 
 
+def reached(lifecycle: DataFrame):
+    """How far an event takes its item, as one number: cycle, attempt, then queued, started or ended."""
+    cycle = F.col("cycle") if "cycle" in lifecycle.columns else F.lit(1).cast("long")
+    phase = F.when(F.col("kind").isin(*QUEUING), 0).when(F.col("kind") == "STARTED", 1).otherwise(2)
+    at = cycle * F.lit(1 << 34) + F.greatest("attempt", F.lit(1)).cast("long") * 4 + phase
+    return F.when(F.col("kind") != "SAMPLE", at)
+
+
 def state_of_handle(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Where each item stands at the end of the log: pending, in_flight, limbo or over.
 
@@ -77,12 +85,8 @@ def state_of_handle(lifecycle: DataFrame, keys: list[str] | None = None) -> Data
     a late RETRIED moves nothing.
     """
     keys = keys or ["handle"]
-    cycle = F.col("cycle") if "cycle" in lifecycle.columns else F.lit(1).cast("long")
-    phase = F.when(F.col("kind").isin(*QUEUING), 0).when(F.col("kind") == "STARTED", 1).otherwise(2)
-    reached = (cycle * F.lit(1 << 34)) + F.greatest("attempt", F.lit(1)).cast("long") * 4 + phase
-    known = F.col("kind") != "SAMPLE"
-    per = lifecycle.where(known).groupBy(*keys, "task").agg(
-        F.max(reached).alias("reached"), F.max(terminal()).alias("over"),
+    per = lifecycle.where(F.col("kind") != "SAMPLE").groupBy(*keys, "task").agg(
+        F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"),
     )
     at = F.col("reached") % 4
     state = (F.when(F.col("over"), "over").when(at == 1, "in_flight").when(at == 0, "pending").otherwise("limbo"))
