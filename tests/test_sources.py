@@ -73,6 +73,11 @@ def test_sharded_map_keeps_a_key_together(spark):
     assert out.groupBy("k").agg(F.count_distinct("p").alias("n")).where("n <> 1").count() == 0
 
 
+def test_zero_means_unset_where_named(spark):
+    df = spark.createDataFrame([(0, 0), (5, 6)], "timeout_s int, retries int")
+    assert [tuple(r) for r in L.zero_as_unset(df, ["timeout_s"]).collect()] == [(None, 0), (5, 6)]
+
+
 def test_session_and_shared_dir(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
     assert shared_dir(spark) == shared_dir(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workfold.catalog.registry import query
+from workfold.catalog.registry import longs, query
 from workfold.operators import aggregates as A
 
 TERMINAL = "(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED'))"
@@ -44,19 +44,19 @@ def _(fx):
 
 @query("wait_latency", f"SELECT {TASK}, {latency('wait', WAIT)} FROM fx_pivot {ROLL}", ["fx_pivot"])
 def _(fx):
-    return A.wait_latency(fx.lifecycle)
+    return longs(A.wait_latency(fx.lifecycle), "wait_ms_sum")
 
 
 @query("run_latency", f"SELECT {TASK}, {latency('run', RUN)} FROM fx_pivot {ROLL}", ["fx_pivot"])
 def _(fx):
-    return A.run_latency(fx.lifecycle)
+    return longs(A.run_latency(fx.lifecycle), "run_ms_sum")
 
 
 @query("finish_latency", f"""
 WITH f AS ({FINISH}) SELECT {TASK}, {latency('finish', 'finish_ms')}, round(sum(finish_ms) / count(*), 6) AS finish_ms_avg
 FROM f {ROLL}""", ["fx_lifecycle"])
 def _(fx):
-    return A.finish_latency(fx.lifecycle)
+    return longs(A.finish_latency(fx.lifecycle), "finish_ms_sum")
 
 
 @query("latency_histogram", f"""
@@ -100,7 +100,7 @@ SNAP_T = f"SELECT task, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_p
 @query("merge_counters", f"WITH a AS ({SNAP}), b AS ({SNAP_T}) SELECT * FROM a JOIN b USING (task)", ["fx_lifecycle", "fx_pivot"])
 def _(fx):
     shards = fx.lifecycle.withColumn("shard", F.col("handle") % 4)
-    return A.merge_counters(A.snapshot(shards, ["shard", "task"]))
+    return longs(A.merge_counters(A.snapshot(shards, ["shard", "task"])), "wait_ms_sum", "run_ms_sum")
 
 
 SINCE = 126230400000  # 1999-01-01 in the fixtures' clock (ms since 1995-01-01)
@@ -118,7 +118,7 @@ h AS (SELECT handle, task, max(CASE WHEN {TERMINAL} THEN 1 ELSE 0 END) AS closed
 g AS (SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS pending, count(*) FILTER (closed = 0 AND phase = 1) AS in_flight FROM h {ROLL})
 SELECT * FROM a JOIN b USING (task) JOIN g USING (task)""", ["fx_lifecycle", "fx_pivot"])
 def _(fx):
-    return A.stats_since(fx.lifecycle, SINCE)
+    return longs(A.stats_since(fx.lifecycle, SINCE), "wait_ms_sum", "run_ms_sum")
 
 
 @query("task_table", f"""
@@ -213,4 +213,4 @@ l AS (SELECT 'round_robin' AS policy, rr AS shard, count(*) AS items, sum(w) AS
 SELECT policy, shard, items, CAST(work AS BIGINT) AS work, CAST(sum(work) OVER (PARTITION BY policy) // 5 AS BIGINT) AS ideal,
   round(max(work) OVER (PARTITION BY policy) * 5 / sum(work) OVER (PARTITION BY policy), 6) AS factor FROM l""", ["fx_items"])
 def _(fx):
-    return A.shard_load(fx.items, "mem_bytes", 5)
+    return longs(A.shard_load(fx.items, "mem_bytes", 5), "work")

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workfold.catalog.registry import query
+from workfold.catalog.registry import longs, query
 from workfold.operators import measures as P
 
 
-def longs(df, *names):
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
-
-
 FOLD = """count(*) AS count, CAST(sum(value) AS BIGINT) AS sum, min(value) AS min, max(value) AS max,
  arg_max(value, {k}) AS last, max(ts_ms) AS last_ms"""
 KEY = "ts_ms * 1000000000 + arrival"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from workfold.catalog.registry import query
@@ -11,6 +14,9 @@ from workfold.operators import joins as J
 from workfold.operators import mapping as P
 from workfold.operators import policy as Q
 
+# The task bodies below travel with the plan.
+register_pickle_by_value(sys.modules[__name__])
+
 DISPOSED = """CASE WHEN status = 'CANCELLED' THEN 'CANCELLED' WHEN attempt <= max_retries THEN 'RETRIED' WHEN on_failure = 'requeue' THEN 'REQUEUED'
  WHEN on_failure = 'drop' THEN 'DROPPED' ELSE 'DEAD_LETTERED' END"""
 JUDGED = f"""d AS (SELECT m.*, backoff_s, {DISPOSED} AS step FROM m JOIN policies p ON p.task = m.task),

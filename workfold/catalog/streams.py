@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.catalog.aggregates import COUNTS_ALL, ROLL, RUN, TASK, WAIT, latency
-from workfold.catalog.registry import query
+from workfold.catalog.registry import longs, query
 from workfold.catalog.rules import LEDGER, terminal_facts
 from workfold.operators import aggregates as A
 from workfold.operators import measures as P
@@ -88,7 +88,8 @@ WITH {STATE}, g AS (SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS
 l AS (SELECT {TASK}, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot {ROLL})
 SELECT * FROM g JOIN l USING (task)""", ["fx_lifecycle", "fx_pivot"])
 def _(fx):
-    return G.lifecycle_now(newest(drain(G.stream_attempts(streamed(fx)), "attempts"), ["handle", "task", "attempt"]))
+    attempts = newest(drain(G.stream_attempts(streamed(fx)), "attempts"), ["handle", "task", "attempt"])
+    return longs(G.lifecycle_now(attempts), "wait_ms_sum", "run_ms_sum")
 
 
 @query("stream_state_ttl", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workfold import model as M
-from workfold.functions.exprs import bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
+from workfold.functions.exprs import U64, bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
 from workfold.plans.attempts import ENDING, QUEUING, attempt_pivot, item_keys, reached, run_ms, state_of_handle, wait_ms
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
@@ -43,7 +43,8 @@ def _latency(name: str, sample, live=None):
     value = sample if live is None else F.when(live, sample)
     return {
         f"{name}_samples": (F.count(value), "sum"),
-        f"{name}_ms_sum": (F.coalesce(F.sum(value), F.lit(0)).cast("long"), "sum"),
+        # a DECIMAL: milliseconds of enough attempts do not fit a LONG
+        f"{name}_ms_sum": (F.coalesce(F.sum(value.cast("decimal(20,0)")), F.lit(0)).cast(U64), "sum"),
         f"{name}_ms_max": (F.coalesce(F.max(value), F.lit(0)).cast("long"), "max"),
     }
 
@@ -93,7 +94,7 @@ def finish_times(lifecycle: DataFrame) -> DataFrame:
 
 def finish_latency(lifecycle: DataFrame) -> DataFrame:
     out = per_task_and_total(finish_times(lifecycle), _latency("finish", F.col("finish_ms")))
-    return out.withColumn("finish_ms_avg", F.round(F.col("finish_ms_sum") / F.col("finish_samples"), 6))
+    return out.withColumn("finish_ms_avg", F.round(F.col("finish_ms_sum").cast("double") / F.col("finish_samples"), 6))
 
 
 def latency_histogram(lifecycle: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def task_table(lifecycle: DataFrame) -> DataFrame:
         F.max(measure("mem.peak")).cast("long").alias("mem_peak"),
     )
     timed = finish_times(lifecycle).groupBy("task").agg(
-        F.expr("sum(finish_ms) div count(*)").alias("avg_ms"), F.max("finish_ms").alias("max_ms"))
+        F.expr("sum(cast(finish_ms as decimal(20,0))) div count(*)").alias("avg_ms"), F.max("finish_ms").alias("max_ms"))
     closed = F.col("finished") + F.col("dead_lettered") + F.col("dropped")
     return rows.join(timed, "task", "left").withColumn(
         "ok_pct", F.when(closed > 0, F.expr("100 * finished div (finished + dead_lettered + dropped)")))
@@ -243,7 +244,8 @@ def cpu_cores_used(lifecycle: DataFrame) -> DataFrame:
         F.count("*").alias("attempts"),
         F.round(F.avg(F.col("cpu_ms") / F.col("run_ms")), 6).alias("cores_mean"),
         F.count("throttled_ms").alias("capped"),
-        F.round(F.sum("throttled_ms") / F.sum(F.when(F.col("throttled_ms").isNotNull(), F.col("run_ms"))), 6)
+        F.round(F.sum(F.col("throttled_ms").cast("double"))
+                / F.sum(F.when(F.col("throttled_ms").isNotNull(), F.col("run_ms")).cast("double")), 6)
         .alias("throttled_share"))
 
 
@@ -296,10 +298,11 @@ def service_report(lifecycle: DataFrame, retire_on_ok: bool = False) -> DataFram
         cut = lifecycle.join(done, "handle", "left").where(F.col("_done").isNull() | (F.col("ts_ms") <= F.col("_done")))
     ended = kind.isin("FINISHED", "FAILED")
     crash = (kind == "FAILED") & (F.col("status") != "CANCELLED")
+    stamp = F.col("ts_ms").cast("decimal(20,0)")
     per = cut.groupBy("handle", "task").agg(
         F.count_if(kind == "STARTED").alias("runs"), F.count_if(kind == "FINISHED").alias("clean_exits"),
         F.count_if(crash).alias("crashes"),
-        (F.coalesce(F.sum(F.when(ended, F.col("ts_ms"))), F.lit(0)) - F.coalesce(F.sum(F.when(kind == "STARTED", F.col("ts_ms"))), F.lit(0))).alias("_up"),
+        F.coalesce(F.sum(F.when(ended, stamp).when(kind == "STARTED", -stamp)), F.lit(0)).alias("_up"),
         F.count_if(ended).alias("_ends"),
         F.max(F.when(kind == "STARTED", F.col("ts_ms"))).alias("_last_start"),
         F.max(F.when(terminal(), F.col("ts_ms"))).alias("stopped_ms"),
@@ -308,7 +311,7 @@ def service_report(lifecycle: DataFrame, retire_on_ok: bool = False) -> DataFram
     return per.select(
         "handle", "task", "runs", "clean_exits", "crashes",
         F.greatest(F.lit(0).cast("long"), F.col("runs") - 1).alias("restarts"),
-        (F.col("_up") + F.when(running_now, F.col("_last_start")).otherwise(F.lit(0))).alias("up_ms"), "stopped_ms")
+        (F.col("_up") + F.when(running_now, F.col("_last_start")).otherwise(F.lit(0))).cast("long").alias("up_ms"), "stopped_ms")
 
 
 def failure_reasons(lifecycle: DataFrame, k: int = 3) -> DataFrame:
@@ -338,14 +341,15 @@ def exit_codes(lifecycle: DataFrame) -> DataFrame:
 def shard_load(items: DataFrame, weight: str, shards: int, key: str = "tenant", order: str = "seq") -> DataFrame:
     """Work per shard under round-robin and under keyed routing, against an even split."""
     placed = ordinal(items, [], [order], "_n").select(
-        F.col(weight).alias("w"),
+        F.col(weight).cast("decimal(20,0)").alias("w"),
         F.explode(F.array(
             F.struct(F.lit("round_robin").alias("policy"), ((F.col("_n") - 1) % shards).cast("int").alias("shard")),
             F.struct(F.lit("keyed").alias("policy"), shard_of(key, shards).alias("shard")),
         )).alias("to"))
-    load = placed.groupBy("to.policy", "to.shard").agg(F.count("*").alias("items"), F.sum("w").alias("work"))
+    load = placed.groupBy("to.policy", "to.shard").agg(F.count("*").alias("items"), F.sum("w").cast(U64).alias("work"))
+    work = F.col("work").cast("double")
     every = Window.partitionBy("policy")  # at most `shards` rows per policy
     return load.select(
         "policy", "shard", "items", "work",
         F.expr(f"sum(work) over (partition by policy) div {shards}").alias("ideal"),
-        F.round(F.max("work").over(every) * shards / F.sum("work").over(every), 6).alias("factor"))
+        F.round(F.max(work).over(every) * shards / F.sum(work).over(every), 6).alias("factor"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Executors need not have this package: its functions travel with the plan.
+register_pickle_by_value(sys.modules[__name__])
+
 TAIL_KEEP = 512
 OUTCOMES = "kind string, key long, attempt int, status string, result string, error string, payload string"
 

@@ -16,6 +16,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def zero_as_unset(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NULL instead of 0 where 0 means "not set" or "no limit" (which differs by key)."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
+
+
 def known_events(df: DataFrame) -> DataFrame:
     """Events of the known kinds in the canonical columns; kinds a later writer added are ignored."""
     return conform(df.where(F.col("kind").isin(*M.KINDS)), M.LIFECYCLE)
