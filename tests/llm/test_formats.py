@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,7 +91,8 @@ def test_word_table_equals_the_library(vocabulary):
     texts = ["", " ", "a, b. A. É, éa. x'S, ''. 12. ½, ª. <|ENDOFTEXT|> <|endoftext|>,  x y İ. ΣΑΣ, ﬁ. é.", "\n\t x.,", "Ab.Cd, 'll. I'LL"] * 2
     table = WordIds(vocabulary_path(), most=5)
     for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in table.encode(texts)]
+        flat, counts = table.encode(pa.array(["out", *texts, "out"])[1:-1])
+        got = [x.tolist() for x in np.split(np.frombuffer(flat, "<u4"), np.cumsum(counts)[:-1])]
         assert got == [e.ids for e in vocabulary.encode_batch(texts, add_special_tokens=False)]
 
 

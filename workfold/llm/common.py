@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of rows with equal keys, from batches sorted by them; a run may span batches.
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of at least ``least`` rows with equal keys, from batches sorted by them.
 
-    Only the last run of a batch is kept back, so memory holds one batch and one run.
+    A run may span batches; only the last run of a batch is kept back, so memory holds one batch and
+    one run.
     """
     held: list[pa.Table] = []
     held_key: tuple | None = None
@@ -58,23 +60,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        cols = [np.asarray(table[k].to_numpy()) for k in keys]
+        cols = [table[k].to_numpy() for k in keys]
         new = np.zeros(table.num_rows, bool)
         new[0] = True
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], table.num_rows)
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            key = tuple(c[s] for c in cols)
-            part = table.slice(s, e - s)
-            if held_key is not None and key == held_key:
-                held.append(part)
-                continue
-            if held_key is not None:
+        if held_key is not None:
+            if tuple(c[0] for c in cols) == held_key:
+                held.append(table.slice(0, int(ends[0])))
+                if len(starts) == 1:
+                    continue
+                starts, ends = starts[1:], ends[1:]
+            if sum(t.num_rows for t in held) >= least:
                 yield held_key, pa.concat_tables(held)
-            held, held_key = [part], key
-    if held_key is not None:
+        for i in np.flatnonzero(ends[:-1] - starts[:-1] >= least).tolist():
+            s = int(starts[i])
+            yield tuple(c[s] for c in cols), table.slice(s, int(ends[i]) - s)
+        s = int(starts[-1])
+        held, held_key = [table.slice(s)], tuple(c[s] for c in cols)
+    if held_key is not None and sum(t.num_rows for t in held) >= least:
         yield held_key, pa.concat_tables(held)
 
 
@@ -82,15 +88,19 @@ class WordIds:
     """Token ids of whole texts by the tokenizers library, one call per distinct word.
 
     The vocabulary's splitter never joins characters across a blank or a line break, so the ids
-    of a text are those of its words in order. Words seen before come from a bounded table.
+    of a text are those of its words in order. Words seen before come from a table that stops growing
+    at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def _plain(word: str) -> tuple[str, str]:
@@ -101,32 +111,52 @@ class WordIds:
             stem = stem.lower()
         return stem, mark
 
-    def _learn(self, words: set[str]) -> None:
+    def _ids(self, words: list[str]) -> list[bytes]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(ids, "<u4").tobytes() for ids in got]
+
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters only, many in one text: each ends with its one closing token."""
+        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+        got = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        flat = np.array(list(chain.from_iterable(e.ids for e in got)), "<u4")
+        ends = (4 * (np.flatnonzero(self.closing[flat]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._ids(words)
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
         split = {w: self._plain(w) for w in words}
-        new = list({x for pair in split.values() for x in pair if x not in self.known})
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
-        at = 0
-        for word, own in zip(new, ids):
-            end = at + 4 * len(own)
-            self.known[word] = flat[at:end]
-            at = end
+        new = {x for pair in split.values() for x in pair if x not in table and x not in self.known}
+        letters = [w for w in new if w.isalpha() and max(w) < "\u0130"]
+        other = list(new.difference(letters))
+        table.update(zip(letters, self._ids_of_letters(letters)))
+        table.update(zip(other, self._ids(other)))
         for word, (stem, mark) in split.items():
-            if word not in self.known:
-                self.known[word] = self.known[stem] + self.known[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > self.most:
-            self.known = {}
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        missing = {w for p, f in zip(parts, found) if None in f for w, got in zip(p, f) if got is None}
-        if missing:
-            self._learn(missing)
-            found = [list(map(get, p)) if None in f else f for p, f in zip(parts, found)]
-        return [b"".join(f) for f in found]
+            if word not in table:
+                table[word] = (table.get(stem) or self.known.get(stem) or b"") + (table.get(mark) or self.known.get(mark) or b"")
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+        """All ids one after the other (little-endian unsigned 32-bit), and how many each text has.
+
+        Words are numbered by Arrow's dictionary encoding, so Python sees every word of a batch once.
+        """
+        for blank in ("\n", "\t", "\r"):
+            texts = pc.replace_substring(texts, blank, " ")
+        parts = pc.split_pattern(texts, " ")
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        own = list(map(self.known.get, distinct))
+        if None in own:
+            missing = [w for w, got in zip(distinct, own) if got is None]
+            table = {} if len(self.known) >= self.most else self.known  # a full table keeps its words
+            self._learn(missing, table)
+            own = [table[w] if got is None else got for w, got in zip(distinct, own)]
+        ids = pa.array(own, pa.binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
+        per_text = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]) // 4
+        return ids.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if len(ids) else pa.py_buffer(b""), per_text.astype(np.int64)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -139,16 +169,14 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-def text_chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters together (one text at least)."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_chunks(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together (one text at least)."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield start, end
+        start, done = end, int(sizes[end - 1])
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -40,11 +40,14 @@ def _cutter(vocabulary: str, end_id: int, most: int):
         seen = [0] * most.bit_length()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
+            keys, texts = batch["id"].to_pylist(), batch["text"]
             for a, b in text_chunks(texts):
                 cols: list[list] = [[] for _ in range(9)]
-                for key, ids in zip(keys[a:b], words.encode(texts[a:b])):
-                    own, n = ids + end, len(ids) // 4
+                flat, counts = words.encode(texts[a:b])
+                flat, at = flat.to_pybytes(), 0
+                for key, n in zip(keys[a:b], counts.tolist()):
+                    own = flat[at:at + 4 * n] + end
+                    at += 4 * n
                     start = 0
                     for length in binary_lengths(n + 1, most):
                         piece = own[4 * start:4 * (start + length)]

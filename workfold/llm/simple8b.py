@@ -4,6 +4,7 @@ File format (Parquet holds the rows, so any Spark reader lists, splits and prune
 run of whole documents, in ascending document order within its shard:
 
 ``shard, run``       place in the order of the file; shards are in ascending order of documents
+``before``           ids of the shard before this run
 ``doc_ids``          the documents, ``doc_lengths`` how many ids each has, the end id included
 ``n_ids``            ids in the run
 ``block_words``      where each block of 4096 ids starts in ``words`` (so blocks decode on their own)
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, text_chunks, text_of, word_ids
+from workfold.llm.common import id_back, id_key, ragged, text_chunks, text_of, word_ids
 from workfold.plans.pin import pin
 
 BLOCK = 4096
@@ -145,40 +146,45 @@ def decode(words: np.ndarray, escapes: np.ndarray, n: int, block_words: np.ndarr
     return out
 
 
-RUN_SCHEMA = ("shard int, run long, doc_ids array<bigint>, doc_lengths array<bigint>, n_ids long, "
+RUN_SCHEMA = ("shard int, run long, before long, doc_ids array<bigint>, doc_lengths array<bigint>, n_ids long, "
               "block_words array<int>, block_escapes array<int>, words binary, escapes binary")
-RUN_ARROW = pa.schema([("shard", pa.int32()), ("run", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())),
+RUN_ARROW = pa.schema([("shard", pa.int32()), ("run", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())),
                        ("n_ids", pa.int64()), ("block_words", pa.list_(pa.int32())), ("block_escapes", pa.list_(pa.int32())),
                        ("words", pa.binary()), ("escapes", pa.binary())])
 
 
-def _run(shard: int, run: int, docs: list[int], lengths: list[np.ndarray], ids: list[np.ndarray]) -> dict:
-    words, escapes, at, at_escapes = encode(np.concatenate(ids))
-    return {"shard": shard, "run": run, "doc_ids": docs, "doc_lengths": np.concatenate(lengths).tolist(),
-            "n_ids": int(sum(map(len, ids))), "block_words": at.tolist(), "block_escapes": at_escapes.tolist(),
-            "words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u8").tobytes()}
+def _run(shard: int, run: int, before: int, docs: list[int], lengths: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    values = np.concatenate(ids)
+    words, escapes, at, at_escapes = encode(values)
+    row = {"shard": shard, "run": run, "before": before, "doc_ids": docs, "doc_lengths": np.concatenate(lengths), "n_ids": len(values),
+           "block_words": at, "block_escapes": at_escapes, "words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u8").tobytes()}
+    return pa.RecordBatch.from_pylist([row], RUN_ARROW)
 
 
 def _encoder(vocabulary: str, end_id: int):
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        shard, run = TaskContext.get().partitionId(), 0
-        words, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
+
+        shard, run, before = TaskContext.get().partitionId(), 0, 0
+        words = word_ids(vocabulary)
         docs: list[int] = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            keys, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
+            keys, texts = batch["id"].to_pylist(), batch["text"]
             for a, b in text_chunks(texts):
-                raw = words.encode(texts[a:b])
+                flat, counts = words.encode(texts[a:b])
+                whole = np.full(int(counts.sum()) + b - a, end_id, np.uint32)
+                whole[ragged(np.cumsum(counts) - counts + np.arange(b - a), counts)] = np.frombuffer(flat, "<u4")
                 docs += keys[a:b]
-                lengths.append(np.fromiter(map(len, raw), np.int64, b - a) // 4 + 1)
-                ids.append(np.frombuffer(end.join(raw) + end, "<u4"))
+                lengths.append(counts + 1)
+                ids.append(whole)
                 if sum(map(len, ids)) >= RUN_IDS:
-                    yield pa.RecordBatch.from_pylist([_run(shard, run, docs, lengths, ids)], RUN_ARROW)
+                    yield _run(shard, run, before, docs, lengths, ids)
+                    before += sum(map(len, ids))
                     docs, lengths, ids, run = [], [], [], run + 1
         if docs:
-            yield pa.RecordBatch.from_pylist([_run(shard, run, docs, lengths, ids)], RUN_ARROW)
+            yield _run(shard, run, before, docs, lengths, ids)
 
     return encode_part
 
@@ -198,16 +204,14 @@ def read_ids(file: DataFrame) -> DataFrame:
     """Every document of a file: (id, start, n_tokens, ids_crc32, ids), decoded block by block.
 
     ``start`` counts the ids of all documents before it: sums per shard are few rows, carried forward
-    over the shards; inside a shard over its runs, inside a run over its documents.
+    over the shards; the place inside a shard stands in the file.
     """
     per_shard = file.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = per_shard.select("shard", before.alias("before_shard"))
-    lengths = file.select("shard", "run", "n_ids")
-    inside = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = lengths.select("shard", "run", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before_run")).join(shards, "shard")
-    starts = runs.select("shard", "run", (F.col("before_run") + F.col("before_shard")).alias("base"))
-    return file.join(starts, ["shard", "run"]).mapInArrow(_decode_part, "id long, start long, n_tokens long, ids_crc32 long, ids binary").select(
+    # One row per shard, so as many as the writing job had tasks: small whatever the documents hold.
+    shards = F.broadcast(per_shard.select("shard", before.alias("before_shard")))
+    based = file.join(shards, "shard").withColumn("base", F.col("before_shard") + F.col("before"))
+    return based.mapInArrow(_decode_part, "id long, start long, n_tokens long, ids_crc32 long, ids binary").select(
         id_back(F.col("id")).alias("id"), "start", "n_tokens", "ids_crc32", "ids")
 
 
