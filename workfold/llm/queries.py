@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workfold.llm import chat, packing, simple8b
+from workfold.llm import caps, chat, jaccard, packing, simple8b
 from workfold.llm.common import read_table, vocabulary_path
 
 
@@ -50,5 +50,28 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_power_of_two(read_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2, most=4096).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two)}
-ORACLES = {"op1_chat_format": OP1_SQL}
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, links and groups of all documents at a Jaccard similarity of 0.8 of word 5-grams."""
+    return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents")).drop("mark")
+
+
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of one label at a cosine of 0.98."""
+    return caps.cap_components(read_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT c.x AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN l ON c.x = l.x
+"""
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op7_jaccard_forest, op10_cap_filters)}
+ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL}
