@@ -1,5 +1,7 @@
 """Cap filters against brute force."""
 
+from statistics import NormalDist
+
 import numpy as np
 
 from tests.llm.test_copies import union
@@ -45,16 +47,15 @@ def test_links_and_components_equal_brute_force(spark):
 
 
 def test_list_decoding_finds_every_filter():
-    p = caps.Caps(directions=6, listed=20)
+    p = caps.Caps(directions=30, listed=20, least=12)
     x = np.random.RandomState(1).standard_normal((50, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code = caps.product_code(16, 6, p.seed)
-    every = np.array([code[0][a] + code[1][b] + code[2][c] + code[3][d] for a in range(6) for b in range(6) for c in range(6) for d in range(6)])
+    code = caps.product_code(16, 30, p.seed)
+    every = (code[0][:, None, :] + code[1][None, :, :]).reshape(900, 16)
     assert np.allclose(np.linalg.norm(every, axis=1), 1)
-    from statistics import NormalDist
-    limit = NormalDist().inv_cdf(1 - p.listed / 6 ** 4) / 4
     inner = x @ every.T
-    want = {(int(r), int(f)) for r, f in zip(*np.nonzero(inner >= np.minimum(limit, inner.max(1))[:, None] - 1e-12))}
+    limit = np.minimum(NormalDist().inv_cdf(1 - p.listed / 900) / 4, np.sort(inner, axis=1)[:, -12])
+    want = {(int(r), int(f)) for r, f in zip(*np.nonzero(inner >= limit[:, None] - 1e-12))}
     rows, filters = caps.list_decode(x, p)
     assert set(zip(rows.tolist(), filters.tolist())) == want
 
@@ -73,4 +74,4 @@ def test_recall_near_the_threshold():
     met = np.zeros(3000, bool)
     for r, f in zip(*caps.list_decode(y, caps.Caps())):
         met[r] |= f in held[r]
-    assert met.mean() >= 0.98
+    assert met.mean() >= 0.995

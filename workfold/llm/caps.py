@@ -1,9 +1,10 @@
 """Embedding near-duplicates by spherical-cap filters from structured random product codes.
 
 A filter is a direction: the concatenation of one codeword for each block of the rotated space. A vector
-belongs to all filters whose inner product with it exceeds a threshold, which list decoding finds without
-trying them: sums over the first half of the blocks that no second half can lift over the threshold are
-dropped, the others are paired. Vectors that share a filter meet; a short code of each decides, within its
+belongs to all filters whose inner product with it reaches a threshold, which list decoding finds without
+trying them: codewords of the first block that no codeword of the second can lift over the threshold are
+dropped, the others are paired. The threshold is that of random vectors, lowered for a vector that would
+lie in too few filters (its own list is then as long as asked for). Vectors that share a filter meet; a short code of each decides, within its
 known error, whether the pair may reach the wanted cosine; groups that hang together that way are then
 compared exactly in double precision, in blocks.
 
@@ -32,20 +33,22 @@ from workfold.plans.pin import pin
 
 @dataclass(frozen=True)
 class Caps:
-    """``listed`` filters are expected per vector; there are directions ** 4 of them."""
+    """``listed`` filters are expected per random vector, ``least`` is the shortest list of any; there are
+    directions ** 2 filters, which should grow with the number of vectors."""
 
     cosine: float = 0.98
-    directions: int = 32
-    listed: float = 24.0
+    directions: int = 512
+    listed: float = 16.0
+    least: int = 24
     seed: int = 17
 
 
-BLOCKS = 4
+BLOCKS = 2
 
 
 @cache
 def product_code(dim: int, directions: int, seed: int) -> np.ndarray:
-    """Codewords as (block, direction, dim) in the unrotated space; four chosen ones add up to a unit vector."""
+    """Codewords as (block, direction, dim) in the unrotated space; one of each block add up to a unit vector."""
     random = np.random.RandomState(seed + dim)
     rotation, _ = np.linalg.qr(random.standard_normal((dim, dim)))
     out = np.zeros((BLOCKS, directions, dim))
@@ -58,22 +61,22 @@ def product_code(dim: int, directions: int, seed: int) -> np.ndarray:
 
 
 def list_decode(unit: np.ndarray, p: Caps) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter a unit vector lies in; each row's best filter is always among them."""
+    """(row, filter) of every filter a unit vector lies in."""
     dim, m = unit.shape[1], p.directions
     code = product_code(dim, m, p.seed)
     limit = NormalDist().inv_cdf(1 - min(0.5, p.listed / m ** BLOCKS)) / np.sqrt(dim)
+    least = min(p.least, m)
     rows, filters = [], []
     for low in range(0, len(unit), 256):
-        x = unit[low:low + 256]
-        parts = [x @ code[b].T for b in range(BLOCKS)]
-        first = (parts[0][:, :, None] + parts[1][:, None, :]).reshape(len(x), m * m)
-        second = (parts[2][:, :, None] + parts[3][:, None, :]).reshape(len(x), m * m)
-        best = second.max(1)
-        own_limit = np.minimum(limit, first.max(1) + best)
-        r, a = np.nonzero(first + best[:, None] >= own_limit[:, None])
-        k, b = np.nonzero(second[r] + first[r, a][:, None] >= own_limit[r][:, None])
+        first, second = (unit[low:low + 256] @ code[b].T for b in range(BLOCKS))
+        # The best sums of any pair are among the best of either block.
+        tops = [-np.partition(-v, least - 1, axis=1)[:, :least] for v in (first, second)]
+        sums = (tops[0][:, :, None] + tops[1][:, None, :]).reshape(len(first), -1)
+        own = np.minimum(limit, -np.partition(-sums, least - 1, axis=1)[:, least - 1])
+        r, a = np.nonzero(first + second.max(1)[:, None] >= own[:, None])
+        k, b = np.nonzero(second[r] + first[r, a][:, None] >= own[r][:, None])
         rows.append(r[k] + low)
-        filters.append(a[k] * (m * m) + b)
+        filters.append(a[k] * m + b)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(filters)
