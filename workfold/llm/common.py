@@ -92,7 +92,7 @@ class WordIds:
     at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,7 +169,7 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-def text_chunks(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together (one text at least)."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start, done = 0, 0

@@ -33,7 +33,7 @@ from workfold.llm.common import id_back, id_key, ragged, text_chunks, text_of, w
 from workfold.plans.pin import pin
 
 BLOCK = 4096
-RUN_IDS = 1 << 20
+RUN_IDS = 1 << 19
 # Fixed values of the coding: how many values a selector packs, and the bits of each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.uint64)
