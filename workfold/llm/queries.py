@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workfold.llm import caps, chat, jaccard, packing, simple8b
+from workfold.llm import caps, chat, jaccard, packing, pii, simple8b, toxicity
 from workfold.llm.common import read_table, vocabulary_path
 
 
@@ -50,6 +50,16 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_power_of_two(read_table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2, most=4096).drop("ids")
 
 
+def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find_personal(read_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learned from the labels that are not held out."""
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, links and groups of all documents at a Jaccard similarity of 0.8 of word 5-grams."""
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents")).drop("mark")
@@ -73,5 +83,5 @@ l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
 SELECT c.x AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN l ON c.x = l.x
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op7_jaccard_forest, op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op6_toxicity, op7_jaccard_forest, op10_cap_filters)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL}
