@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workfold.llm import caps, chat, jaccard, packing, pii, simple8b, toxicity
+from workfold.llm import caps, chat, jaccard, packing, pii, secrets, simple8b, toxicity
 from workfold.llm.common import read_table, vocabulary_path
 
 
@@ -65,6 +65,11 @@ def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op9_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors of one label at a cosine of 0.98."""
     return caps.cap_components(read_table(spark, sf_dir, "embeddings"))
@@ -83,5 +88,5 @@ l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
 SELECT c.x AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN l ON c.x = l.x
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op6_toxicity, op7_jaccard_forest, op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op6_toxicity, op7_jaccard_forest, op9_secret_field, op10_cap_filters)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL}

@@ -46,7 +46,11 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_TABLE)
-    return _SIGN.sub(lambda m: m[0].translate(_SIGN_TABLE), text)
+    for _ in range(2):  # a sign may stand for a letter only beside one that stood for a letter
+        text, n = _SIGN.subn(lambda m: m[0].translate(_SIGN_TABLE), text)
+        if not n:
+            break
+    return text
 
 
 @dataclass(frozen=True)
