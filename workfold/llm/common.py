@@ -84,20 +84,60 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) ->
         yield held_key, pa.concat_tables(held)
 
 
-class WordIds:
+class WordTable:
+    """Texts as arrays of numbers: each word between blanks stands for some numbers, in a fixed width.
+
+    Words seen before come from a table that stops growing at ``most`` words.
+    """
+
+    width = "<u4"
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
+        raise NotImplementedError
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+        """All numbers one after the other, little-endian, and how many each text has.
+
+        Words are numbered by Arrow's dictionary encoding, so Python sees every word of a batch once.
+        """
+        for blank in ("\n", "\t", "\r"):
+            texts = pc.replace_substring(texts, blank, " ")
+        parts = pc.split_pattern(texts, " ")
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.known.get, distinct))
+        if None in own:
+            missing = [w for w, got in zip(distinct, own) if got is None]
+            table = {} if len(self.known) >= self.most else self.known  # a full table keeps its words
+            self._learn(missing, table)
+            own = [table[w] if got is None else got for w, got in zip(distinct, own)]
+        numbers = pa.array(own, pa.binary()).take(words.indices)
+        ends = np.frombuffer(numbers.buffers()[1], np.int32, len(numbers) + 1, numbers.offset * 4)
+        per_text = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]) // np.dtype(self.width).itemsize
+        flat = numbers.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if len(numbers) else pa.py_buffer(b"")
+        return flat, per_text.astype(np.int64)
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = self.encode(texts)
+        return np.frombuffer(flat, self.width), counts
+
+
+class WordIds(WordTable):
     """Token ids of whole texts by the tokenizers library, one call per distinct word.
 
     The vocabulary's splitter never joins characters across a blank or a line break, so the ids
-    of a text are those of its words in order. Words seen before come from a table that stops growing
-    at ``most`` words.
+    of a text are those of its words in order.
     """
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
+        super().__init__(most)
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -137,27 +177,6 @@ class WordIds:
             if word not in table:
                 table[word] = (table.get(stem) or self.known.get(stem) or b"") + (table.get(mark) or self.known.get(mark) or b"")
 
-    def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
-        """All ids one after the other (little-endian unsigned 32-bit), and how many each text has.
-
-        Words are numbered by Arrow's dictionary encoding, so Python sees every word of a batch once.
-        """
-        for blank in ("\n", "\t", "\r"):
-            texts = pc.replace_substring(texts, blank, " ")
-        parts = pc.split_pattern(texts, " ")
-        words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        own = list(map(self.known.get, distinct))
-        if None in own:
-            missing = [w for w, got in zip(distinct, own) if got is None]
-            table = {} if len(self.known) >= self.most else self.known  # a full table keeps its words
-            self._learn(missing, table)
-            own = [table[w] if got is None else got for w, got in zip(distinct, own)]
-        ids = pa.array(own, pa.binary()).take(words.indices)
-        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
-        per_text = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]) // 4
-        return ids.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if len(ids) else pa.py_buffer(b""), per_text.astype(np.int64)
-
 
 _WORD_IDS: dict[str, WordIds] = {}
 

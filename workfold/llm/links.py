@@ -32,32 +32,35 @@ def discard(spark, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are separate stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b): root is the least id reachable.
 
-    Alternating large and small stars: each round joins the edges with the least neighbour of their
-    nodes, so a hub is only ever aggregated or joined, not gathered. A round is written to the shared
-    folder; the driver sees two sums per round.
+    Alternating large and small stars: the edges of every node are moved to its least neighbour. A hub's
+    neighbours are aggregated and joined, not gathered; where edges are dealt by their upper end no hub
+    exists, since moved edges hang below the least node. A round is written to the shared folder; the
+    driver learns whether separate stars are left, which ends the rounds.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    print_of = None
-    while True:
+    while not _is_done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.repartition("u").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(below, "u").select(F.inline(F.array(
+        small = large.join(below, "u").select(F.inline(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-            .where("u <> v").distinct())
-        after, new_path = written(small, "stars")
-        found = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        after, new_path = written(small.where("u <> v").distinct(), "stars")
         discard(spark, path)
         now, path = after, new_path
-        if print_of == (found.n, found.s):
-            roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
-        print_of = (found.n, found.s)
+    roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:

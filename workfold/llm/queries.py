@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workfold.llm import caps, chat, jaccard, packing, pii, secrets, simple8b, toxicity
+from workfold.llm import caps, chat, decontaminate, jaccard, packing, pii, repeats, secrets, simple8b, toxicity
 from workfold.llm.common import read_table, vocabulary_path
 
 
@@ -55,6 +55,11 @@ def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 100 bytes that stand earlier."""
+    return repeats.repeated_bytes(read_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of all documents, learned from the labels that are not held out."""
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -65,6 +70,11 @@ def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the place."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -88,5 +98,5 @@ l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
 SELECT c.x AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN l ON c.x = l.x
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op6_toxicity, op7_jaccard_forest, op9_secret_field, op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op5_suffix_family, op6_toxicity, op7_jaccard_forest, op8_decontaminate, op9_secret_field, op10_cap_filters)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL}
