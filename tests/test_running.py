@@ -1,6 +1,7 @@
 """Running columns in cells against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,11 +61,29 @@ def test_hot_tie_is_split_by_the_next_column(spark, small_cells):
     assert cells < 200
 
 
-def test_cells_hold_a_hot_group_only(spark, small_cells):
+def test_groups_that_cross_no_border_have_no_offset(spark, small_cells):
     df = spark.createDataFrame([("hot" if i % 2 else f"g{i}", i) for i in range(1000)], "g string, i int")
-    cells = R._layout(df, ["g"], ["i"])
-    assert cells.where("g <> 'hot'").select(R.CELL).distinct().count() == 1
-    assert cells.where("g = 'hot'").select(R.CELL).distinct().count() > 5
+    layout = R._layout(df, ["g"], ["i"])
+    offsets = R._offsets(layout, ["g"], {"n": ("sum", F.lit(1).cast("long"), R.UPTO)})
+    cells = layout.select(R.CELL).distinct().count()
+    assert cells > 20 and offsets.count() <= 2 * cells
+    assert offsets.where("_g_g = 'hot'").count() > 5
+
+
+def shape(df):
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert "SinglePartition" not in plan
+    return [w for w in re.findall(r"\b(Window|Sort|SortMergeJoin|BroadcastHashJoin|HashAggregate|Exchange|BroadcastExchange|FileScan)\b", plan)]
+
+
+def test_one_plan_for_every_size(spark):
+    spark.conf.set("workfold.rowsPerCell", "500000")
+    try:
+        small, large = (R.ordinal(spark.range(n).select((F.col("id") * 7919 % n).alias("k")), [], ["k"], "n", total="all") for n in (1000, 10_000_000))
+        assert shape(small) == shape(large)
+        assert large.where("n <> k + 1 or all <> 10000000").count() == 0
+    finally:
+        spark.conf.set("workfold.rowsPerCell", "1500")
 
 
 def test_null_groups_and_no_rows(spark, small_cells):

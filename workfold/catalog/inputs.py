@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workfold import model as M
@@ -42,7 +42,8 @@ class Inputs:
             _days("l_shipdate").alias("day"),
         )
         order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        numbered = ordinal(lines, ["handle"], order, "attempt", total="n_attempts")
+        of_order = Window.partitionBy("handle")  # an order has a handful of lines
+        numbered = lines.withColumns({"attempt": F.row_number().over(of_order.orderBy(*order)), "n_attempts": F.count("*").over(of_order)})
         return numbered.withColumns({"attempt": F.col("attempt").cast("int"), "n_attempts": F.col("n_attempts").cast("int")})
 
     @cached_property

@@ -180,7 +180,6 @@ def suggestion_history(lifecycle: DataFrame, min_samples: int = 5, headroom_pct:
     rows = rows.withColumn("own_peak", F.when(F.col("method") == F.col("own"), F.col("peak")))
     rows = rows.where(F.col("own_peak").isNotNull() | F.col("was_hit")).select(
         "task", *POINT, "mem_bytes", "own_peak", "was_hit")
-    rows = pin(rows, "evidence")
     one, hit = F.lit(1).cast("long"), F.col("was_hit").cast("long")
     hit_mem = F.when(F.col("was_hit"), F.col("mem_bytes"))
     aggs = {}

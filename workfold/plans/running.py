@@ -1,23 +1,23 @@
 """Running sums, maxima and ordinals that no single task has to sort alone.
 
-A plain window puts a whole group into one task. Here a group with more rows than one task
-should hold is cut into cells by key range: the cells are summed (partial aggregation, a few
-rows per cell), the sums are carried forward over the cells, and the window only runs inside
-each cell. Groups that fit stay one cell, so ordinary data pays nothing but a row count.
-The cuts come from a sample and only steer the layout; they never change a result.
+A plain window puts a whole group into one task. Here the rows are range-partitioned by group and order
+and written once, which fixes the layout; a partition is a cell. The cells are summed, the sums of the
+groups that go on over a border are carried forward (at most two groups a cell), and the window runs
+inside each cell. The plan is the same for every size and has no greatest number of cells: where a cell
+of the session's shuffle partitions turns out too large, the written rows are laid out once more in as
+many cells as it takes. The cuts come from Spark's range sampling and only steer the layout.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from workfold.plans.pin import pin
 from workfold.session import rows_per_cell
 
-MAX_CELLS = 4096
-SAMPLE_PER_CELL = 64
 CELL = "_cell"
+EVERY = "_every"  # the one group of rows that have none, kept in the written rows
 
 UPTO = "upto"      # the row itself included
 BEFORE = "before"  # rows strictly before
@@ -29,36 +29,45 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
 
     ``order`` holds ascending columns without NULLs that leave no ties inside a group
     (negate a number for descending). ``sum`` over nothing is 0, ``max``/``min`` NULL.
-    ``rows`` saves the count where the caller knows it. Pin an input that is costly to compute.
+    ``rows`` saves a second layout where the caller knows how many there are. The input is
+    written when the plan is built.
     """
+    keys = group or [EVERY]
     layout = _layout(df, group, order, rows)
-    if layout is None:
-        keys = [F.col(g) for g in group] or [F.lit(0)]
-        return _local(df, keys, order, aggs)
-    df = layout
-    cells = [*group, CELL]
-    partial = df.groupBy(*cells).agg(
-        *[_agg(op)(value).alias(f"_c_{out}") for out, (op, value, _) in aggs.items()]
-    )
-    by_group = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
-    carried = by_group.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = partial.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col(CELL).alias("_g_cell"),
-        *[_agg(op)(f"_c_{out}").over(by_group if frame == ALL else carried).alias(f"_o_{out}")
-          for out, (op, _, frame) in aggs.items()],
-    )
-    inner = _local(df, [F.col(c) for c in cells], order, aggs)
+    inner = _local(layout, [F.col(CELL), *[F.col(k) for k in keys]], order, aggs)
+    offsets = _offsets(layout, keys, aggs)
     same = F.col(CELL) == F.col("_g_cell")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    joined = inner.join(offsets, same, "left")
-    kept = [c for c in df.columns if c not in aggs and c != CELL]
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    # Broadcast: a row for each cell a crossing group is in, so at most two a cell.
+    joined = inner.join(F.broadcast(offsets), same, "left")
     return joined.select(
-        *[F.col(c) for c in kept],
-        *[_merge(op, frame, F.col(out), F.col(f"_o_{out}")).alias(out) for out, (op, _, frame) in aggs.items()],
+        *[F.col(c) for c in df.columns if c not in aggs],
+        *[_merge(op, frame, F.col(out), F.col(f"_o_{out}"), F.col("_g_cell").isNotNull()).alias(out) for out, (op, _, frame) in aggs.items()],
     )
 
 
+def _offsets(layout: DataFrame, keys: list[str], aggs: dict[str, tuple]) -> DataFrame:
+    """What the other cells add, for the groups that cross a border: those that end one cell and begin a later one."""
+    ends = layout.groupBy(CELL).agg(F.max(F.struct(*keys)).alias("_end"), F.min(F.struct(*keys)).alias("_begin"))
+    begins = F.broadcast(ends.select("_begin"))  # one row a cell
+    border = ends.select("_end").join(begins, F.col("_end").eqNullSafe(F.col("_begin")), "left_semi").distinct()
+    border = border.select(*[F.col(f"_end.{k}").alias(f"_g_{k}") for k in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    crossing = layout.join(F.broadcast(border), match)  # at most one group a cell
+    groups = [f"_g_{k}" for k in keys]
+    partial = crossing.groupBy(*groups, F.col(CELL).alias("_g_cell")).agg(
+        *[_agg(op)(value).alias(f"_c_{out}") for out, (op, value, _) in aggs.items()])
+    by_group = Window.partitionBy(*groups)
+    carried = by_group.orderBy("_g_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return partial.select(
+        *groups, "_g_cell",
+        *[_agg(op)(f"_c_{out}").over(by_group if frame == ALL else carried).alias(f"_o_{out}")
+          for out, (op, _, frame) in aggs.items()])
+
+
 def ordinal(df: DataFrame, group: list[str], order: list[str], out: str, total: str | None = None,
             rows: int | None = None) -> DataFrame:
     """1, 2, 3 .. within each group, and optionally the group's size."""
@@ -77,9 +86,10 @@ def _zero(op: str, c: Column) -> Column:
     return F.coalesce(c, F.lit(0)) if op == "sum" else c
 
 
-def _merge(op: str, frame: str, here: Column, offset: Column) -> Column:
+def _merge(op: str, frame: str, here: Column, offset: Column, crossing: Column) -> Column:
+    """The value inside the cell and what other cells add; a group that crosses no border has no offset."""
     if frame == ALL:
-        return _zero(op, offset)
+        return _zero(op, F.when(crossing, offset).otherwise(here))
     if op == "sum":
         return here + F.coalesce(offset, F.lit(0))
     return (F.greatest if op == "max" else F.least)(here, offset)
@@ -99,55 +109,19 @@ def _local(df: DataFrame, keys: list[Column], order: list[str], aggs: dict[str,
     )
 
 
-def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None = None) -> DataFrame | None:
-    """The input with a cell number, or None when every group fits one task."""
+def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """The rows written in cells: ranges of group and order, numbered in that order."""
     per_cell = rows_per_cell(df.sparkSession)
-    keys = df.select(*group, *order)
-    rows = keys.count() if rows is None else rows
-    if rows <= per_cell:
-        return None
-    cells = min(MAX_CELLS, -(-rows // per_cell))
-    size = cells * SAMPLE_PER_CELL  # bounded: at most MAX_CELLS * SAMPLE_PER_CELL keys reach the driver
-    sample = keys.sample(fraction=min(1.0, size / rows), seed=7).collect()
-    n_group = len(group)
-    seen: dict[tuple, int] = {}
-    for row in sample:
-        seen[tuple(row[:n_group])] = seen.get(tuple(row[:n_group]), 0) + 1
-    hot = {g for g, n in seen.items() if n >= SAMPLE_PER_CELL // 2}
-    if not hot:
-        return None
-    picked = sorted(tuple(row[n_group:]) for row in sample if tuple(row[:n_group]) in hot)
-    cuts = sorted({picked[i * len(picked) // cells] for i in range(1, cells)})
-    types = [keys.schema[c].dataType for c in order]
-    if not cuts:
-        return None
-    cell = _cell_of([F.col(c) for c in order], cuts, types)
-    if not group:
-        return df.withColumn(CELL, cell)
-    schema = T.StructType([T.StructField(f"_h{i}", keys.schema[g].dataType) for i, g in enumerate(group)])
-    # Size proven: a hot group holds at least half a cell's share of the sample.
-    table = F.broadcast(df.sparkSession.createDataFrame(sorted(hot, key=repr), schema).withColumn("_hot", F.lit(True)))
-    match = F.lit(True)
-    for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"_h{i}"))
-    marked = df.join(table, match, "left")
-    return marked.select(*df.columns, F.when(F.col("_hot"), cell).otherwise(F.lit(0)).alias(CELL))
-
-
-def _cell_of(order: list[Column], cuts: list[tuple], types: list[T.DataType]) -> Column:
-    """How many cuts lie at or below the row's key: a binary search over a literal array."""
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    table = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, types))]) for cut in cuts
-    ])
-    steps, step = [], 1
-    while step <= len(cuts):
-        steps.append(step)
-        step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda at, hop: at + F.when(
-            (at + hop <= len(cuts)) & (F.get(table, at + hop - 1) <= key), hop
-        ).otherwise(F.lit(0)),
-    )
+    keyed = df if group else df.withColumn(EVERY, F.lit(0))
+    keys = [*(group or [EVERY]), *order]
+
+    def cut(source: DataFrame, *count: int) -> DataFrame:
+        return pin(source.repartitionByRange(*count, *keys).withColumn(CELL, F.spark_partition_id()), "cells")
+
+    if rows is not None and rows > per_cell:
+        return cut(keyed, -(-rows // per_cell))
+    layout = cut(keyed)
+    size = layout.groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if (size.most or 0) > 2 * per_cell:
+        layout = cut(layout.drop(CELL), -(-size.rows // per_cell))
+    return layout
