@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.logs import by, event, lifecycle, measure
 from workfold import model as M
+from workfold.functions import exprs as E
 from workfold.operators import aggregates as A
 from workfold.operators import joins as J
 from workfold.operators import journal as Q
@@ -16,6 +17,7 @@ from workfold.operators import policy as Y
 from workfold.operators import series as S
 from workfold.operators import validation as V
 from workfold.plans.attempts import attempt_pivot, with_cycle
+from workfold.sources.lifecycle import known_events
 
 TASK = "TASK"
 
@@ -195,18 +197,18 @@ def test_measures_saturate_and_refuse(spark):
         event("FINISHED", 2, 5, 1, measures=[measure("n", 7, "COUNT", "TOTAL", "x")]),
         event("FINISHED", 3, 4, 1, measures=[measure("n", 3, "BYTES", "TOTAL", "x"), measure("y" * 64, 1)])])
     rows = P.measure_rows(log)
-    row = by(P.measure_fold(rows), "task")["t"]
+    row = by(P.measure_fold(rows, name_bytes=M.NAME_MAX), "task")["t"]
     assert row["sum"] == M.U64_MAX and row["count"] == 2 and row["last"] == 7 and row["min"] == 7
-    drops = by(P.measure_drops(rows), "task")
+    drops = by(P.measure_drops(rows, name_bytes=M.NAME_MAX), "task")
     assert drops["t"]["dropped_unit"] == 1 and drops["t"]["dropped_name"] == 1 and drops["(total)"]["dropped_unit"] == 1
 
 
 def test_measure_rows_cap(spark):
     log = lifecycle(spark, [event("FINISHED", i, i, 1, task=f"t{i % 2}", measures=[measure(f"m{i:02d}", i)]) for i in range(40)])
     rows = P.measure_rows(log)
-    drops = by(P.measure_drops(rows), "task")
+    drops = by(P.measure_drops(rows, max_rows=M.MEASURE_ROWS), "task")
     assert drops["(total)"]["dropped_full"] == 8 and drops["t0"]["dropped_full"] == 0
-    assert P.measure_fold(rows, max_rows=None).where("task = '(total)'").count() == 40
+    assert P.measure_fold(rows).where("task = '(total)'").count() == 40
 
 
 JCOLS = "file string, pos long, type string, seq long, name string, payload binary, k long, opts struct<priority:int,timeout_ms:long,due_ms:long,flags:int>"
@@ -296,8 +298,9 @@ def test_gate_outcome(spark):
     released = spark.createDataFrame([(g, "open", 1) for g in range(1, 6)] + [(9, "pending", None)], "gate long, state string, release_ms long")
     screened = spark.createDataFrame([(1, "OK", 1), (2, "NOTFOUND", 3), (3, "FULL", 16), (4, "BUDGET", 1), (5, "NOMEM", 15), (9, "OK", 1)],
                                      "gate long, verdict string, tries int")
-    got = by(J.gate_outcome(released, screened), "gate")
+    got = by(J.gate_outcome(released, screened, max_tries=16), "gate")
     assert {g: r["result"] for g, r in got.items()} == {1: "submitted", 2: "retry", 3: "stalled", 4: "stalled", 5: "retry"}
+    assert by(J.gate_outcome(released, screened), "gate")[3]["result"] == "retry"
 
 
 def test_g9_ledger(spark):
@@ -433,7 +436,7 @@ def test_suggestions_match_brute_force(spark):
     known = sorted({"".join(rnd.choice("ab.c") for _ in range(rnd.randrange(1, 26))) for _ in range(60)})
     wanted = sorted({"".join(rnd.choice("ab.c") for _ in range(rnd.randrange(1, 26))) for _ in range(80)})
     got = by(J.suggest_keys(spark.createDataFrame([(k,) for k in wanted], "key string"),
-                            spark.createDataFrame([(k, n) for n, k in enumerate(known)], "key string, nth int"), max_len=64), "key")
+                            spark.createDataFrame([(k, n) for n, k in enumerate(known)], "key string, nth int")), "key")
     want = {}
     for key in wanted:
         best = min((edits(key, k), n, k) for n, k in enumerate(known))
@@ -464,3 +467,55 @@ def test_u64_helpers(spark):
     row = df.select(E.plus_pct("x", 25).alias("a"), E.round_mib("x").alias("b"), E.shard_of("k", 10).alias("s"),
                     E.due(F.lit(0), F.lit(0)).alias("d"), E.due(F.lit(2**63 - 1), F.lit(5)).alias("e")).first()
     assert (row.a, row.b, row.s, row.d, row.e) == (M.U64_MAX, M.U64_MAX, M.U64_MAX % 10, 1, 2**63 - 1)
+
+
+def requeued_log(spark):
+    events = [("QUEUED", 0, 0, "OK"), ("STARTED", 1, 10, "OK"), ("FAILED", 1, 20, "TASK"), ("RETRIED", 2, 25, "OK"), ("STARTED", 2, 30, "OK"),
+              ("FAILED", 2, 40, "TASK"), ("STARTED", 1, 55, "OK")]
+    rows = [(k, 7, "t", a, ts, s, i) for i, (k, a, ts, s) in enumerate(events)] + [("QUEUED", 8, "t", 0, 5, "OK", 50), ("STARTED", 8, "t", 1, 9, "OK", 51), ("FINISHED", 8, "t", 1, 12, "OK", 52)]
+    return known_events(spark.createDataFrame(rows, "kind string, handle long, task string, attempt int, ts_ms long, status string, arrival long"))
+
+
+def test_requeues_count_without_being_asked_for(spark):
+    log = requeued_log(spark)
+    assert by(A.gauges(log), "task")["t"]["in_flight"] == 1
+    waits = by(A.wait_latency(log), "task")["t"]
+    assert (waits["wait_samples"], waits["wait_ms_sum"]) == (4, 10 + 5 + 30 + 4)
+    runs = by(A.run_latency(log), "task")["t"]
+    assert (runs["run_samples"], runs["run_ms_sum"]) == (3, 10 + 10 + 3)
+    stats = by(A.statistics(log), "task")["t"]
+    assert (stats["in_flight"], stats["wait_samples"], stats["run_samples"], stats["started"]) == (1, 4, 3, 4)
+    last = S.inflight_series(log).where("task = 't'").orderBy(F.desc("ts_ms")).first()
+    assert (last.pending, last.in_flight) == (0, 1)
+
+
+def test_nothing_is_cut_unless_asked_for(spark):
+    names = [("t", f"m{i:02d}", "x" * 48 + str(i % 2), "COUNT", "TOTAL", 1, i, i, 0) for i in range(33)]
+    rows = spark.createDataFrame(names, "task string, name string, method string, unit string, kind string, value int, ts_ms long, arrival long, nth int")
+    rows = rows.withColumn("value", F.col("value").cast("decimal(20,0)"))
+    assert P.measure_fold(rows).where("task = 't'").count() == 33
+    assert P.measure_fold(rows, max_rows=32).where("task = 't'").count() == 32
+    assert P.measure_fold(rows.withColumn("name", F.repeat(F.col("name"), F.lit(30)))).where("task = 't'").count() == 33
+    long_line = "y" * 600
+    got = spark.createDataFrame([(long_line + "\n",)], "tail string").select(E.last_line("tail").alias("all"), E.last_line("tail", 512).alias("cut")).first()
+    assert (got["all"], len(got["cut"])) == (long_line, 511)
+    key = "k" * 300
+    near = J.suggest_keys(spark.createDataFrame([(key + "x" * 70,)], "key string"), spark.createDataFrame([(key, 0)], "key string, nth int")).first()
+    assert (near.suggestion, near.distance) == (key, 70)
+
+
+def test_merged_last_is_the_newest_one(spark):
+    schema = "task string, name string, method string, unit string, kind string, count long, sum decimal(20,0), min decimal(20,0), max decimal(20,0), last decimal(20,0), last_ms long, shard int"
+    big = 18446744073709551615
+    rows = [("t", "n", "m", "u", "k", 1, big, big, big, big, 100, 0), ("t", "n", "m", "u", "k", 1, 7, 7, 7, 7, 101, 1), ("t", "n", "m", "u", "k", 1, 5, 5, 5, 5, 101, 2)]
+    from decimal import Decimal
+    df = spark.createDataFrame([tuple(Decimal(v) if i in (6, 7, 8, 9) else v for i, v in enumerate(r)) for r in rows], schema)
+    assert int(P.merge_measures(df.where("shard < 2")).first()["last"]) == 7
+    assert int(P.merge_measures(df, order="shard").first()["last"]) == 5
+
+
+def test_never_fits_by_memory(spark):
+    items = spark.createDataFrame([(1, "a", 10), (2, "a", 99), (3, "b", 1), (4, "c", None)], "handle long, task string, mem_bytes long")
+    costs = spark.createDataFrame([("b", "gpu", 5)], "task string, name string, cost long")
+    budget = spark.createDataFrame([("gpu", 4)], "name string, budget long")
+    assert sorted(r.handle for r in V.never_fits(items, costs, budget, 50).collect()) == [2, 3]

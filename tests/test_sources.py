@@ -57,11 +57,11 @@ def test_map_dead_letter_contains_failures(spark):
         return None if payload is None else payload.upper()
 
     items = spark.createDataFrame([(1, "fine"), (2, "never"), (3, "twice"), (4, None), (5, "slow")], "id long, body string")
-    out = P.map_dead_letter(items, "id", "body", body, max_retries=2, timeout_s=0.1).cache()
+    out = P.map_dead_letter(items, "id", "body", body, max_retries=2, timeout_s=0.1, error_chars=512).cache()
     results = {r.key: (r.attempt, r.result) for r in out.where("kind = 'result'").collect()}
     assert results == {1: (1, "FINE"), 3: (3, "TWICE"), 4: (1, None)}
     dead = by(out.where("kind = 'dead_letter'"), "key")
-    assert sorted(dead) == [2, 5] and dead[2]["payload"] == "never" and len(dead[2]["error"]) == P.TAIL_KEEP
+    assert sorted(dead) == [2, 5] and dead[2]["payload"] == "never" and len(dead[2]["error"]) == 512
     assert dead[5]["status"] == "TIMEOUT"
     tries = {r.key: r["count"] for r in out.where("kind = 'attempt'").groupBy("key").count().collect()}
     assert tries == {1: 1, 2: 3, 3: 3, 4: 1, 5: 3}
@@ -81,3 +81,28 @@ def test_zero_means_unset_where_named(spark):
 def test_session_and_shared_dir(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_a_handle_that_died_twice_gives_two_letters(spark):
+    events = [("FAILED", 1, 10, "first"), ("DEAD_LETTERED", 1, 11, None), ("FAILED", 1, 30, "again"), ("FAILED", 1, 31, "second"), ("DEAD_LETTERED", 1, 32, None)]
+    log = L.known_events(spark.createDataFrame([(k, 5, "t", a, ts, "TASK", tail, i) for i, (k, a, ts, tail) in enumerate(events)],
+                                               "kind string, handle long, task string, attempt int, ts_ms long, status string, stderr_tail string, arrival long"))
+    items = spark.createDataFrame([(5, 3, 40, "body")], "handle long, priority int, due_ms long, payload string")
+    got = L.dead_letters(log, items).orderBy("dead_ms").collect()
+    assert [(r.dead_ms, r.stderr_tail, r.priority, r.due_in_ms, r.payload) for r in got] == [(11, "first", 3, 29, "body"), (32, "second", 3, 8, "body")]
+
+
+def test_map_dead_letter_contains_an_exit_and_keeps_types(spark, tmp_path):
+    def body(value, attempt, settings):
+        with open(tmp_path / "calls", "a") as f:
+            f.write("x")
+        if value == b"exit":
+            raise SystemExit(3)
+        return f"{len(value)}/{settings['limit']}"
+
+    items = spark.createDataFrame([("a", bytearray(b"exit"), 1), ("b", bytearray(b"abc"), 2)], "id string, body binary, limit int")
+    results, attempts, letters = P.map_dead_letter_tables(items, "id", "body", body, max_retries=1, settings=["limit"])
+    assert [(r.key, r.result) for r in results.collect()] == [("b", "3/2")]
+    assert sorted((r.key, r.attempt, r.status) for r in attempts.collect()) == [("a", 1, "TASK"), ("a", 2, "TASK"), ("b", 1, "OK")]
+    assert [(r.key, bytes(r.payload), r.error) for r in letters.collect()] == [("a", b"exit", "SystemExit: 3")]
+    assert (tmp_path / "calls").stat().st_size == 3

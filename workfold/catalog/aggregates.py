@@ -93,6 +93,17 @@ def _(fx):
     return A.exact_percentile(fx.lifecycle)
 
 
+# A sketch's value may differ; its rank may not be off by more than the accuracy allows.
+@query("approx_percentile", f"""
+WITH f AS ({FINISH}) SELECT task, pct, TRUE AS near FROM (SELECT DISTINCT task FROM f), (VALUES (50), (95), (99)) p(pct)""", ["fx_lifecycle"])
+def _(fx):
+    found = A.approx_percentile(fx.lifecycle).withColumnRenamed("finish_ms", "value")
+    ranked = A.finish_times(fx.lifecycle).join(found, "task").groupBy("task", "pct").agg(
+        F.count_if(F.col("finish_ms") < F.col("value")).alias("below"), F.count_if(F.col("finish_ms") <= F.col("value")).alias("upto"), F.count("*").alias("n"))
+    rank, slack = F.ceil(F.col("n") * F.col("pct") / 100), F.ceil(F.col("n") / 10000) + 1
+    return ranked.select("task", "pct", ((F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)).alias("near"))
+
+
 SNAP = f"""SELECT task, {COUNTS_ALL} FROM fx_lifecycle GROUP BY task"""
 SNAP_T = f"SELECT task, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot GROUP BY task"
 
@@ -145,7 +156,7 @@ def _(fx):
 WITH r AS (SELECT task, row_number() OVER (ORDER BY ts_ms DESC, arrival DESC) AS rank FROM fx_lifecycle WHERE kind = 'DEAD_LETTERED')
 SELECT task, count(*) FILTER (rank <= 1024) AS retained, count(*) FILTER (rank > 1024) AS evicted FROM r GROUP BY task""", ["fx_lifecycle"])
 def _(fx):
-    return A.dead_letter_counts(fx.lifecycle)
+    return A.dead_letter_counts(fx.lifecycle, cap=1024)
 
 
 @query("cpu_cores_used", """

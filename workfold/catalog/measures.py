@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from workfold import model as M
 from workfold.catalog.registry import longs, query
 from workfold.operators import measures as P
 
@@ -46,7 +47,7 @@ j AS (SELECT v.*, CASE WHEN too_long THEN 'name' WHEN rn > 32 THEN 'full' WHEN u
 WITH {UNRULY} SELECT task, count(*) FILTER (refused = 'name') AS dropped_name, count(*) FILTER (refused = 'unit') AS dropped_unit,
  count(*) FILTER (refused = 'full') AS dropped_full FROM j GROUP BY task""", ["fx_measures"])
 def _(fx):
-    return P.measure_drops(_unruly(fx))
+    return P.measure_drops(_unruly(fx), max_rows=M.MEASURE_ROWS, name_bytes=M.NAME_MAX)
 
 
 @query("measure_combine", f"""
@@ -60,13 +61,13 @@ def _(fx):
 @query("merge_measures", f"""
 WITH s AS (SELECT task, handle % 4 AS shard, name, method, unit, kind, {FOLD.format(k="CAST(ts_ms AS HUGEINT) * 1000000000 + arrival")} FROM fx_measures GROUP BY ALL)
 SELECT task, name, method, unit, kind, CAST(sum(count) AS BIGINT) AS count, CAST(sum(sum) AS BIGINT) AS sum, min(min) AS min, max(max) AS max,
- arg_max(last, CAST(last_ms AS HUGEINT) * 10000000000 + last) AS last, max(last_ms) AS last_ms FROM s GROUP BY ALL""", ["fx_measures"])
+ arg_max(last, last_ms * 10 + shard) AS last, max(last_ms) AS last_ms FROM s GROUP BY task, name, method, unit, kind""", ["fx_measures"])
 def _(fx):
     rows = P.measure_rows(fx.lifecycle)
     tagged = rows.withColumn("task", F.concat_ws("|", (F.col("handle") % 4).cast("string"), "task"))
-    shards = P.measure_fold(tagged, max_rows=None).where(F.col("task") != "(total)")
-    shards = shards.withColumn("task", F.substring_index("task", "|", -1))
-    return longs(P.merge_measures(shards), *NUM)
+    shards = P.measure_fold(tagged).where(F.col("task") != "(total)")
+    shards = shards.withColumns({"task": F.substring_index("task", "|", -1), "shard": F.substring_index("task", "|", 1)})
+    return longs(P.merge_measures(shards, order="shard"), *NUM)
 
 
 @query("peak_memory", """

@@ -20,9 +20,12 @@ def _(fx):
     return V.screen_submissions(fx.items, fx.policies, fx.task_costs, fx.resources).select("handle", "verdict")
 
 
-@query("never_fits", f"WITH {OVER} SELECT handle, task FROM fx_items WHERE task IN (SELECT task FROM over_budget)", ["fx_items", "task_costs", "resources"])
+MEMORY = 200_000_000
+
+
+@query("never_fits", f"WITH {OVER} SELECT handle, task FROM fx_items WHERE mem_bytes > {MEMORY} OR task IN (SELECT task FROM over_budget)", ["fx_items", "task_costs", "resources"])
 def _(fx):
-    return V.never_fits(fx.items, fx.task_costs, fx.resources).select("handle", "task")
+    return V.never_fits(fx.items, fx.task_costs, fx.resources, MEMORY).select("handle", "task")
 
 
 @query("shed_late", f"SELECT handle, due_ms, CASE WHEN {NOW} - due_ms > 86400000 THEN 'DENIED' ELSE 'OK' END AS verdict FROM fx_items", ["fx_items"])
@@ -131,9 +134,9 @@ WITH d AS (SELECT gate, count(*) AS deps, count(*) FILTER (outcome = 'FINISHED')
   FROM fx_gate_deps LEFT JOIN fx_outcomes ON handle = dep GROUP BY gate)
 SELECT g.gate, coalesce(deps, 0) AS deps, coalesce(finished, 0) AS finished,
  CASE WHEN coalesce(bad, 0) > 0 THEN 'dead' WHEN coalesce(deps, 0) = coalesce(finished, 0) THEN 'open' ELSE 'pending' END AS state,
- CASE WHEN coalesce(bad, 0) = 0 AND coalesce(deps, 0) = coalesce(finished, 0) THEN last END AS release_ms FROM fx_gates g LEFT JOIN d ON d.gate = g.gate""", ["fx_gates", "fx_gate_deps", "fx_outcomes"])
+ CASE WHEN coalesce(bad, 0) = 0 AND coalesce(deps, 0) = coalesce(finished, 0) THEN coalesce(last, 1) END AS release_ms FROM fx_gates g LEFT JOIN d ON d.gate = g.gate""", ["fx_gates", "fx_gate_deps", "fx_outcomes"])
 def _(fx):
-    return J.gate_release_success(fx.gates.select("gate"), fx.gate_deps, fx.lifecycle)
+    return J.gate_release_success(fx.gates.select("gate"), fx.gate_deps, fx.lifecycle, now_ms=1)
 
 
 @query("gate_outcome", f"""
@@ -145,7 +148,7 @@ FROM v LEFT JOIN d ON d.gate = v.gate WHERE coalesce(deps, 0) = coalesce(over, 0
 def _(fx):
     released = J.gate_release(fx.gates.select("gate"), fx.gate_deps, fx.lifecycle, now_ms=1)
     screened = V.screen_submissions(fx.gates, fx.policies, fx.task_costs, fx.resources).select("gate", "verdict")
-    return J.gate_outcome(released, screened)
+    return J.gate_outcome(released, screened, max_tries=16)
 
 
 UNUSED = """u AS (SELECT entity, key, value FROM fx_config WHERE key NOT IN (SELECT key FROM settings_schema)
@@ -235,8 +238,8 @@ for _name, _columns in {"fn_terminal": "kind, status, terminal", "fn_class": "ki
 
 
 @query("fn_measure", """
-SELECT p.handle, p.attempt, p.value AS peak, x.value AS exit_code FROM (SELECT * FROM fx_measures WHERE name = 'mem.peak') p
-LEFT JOIN (SELECT * FROM fx_measures WHERE name = 'exit.code') x ON x.handle = p.handle AND x.attempt = p.attempt""", ["fx_measures"])
+SELECT handle, attempt, max(value) FILTER (name = 'mem.peak') AS peak, max(value) FILTER (name = 'exit.code') AS exit_code
+FROM fx_measures GROUP BY handle, attempt HAVING count(*) FILTER (name = 'mem.peak') > 0""", ["fx_measures"])
 def _(fx):
     ended = fx.lifecycle.where(F.col("kind").isin("FINISHED", "FAILED"))
     return ended.select("handle", "attempt", E.measure("mem.peak").cast("long").alias("peak"), E.measure("exit.code").cast("long").alias("exit_code"))

@@ -165,12 +165,12 @@ s AS (SELECT handle, i.tenant, seq, shared, CASE WHEN shared THEN -1 ELSE i.tena
 WITH {FAIR}, t AS (SELECT handle, seq, (row_number() OVER (PARTITION BY share ORDER BY seq) - 1) * (1048576 // w) AS tag FROM s)
 SELECT handle, CAST(tag AS BIGINT) AS tag, row_number() OVER (ORDER BY tag, seq) AS pos FROM t""", ["fx_items"])
 def _(fx):
-    return O.order_fair_share(fx.items.select(*BACKLOG), F.col("tenant") % 3 + 1).select("handle", "tag", "pos")
+    return O.order_fair_share(fx.items.select(*BACKLOG), F.col("tenant") % 3 + 1, max_tenants=64).select("handle", "tag", "pos")
 
 
 @query("fair_overflow", f"WITH {FAIR} SELECT count(*) AS items, count(DISTINCT tenant) AS tenants FROM s WHERE shared", ["fx_items"])
 def _(fx):
-    return O.fair_overflow(fx.items)
+    return O.fair_overflow(fx.items, max_tenants=64)
 
 
 @query("topk_per_task", f"""

@@ -67,13 +67,14 @@ def measure_method(name: str, measures="measures") -> Column:
     return F.get(F.filter(col(measures), lambda m: m["name"] == name), F.lit(0))["method"]
 
 
-def last_line(tail, keep: int = M.WHY_SCAN) -> Column:
-    """Last non-blank line within the last ``keep`` characters of an error tail; '' when there is none."""
-    seen = F.right(F.coalesce(col(tail), F.lit("")), F.lit(keep))
+def last_line(tail, keep: int | None = None) -> Column:
+    """Last non-blank line of an error tail (of its last ``keep`` characters); '' when there is none."""
+    seen = F.coalesce(col(tail), F.lit(""))
+    seen = seen if keep is None else F.right(seen, F.lit(keep))
     return F.substring_index(F.regexp_replace(seen, r"[ \r\n]+$", ""), "\n", -1)
 
 
-def why(start_error, exit_code, exit_signal, status, tail) -> Column:
+def why(start_error, exit_code, exit_signal, status, tail, keep: int | None = None) -> Column:
     """Why an attempt failed, in one line."""
     head = F.coalesce(
         F.concat(F.lit("not started (error "), col(start_error).cast("string"), F.lit(")")),
@@ -81,7 +82,7 @@ def why(start_error, exit_code, exit_signal, status, tail) -> Column:
         F.concat(F.lit("signal "), col(exit_signal).cast("string")),
         status_text(status),
     )
-    line = last_line(tail)
+    line = last_line(tail, keep)
     return F.when(line == "", head).otherwise(F.concat(head, F.lit(" · "), line))
 
 

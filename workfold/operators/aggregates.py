@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import U64, bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
-from workfold.plans.attempts import ENDING, QUEUING, attempt_pivot, item_keys, reached, run_ms, state_of_handle, wait_ms
+from workfold.plans.attempts import ENDING, QUEUING, attempt_pivot, cycled, queuing, reached, run_ms, state_of_handle, wait_ms
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -51,7 +51,7 @@ def _latency(name: str, sample, live=None):
 
 def wait_latency(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Queued or retried until started."""
-    return per_task_and_total(attempt_pivot(lifecycle, keys), _latency("wait", wait_ms()))
+    return per_task_and_total(attempt_pivot(lifecycle, keys), _latency("wait", wait_ms(queuing())))
 
 
 def cycle_waits(cycled: DataFrame, carry: bool = True) -> DataFrame:
@@ -146,7 +146,7 @@ def snapshot(lifecycle: DataFrame, by: list[str]) -> DataFrame:
     pivot = attempt_pivot(lifecycle, [k for k in keys if k != "task"])
     counted = lifecycle.groupBy(*by).agg(*[agg.alias(name) for name, (agg, _) in _counter_aggs().items()])
     timed = pivot.groupBy(*by).agg(
-        *[agg.alias(name) for part in (("wait", wait_ms()), ("run", run_ms()))
+        *[agg.alias(name) for part in (("wait", wait_ms(queuing())), ("run", run_ms()))
           for name, (agg, _) in _latency(*part).items()])
     return counted.join(timed, by)
 
@@ -168,16 +168,18 @@ def statistics(lifecycle: DataFrame, since_ms: int | None = None) -> DataFrame:
     """
     since = F.lit(True) if since_ms is None else F.col("ts_ms") >= since_ms
     kind, counts = F.col("kind"), _counter_aggs(since)
-    keys = item_keys(lifecycle)
-    per_attempt = lifecycle.groupBy(*keys, "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
+    lifecycle = cycled(lifecycle)
+    base = F.col("base_ms") if "base_ms" in lifecycle.columns else F.lit(None).cast("long")
+    per_attempt = lifecycle.groupBy("handle", "cycle", "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
+        F.min(F.when(kind == "STARTED", base)).alias("base_ms"),
         *[agg.alias(name) for name, (agg, _) in counts.items()],
         F.min(F.when(kind.isin(*QUEUING), F.col("ts_ms"))).alias("queued_ms"),
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
         F.min(F.when(kind.isin(*ENDING), F.col("ts_ms"))).alias("ended_ms"),
         F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"))
-    from_then = F.lit(True) if since_ms is None else F.greatest("started_ms", "queued_ms") >= since_ms
+    from_then = F.lit(True) if since_ms is None else F.greatest(F.col("started_ms"), queuing()) >= since_ms
     ended_then = F.lit(True) if since_ms is None else F.col("ended_ms") >= since_ms
-    times = {**_latency("wait", wait_ms(), from_then), **_latency("run", run_ms(), ended_then)}
+    times = {**_latency("wait", wait_ms(queuing()), from_then), **_latency("run", run_ms(), ended_then)}
     per_item = per_attempt.groupBy("handle", "task").agg(
         *[F.sum(name).alias(name) for name in counts], *[agg.alias(name) for name, (agg, _) in times.items()],
         F.max("reached").alias("reached"), F.max("over").alias("over"))
@@ -206,11 +208,13 @@ def task_table(lifecycle: DataFrame) -> DataFrame:
         "ok_pct", F.when(closed > 0, F.expr("100 * finished div (finished + dead_lettered + dropped)")))
 
 
-def fold_other(lifecycle: DataFrame, rows: int = M.TASK_ROWS) -> DataFrame:
-    """Task types beyond the first ``rows`` seen fold into '(other)'."""
+def fold_other(lifecycle: DataFrame, rows: int | None = None) -> DataFrame:
+    """Task types beyond the first ``rows`` seen fold into '(other)'; without a number none does."""
     per = lifecycle.groupBy("task").agg(
         F.min("arrival").alias("seen"),
         *[F.count_if(F.col("kind") == k).alias(n) for n, k in COUNTED.items()])
+    if rows is None:
+        return per.select("task", *COUNTED, F.lit(0).cast("long").alias("folded_types"))
     ranked = ordinal(per, [], ["seen", "task"], "rank")
     name = F.when(F.col("rank") <= rows, F.col("task")).otherwise(M.OTHER)
     return ranked.groupBy(name.alias("task")).agg(
@@ -218,10 +222,12 @@ def fold_other(lifecycle: DataFrame, rows: int = M.TASK_ROWS) -> DataFrame:
         F.count_if(F.col("rank") > rows).alias("folded_types"))
 
 
-def dead_letter_counts(lifecycle: DataFrame, cap: int = M.DEAD_CAP) -> DataFrame:
-    """Dead letters kept per task when only the newest ``cap`` (0: none) are retained."""
+def dead_letter_counts(lifecycle: DataFrame, cap: int | None = None) -> DataFrame:
+    """Dead letters kept per task when only the newest ``cap`` (0: none; None: all) are retained."""
     dead = lifecycle.where(F.col("kind") == "DEAD_LETTERED").select(
         "task", "handle", (-F.col("ts_ms")).alias("_new"), (-F.col("arrival")).alias("_late"))
+    if cap is None:
+        return dead.groupBy("task").agg(F.count("*").alias("retained"), F.lit(0).cast("long").alias("evicted"))
     ranked = ordinal(dead, [], ["_new", "_late"], "rank")
     kept = F.col("rank") <= cap
     return ranked.groupBy("task").agg(F.count_if(kept).alias("retained"), F.count_if(~kept).alias("evicted"))
@@ -232,8 +238,8 @@ def cpu_cores_used(lifecycle: DataFrame) -> DataFrame:
     kind = F.col("kind")
     cpu = F.when(kind.isin("FINISHED", "FAILED") & (measure("cpu.user_ms").isNotNull() | measure("cpu.sys_ms").isNotNull()),
                  F.coalesce(measure("cpu.user_ms"), F.lit(0)) + F.coalesce(measure("cpu.sys_ms"), F.lit(0)))
-    per = lifecycle.where(kind.isin("STARTED", "FINISHED", "FAILED")).groupBy(
-        *item_keys(lifecycle), "task", "attempt").agg(
+    per = cycled(lifecycle).where(kind.isin("STARTED", "FINISHED", "FAILED")).groupBy(
+        "handle", "cycle", "task", "attempt").agg(
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
         F.min(F.when(kind != "STARTED", F.col("ts_ms"))).alias("ended_ms"),
         F.max(cpu).cast("long").alias("cpu_ms"),
@@ -314,9 +320,9 @@ def service_report(lifecycle: DataFrame, retire_on_ok: bool = False) -> DataFram
         (F.col("_up") + F.when(running_now, F.col("_last_start")).otherwise(F.lit(0))).cast("long").alias("up_ms"), "stopped_ms")
 
 
-def failure_reasons(lifecycle: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` most frequent failure reasons of each task."""
-    reason = why(measure("start.error"), measure("exit.code"), measure("exit.signal"), "status", "stderr_tail")
+def failure_reasons(lifecycle: DataFrame, k: int = 3, tail_chars: int | None = None) -> DataFrame:
+    """The ``k`` most frequent failure reasons of each task; ``tail_chars`` of an error tail are read (None: all)."""
+    reason = why(measure("start.error"), measure("exit.code"), measure("exit.signal"), "status", "stderr_tail", tail_chars)
     failed = lifecycle.where(F.col("kind") == "FAILED").select("task", "handle", "ts_ms", reason.alias("reason"))
     # Per handle first: the distinct count then adds up without gathering handles.
     per_handle = failed.groupBy("task", "reason", "handle").agg(

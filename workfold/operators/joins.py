@@ -116,30 +116,29 @@ def gate_release(gates: DataFrame, gate_deps: DataFrame, lifecycle: DataFrame, n
                          state.alias("state"), opened.alias("release_ms"))
 
 
-def gate_release_success(gates: DataFrame, gate_deps: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """The success-only gate: open once every dependency has finished; dead once one ended otherwise."""
+def gate_release_success(gates: DataFrame, gate_deps: DataFrame, lifecycle: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """The success-only gate: open once every dependency has finished (none: now); dead once one ended otherwise."""
     per = _edges(gate_deps, lifecycle).groupBy("gate").agg(
         F.count("*").alias("deps"), F.count_if(F.col("outcome") == "FINISHED").alias("finished"),
         F.count_if(F.col("outcome") != "FINISHED").alias("unsuccessful"), F.max("ended_ms").alias("last_ms"))
     joined = gates.join(per, "gate", "left").fillna(0, ["deps", "finished", "unsuccessful"])
     state = (F.when(F.col("unsuccessful") > 0, "dead").when(F.col("deps") == F.col("finished"), "open").otherwise("pending"))
     return joined.select(*gates.columns, "deps", "finished", state.alias("state"),
-                         F.when(state == "open", F.col("last_ms")).alias("release_ms"))
+                         F.when(state == "open", F.coalesce(F.col("last_ms"), F.lit(now_ms).cast("long"))).alias("release_ms"))
 
 
-# Refusals a released gate tries again, and how often.
+# Refusals a released gate tries again.
 TRANSIENT = ["NOTFOUND", "FULL", "NOMEM"]
-RELEASE_TRIES = 16
 
 
-def gate_outcome(released: DataFrame, screened: DataFrame) -> DataFrame:
-    """What submitting an open gate's task gives: submitted, to retry, or stalled.
+def gate_outcome(released: DataFrame, screened: DataFrame, max_tries: int | None = None) -> DataFrame:
+    """What submitting an open gate's task gives: submitted, to retry, or stalled after ``max_tries``.
 
     ``screened`` holds gate and verdict (see ``screen_submissions``) and may hold ``tries``.
     """
     tries = F.coalesce(F.col("tries"), F.lit(1)) if "tries" in screened.columns else F.lit(1)
     again = F.col("verdict").isin(*TRANSIENT)
-    result = (F.when(F.col("verdict") == "OK", "submitted").when(again & (tries < RELEASE_TRIES), "retry").otherwise("stalled"))
+    result = (F.when(F.col("verdict") == "OK", "submitted").when(again & (F.lit(True) if max_tries is None else tries < max_tries), "retry").otherwise("stalled"))
     return released.where(F.col("state") == "open").join(screened, "gate").select(
         "gate", "release_ms", "verdict", result.alias("result"))
 
@@ -154,37 +153,18 @@ def unused_keys(config: DataFrame, tasks: DataFrame, resources: DataFrame, schem
     return config.join(unused.select("key"), "key", "left_semi")
 
 
-def closest(wanted: DataFrame, known: DataFrame, limit: Callable[[Column], Column], max_limit: int) -> DataFrame:
+def closest(wanted: DataFrame, known: DataFrame, limit: Callable[[Column], Column]) -> DataFrame:
     """For each ``wanted.key`` the nearest ``known.key`` within ``limit(length)`` edits, first best wins.
 
-    Instead of comparing every pair: cut a known key into limit+1 pieces; within limit edits at
-    least one piece survives, shifted by at most limit. So pairs meet on equal pieces, by an
-    equi-join, and only those are measured. ``known`` holds key and its rank ``nth``.
+    Keys within so many edits differ in length by no more, so pairs meet on the length, by an equi-join.
+    ``known`` is a rule table and holds key and its rank ``nth``.
     """
-    def piece(length: Column, tau: Column, i: Column) -> tuple[Column, Column]:
-        start = F.floor(i * length / (tau + 1)).cast("int")
-        return start, F.floor((i + 1) * length / (tau + 1)).cast("int") - start
-
     size = F.length("key")
-    targets = known.select("key", "nth", size.alias("len"), F.explode(F.sequence(
-        F.greatest(F.lit(1), size - max_limit), size + max_limit)).alias("ls"))
-    targets = targets.withColumn("tau", limit(F.col("ls")).cast("int")).where(
-        F.abs(F.col("ls") - F.col("len")) <= F.col("tau")).select("key", "nth", "len", "tau").distinct()
-    targets = targets.select("*", F.explode(F.sequence(F.lit(0), F.col("tau"))).alias("i"))
-    start, width = piece(F.col("len"), F.col("tau"), F.col("i"))
-    targets = targets.select(F.col("key").alias("near"), "nth", "len", "tau", "i",
-                             F.substr("key", start + 1, width).alias("piece"))
     probe = wanted.select("key", size.alias("ls"), limit(size).cast("int").alias("tau")).distinct()
-    probe = probe.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("ls") - F.col("tau")), F.col("ls") + F.col("tau"))).alias("len"))
-    probe = probe.select("*", F.explode(F.sequence(F.lit(0), F.col("tau"))).alias("i"))
-    start, width = piece(F.col("len"), F.col("tau"), F.col("i"))
-    probe = probe.withColumns({"lo": F.greatest(F.lit(0), start - F.col("tau")), "width": width})
-    probe = probe.withColumn("hi", F.least(start + F.col("tau"), F.col("ls") - F.col("width"))).where("hi >= lo")
-    probe = probe.select("key", "tau", "len", "i", "width", F.explode(F.sequence("lo", "hi")).alias("at"))
-    probe = probe.select("key", "tau", "len", "i", F.substr("key", F.col("at") + 1, F.col("width")).alias("piece")).distinct()
-    pairs = probe.join(targets, ["tau", "len", "i", "piece"]).select("key", "tau", "near", "nth").distinct()
+    probe = probe.select("key", "tau", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ls") - F.col("tau")), F.col("ls") + F.col("tau"))).alias("len"))
+    pairs = probe.join(known.select(F.col("key").alias("near"), "nth", size.alias("len")), "len")
     measured = pairs.withColumn("distance", F.levenshtein("key", "near")).where("distance <= tau")
-    return measured.groupBy("key").agg(F.min_by(F.struct("near", "distance"), F.struct("distance", "nth")).alias("best")).select(
+    return measured.groupBy("key").agg(F.min_by(F.struct("near", "distance"), F.struct("distance", "nth", "near")).alias("best")).select(
         "key", F.col("best.near").alias("suggestion"), F.col("best.distance").alias("distance"))
 
 
@@ -193,14 +173,14 @@ def key_limit(length: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(length / 4).cast("int"))
 
 
-def suggest_keys(keys: DataFrame, schema: DataFrame, max_len: int = M.VALUE_MAX) -> DataFrame:
+def suggest_keys(keys: DataFrame, schema: DataFrame) -> DataFrame:
     """The setting each unused key was probably meant to be."""
-    return closest(keys, schema.select("key", "nth"), key_limit, max(2, max_len // 4))
+    return closest(keys, schema.select("key", "nth"), key_limit)
 
 
 def suggest_names(names: DataFrame, known: DataFrame, within: int = 3) -> DataFrame:
     """The same for task names (3 edits) and table names (2)."""
-    return closest(names, known, lambda _: F.lit(within), within)
+    return closest(names, known, lambda _: F.lit(within))
 
 
 def ledger(submissions: DataFrame, facts: DataFrame) -> DataFrame:

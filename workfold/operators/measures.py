@@ -39,7 +39,7 @@ def _refold(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _judged(rows: DataFrame, max_rows: int | None) -> DataFrame:
+def _judged(rows: DataFrame, max_rows: int | None, name_bytes: int | None) -> DataFrame:
     """Folded groups of every (task, name, method, unit, kind), each kept or refused with a reason.
 
     Refusals only depend on what was first seen, so they are decided on the folded groups: no
@@ -49,7 +49,9 @@ def _judged(rows: DataFrame, max_rows: int | None) -> DataFrame:
     per_task = pin(_fold(rows, ["task", *keys]), "measures")
     total = _refold(per_task, keys).withColumn("task", F.lit(M.TOTAL))
     groups = per_task.unionByName(total)
-    too_long = (F.octet_length("name") >= M.NAME_MAX) | (F.octet_length("method") >= M.NAME_MAX) | F.col("name").isNull() | F.col("method").isNull()
+    too_long = F.col("name").isNull() | F.col("method").isNull()
+    if name_bytes is not None:
+        too_long = too_long | (F.octet_length("name") >= name_bytes) | (F.octet_length("method") >= name_bytes)
     groups = groups.withColumn("too_long", too_long)
     row = Window.partitionBy("task", "name", "method", "too_long")  # at most one row per unit and kind
     groups = groups.withColumn("row_seen", F.min("seen").over(row))
@@ -65,17 +67,20 @@ def _judged(rows: DataFrame, max_rows: int | None) -> DataFrame:
         .otherwise(F.col("refused"))).drop("last_row")
 
 
-def measure_fold(rows: DataFrame, max_rows: int | None = M.MEASURE_ROWS) -> DataFrame:
-    """Per task and '(total)', per (name, method): count, sum, min, max and last value."""
-    return _judged(rows, max_rows).where("refused is null").select(
+def measure_fold(rows: DataFrame, max_rows: int | None = None, name_bytes: int | None = None) -> DataFrame:
+    """Per task and '(total)', per (name, method): count, sum, min, max and last value.
+
+    ``max_rows`` bounds the rows of a table, ``name_bytes`` the length of names; by default neither does.
+    """
+    return _judged(rows, max_rows, name_bytes).where("refused is null").select(
         "task", "name", "method", "unit", "kind", "count", saturate("sum").alias("sum"), "min", "max",
         "last", "last_ms")
 
 
-def measure_drops(rows: DataFrame, max_rows: int | None = M.MEASURE_ROWS) -> DataFrame:
+def measure_drops(rows: DataFrame, max_rows: int | None = None, name_bytes: int | None = None) -> DataFrame:
     """Measurements a table refused, by reason; the total's table and each task's refuse on their own."""
     n = F.col("count")
-    return _judged(rows, max_rows).groupBy("task").agg(
+    return _judged(rows, max_rows, name_bytes).groupBy("task").agg(
         *[F.coalesce(F.sum(F.when(F.col("refused") == r, n)), F.lit(0)).alias(f"dropped_{r}") for r in ("name", "unit", "full")])
 
 
@@ -92,22 +97,31 @@ def measure_combine(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per.select(*by, "name", "method", "unit", "kind", value.alias("value"))
 
 
-def merge_measures(folded: DataFrame, by: str = "task") -> DataFrame:
-    """Fold measurement rows of several shards into one; empty ones add nothing."""
+def merge_measures(folded: DataFrame, by: str = "task", order: str | None = None) -> DataFrame:
+    """Fold measurement rows of several shards into one; empty ones add nothing.
+
+    ``last`` is that of the newest stamp; at one stamp that of the last shard by ``order``.
+    """
+    newest = F.struct("last_ms", order) if order else F.struct("last_ms", F.lit(0))
     return folded.where(F.col("count") > 0).groupBy(by, "name", "method", "unit", "kind").agg(
         F.sum("count").alias("count"), saturate(F.sum("sum")).alias("sum"),
         F.min("min").alias("min"), F.max("max").alias("max"),
-        F.max_by("last", point("last_ms", "last")).alias("last"), F.max("last_ms").alias("last_ms"))
+        F.max_by("last", newest).alias("last"), F.max("last_ms").alias("last_ms"))
+
+
+def _method(chars: int | None):
+    method = measure_method("mem.peak")
+    return method if chars is None else F.left(method, F.lit(chars))
 
 
-def peak_memory(lifecycle: DataFrame) -> DataFrame:
+def peak_memory(lifecycle: DataFrame, method_chars: int | None = None) -> DataFrame:
     """Highest mem.peak per task since its method last changed.
 
     The last run of one method starts after the newest value of any other method, so two
     aggregations find it; nothing is sorted per task.
     """
     rows = lifecycle.select("task", *POINT, measure("mem.peak").alias("value"),
-                            F.left(measure_method("mem.peak"), F.lit(M.METHOD_KEEP)).alias("method")).where("method is not null")
+                            _method(method_chars).alias("method")).where("method is not null")
     at = point()
     newest = rows.groupBy("task", "method").agg(F.max(at).alias("at"))
     by_task = Window.partitionBy("task").orderBy(F.desc("at"))  # one row per method
@@ -117,7 +131,7 @@ def peak_memory(lifecycle: DataFrame) -> DataFrame:
         "task", "method").agg(F.max("value").cast("long").alias("mem_peak"), F.count("*").alias("samples"))
 
 
-def evidence(lifecycle: DataFrame) -> DataFrame:
+def evidence(lifecycle: DataFrame, method_chars: int | None = None) -> DataFrame:
     """Ended attempts that say something about how much memory a task needs."""
     peak, hit = measure("mem.peak"), measure("mem.cap_hit")
     failed = F.col("kind") == "FAILED"
@@ -127,7 +141,7 @@ def evidence(lifecycle: DataFrame) -> DataFrame:
         F.col("kind").isin("FINISHED", "FAILED") & measured & ~stopped & measure("start.error").isNull()
     ).select(
         "task", *POINT, "mem_bytes", peak.cast("long").alias("peak"),
-        F.when(peak.isNotNull(), F.left(F.coalesce(measure_method("mem.peak"), F.lit("")), F.lit(M.METHOD_KEEP))).alias("method"),
+        F.when(peak.isNotNull(), F.coalesce(_method(method_chars), F.lit(""))).alias("method"),
         (F.coalesce(hit != 0, F.lit(False)) | (failed & (F.col("status") == "NOMEM"))).alias("was_hit"))
 
 
@@ -142,14 +156,14 @@ def suggestion(peak, hit_declared, samples, hits, min_samples: int, headroom_pct
 
 
 def suggest_memory(lifecycle: DataFrame, min_samples: int = 5, headroom_pct: int = 25, grow_pct: int = 50,
-                   floor_bytes: int = M.MIB) -> DataFrame:
+                   floor_bytes: int = M.MIB, method_chars: int | None = None) -> DataFrame:
     """Memory to declare per task, from its measured attempts.
 
     Folded per (task, method) first; the method of a task's first peak is then picked among a
     few rows, and other methods' peaks are counted but not used.
     """
     hit = F.col("was_hit")
-    groups = evidence(lifecycle).groupBy("task", "method").agg(
+    groups = evidence(lifecycle, method_chars).groupBy("task", "method").agg(
         F.min("arrival").alias("seen"), F.count("*").alias("n"), F.count_if("was_hit").alias("hits"),
         F.max("peak").alias("peak"), F.max(F.when(hit, F.col("mem_bytes"))).alias("hit_declared"),
         F.max("arrival").alias("at"), F.max_by("mem_bytes", "arrival").alias("declared"),
@@ -172,9 +186,9 @@ def suggest_memory(lifecycle: DataFrame, min_samples: int = 5, headroom_pct: int
 
 
 def suggestion_history(lifecycle: DataFrame, min_samples: int = 5, headroom_pct: int = 25, grow_pct: int = 50,
-                       floor_bytes: int = M.MIB) -> DataFrame:
+                       floor_bytes: int = M.MIB, method_chars: int | None = None) -> DataFrame:
     """The suggestion after each piece of evidence, kept where it changes."""
-    rows = evidence(lifecycle)
+    rows = evidence(lifecycle, method_chars)
     methods = rows.where("method is not null").groupBy("task", "method").agg(F.min("arrival").alias("seen"))
     rows = rows.join(methods.groupBy("task").agg(F.min_by("method", "seen").alias("own")), "task", "left")
     rows = rows.withColumn("own_peak", F.when(F.col("method") == F.col("own"), F.col("peak")))

@@ -48,27 +48,28 @@ def topk_per_task(items: DataFrame, keys: list[Column], k: int) -> DataFrame:
     return items.withColumn("rank", F.row_number().over(by_task)).where(F.col("rank") <= k)
 
 
-def _shares(items: DataFrame, max_tenants: int) -> DataFrame:
-    """Tenants in the order first seen; those past ``max_tenants`` share one share."""
+def _shares(items: DataFrame, max_tenants: int | None) -> DataFrame:
+    """Tenants in the order first seen; those past ``max_tenants`` (None: none) share one share."""
+    if max_tenants is None:
+        return items.select("tenant").distinct().withColumn("shared", F.lit(False))
     seen = items.groupBy("tenant").agg(F.min("seq").alias("_seen"))
     return ordinal(seen, [], ["_seen"], "_nth").select("tenant", (F.col("_nth") > max_tenants).alias("shared"))
 
 
-def order_fair_share(items: DataFrame, weight: Column | str, max_tenants: int = 64) -> DataFrame:
+def order_fair_share(items: DataFrame, weight: Column | str, max_tenants: int | None = None) -> DataFrame:
     """Weighted interleave of a backlog that is all queued before anything starts.
 
     The k-th item of a share gets tag (k-1)*floor(2^20/weight); items go by tag, then submission.
     """
-    rows = items.count()
     weighed = items.join(_shares(items, max_tenants), "tenant")
     w = F.when(F.col("shared"), F.lit(1)).otherwise(F.least(F.greatest(col(weight), F.lit(1)), F.lit(M.FAIR_SCALE)))
     share = weighed.withColumns({"_share": F.when(F.col("shared"), F.lit(-1).cast("long")).otherwise(F.col("tenant")), "_w": w})
-    numbered = ordinal(share, ["shared", "_share"], ["seq"], "_k", rows=rows)
+    numbered = ordinal(share, ["shared", "_share"], ["seq"], "_k")
     tag = (F.col("_k") - 1) * F.floor(F.lit(M.FAIR_SCALE) / F.col("_w")).cast("long")
-    return ordered(numbered.withColumn("tag", tag), [F.col("tag"), F.col("seq")], rows=rows).drop("_share", "_w", "_k")
+    return ordered(numbered.withColumn("tag", tag), [F.col("tag"), F.col("seq")]).drop("_share", "_w", "_k")
 
 
-def fair_overflow(items: DataFrame, max_tenants: int = 64) -> DataFrame:
+def fair_overflow(items: DataFrame, max_tenants: int) -> DataFrame:
     """How many items and tenants are charged to the shared share."""
     per_tenant = items.groupBy("tenant").agg(F.min("seq").alias("_seen"), F.count("*").alias("n"))
     ranked = ordinal(per_tenant, [], ["_seen"], "_nth").where(F.col("_nth") > max_tenants)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import U64, event_class
-from workfold.plans.attempts import attempt_pivot, item_keys, run_ms
+from workfold.plans.attempts import attempt_pivot, cycled, run_ms
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, BEFORE, UPTO, ordinal, running
 
@@ -75,8 +75,8 @@ def done_rate(lifecycle: DataFrame, window_s: int = 10) -> DataFrame:
 
 def _running_spans(lifecycle: DataFrame) -> DataFrame:
     kind = F.col("kind")
-    spans = lifecycle.where(kind.isin("STARTED", "FINISHED", "FAILED", "DEAD_LETTERED", "DROPPED")).groupBy(
-        *item_keys(lifecycle), "task", "attempt").agg(
+    spans = cycled(lifecycle).where(kind.isin("STARTED", "FINISHED", "FAILED", "DEAD_LETTERED", "DROPPED")).groupBy(
+        "handle", "cycle", "task", "attempt").agg(
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
         F.min(F.when(kind != "STARTED", F.col("ts_ms"))).alias("ended_ms"),
         F.max("mem_bytes").alias("mem_bytes"))

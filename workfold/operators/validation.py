@@ -34,9 +34,11 @@ def screen_submissions(items: DataFrame, tasks: DataFrame, task_costs: DataFrame
     return joined.select(*items.columns, verdict.alias("verdict"))
 
 
-def never_fits(items: DataFrame, task_costs: DataFrame, resources: DataFrame) -> DataFrame:
-    """Queued items that can no longer run: a cost of theirs exceeds its whole budget."""
-    return items.join(_over_budget(task_costs, resources), "task", "left_semi")
+def never_fits(items: DataFrame, task_costs: DataFrame, resources: DataFrame, memory_bytes: int | None = None) -> DataFrame:
+    """Queued items that can no longer run: their memory exceeds all of it, or a cost its whole budget."""
+    broke = _over_budget(task_costs, resources).withColumn("_broke", F.lit(True))
+    too_large = F.lit(False) if memory_bytes is None else F.coalesce(F.col("mem_bytes") > memory_bytes, F.lit(False))
+    return items.join(broke, "task", "left").where(too_large | F.coalesce("_broke", F.lit(False))).select(*items.columns)
 
 
 def shed_late(items: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:

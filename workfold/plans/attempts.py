@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workfold.functions.exprs import terminal
+from workfold.plans.pin import pin
 from workfold.plans.running import BEFORE, UPTO, running
 
 QUEUING = ["QUEUED", "RETRIED"]
@@ -18,7 +19,7 @@ def _phase():
             .when(F.col("kind").isin(*ENDING), 2).otherwise(3))
 
 
-def with_cycle(lifecycle: DataFrame) -> DataFrame:
+def with_cycle(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Number the requeue cycles of a handle: a STARTED with attempt <= 1 opens the next one.
 
     Adds ``cycle`` (1 before the first start) and ``base_ms``, the stamp the wait of a start
@@ -28,28 +29,41 @@ def with_cycle(lifecycle: DataFrame) -> DataFrame:
     queued = F.when(F.col("kind").isin(*QUEUING), F.col("ts_ms"))
     # A RETRIED belongs after the failure it answers, and the queued event before the first start.
     keyed = lifecycle.withColumn("_phase", _phase())
-    out = running(keyed, ["handle"], ["ts_ms", "attempt", "_phase", "arrival"], {
+    out = running(keyed, keys or ["handle"], ["ts_ms", "attempt", "_phase", "arrival"], {
         "cycle": ("sum", opens, UPTO),
         "base_ms": ("max", queued, BEFORE),
     })
     return out.withColumn("cycle", F.greatest(F.lit(1).cast("long"), "cycle")).drop("_phase")
 
 
-def item_keys(lifecycle: DataFrame) -> list[str]:
-    """What identifies an item's attempts: its handle, and the cycle in a log that numbers them."""
-    return ["handle", "cycle"] if "cycle" in lifecycle.columns else ["handle"]
+def cycled(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The log with its cycles numbered; a log that brings ``cycle`` is left as it is.
+
+    Only items that started anew are ordered. Who they are is counted and written first, so the plan
+    knows how few they are; the other events are in cycle 1.
+    """
+    if "cycle" in lifecycle.columns:
+        return lifecycle
+    keys = keys or ["handle"]
+    starts = lifecycle.where((F.col("kind") == "STARTED") & (F.col("attempt") <= 1))
+    again = pin(starts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "requeued")
+    numbered = with_cycle(lifecycle.join(again, keys, "left_semi"), keys)
+    once = lifecycle.join(again, keys, "left_anti")
+    return numbered.unionByName(once.withColumns({"cycle": F.lit(1).cast("long"), "base_ms": F.lit(None).cast("long")}))
 
 
 def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per attempt: queued_ms, started_ms, ended_ms, closed_ms, finished, cancelled.
+    """One row per attempt and cycle: queued_ms, base_ms, started_ms, ended_ms, closed_ms, finished, cancelled.
 
-    ``keys`` names the identity of an item besides its task, by default its handle, with the
-    cycle after ``with_cycle``; add 'shard' for a union of logs. Conditional minima only, so a
-    hot handle is reduced before the shuffle.
+    ``keys`` names the identity of an item besides its task and cycle, by default its handle; add
+    'shard' for a union of logs. ``base_ms`` is the handle's latest queuing before a start that a
+    requeue opened. Conditional minima only, so a hot handle is reduced before the shuffle.
     """
-    keys = keys or item_keys(lifecycle)
-    kind = F.col("kind")
-    return lifecycle.groupBy(*keys, "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
+    keys = [k for k in keys or ["handle"] if k != "cycle"]
+    lifecycle, kind = cycled(lifecycle, keys), F.col("kind")
+    base = F.col("base_ms") if "base_ms" in lifecycle.columns else F.lit(None).cast("long")
+    return lifecycle.groupBy(*keys, "cycle", "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
+        F.min(F.when(kind == "STARTED", base)).alias("base_ms"),
         F.min(F.when(kind.isin(*QUEUING), F.col("ts_ms"))).alias("queued_ms"),
         F.min(F.when(kind == "STARTED", F.col("ts_ms"))).alias("started_ms"),
         F.min(F.when(kind.isin(*ENDING), F.col("ts_ms"))).alias("ended_ms"),
@@ -59,10 +73,16 @@ def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFr
     )
 
 
-def wait_ms():
-    """Wait of a pivot row: an inverted pair of stamps counts as 0."""
-    return F.when(F.col("started_ms").isNotNull() & F.col("queued_ms").isNotNull(),
-                  F.greatest(F.lit(0).cast("long"), F.col("started_ms") - F.col("queued_ms")))
+def wait_ms(since=None):
+    """Wait of a pivot row: an inverted pair of stamps counts as 0. A requeue has no queuing event of its
+    own, so with ``since`` (see ``queuing``) its wait runs from the latest one before."""
+    since = F.col("queued_ms") if since is None else since
+    return F.when(F.col("started_ms").isNotNull() & since.isNotNull(),
+                  F.greatest(F.lit(0).cast("long"), F.col("started_ms") - since))
+
+
+def queuing():
+    return F.coalesce("queued_ms", "base_ms")
 
 
 def run_ms():
@@ -85,6 +105,7 @@ def state_of_handle(lifecycle: DataFrame, keys: list[str] | None = None) -> Data
     a late RETRIED moves nothing.
     """
     keys = keys or ["handle"]
+    lifecycle = cycled(lifecycle, keys)
     per = lifecycle.where(F.col("kind") != "SAMPLE").groupBy(*keys, "task").agg(
         F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"),
     )

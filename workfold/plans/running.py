@@ -48,15 +48,13 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
 
 
 def _offsets(layout: DataFrame, keys: list[str], aggs: dict[str, tuple]) -> DataFrame:
-    """What the other cells add, for the groups that cross a border: those that end one cell and begin a later one."""
-    ends = layout.groupBy(CELL).agg(F.max(F.struct(*keys)).alias("_end"), F.min(F.struct(*keys)).alias("_begin"))
-    begins = F.broadcast(ends.select("_begin"))  # one row a cell
-    border = ends.select("_end").join(begins, F.col("_end").eqNullSafe(F.col("_begin")), "left_semi").distinct()
-    border = border.select(*[F.col(f"_end.{k}").alias(f"_g_{k}") for k in keys])
+    """What the other cells add, for the groups that cross a border: those in more than one cell."""
+    spread = layout.groupBy(*keys).agg(F.min(CELL).alias("_from"), F.max(CELL).alias("_to")).where("_from < _to")
+    border = spread.select(*[F.col(k).alias(f"_g_{k}") for k in keys])
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    crossing = layout.join(F.broadcast(border), match)  # at most one group a cell
+    crossing = layout.join(F.broadcast(border), match)  # at most one group a border
     groups = [f"_g_{k}" for k in keys]
     partial = crossing.groupBy(*groups, F.col(CELL).alias("_g_cell")).agg(
         *[_agg(op)(value).alias(f"_c_{out}") for out, (op, value, _) in aggs.items()])

@@ -56,18 +56,30 @@ def write_snapshot(totals: DataFrame, measures: DataFrame, path: str, mode: str
     measures.write.mode(mode).parquet(f"{path}/measures")
 
 
-def dead_letters(lifecycle: DataFrame) -> DataFrame:
-    """Each dead letter with its last failed attempt's error tail and measurements.
+def dead_letters(lifecycle: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Each dead letter with the error tail and measurements of the failure it answers.
 
-    Folded per attempt number first: only (handle, attempt) positions are compared, then the
-    failure itself is joined on.
+    That is the newest failure of its handle and attempt up to its own stamp, so a handle that died
+    twice gives two rows. ``items`` (handle, and any of priority, timeout_ms, due_ms, payload) adds what
+    a re-drive submits again, with ``due_in_ms``: what was left until due, never below 0.
     """
     dead = lifecycle.where(F.col("kind") == "DEAD_LETTERED").select(
-        "handle", "task", F.col("ts_ms").alias("dead_ms"), "status", F.col("attempt").alias("attempts"), "mem_bytes")
-    failed = lifecycle.where(F.col("kind") == "FAILED")
-    last = failed.groupBy("handle").agg(F.max("attempt").alias("attempt"))
-    ends = failed.select("handle", "attempt", "stderr_tail", "measures").join(last, ["handle", "attempt"], "left_semi")
-    return dead.join(ends.drop("attempt"), "handle", "left")
+        "handle", "task", F.col("ts_ms").alias("dead_ms"), "status", F.col("attempt").alias("attempts"), "mem_bytes", "arrival")
+    failed = lifecycle.where(F.col("kind") == "FAILED").select(
+        "handle", F.col("attempt").alias("attempts"), F.col("ts_ms").alias("_ts"), F.col("arrival").alias("_at"), "stderr_tail", "measures")
+    answered = dead.select("handle", "attempts", "dead_ms", "arrival").join(failed, ["handle", "attempts"]).where("_ts <= dead_ms")
+    newest = answered.groupBy("handle", "dead_ms", "arrival").agg(
+        F.max_by(F.struct("stderr_tail", "measures"), F.struct("_ts", "_at")).alias("_f"))
+    letters = dead.join(newest, ["handle", "dead_ms", "arrival"], "left").select(
+        "handle", "task", "dead_ms", "status", "attempts", "mem_bytes", "_f.stderr_tail", "_f.measures")
+    if items is None:
+        return letters
+    options = [c for c in ("priority", "timeout_ms", "due_ms", "payload") if c in items.columns]
+    out = letters.join(items.select("handle", *options), "handle", "left")
+    if "due_ms" in options:
+        left = F.greatest(F.lit(0).cast("long"), F.col("due_ms") - F.col("dead_ms"))
+        out = out.withColumn("due_in_ms", F.when(F.col("due_ms").isNotNull(), left)).drop("due_ms")
+    return out
 
 
 def write_dead_letters(letters: DataFrame, path: str, mode: str = "append") -> None:
