@@ -75,16 +75,17 @@ def main() -> None:
     times = {name: timed(build) for name, build in queries.items()}
     rows = log.count()
 
-    # How time grows with the input: the same log twice over, the second time as other items.
+    # How time grows with the input: the same log twice over, the second time as other items at later stamps.
+    span = log.agg(F.max("ts_ms") - F.min("ts_ms") + 1).first()[0]
     twice = kept(log.unionByName(log.withColumns({
-        "handle": F.col("handle") + 10**12, "arrival": F.col("arrival") + 10**15})), "twice")
+        "handle": F.col("handle") + 10**12, "arrival": F.col("arrival") + 10**15, "ts_ms": F.col("ts_ms") + span})), "twice")
     growing = {"counters": A.counters, "wait_latency": A.wait_latency, "measure_fold": lambda x: P.measure_fold(P.measure_rows(x)),
                "occupancy_series": lambda x: S.occupancy_series(x, fx.task_costs, budgets)}
     growth = {}
     for name, op in growing.items():
         growth[name] = round(timed(lambda: op(known_events(twice))) / times[name], 2)
     print(json.dumps({
-        "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "metric": "headline_total", "value": round(sum(times.values()) + prepared, 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")), "prepare": round(prepared, 3), "lifecycle_rows": rows,
         "time_ratio_doubled_input": growth,
         "rows_per_sec": {q: round(rows / times[q]) for q in ("counters", "wait_latency", "measure_fold", "occupancy_series")},

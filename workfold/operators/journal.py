@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import has_flag, point, remaining
-from workfold.operators.validation import journal_judged
+from workfold.operators.validation import journal_judged, judged_submits
 from workfold.plans.running import UPTO, running
 
 KEY = ["file", "seq"]
@@ -27,8 +27,9 @@ def journal_replay(journal: DataFrame) -> DataFrame:
     Each fact is the last marker of its kind after the record itself, so one hash aggregation
     over the markers does it; a record with most of the markers is folded before the shuffle.
     """
-    valid = journal_judged(_with_opts(journal)).where("damage is null")
-    records = valid.where(F.col("type") == "P").select("file", "seq", "pos", "name", "payload")
+    journal = _with_opts(journal)
+    # Only submissions are ordered; a marker is valid by itself.
+    records = judged_submits(journal).where("damage is null").select("file", "seq", "pos", "name", "payload")
     kind, pos = F.col("type"), F.col("pos")
 
     def last(types, value):
@@ -37,7 +38,7 @@ def journal_replay(journal: DataFrame) -> DataFrame:
 
     moves, moved = last(["S", "F"], (kind == "S").cast("int"))
     counts, counted = last(["K", "F"], F.when(kind == "K", F.col("k")).otherwise(F.lit(0)))
-    marks = valid.where(kind != "P").groupBy(*KEY).agg(
+    marks = journal.where((kind != "P") & (F.col("seq") >= 0)).groupBy(*KEY).agg(
         F.max(F.when(kind == "D", pos)).alias("_d"), F.max(F.when(kind == "Q", pos)).alias("_q"),
         moves.alias("_move"), moved.alias("_moved"), counts.alias("_count"), counted.alias("_counted"),
         F.max(F.when(kind == "O", pos)).alias("_o"),

@@ -28,7 +28,8 @@ def gauge_changes(lifecycle: DataFrame) -> DataFrame:
         _change(F.when(started.isNotNull() & end.isNotNull(), F.greatest(started, end)), 0, -1),
     )
     rows = pivot.select("task", F.inline(changes)).where("ts_ms is not null")
-    both = rows.select(F.explode(F.array("task", F.lit(M.TOTAL))).alias("task"), "ts_ms", "dp", "df")
+    per_task = rows.groupBy("task", "ts_ms").agg(F.sum("dp").alias("dp"), F.sum("df").alias("df"))
+    both = per_task.select(F.explode(F.array("task", F.lit(M.TOTAL))).alias("task"), "ts_ms", "dp", "df")
     return both.groupBy("task", "ts_ms").agg(F.sum("dp").alias("dp"), F.sum("df").alias("df"))
 
 
@@ -140,17 +141,17 @@ def recent_log(lifecycle: DataFrame, problems: int, activities: int, since_ms: i
     """
     rows = lifecycle.select("kind", "handle", "task", "ts_ms", "arrival", event_class().alias("class")).where("class is not null")
 
-    def newest(name, n):
-        return rows.where(F.col("class") == name).orderBy(F.desc("ts_ms"), F.desc("arrival")).limit(n)
-
-    shown = newest("problem", problems).unionByName(newest("activity", activities))
+    newest = Window.partitionBy("class").orderBy(F.desc("ts_ms"), F.desc("arrival"))  # cut before the shuffle (WindowGroupLimit)
+    limit = F.when(F.col("class") == "problem", problems).otherwise(activities)
+    top = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max(problems, activities))
+    shown = top.where(F.col("_n") <= limit).drop("_n")
     at_most = Window.partitionBy(F.lit(0)).orderBy(F.desc("ts_ms"), F.desc("class"), F.desc("arrival"))  # problems + activities rows
     listed = shown.withColumn("pos", F.row_number().over(at_most)).withColumn("n", F.lit(1).cast("long"))
     late = F.col("ts_ms") >= since_ms
-    left = rows.where(late).select("class", F.lit(1).alias("d")).unionByName(shown.where(late).select("class", F.lit(-1).alias("d")))
-    hidden = left.groupBy("class").agg(F.sum("d").alias("n")).select(
+    there = shown.where(late).groupBy("class").agg(F.count("*").alias("_shown"))
+    hidden = rows.where(late).groupBy("class").agg(F.count("*").alias("n")).join(there, "class", "left").select(
         F.lit("(not shown)").alias("kind"), F.lit(None).cast("long").alias("handle"), F.lit(None).cast("string").alias("task"),
-        F.lit(since_ms).cast("long").alias("ts_ms"), "class", F.lit(0).alias("pos"), "n")
+        F.lit(since_ms).cast("long").alias("ts_ms"), "class", F.lit(0).alias("pos"), (F.col("n") - F.coalesce("_shown", F.lit(0))).alias("n"))
     return listed.drop("arrival").unionByName(hidden)
 
 

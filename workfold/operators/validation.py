@@ -136,19 +136,23 @@ def audit_lifecycle(lifecycle: DataFrame, complete: bool = True, exempt_tasks: l
     return per_handle.select("handle", F.inline(F.array_compact(F.array(*checks))))
 
 
-def journal_judged(journal: DataFrame) -> DataFrame:
-    """Journal records with ``damage``: NULL, or why no writer makes such a record.
+def judged_submits(journal: DataFrame) -> DataFrame:
+    """The 'P' records whose seq a LONG holds, with ``damage`` where it does not rise.
 
     A 'P' must exceed every valid 'P' before it in its file. An invalid one never exceeds the
     running maximum, so that maximum can run over all of them; a giant file is cut into cells.
     """
-    seq_bad = F.col("seq") < 0  # above 2^63-1 reads as negative in a LONG
-    submits = journal.where((F.col("type") == "P") & ~seq_bad)
+    submits = journal.where((F.col("type") == "P") & (F.col("seq") >= 0))
     run = running(submits, ["file"], ["pos"], {"_above": ("max", F.col("seq"), BEFORE)})
     stale = F.col("seq") <= F.coalesce(F.col("_above"), F.lit(0))
-    judged = run.withColumn("damage", F.when(stale, "seq does not rise")).drop("_above")
+    return run.withColumn("damage", F.when(stale, "seq does not rise")).drop("_above")
+
+
+def journal_judged(journal: DataFrame) -> DataFrame:
+    """Journal records with ``damage``: NULL, or why no writer makes such a record."""
+    seq_bad = F.col("seq") < 0  # above 2^63-1 reads as negative in a LONG
     rest = journal.where((F.col("type") != "P") | seq_bad).withColumn("damage", F.when(seq_bad, "seq too large"))
-    return judged.unionByName(rest)
+    return judged_submits(journal).unionByName(rest)
 
 
 def journal_validate(journal: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local one only where nothing is named (tests)."""
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(OWN_DIR_CONF, None)
+    set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()  # SparkContext.setCheckpointDir
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(OWN_DIR_CONF, None) or (set_by_call.get() if set_by_call.isDefined() else None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
