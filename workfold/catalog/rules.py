@@ -8,6 +8,8 @@ from workfold.catalog.registry import query
 from workfold.functions import exprs as E
 from workfold.operators import joins as J
 from workfold.operators import validation as V
+from workfold.session import fresh_path
+from workfold.sources.lifecycle import read_config
 
 OVER = "over_budget AS (SELECT DISTINCT task FROM task_costs c JOIN resources r ON r.name = c.name WHERE cost > budget)"
 NOW = 126230400000
@@ -40,7 +42,9 @@ def _(fx):
 
 @query("src_config_kv", "SELECT entity, key, count(*) AS n FROM fx_config GROUP BY ALL", ["fx_config"])
 def _(fx):
-    return fx.config.groupBy("entity", "key").agg(F.count("*").alias("n"))
+    path = fresh_path(fx.spark, "config")
+    fx.config.write.parquet(path)
+    return read_config(fx.spark, path).groupBy("entity", "key").agg(F.count("*").alias("n"))
 
 
 @query("audit_lifecycle", """

@@ -44,11 +44,16 @@ def _(fx):
         F.count_if(F.col("shard").isNull() & F.col("flags").isNull()).alias("no_shard"))
 
 
-@query("sink_snapshot", f"SELECT {TASK}, {COUNTS_ALL} FROM fx_lifecycle {ROLL}", ["fx_lifecycle"])
+@query("sink_snapshot", f"""
+WITH c AS (SELECT {TASK}, {COUNTS_ALL} FROM fx_lifecycle {ROLL}),
+m AS (SELECT task, count(*) AS measure_rows FROM (SELECT DISTINCT task, name, method, unit, kind FROM fx_measures
+  UNION ALL SELECT DISTINCT '(total)', name, method, unit, kind FROM fx_measures) GROUP BY task)
+SELECT * FROM c LEFT JOIN m USING (task)""", ["fx_lifecycle", "fx_measures"])
 def _(fx):
     path = fresh_path(fx.spark, "snapshot")
     L.write_snapshot(A.counters(fx.lifecycle), P.measure_fold(P.measure_rows(fx.lifecycle)), path)
-    return fx.spark.read.parquet(f"{path}/counters")
+    measures = fx.spark.read.parquet(f"{path}/measures").groupBy("task").agg(F.count("*").alias("measure_rows"))
+    return fx.spark.read.parquet(f"{path}/counters").join(measures, "task", "left")
 
 
 @query("sink_dead_letter", """
@@ -158,12 +163,16 @@ def _(fx):
 
 @query("stream_latest_sample", """
 SELECT handle, CAST(arrival % 5 + 1 AS INT) AS attempt, count(*) AS samples, arg_max(value, CAST(ts_ms AS HUGEINT) * 1000000000 + arrival) AS current, max(ts_ms) AS sampled_ms
-FROM fx_samples GROUP BY handle, CAST(arrival % 5 + 1 AS INT)""", ["fx_samples"])
+FROM fx_samples s WHERE NOT EXISTS (SELECT 1 FROM fx_attempts a WHERE a.handle = s.handle AND a.attempt = s.arrival % 5 + 1 AND a.handle % 3 = 0)
+GROUP BY handle, CAST(arrival % 5 + 1 AS INT)""", ["fx_samples", "fx_attempts"])
 def _(fx):
     sample = F.struct("name", F.col("value").cast("decimal(20,0)").alias("value"), F.lit("BYTES").alias("unit"), F.lit("CURRENT").alias("kind"), "method")
     log = fx.samples.select(F.lit("SAMPLE").alias("kind"), "handle", (F.col("arrival") % 5 + 1).cast("int").alias("attempt"), "ts_ms", "arrival",
                             F.array(sample.cast(M.MEASURE)).alias("measures"))
-    stream = streamed(fx, log).select("kind", "handle", "attempt", "ts_ms", "arrival", F.explode("measures").alias("m")).select(
+    ends = fx.attempts.where("handle % 3 = 0").select(F.lit("FINISHED").alias("kind"), "handle", "attempt", F.col("ended_ms").alias("ts_ms"),
+                                                      F.lit(0).cast("long").alias("arrival"), F.lit(None).cast(log.schema["measures"].dataType).alias("measures"))
+    log = log.unionByName(ends)
+    stream = streamed(fx, log).select("kind", "handle", "attempt", "ts_ms", "arrival", F.explode_outer("measures").alias("m")).select(
         "kind", "handle", "attempt", "ts_ms", "arrival", "m.name", "m.value")
-    out = newest(drain(G.stream_latest_sample(stream), "samples"), ["handle", "attempt"])
+    out = newest(drain(G.stream_latest_sample(stream), "samples"), ["handle", "attempt"]).where("NOT ended AND samples > 0").drop("ended")
     return out.withColumn("current", F.col("current").cast("long"))
