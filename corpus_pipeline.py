@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workfold.llm import decontaminate, jaccard, packing, pii, toxicity
-from workfold.llm.common import id_key, read_table, text_of, vocabulary_path
+from workfold.llm.common import id_key, read_table, shipped, text_of, vocabulary_path
 from workfold.plans.pin import pin
 
 
@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the least id."""
+    shipped(spark)
     kept = jaccard.jaccard_classes(docs).where("kept").select(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     keyed = docs.withColumns({"_id": id_key("doc_id"), "_mark": F.xxhash64(text_of("text"))})
     return keyed.join(kept, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
@@ -41,12 +42,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data masked."""
+    shipped(spark)
     masked = pii.mask_personal(docs)
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of binary lengths."""
+    shipped(spark)
     return packing.pack_power_of_two(docs, vocabulary_path(), end_id=2, most=4096)
 
 

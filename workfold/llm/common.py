@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -204,5 +207,21 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def shipped(spark) -> None:
+    """Send this package along once a session, unless the workers find it by themselves.
+
+    They do where it stands on PYTHONPATH, in the working folder or in an archive given to Spark.
+    """
+    import workfold
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(workfold.__file__)))
+    found = [os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    if root in found or not os.path.isdir(root) or spark.conf.get("workfold.llm.shipped", None):
+        return
+    spark.conf.set("workfold.llm.shipped", "true")
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "workfold-llm"), "zip", root, "workfold"))
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
