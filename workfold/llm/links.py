@@ -42,9 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b): root is the least id reachable.
 
     Alternating large and small stars: the edges of every node are moved to its least neighbour. A hub's
-    neighbours are aggregated and joined, not gathered; where edges are dealt by their upper end no hub
-    exists, since moved edges hang below the least node. A round is written to the shared folder; the
-    driver learns whether separate stars are left, which ends the rounds.
+    neighbours are aggregated with partial minima and joined, which Spark may split, never gathered. A
+    round is written to the shared folder; the driver learns whether separate stars are left, which ends
+    the rounds.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
@@ -52,7 +52,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.repartition("u").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.inline(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
