@@ -3,6 +3,7 @@
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.test_copies import union
 from workfold.llm import caps
@@ -75,3 +76,30 @@ def test_recall_near_the_threshold():
     for r, f in zip(*caps.list_decode(y, caps.Caps())):
         met[r] |= f in held[r]
     assert met.mean() >= 0.995
+
+
+def crowd(n=14000, pairs=200):
+    """A crowd in one cone, nearly all of it not linked, with linked pairs among it."""
+    rng = np.random.RandomState(8)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+
+    def leaning(x, cosine):
+        other = rng.standard_normal(x.shape)
+        other -= (other * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+        return cosine * x + np.sqrt(1 - cosine ** 2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+
+    x = leaning(np.tile(centre, (n, 1)), np.sqrt(0.94))
+    return np.concatenate([x, leaning(x[:pairs], 0.981)])
+
+
+def test_pairs_of_a_bucket_of_many_parts_all_meet(spark):
+    x = crowd()
+    _, filters = caps.list_decode(x, caps.Caps())
+    assert np.bincount(filters).max() > 4096 * 2
+    inner = x @ x.T >= 0.98
+    np.fill_diagonal(inner, False)
+    rows = pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": np.zeros(len(x), np.int64)})
+    got = {r.vec_id: r.n_links for r in caps.cap_components(spark.createDataFrame(rows)).collect()}
+    assert inner.sum() >= 400
+    assert [got[i] for i in range(len(x))] == inner.sum(1).tolist()

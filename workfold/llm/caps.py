@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, mixed, runs
-from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, forest
+from workfold.llm.common import id_back, id_key, runs
+from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, deal_large, forest
 from workfold.plans.pin import pin
 
 
@@ -97,7 +97,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-FILTERED = "label long, dim int, bucket long, node long, code binary, scale double, error double"
+FILTERED = "label long, dim int, node long, code binary, scale double, error double, buckets array<int>"
 
 
 def _filterer(p: Caps):
@@ -115,11 +115,10 @@ def _filterer(p: Caps):
                     short = np.rint(unit / scale[:, None]).astype(np.int8)
                     error = np.linalg.norm(short * scale[:, None] - unit, axis=1)
                     rows, filters = list_decode(unit, p)
-                    bucket = mixed(filters.astype(np.uint64) + np.uint64(dim << 40)).view(np.int64)
-                    codes = pa.array([c.tobytes() for c in short], pa.binary())
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(label[part][rows].astype(np.int64)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(bucket),
-                        pa.array(node[part][rows]), codes.take(pa.array(rows)), pa.array(scale[rows]), pa.array(error[rows])],
+                        pa.array(label[part].astype(np.int64)), pa.array(np.full(len(part), dim, np.int32)), pa.array(node[part]),
+                        pa.array([c.tobytes() for c in short], pa.binary()), pa.array(scale), pa.array(error),
+                        pa.ListArray.from_arrays(np.searchsorted(rows, np.arange(len(part) + 1)).astype(np.int32), filters.astype(np.int32))],
                         [f.split()[0] for f in FILTERED.split(", ")])
 
     return filtered
@@ -128,19 +127,12 @@ def _filterer(p: Caps):
 def _meeting(p: Caps):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for _, table in runs(batches, ["label", "dim", "bucket"], least=2):
-            node, scale, error = (table[c].to_numpy() for c in ("node", "scale", "error"))
-            code = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(len(node), -1).astype(np.float32)
-            for low in range(0, len(node), 4096):  # parts of a very large bucket hang together by their firsts
-                c, s, e = code[low:low + 4096], scale[low:low + 4096], error[low:low + 4096]
-
-                def near(x, rest):
-                    slack = e[x] + e[rest] + e[x] * e[rest] + 1e-5
-                    return (c[rest] @ c[x]) * s[rest] * s[x] >= p.cosine - slack
-
-                i, j = forest(len(c), near)
-                left += node[low:][i].tolist() + [node[0]] * (low > 0)
-                right += node[low:][j].tolist() + [node[low]] * (low > 0)
+        for _, table in runs(batches, ["label", "dim", "bucket", "_i", "_j"], least=2):
+            node, s, e = (table[c].to_numpy() for c in ("node", "scale", "error"))
+            c = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(len(node), -1).astype(np.float32)
+            i, j = forest(len(node), _nearness(c, s, e, p.cosine))
+            left += node[i].tolist()
+            right += node[j].tolist()
             if len(left) > 10000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
                 left, right = [], []
@@ -149,6 +141,25 @@ def _meeting(p: Caps):
     return meet
 
 
+def _nearness(c: np.ndarray, s: np.ndarray, e: np.ndarray, cosine: float, few: int = 64):
+    """Whether codes leave the cosine possible; after ``few`` questions the run hangs together loosely and all pairs are told at once."""
+    asked, link = 0, None
+
+    def near(x, rest):
+        nonlocal asked, link
+        asked += 1
+        if asked <= few:
+            return (c[rest] @ c[x]) * s[rest] * s[x] >= cosine - (e[x] + e[rest] + e[x] * e[rest] + 1e-5)
+        if link is None:
+            link = np.empty((len(c), len(c)), bool)
+            for low in range(0, len(c), 256):
+                t = slice(low, low + 256)
+                link[t] = (c[t] @ c.T) * s * s[t, None] >= cosine - (e[t, None] + e + e[t, None] * e + 1e-5)
+        return link[x, rest]
+
+    return near
+
+
 def cap_components(vectors: DataFrame, params: Caps = Caps(), id_col: str = "vec_id", vector_col: str = "embedding",
                    label_col: str = "label") -> DataFrame:
     """One row per input row: (vec_id, n_links, component_id, kept).
@@ -159,9 +170,9 @@ def cap_components(vectors: DataFrame, params: Caps = Caps(), id_col: str = "vec
     rows = vectors.select(id_key(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     rows = rows.select(F.xxhash64("id", "label", "embedding").alias("node"), "id", "label", "embedding")
     may_link = rows.where("label IS NOT NULL AND embedding IS NOT NULL")
-    hung = may_link.select("node", "label", "embedding").mapInArrow(_filterer(params), FILTERED)
-    keys = ["label", "dim", "bucket"]
-    coarse = hung.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_meeting(params), "a long, b long").where("a <> b")
+    decoded = pin(may_link.select("node", "label", "embedding").mapInArrow(_filterer(params), FILTERED), "cap-filters")
+    hung = decoded.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    coarse = deal_large(hung, ["label", "dim", "bucket"], "node").mapInArrow(_meeting(params), "a long, b long").where("a <> b")
     dealt = deal_into_blocks(components(coarse))
     full = may_link.select("node", "embedding").join(dealt, "node")
 

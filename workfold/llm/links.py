@@ -17,6 +17,8 @@ from workfold.llm.common import runs
 from workfold.session import fresh_path
 
 BLOCK = 256
+# A bucket of more than WHOLE members is dealt into parts of about PART, of which every two meet.
+WHOLE, PART = 4096, 2048
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -89,6 +91,22 @@ def deal_into_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
                                               F.pmod(F.xxhash64("id"), n).cast("int").alias("block"))
 
 
+def deal_large(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Rows of the buckets ``keys``, sorted by ``keys``, _i, _j and ``member``: a run of these is what meets.
+
+    A bucket of at most ``WHOLE`` rows is one run. The parts of a larger one meet two by two, each two in a
+    run of its own, so all its pairs meet and no task holds it.
+    """
+    large, _ = written(rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("_n"), F.count("*").alias("_size")).where(
+        F.col("_size") > WHOLE).drop("_size"), "large")
+    n, part = F.coalesce("_n", F.lit(1)), F.col("_part")
+    parted = rows.join(large, keys, "left").withColumn("_part", F.pmod(F.xxhash64(member), n).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (n == 1) | (j != part))
+    pairs = F.transform(others, lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
+    dealt = parted.withColumn("_p", F.explode(pairs)).withColumns({"_i": F.col("_p.i"), "_j": F.col("_p.j")}).drop("_p", "_n", "_part")
+    return dealt.repartition(*keys, "_i", "_j").sortWithinPartitions(*keys, "_i", "_j", member)
+
+
 def compare_in_blocks(rows: DataFrame, linked: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """Compare all members of each group, every two blocks once.
 
