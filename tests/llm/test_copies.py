@@ -118,3 +118,13 @@ def test_same_sets(columns):
         for j, b in enumerate(sets):
             c = len(np.intersect1d(a, b))
             assert got[i, j] == (c / (len(a) + len(b) - c) >= 0.5)
+
+
+def test_pairs_of_a_large_bucket_all_meet(spark):
+    p = jaccard.Forest(deepest=2)
+    half = 4500
+    sketches = np.random.RandomState(5).randint(0, 256, (half, p.trees * p.depth // 2)).astype(np.uint8)
+    rows = [(i, [7], sketches[i % half].tobytes()) for i in range(2 * half)]  # every sketch twice, all in one bucket
+    heads = spark.createDataFrame(rows, "node long, prefixes array<bigint>, sketch binary")
+    met = {(min(r), max(r)) for r in jaccard.candidates(heads, p).collect()}
+    assert {(i, i + half) for i in range(half)} <= met

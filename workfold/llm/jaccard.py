@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workfold.llm.common import id_back, id_key, mixed, runs, text_chunks, text_of
-from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, forest, same_sets
+from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, deal_large, forest, same_sets
 from workfold.plans.pin import pin
 
 
@@ -140,16 +140,14 @@ def _meeting(p: Forest):
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for _, table in runs(batches, ["bucket"], least=2):
+        for _, table in runs(batches, ["bucket", "_i", "_j"], least=2):
             node = table["node"].to_numpy()
             packed = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
             sketch = np.concatenate([packed & 15, packed >> 4], 1)
             spare = sketch.shape[1] - n_hashes
-            for low in range(0, len(node), 4096):  # parts of a very large bucket hang together by their firsts
-                part = sketch[low:low + 4096]
-                i, j = forest(len(part), lambda x, rest: (part[rest] == part[x]).sum(1) - spare >= must)
-                left += node[low:][i].tolist() + [node[0]] * (low > 0)
-                right += node[low:][j].tolist() + [node[low]] * (low > 0)
+            i, j = forest(len(node), lambda x, rest: (sketch[rest] == sketch[x]).sum(1) - spare >= must)
+            left += node[i].tolist()
+            right += node[j].tolist()
             if len(left) > 10000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
                 left, right = [], []
@@ -158,6 +156,12 @@ def _meeting(p: Forest):
     return meet
 
 
+def candidates(heads: DataFrame, params: Forest) -> DataFrame:
+    """Edges (a, b) of the coarse groups of (node, prefixes, sketch); all pairs of a bucket meet, however large it is."""
+    hung = heads.select(F.explode("prefixes").alias("bucket"), "node", "sketch")
+    return deal_large(hung, ["bucket"], "node").mapInArrow(_meeting(params), "a long, b long")
+
+
 def _gram_rows(p: Forest):
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ["node", "root", "n_blocks", "block"]
@@ -184,10 +188,8 @@ def jaccard_classes(docs: DataFrame, params: Forest = Forest(), id_col: str = "d
     classes = signed.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n_copies"))
     classes = pin(classes.select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), "n_copies"), "classes")
     heads = signed.join(classes.select("node", "first_id", "first_mark"), "node").where("id = first_id AND mark = first_mark")
-    heads = heads.select("node", "prefixes", "sketch").dropDuplicates(["node"])
-    hung = heads.select(F.explode("prefixes").alias("bucket"), "node", "sketch")
-    coarse = hung.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_meeting(params), "a long, b long")
-    dealt = deal_into_blocks(components(coarse))
+    heads = pin(heads.select("node", "prefixes", "sketch").dropDuplicates(["node"]), "heads")
+    dealt = deal_into_blocks(components(candidates(heads, params)))
     active = dealt.join(classes, "node").select("node", "root", "n_blocks", "block", F.col("first_id").alias("id"), F.col("first_mark").alias("mark"))
     grams = marked.join(active, ["id", "mark"]).select("node", "root", "n_blocks", "block", "text").mapInArrow(
         _gram_rows(params), "node long, root long, n_blocks int, block int, grams binary")
