@@ -103,3 +103,19 @@ def test_pairs_of_a_bucket_of_many_parts_all_meet(spark):
     got = {r.vec_id: r.n_links for r in caps.cap_components(spark.createDataFrame(rows)).collect()}
     assert inner.sum() >= 400
     assert [got[i] for i in range(len(x))] == inner.sum(1).tolist()
+
+
+def test_copies_are_one_class(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    v = rng.standard_normal(32)
+    rows = [(i, v.tolist(), 1) for i in range(1500)] + [(2000, (v + rng.standard_normal(32) * 0.01).tolist(), 1), (None, v.tolist(), 2), (2001, v.tolist(), 2)]
+    rows += [(3000 + i, [0.0] * 32, 1) for i in range(5)]
+    compared = []
+    compare = caps.compare_in_blocks
+    monkeypatch.setattr(caps, "compare_in_blocks", lambda df, linked: compared.append(df.count()) or compare(df, linked))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in caps.cap_components(df).collect()]
+    want = [(i, 1500, 0, i == 0) for i in (*range(1500), 2000)] + [(None, 1, None, True), (2001, 1, None, False)]
+    want += [(3000 + i, 0, 3000 + i, True) for i in range(5)]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(a, b, c, d) for a, b, c, d in want]))
+    assert compared == [2]

@@ -168,13 +168,17 @@ def cap_components(vectors: DataFrame, params: Caps = Caps(), id_col: str = "vec
     ``component_id`` is the least id reachable by links, itself included; ``kept`` marks that one.
     """
     rows = vectors.select(id_key(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
-    rows = rows.select(F.xxhash64("id", "label", "embedding").alias("node"), "id", "label", "embedding")
+    rows = rows.select(F.xxhash64("label", "embedding").alias("node"), "id", "label", "embedding")
     may_link = rows.where("label IS NOT NULL AND embedding IS NOT NULL")
-    decoded = pin(may_link.select("node", "label", "embedding").mapInArrow(_filterer(params), FILTERED), "cap-filters")
+    # Equal vectors of a label are one class, compared once for all its copies.
+    classes = may_link.select("node", "label", "embedding").dropDuplicates(["node"])
+    copies = may_link.select("node", "id").distinct().groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("own"))
+    decoded = pin(classes.mapInArrow(_filterer(params), FILTERED), "cap-filters")
     hung = decoded.withColumn("bucket", F.explode("buckets")).drop("buckets")
     coarse = deal_large(hung, ["label", "dim", "bucket"], "node").mapInArrow(_meeting(params), "a long, b long").where("a <> b")
     dealt = deal_into_blocks(components(coarse))
-    full = may_link.select("node", "embedding").join(dealt, "node")
+    copies = pin(copies.join(decoded.select("node"), "node"), "cap-copies")
+    full = classes.select("node", "embedding").join(dealt, "node").join(copies.select("node", "weight"), "node")
 
     def linked(table: pa.Table) -> np.ndarray:
         v = np.stack(_vectors(table["embedding"].combine_chunks()))
@@ -185,7 +189,9 @@ def cap_components(vectors: DataFrame, params: Caps = Caps(), id_col: str = "vec
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "node")
     ids = rows.select("node", "id")
-    firsts = roots.join(ids, "node").groupBy("root").agg(F.min("id").alias("first"))
-    per_node = links.join(roots, "node").join(firsts, "root").select("node", "n_links", "first")
+    firsts = roots.join(copies, "node").groupBy("root").agg(F.min("own").alias("first"))
+    linked_to = links.join(roots, "node").join(firsts, "root").select("node", "n_links", "first")
+    per_node = copies.join(linked_to, "node", "left").select(
+        "node", (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("first", "own").alias("first"))
     out = ids.join(per_node, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "id").alias("first"))
     return out.select(id_back(F.col("id")).alias("vec_id"), "n_links", id_back(F.col("first")).alias("component_id"), (F.col("id") == F.col("first")).alias("kept"))

@@ -112,7 +112,8 @@ def compare_in_blocks(rows: DataFrame, linked: Callable[[pa.Table], np.ndarray])
 
     ``rows`` has node, root, n_blocks, block and what ``linked`` needs; ``linked(table)`` gives the
     symmetric boolean matrix of the links among the table's rows. Returns (a, b, n): rows with ``b``
-    NULL hold the number of links ``n`` of node ``a`` in one run, others a spanning edge.
+    NULL hold the number of links ``n`` of node ``a`` in one run, others a spanning edge. A column
+    ``weight`` tells for how many a member counts, otherwise each counts once.
     """
     pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     keyed = rows.withColumn("_p", F.explode(pairs)).withColumns({"_i": F.col("_p.i"), "_j": F.col("_p.j")}).drop("_p", "n_blocks")
@@ -128,7 +129,7 @@ def compare_in_blocks(rows: DataFrame, linked: Callable[[pa.Table], np.ndarray])
             np.fill_diagonal(link, False)
             if i != j:
                 link &= block[:, None] != block[None, :]
-            counts = link.sum(1)
+            counts = link @ table["weight"].to_numpy() if "weight" in table.column_names else link.sum(1)
             left, right = forest(len(node), lambda x, rest: link[x, rest])
             has = np.flatnonzero(counts)
             if len(has):
