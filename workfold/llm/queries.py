@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workfold.llm import caps, chat, decontaminate, jaccard, packing, pii, repeats, secrets, simple8b, toxicity
+from workfold.llm import caps, chat, decontaminate, infill, jaccard, mixture, packing, pii, repeats, secrets, simple8b, toxicity, zfast
 from workfold.llm.common import read_table, vocabulary_path
+from workfold.plans.pin import pin
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +99,96 @@ l AS (SELECT x, count(*) AS n FROM p GROUP BY x)
 SELECT c.x AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN l ON c.x = l.x
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op5_suffix_family, op6_toxicity, op7_jaccard_forest, op8_decontaminate, op9_secret_field, op10_cap_filters)}
-ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL}
+def with_borrowed_turns(turns: DataFrame) -> DataFrame:
+    """Every conversation c begins with the first h turns of conversation c - c % 20, h = crc32(c) % 4, then has its own after h."""
+    h = F.crc32(F.col("conv").cast("string")) % 4
+    base = F.col("conv") - F.col("conv") % 20
+    own = turns.where((F.col("conv") == base) | (F.col("pos") >= h))
+    ids = turns.where("pos = 0").select("conv")
+    heads = turns.where((F.col("conv") == base) & (F.col("pos") < 3)).withColumnRenamed("conv", "base")
+    borrowed = ids.where((F.col("conv") != base) & (h > 0)).withColumn("base", base).join(heads, "base").where(F.col("pos") < h)
+    there = ids.select("conv", F.lit(-1).alias("pos"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("words"))
+    return own.unionByName(borrowed.drop("base")).unionByName(there)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of the conversations, the beginnings of some shared."""
+    turns = pin(zfast.numbered_turns(read_table(spark, sf_dir, "conversations")), "turns")
+    return zfast.prefix_nodes(*zfast.conversation_strings(with_borrowed_turns(turns)))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) ORDER BY b) AS v FROM range(256) r(b)),
+ids AS (SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: xor(a // 256, v[xor(a, x) % 256 + 1]))) % 4 AS h FROM (SELECT DISTINCT c FROM t), crc),
+own AS (
+  SELECT t.c, pos, 1 AS part, role, text FROM t JOIN ids USING (c) WHERE c = base OR pos >= h
+  UNION ALL SELECT ids.c, pos, 0, role, text FROM ids JOIN t ON t.c = ids.base WHERE ids.c <> base AND pos < h),
+r AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM own),
+s AS (SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+  string_agg(md5(role || chr(10) || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS k FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+e AS (SELECT c, max(d) AS n FROM s GROUP BY c),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256 FROM s JOIN e USING (c) GROUP BY k, d),
+kid AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (k, d)),
+under AS (SELECT substr(b.k, 1, 32 * u.d) AS k, u.d AS d, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+  FROM full_node b, LATERAL (SELECT unnest(range(0, b.d + 1)) AS d) u GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_node f JOIN under USING (k, d) LEFT JOIN node p ON p.d = f.d - 1 AND p.k = substr(f.k, 1, 32 * (f.d - 1))
+"""
+
+
+def op12_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, sources weighing 1, 2, 3 in turn."""
+    mix = mixture.mix_sources(read_table(spark, sf_dir, "documents"))
+    sources = mix.sources.select(F.array("key").alias("members"), F.col("size").alias("source_size"), "target")
+    return mix.documents.join(sources, "members").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS lot FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS i FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w::DOUBLE) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT level FROM l WHERE w * level <= 3.0::DOUBLE * source_size ORDER BY i LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN w * (SELECT level FROM f) > 3.0::DOUBLE * source_size THEN 3.0::DOUBLE * source_size ELSE w * (SELECT level FROM f) END AS target FROM s),
+x AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS q,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY lot, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size = 0 THEN 0 ELSE (q // source_size) * size + greatest(0, least(size, q % source_size - before)) END)::BIGINT AS taken FROM x
+"""
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middle lines at the end, and the texts rebuilt from that."""
+    shaped = infill.restored(infill.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return shaped.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                         F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j FROM e),
+p AS (SELECT *, array_to_string(u[1:i], '') AS pre, array_to_string(u[i + 1:j], '') AS mid, array_to_string(u[j + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN h4 % 100 < 50 THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simple8b_ids, op3_pack_power_of_two, op4_pii_weak_supervision, op5_suffix_family, op6_toxicity, op7_jaccard_forest, op8_decontaminate, op9_secret_field, op10_cap_filters,
+                                  op11_prefix_trie, op12_flow_mixture, op13_infill)}
+ORACLES = {"op1_chat_format": OP1_SQL, "op10_cap_filters": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_flow_mixture": OP12_SQL, "op13_infill": OP13_SQL}
