@@ -62,7 +62,7 @@ def feed(spark, path, steps):
 def test_every_arrival_order_gives_the_same(spark, tmp_path, scenario, waits, runs):
     orders = extensions(scenario)
     random.Random(3).shuffle(orders)
-    orders = orders[:300]
+    orders = orders[:150]
     steps = []
     for place in range(len(scenario)):
         steps.append([event(k, h, ts, n, status=s) for h, order in enumerate(orders, 1) for (k, ts, n, s) in [scenario[order[place]][0]]])
@@ -70,8 +70,9 @@ def test_every_arrival_order_gives_the_same(spark, tmp_path, scenario, waits, ru
     seen = {}
     for r in changes.orderBy("batch").collect():
         row = seen.setdefault(r.handle, [0, 0, 0, 0])
-        for i, c in enumerate(("d_pending", "d_in_flight", "wait_samples", "run_samples")):
-            row[i] += r[c]
+        row[0] += r.d_pending
+        row[1] += r.d_in_flight
+        row[2:] = [r.wait_samples, r.run_samples]
         assert 0 <= row[0] and 0 <= row[1] and row[0] + row[1] <= 1, orders[r.handle - 1]
     assert len(seen) == len(orders)
     wrong = {h: (row, orders[h - 1]) for h, row in seen.items() if row != [0, 0, waits, runs]}
@@ -82,6 +83,38 @@ def test_every_arrival_order_gives_the_same(spark, tmp_path, scenario, waits, ru
     assert (total["wait_ms_sum"], total["run_ms_sum"]) == (pivot.w, pivot.r)
 
 
+# An item that is retried once and then starts over twice: two requeues, three waits, in flight at the end.
+SEVEN = [("QUEUED", 0, 0, "OK"), ("STARTED", 10, 1, "OK"), ("FAILED", 30, 1, TASK), ("STARTED", 45, 1, "OK"), ("FAILED", 50, 1, TASK),
+         ("RETRIED", 52, 2, TASK), ("STARTED", 60, 2, "OK")]
+
+
+@pytest.mark.parametrize("cuts", [[1, 2, 3, 4, 5, 6], [3], [2, 5], []])
+def test_requeue_cycles_in_every_arrival_order_and_batch_split(spark, tmp_path, cuts):
+    orders = list(itertools.permutations(range(7)))
+    random.Random(len(cuts)).shuffle(orders)
+    orders = orders[:240]
+    steps, bounds = [], [0, *cuts, 7]
+    for low, high in zip(bounds, bounds[1:]):
+        steps.append([event(SEVEN[i][0], h, SEVEN[i][1], SEVEN[i][2], status=SEVEN[i][3], arrival=i) for h, order in enumerate(orders, 1) for i in order[low:high]])
+    stream = feed(spark, str(tmp_path / "in"), steps)
+    batch = lifecycle(spark, [event(k, 1, ts, n, status=s) for k, ts, n, s in SEVEN])
+    want = by(A.gauges(batch).join(A.wait_latency(batch), "task").join(A.run_latency(batch), "task"), "task")["t"]
+    assert (want["in_flight"], want["pending"], want["wait_samples"], want["wait_ms_sum"], want["run_samples"]) == (1, 0, 3, 10 + 45 + 8, 2)
+    changes = drain(S.stream_lifecycle_state(stream), "seven")
+    per_handle = S.fold_changes(changes.withColumn("task", F.col("handle").cast("string"))).where("task <> '(total)'").drop("task", "expired")
+    assert [r.asDict() for r in per_handle.distinct().collect()] == [{k: v for k, v in want.items() if k != "task"}]
+    assert per_handle.count() == len(orders)
+    events = newest(drain(G.stream_attempts(stream), "seven-events"), ["handle", "task"])
+    per_handle = G.lifecycle_now(events.withColumn("task", F.col("handle").cast("string"))).where("task <> '(total)'").drop("task")
+    assert [r.asDict() for r in per_handle.distinct().collect()] == [{k: v for k, v in want.items() if k != "task"}]
+
+
+def test_events_delivered_again_count_once(spark, tmp_path):
+    log = [event(k, 1, ts, n, status=s, arrival=i) for i, (k, ts, n, s) in enumerate(SEVEN)]
+    total = by(S.fold_changes(drain(S.stream_lifecycle_state(feed(spark, str(tmp_path / "in"), [log[:4], log[2:], log])), "again")), "task")["t"]
+    assert (total["in_flight"], total["wait_samples"], total["run_samples"]) == (1, 3, 2)
+
+
 def random_log(seed, handles=60):
     """Items that retry, are cancelled, dropped or left open, as legal logs."""
     rnd, log = random.Random(seed), []
@@ -102,6 +135,10 @@ def random_log(seed, handles=60):
                 log.append(event("FINISHED", h, ts, n, task))
                 break
             log.append(event("FAILED", h, ts, n, task, TASK))
+            if h % 5 == 0 and n == 2:  # starts over
+                ts += rnd.randrange(1, 20)
+                log += [event("STARTED", h, ts, 1, task), event("FAILED", h, ts + 3, 1, task, TASK)]
+                break
             if n == 4:
                 log.append(event(rnd.choice(["DEAD_LETTERED", "DROPPED"]), h, ts, n, task, TASK))
             else:
@@ -119,14 +156,15 @@ def test_streams_equal_batch_in_random_order(spark, tmp_path, seed):
     got = by(S.fold_changes(drain(S.stream_lifecycle_state(stream), "life")).drop("expired"), "task")
     want = by(A.gauges(batch).join(A.wait_latency(batch), "task").join(A.run_latency(batch), "task"), "task")
     assert got == want
-    kept = newest(drain(G.stream_attempts(stream), "attempts"), ["handle", "task", "attempt"])
+    kept = newest(drain(G.stream_attempts(stream), "attempts"), ["handle", "task"])
     assert by(G.lifecycle_now(kept), "task") == want
     counts = by(newest(drain(G.stream_counters(stream), "count"), ["task"]), "task")
     assert counts == by(A.counters(batch), "task")
-    first = by(newest(drain(S.stream_first_terminal(stream), "first"), ["handle"]), "handle")
-    assert first == by(J.outcomes(batch), "handle")
+    for span in (None, "40 milliseconds"):
+        first = newest(drain(S.stream_first_terminal(stream, span, origin_ms=10**12), "first"), ["handle", "from_ms"])
+        assert by(S.outcomes_now(first), "handle") == by(J.outcomes(batch), "handle")
     deps = spark.createDataFrame([(h % 7, h) for h in range(1, 61)], "gate long, dep long")
-    gates = by(drain(S.stream_gates(stream, deps), "gates").drop("batch"), "gate")
+    gates = by(drain(S.stream_gates(stream, deps, origin_ms=10**12), "gates", "append").drop("batch"), "gate")
     opened = J.gate_release(deps.select("gate").distinct(), deps, batch).where("state = 'open'")
     assert {g: r["release_ms"] for g, r in gates.items()} == {r.gate: r.release_ms for r in opened.collect()}
 
@@ -142,36 +180,109 @@ def test_markers_expire_and_are_counted(spark, tmp_path):
     assert (total["expired"], total["in_flight"], total["pending"]) == (1, 1, 0)
 
 
-def test_overrun_alert_fires_while_open_and_on_late_end(spark, tmp_path):
+def test_unseen_queued_events_expire_over_several_batches(spark, tmp_path):
+    hour = 3600000
+    steps = [[event("STARTED", 1, 0, 1), event("FINISHED", 1, 10, 1), event("FINISHED", 1, 20, 1)],    # its QUEUED never comes; told twice
+             [event("QUEUED", 2, hour), event("FINISHED", 2, hour + 5, 1), event("FINISHED", 3, hour + 6, 1)],
+             [event("QUEUED", 3, hour + 30 * 60000), event("FINISHED", 4, 30 * hour, 1)],              # 3's comes late, within the time to live
+             [event("SAMPLE", 9, 60 * hour)]]
+    stream = S.stream_expired_markers(feed(spark, str(tmp_path / "in"), steps), ttl="1 HOUR", lifetime="1 DAY", origin_ms=10**12)
+    got = drain(stream, "ttl", "append")
+    assert sorted((r.handle, r.ts_ms) for r in got.collect()) == [(1, 10), (4, 30 * hour)]
+    assert len({r.batch for r in got.collect()}) == 2
+
+
+def progress_of(query):
+    """Rows in the state after the last micro-batch."""
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
+
+
+def run_out(stream, path, table, mode="append"):
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", table).option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+@pytest.mark.parametrize("batches", [1, 10])
+def test_overrun_alerts_do_not_hang_on_batches(spark, tmp_path, batches):
     minute = 60000
-    steps = [[event("STARTED", 1, 0, 1), event("STARTED", 2, 0, 1), event("STARTED", 3, 0, 1)],
-             [event("FINISHED", 2, 5 * minute, 1)],                # in time
-             [event("FINISHED", 3, 30 * minute, 1)],               # over before any timer could fire
-             [event("STARTED", 4, 90 * minute, 1)],                # moves the watermark past 1's deadline
-             [event("FINISHED", 1, 95 * minute, 1)]]               # already reported
+    log = [event("STARTED", 1, 0, 1), event("STARTED", 2, 0, 1), event("STARTED", 3, 0, 1), event("FINISHED", 2, 5 * minute, 1),    # 2 is in time
+           event("FINISHED", 3, 30 * minute, 1), event("STARTED", 4, 90 * minute, 1), event("FAILED", 1, 95 * minute, 1),              # 3 and 1 end late
+           event("STARTED", 1, 96 * minute, 1), event("FINISHED", 1, 99 * minute, 1), event("FAILED", 4, 100 * minute, 1),             # 1 starts over, in time
+           event("STARTED", 5, 200 * minute, 1),                                                                                       # never ends
+           event("STARTED", 0, 900 * minute, 1), event("FINISHED", 0, 900 * minute, 1)]
+    size = -(-len(log) // batches)
     limits = spark.createDataFrame([("t", 10 * minute)], "task string, limit_ms long")
-    got = drain(S.stream_overrun_alert(feed(spark, str(tmp_path / "in"), steps), limits, delay="1 second", origin_ms=10**12), "alerts")
-    assert sorted((r.handle, r.attempt, r.deadline_ms, r.over_ms) for r in got.collect()) == [
-        (1, 1, 10 * minute, None), (3, 1, 10 * minute, 20 * minute)]
+    stream = feed(spark, str(tmp_path / "in"), [log[i:i + size] for i in range(0, len(log), size)])
+    got = S.alerts_now(drain(S.stream_overrun_alert(stream, limits, horizon="2 HOURS", origin_ms=10**12), "alerts", "append"))
+    assert sorted((r.handle, r.attempt, r.deadline_ms, r.what, r.over_ms) for r in got.where("handle > 0").collect()) == [
+        (1, 1, 10 * minute, "ended", 85 * minute), (1, 1, 10 * minute, "open", None), (3, 1, 10 * minute, "ended", 20 * minute),
+        (3, 1, 10 * minute, "open", None), (5, 1, 210 * minute, "open", None)]
+
+
+COLS_S, COLS_F = "business_id string, round int, handle long, ts_ms long", (
+    "business_id string, round int, handle long, ts_ms long, arrival long, status string, attempt int, ok boolean")
+
+
+def rows_as_files(spark, rows, schema, path):
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(path)
 
 
 def test_ledger_stream_in_any_order(spark, tmp_path):
-    subs = [("a", 0, 1, 0), ("a", 1, 2, 100), ("b", 0, 3, 0)]
+    subs = [("a", 0, 1, 0), ("a", 1, 2, 100), ("b", 0, 3, 0), ("c", 0, 4, 0)]
     facts = [("a", 0, 1, 50, 1, TASK, 1, False), ("a", 0, 1, 60, 2, TASK, 1, False), ("a", 0, 1, 500, 3, TASK, 1, False),
              ("a", 1, 2, 150, 4, "OK", 2, True), ("b", 0, 3, 70, 5, TASK, 3, False)]
-    cols_s, cols_f = "business_id string, round int, handle long, ts_ms long", (
-        "business_id string, round int, handle long, ts_ms long, arrival long, status string, attempt int, ok boolean")
-    want = by(J.ledger(spark.createDataFrame(subs, cols_s), spark.createDataFrame(facts, cols_f).drop("business_id", "round")), "business_id")
-    assert want["a"]["confirmations"] == 1 and want["a"]["state"] == "recovered"
+    end = 10**9
+    want = by(J.ledger(spark.createDataFrame(subs, COLS_S), spark.createDataFrame(facts, COLS_F).drop("business_id", "round")), "business_id")
+    assert want["a"]["confirmations"] == 1 and want["a"]["state"] == "recovered" and want["c"]["state"] == "open"
     for turn, order in enumerate(itertools.islice(itertools.permutations(facts), 0, 120, 40)):
         base = str(tmp_path / f"o{turn}")
-        for i, fact in enumerate(order):
-            spark.createDataFrame([fact], cols_f).coalesce(1).write.mode("append").parquet(f"{base}/facts")
-        for sub in subs[::-1]:
-            spark.createDataFrame([sub], cols_s).coalesce(1).write.mode("append").parquet(f"{base}/subs")
-        read = spark.readStream.option("maxFilesPerTrigger", 1)
-        out = drain(S.stream_ledger(read.schema(cols_s).parquet(f"{base}/subs"), read.schema(cols_f).parquet(f"{base}/facts")), "ledger")
-        assert by(newest(out, ["business_id"]), "business_id") == want
+        read_s = rows_as_files(spark, [[x] for x in subs[::-1]] + [[("", 0, 0, end)]], COLS_S, f"{base}/subs")
+        read_f = rows_as_files(spark, [[x] for x in order] + [[("", 0, 0, end, 0, "OK", 1, True)]], COLS_F, f"{base}/facts")
+        out = drain(S.stream_ledger(read_s, read_f, origin_ms=10**12), "ledger", "append", each=S.folded_facts)
+        assert by(S.ledger_now(out).where("business_id <> ''"), "business_id") == want
+
+
+def test_ledger_state_stays_flat_under_confirmations(spark, tmp_path):
+    many = [("a", 0, 1, 1000 + i, i, TASK, 1, False) for i in range(10_000)]
+    sizes = []
+    for turn, facts in enumerate(([many[0]], many)):
+        base = str(tmp_path / f"s{turn}")
+        read_s = rows_as_files(spark, [[("a", 0, 1, 0)], [("", 0, 0, 10**9)]], COLS_S, f"{base}/subs")
+        read_f = rows_as_files(spark, [facts, [("", 0, 0, 10**9, 0, "OK", 1, True)]], COLS_F, f"{base}/facts")
+        query = run_out(S.stream_ledger(read_s, read_f, origin_ms=10**12), f"{base}/progress", f"{base}/out")
+        sizes.append(progress_of(query))
+        assert spark.read.parquet(f"{base}/out").where("business_id = 'a' AND ts_ms IS NOT NULL").count() == len(facts)
+    assert sizes[0] == sizes[1] <= 3
+
+
+def test_gate_state_is_gone_when_all_are_open(spark, tmp_path):
+    steps = [[event("FINISHED", h, 10 + h, 1) for h in range(i, 60, 3)] for i in range(3)] + [[event("FINISHED", 1, 50, 1)], [event("FINISHED", 999, 10**9, 1)]]
+    deps = spark.createDataFrame([(h % 7, h) for h in range(60)], "gate long, dep long")
+    query = run_out(S.stream_gates(feed(spark, str(tmp_path / "in"), steps), deps, origin_ms=10**12), str(tmp_path / "progress"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+    assert [op["numRowsTotal"] for op in query.lastProgress["stateOperators"] if op["operatorName"].startswith("transformWithState")] == [0]
+    assert progress_of(query) <= 1  # the heartbeat itself
+
+
+def test_rates_are_counted_per_step_first(spark, tmp_path):
+    log = [event("FINISHED", h, h * 700, 1) for h in range(200)] + [event("SAMPLE", 0, 10**8)]
+    stream = feed(spark, str(tmp_path / "in"), [log[:90], log[90:200], log[200:]])
+    got = drain(G.stream_done_rate(stream, "32 seconds", "1 second", origin_ms=10**12), "rate", "append")
+    want = {}
+    for h in range(200):
+        for k in range(32):
+            end = (h * 700 // 1000 + k + 1) * 1000
+            want[end] = want.get(end, 0) + 1
+    assert {r.sample_ms: r.done for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_old_windows_leave_the_state(spark, tmp_path):
+    steps = [[event("FINISHED", h, 10 + h, 1) for h in range(500)], [event("FINISHED", 7, 3600000 * 50, 1)], [event("FINISHED", 8, 3600000 * 99, 1)]]
+    query = run_out(S.stream_first_terminal(feed(spark, str(tmp_path / "in"), steps), "1 hour", origin_ms=36 * 10**11), str(tmp_path / "p"), str(tmp_path / "o"), "append")
+    assert progress_of(query) <= 1
 
 
 def test_batch_written_again_counts_once(spark, tmp_path):

@@ -14,6 +14,7 @@ COUNTS_ALL = (COUNTS + ", count(*) FILTER (kind = 'FAILED' AND status = 'CANCELL
 TASK = "CASE WHEN grouping(task) = 1 THEN '(total)' ELSE task END AS task"
 ROLL = "GROUP BY GROUPING SETS ((task), ())"
 WAIT = "CASE WHEN started_ms IS NOT NULL AND queued_ms IS NOT NULL THEN greatest(0, started_ms - queued_ms) END"
+REQUEUED_WAIT = WAIT.replace("queued_ms", "coalesce(queued_ms, base_ms)")
 RUN = "CASE WHEN ended_ms >= started_ms THEN ended_ms - started_ms END"
 
 

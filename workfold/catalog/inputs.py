@@ -115,6 +115,13 @@ class Inputs:
         )
         return queued.unionByName(ran).withColumns({"arrival": _arrival(kind), "flags": F.lit(0)})
 
+    @cached_property
+    def requeued(self) -> DataFrame:
+        """The log where every sixth item starts over after each failure in place of being retried, and some end open."""
+        again, log = F.col("handle") % 6 == 0, self.lifecycle
+        return log.where(~(again & (F.col("kind") == "RETRIED"))).withColumn(
+            "attempt", F.when(again, F.least("attempt", F.lit(1))).otherwise(F.col("attempt")))
+
     @property
     def _measure_array(self) -> F.Column:
         def one(name, value, unit, kind, method):

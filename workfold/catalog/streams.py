@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workfold import model as M
-from workfold.catalog.aggregates import COUNTS_ALL, ROLL, RUN, TASK, WAIT, latency
+from workfold.catalog.aggregates import COUNTS_ALL, REQUEUED_WAIT, ROLL, RUN, TASK, latency
 from workfold.catalog.registry import longs, query
 from workfold.catalog.rules import LEDGER, terminal_facts
 from workfold.operators import aggregates as A
@@ -27,10 +27,32 @@ def written(df, label: str) -> str:
     return path
 
 
+def written_in_order(df, label: str, slices: int = 5) -> str:
+    """The rows as files in order of ``ts_ms``, one for each of a few slices, as a source writes that goes on:
+    a stream with a watermark takes what comes much later than the newest event as late."""
+    path = fresh_path(df.sparkSession, label)
+    cuts = df.agg(F.percentile_approx("ts_ms", [i / slices for i in range(1, slices)], 1000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(F.col("ts_ms") > low)
+        (part if high is None else part.where(F.col("ts_ms") <= high)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def beating(log):
+    """The log, and a sample of nobody long after its end, which moves the watermark past all that happened."""
+    last = log.groupBy().agg((F.max("ts_ms") + 400 * 86400000).alias("ts_ms"))
+    return log.unionByName(last.select(F.lit("SAMPLE").alias("kind"), "ts_ms"), allowMissingColumns=True)
+
+
 def streamed(fx, log=None, files_per_batch: int | None = 3):
     return L.stream_lifecycle(fx.spark, written(fx.lifecycle if log is None else log, "log"), files_per_batch=files_per_batch)
 
 
+def in_order(fx, log=None):
+    """The log as five micro-batches in order of time, and one with the heartbeat."""
+    return L.stream_lifecycle(fx.spark, written_in_order(beating(fx.lifecycle if log is None else log), "log"), files_per_batch=1)
+
+
 @query("src_lifecycle", """
 SELECT kind, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, CAST(sum(attempt) AS BIGINT) AS attempts, count(*) AS no_shard FROM fx_lifecycle GROUP BY kind""", ["fx_lifecycle"])
 def _(fx):
@@ -73,39 +95,34 @@ def _(fx):
     return newest(drain(G.stream_counters(streamed(fx)), "counters"), ["task"])
 
 
-STATE = """h AS (SELECT handle, task, max(CASE WHEN {t} THEN 1 ELSE 0 END) AS closed,
-  max(greatest(attempt, 1) * 4 + CASE WHEN kind IN ('QUEUED','RETRIED') THEN 0 WHEN kind = 'STARTED' THEN 1 ELSE 2 END) % 4 AS phase
-  FROM fx_lifecycle GROUP BY handle, task)""".format(
-    t="kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')")
-
-
 @query("stream_lifecycle_state", f"""
-WITH {STATE}, g AS (SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS pending, count(*) FILTER (closed = 0 AND phase = 1) AS in_flight FROM h {ROLL}),
-l AS (SELECT {TASK}, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot {ROLL})
-SELECT * FROM g JOIN l USING (task)""", ["fx_lifecycle", "fx_pivot"])
+WITH g AS (SELECT {TASK}, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'in_flight') AS in_flight FROM fx_requeued_state {ROLL}),
+l AS (SELECT {TASK}, {latency('wait', REQUEUED_WAIT)}, {latency('run', RUN)} FROM fx_requeued_pivot {ROLL})
+SELECT * FROM g JOIN l USING (task)""", ["fx_requeued_state", "fx_requeued_pivot"])
 def _(fx):
-    changes = drain(S.stream_lifecycle_state(streamed(fx)), "changes")
+    changes = drain(S.stream_lifecycle_state(streamed(fx, fx.requeued)), "changes")
     return S.fold_changes(changes).drop("expired")
 
 
 @query("stream_attempts", f"""
-WITH {STATE}, g AS (SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS pending, count(*) FILTER (closed = 0 AND phase = 1) AS in_flight FROM h {ROLL}),
-l AS (SELECT {TASK}, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot {ROLL})
-SELECT * FROM g JOIN l USING (task)""", ["fx_lifecycle", "fx_pivot"])
+WITH g AS (SELECT {TASK}, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'in_flight') AS in_flight FROM fx_requeued_state {ROLL}),
+l AS (SELECT {TASK}, {latency('wait', REQUEUED_WAIT)}, {latency('run', RUN)} FROM fx_requeued_pivot {ROLL})
+SELECT * FROM g JOIN l USING (task)""", ["fx_requeued_state", "fx_requeued_pivot"])
 def _(fx):
-    attempts = newest(drain(G.stream_attempts(streamed(fx)), "attempts"), ["handle", "task", "attempt"])
-    return longs(G.lifecycle_now(attempts), "wait_ms_sum", "run_ms_sum")
+    events = newest(drain(G.stream_attempts(streamed(fx, fx.requeued)), "attempts"), ["handle", "task"])
+    return longs(G.lifecycle_now(events), "wait_ms_sum", "run_ms_sum")
 
 
 @query("stream_state_ttl", """
-WITH e AS (SELECT handle, task, max(ts_ms) AS latest FROM fx_lifecycle WHERE kind <> 'QUEUED' GROUP BY handle, task
-  HAVING bool_or(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')))
-SELECT task, count(*) AS expired FROM e WHERE latest + 864000000 + 1 < (SELECT max(ts_ms) FROM fx_lifecycle WHERE kind <> 'QUEUED') GROUP BY task""", ["fx_lifecycle"])
+WITH e AS (SELECT handle, task, min(ts_ms) AS over_ms FROM fx_lifecycle
+  WHERE kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED') GROUP BY handle, task)
+SELECT e.over_ms // 86400000 * 86400000 AS from_ms, task, count(*) AS expired FROM e JOIN fx_items i USING (handle, task)
+WHERE handle % 3 = 0 OR enqueue_ms < over_ms - 2592000000 OR enqueue_ms > over_ms + 3600000 GROUP BY over_ms // 86400000, task""", ["fx_lifecycle", "fx_items"])
 def _(fx):
-    # Work queued before anyone listened: every item ends as a marker whose QUEUED never comes.
-    log = fx.lifecycle.where(F.col("kind") != "QUEUED")
-    changes = drain(S.stream_lifecycle_state(streamed(fx, log, None), ttl_ms=864000000, delay="1 millisecond", origin_ms=ORIGIN), "ttl")
-    return changes.groupBy("task").agg(F.sum("expired").alias("expired")).where("expired > 0")
+    # Of every third item nobody saw the QUEUED; some others were queued too long before to be remembered.
+    log = fx.lifecycle.where((F.col("kind") != "QUEUED") | (F.col("handle") % 3 != 0))
+    stream = S.stream_expired_markers(in_order(fx, log), ttl="1 HOUR", lifetime="30 DAYS", origin_ms=ORIGIN)
+    return drain(stream, "ttl", "append", each=S.expired_per_day).groupBy("from_ms", "task").agg(F.sum("expired").alias("expired"))
 
 
 @query("stream_done_rate", """
@@ -114,51 +131,69 @@ x AS (SELECT cell + i AS slot, n FROM c, range(32) r(i))
 SELECT 'sliding' AS how, CAST((slot + 1) * 225000 AS BIGINT) AS sample_ms, CAST(sum(n) AS BIGINT) AS done, round(sum(n) * 1000 / 7200000, 6) AS per_s FROM x GROUP BY slot
 UNION ALL SELECT 'tumbling', (ts_ms // 7200000 + 1) * 7200000, count(*), round(count(*) * 1000 / 7200000, 6) FROM fx_lifecycle WHERE kind = 'FINISHED' GROUP BY ts_ms // 7200000""", ["fx_lifecycle"])
 def _(fx):
-    path = written(fx.lifecycle, "log")
+    path = written_in_order(beating(fx.lifecycle), "log")
 
     def rate(step, how):
-        stream = L.stream_lifecycle(fx.spark, path, files_per_batch=3)
-        table = drain(G.stream_done_rate(stream, "7200 seconds", step, delay="5000 days"), "rate")
-        return newest(table, ["sample_ms"]).withColumn("how", F.lit(how))
+        stream = L.stream_lifecycle(fx.spark, path, files_per_batch=1)
+        table = drain(G.stream_done_rate(stream, "7200 seconds", step, origin_ms=ORIGIN), "rate", "append")
+        return table.drop("batch").withColumn("how", F.lit(how))
 
     return rate("225 seconds", "sliding").unionByName(rate(None, "tumbling"))
 
 
 @query("stream_measure_fold", """
-SELECT ts_ms // 2592000000 * 2592000000 AS from_ms, task, name, method, unit, kind, count(*) AS count, CAST(sum(value) AS BIGINT) AS sum, min(value) AS min, max(value) AS max,
- arg_max(value, CAST(ts_ms AS HUGEINT) * 1000000000 + arrival) AS last FROM fx_measures GROUP BY ts_ms // 2592000000, task, name, method, unit, kind""", ["fx_measures"])
+SELECT (ts_ms + 788918400000) // 2592000000 * 2592000000 - 788918400000 AS from_ms, task, name, method, unit, kind, count(*) AS count, CAST(sum(value) AS BIGINT) AS sum, min(value) AS min, max(value) AS max,
+ arg_max(value, CAST(ts_ms AS HUGEINT) * 1000000000 + arrival) AS last FROM fx_measures GROUP BY (ts_ms + 788918400000) // 2592000000, task, name, method, unit, kind""", ["fx_measures"])
 def _(fx):
-    table = drain(G.stream_measure_fold(streamed(fx), "30 days", delay="5000 days"), "fold")
+    table = drain(G.stream_measure_fold(in_order(fx), "30 days", origin_ms=ORIGIN), "fold")
     rows = newest(table, ["from_ms", "task", "name", "method", "unit", "kind"])
     return rows.withColumns({c: F.col(c).cast("long") for c in ("sum", "min", "max", "last")})
 
 
 @query("stream_first_terminal", "SELECT * FROM fx_outcomes", ["fx_outcomes"])
 def _(fx):
-    return newest(drain(S.stream_first_terminal(streamed(fx)), "first"), ["handle"])
+    table = drain(S.stream_first_terminal(in_order(fx), "30 days", origin_ms=ORIGIN), "first")
+    return S.outcomes_now(newest(table, ["handle", "from_ms"]))
 
 
 @query("stream_ledger", f"WITH {LEDGER} SELECT * FROM led", ["fx_submissions", "fx_damaged"])
 def _(fx):
     ids = fx.submissions.select("business_id", "round", "handle")
-    subs = fx.spark.readStream.schema(fx.submissions.schema).option("maxFilesPerTrigger", 3).parquet(written(fx.submissions, "subs"))
-    facts = streamed(fx, fx.damaged).transform(terminal_facts).join(ids, "handle")
-    return newest(drain(S.stream_ledger(subs, facts), "ledger"), ["business_id"])
+    last = fx.damaged.groupBy().agg((F.max("ts_ms") + 400 * 86400000).alias("ts_ms")).withColumns({
+        "business_id": F.lit(""), "round": F.lit(0), "handle": F.lit(0).cast("long")})
+    subs = fx.submissions.unionByName(last, allowMissingColumns=True)
+    subs = fx.spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(written_in_order(subs, "subs"))
+    facts = fx.damaged.transform(terminal_facts).join(ids, "handle").unionByName(last, allowMissingColumns=True)
+    facts = fx.spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(written_in_order(facts, "facts"))
+    # A fact may come up to seven years after the round that cut it off, in this log.
+    stream = S.stream_ledger(subs, facts, horizon="2600 DAYS", origin_ms=ORIGIN)
+    return S.ledger_now(drain(stream, "ledger", "append", each=S.folded_facts)).where("business_id <> ''")
 
 
 @query("stream_gates", """
 SELECT gate, count(*) AS deps, max(ended_ms) AS release_ms FROM fx_gate_deps LEFT JOIN fx_outcomes ON handle = dep GROUP BY gate HAVING count(*) = count(ended_ms)""",
        ["fx_gate_deps", "fx_outcomes"])
 def _(fx):
-    return drain(S.stream_gates(streamed(fx), fx.gate_deps), "gates").drop("batch")
+    return drain(S.stream_gates(in_order(fx), fx.gate_deps, origin_ms=ORIGIN), "gates", "append").drop("batch")
 
 
 @query("stream_overrun_alert", """
-SELECT handle, attempt, started_ms + timeout_s * 1000 AS deadline_ms, ended_ms - started_ms - timeout_s * 1000 AS over_ms
-FROM fx_attempts JOIN policies USING (task) WHERE timeout_s > 0 AND ended_ms - started_ms > timeout_s * 1000""", ["fx_attempts", "policies"])
+WITH e AS (SELECT handle, attempt, started_ms, started_ms + timeout_s * 1000 AS deadline_ms,
+  (SELECT min(ts_ms) FROM fx_lifecycle l WHERE l.handle = a.handle AND l.attempt = a.attempt AND l.kind IN ('FINISHED', 'FAILED') AND l.ts_ms >= a.started_ms AND l.handle % 13 <> 0) AS ended_ms
+  FROM fx_attempts a JOIN policies USING (task) WHERE timeout_s > 0)
+SELECT handle, attempt, deadline_ms, 'open' AS what, CAST(NULL AS BIGINT) AS over_ms FROM e WHERE ended_ms IS NULL OR ended_ms > deadline_ms
+UNION ALL SELECT handle, attempt, deadline_ms, 'ended', ended_ms - deadline_ms FROM e WHERE ended_ms > deadline_ms AND ended_ms <= deadline_ms + 7 * 86400000""",
+       ["fx_attempts", "fx_lifecycle", "policies"])
 def _(fx):
+    # Some items never end.
+    log = fx.lifecycle.where((F.col("handle") % 13 != 0) | F.col("kind").isin("QUEUED", "STARTED"))
     limits = fx.policies.where("timeout_s > 0").select("task", (F.col("timeout_s").cast("long") * 1000).alias("limit_ms"))
-    return drain(S.stream_overrun_alert(streamed(fx, None, None), limits, origin_ms=ORIGIN), "alerts").drop("batch")
+    # Starts and ends each move the watermark; both come to an end of the log, long after the last.
+    last = log.groupBy().agg((F.max("ts_ms") + 400 * 86400000).alias("ts_ms")).withColumns({
+        "handle": F.lit(0).cast("long"), "attempt": F.lit(1), "task": F.lit("2-HIGH"), "kind": F.explode(F.array(F.lit("STARTED"), F.lit("FINISHED")))})
+    path = written_in_order(log.unionByName(last, allowMissingColumns=True), "log")
+    alerts = drain(S.stream_overrun_alert(L.stream_lifecycle(fx.spark, path, files_per_batch=1), limits, horizon="7 DAYS", origin_ms=ORIGIN), "alerts", "append")
+    return S.alerts_now(alerts).where("handle > 0")
 
 
 @query("stream_latest_sample", """
@@ -172,7 +207,8 @@ def _(fx):
     ends = fx.attempts.where("handle % 3 = 0").select(F.lit("FINISHED").alias("kind"), "handle", "attempt", F.col("ended_ms").alias("ts_ms"),
                                                       F.lit(0).cast("long").alias("arrival"), F.lit(None).cast(log.schema["measures"].dataType).alias("measures"))
     log = log.unionByName(ends)
-    stream = streamed(fx, log).select("kind", "handle", "attempt", "ts_ms", "arrival", F.explode_outer("measures").alias("m")).select(
+    stream = in_order(fx, log).select("kind", "handle", "attempt", "ts_ms", "arrival", F.explode_outer("measures").alias("m")).select(
         "kind", "handle", "attempt", "ts_ms", "arrival", "m.name", "m.value")
-    out = newest(drain(G.stream_latest_sample(stream), "samples"), ["handle", "attempt"]).where("NOT ended AND samples > 0").drop("ended")
+    table = drain(G.stream_latest_sample(stream, span="30 days", origin_ms=ORIGIN).select("*", F.unix_millis("w.start").alias("from_ms")).drop("w"), "samples")
+    out = G.samples_now(newest(table, ["handle", "attempt", "from_ms"]))
     return out.withColumn("current", F.col("current").cast("long"))

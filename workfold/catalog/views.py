@@ -51,6 +51,27 @@ SELECT handle, task, greatest(attempt, 1) AS attempt,
        min(ts_ms) FILTER (kind IN ('FINISHED','FAILED')) AS ended_ms,
        min(ts_ms) FILTER (kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) AS closed_ms
 FROM fx_lifecycle GROUP BY ALL"""),
+    # Every sixth item starts over after each failure in place of being retried: a start with attempt 1 is a new cycle.
+    "fx_requeued": (["fx_lifecycle"], """
+SELECT * REPLACE (CASE WHEN handle % 6 = 0 THEN CAST(least(attempt, 1) AS INT) ELSE attempt END AS attempt),
+ CASE WHEN handle % 6 = 0 THEN greatest(attempt, 1) ELSE 1 END AS turn FROM fx_lifecycle WHERE NOT (handle % 6 = 0 AND kind = 'RETRIED')"""),
+    "fx_requeued_events": (["fx_requeued"], """
+SELECT *, greatest(1, sum(CASE WHEN kind = 'STARTED' AND attempt <= 1 THEN 1 ELSE 0 END) OVER w) AS cycle,
+ max(CASE WHEN kind IN ('QUEUED','RETRIED') THEN ts_ms END) OVER (PARTITION BY handle ORDER BY ts_ms, attempt, phase, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS queued_before
+FROM (SELECT *, CASE WHEN kind IN ('QUEUED','RETRIED') THEN 0 WHEN kind = 'STARTED' THEN 1 WHEN kind IN ('FINISHED','FAILED') THEN 2 ELSE 3 END AS phase FROM fx_requeued)
+WINDOW w AS (PARTITION BY handle ORDER BY ts_ms, attempt, phase, arrival ROWS UNBOUNDED PRECEDING)"""),
+    "fx_requeued_pivot": (["fx_requeued_events"], """
+SELECT handle, task, cycle, greatest(attempt, 1) AS attempt,
+       min(ts_ms) FILTER (kind IN ('QUEUED','RETRIED')) AS queued_ms,
+       min(queued_before) FILTER (kind = 'STARTED' AND attempt <= 1 AND cycle > 1) AS base_ms,
+       min(ts_ms) FILTER (kind = 'STARTED') AS started_ms,
+       min(ts_ms) FILTER (kind IN ('FINISHED','FAILED')) AS ended_ms,
+       min(ts_ms) FILTER (kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) AS closed_ms
+FROM fx_requeued_events GROUP BY ALL"""),
+    "fx_requeued_state": (["fx_requeued_events"], """
+SELECT handle, task, CASE WHEN is_over THEN 'over' WHEN reached % 4 = 1 THEN 'in_flight' WHEN reached % 4 = 0 THEN 'pending' ELSE 'limbo' END AS state FROM (
+ SELECT handle, task, max(cycle * 1000000 + greatest(attempt, 1) * 4 + least(phase, 2)) AS reached,
+  bool_or(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) AS is_over FROM fx_requeued_events GROUP BY handle, task)"""),
     "fx_measures": (["fx_attempts"], """
 SELECT *, handle * 1000 + attempt * 10 + CASE WHEN status = 'OK' THEN 3 ELSE 4 END AS arrival,
  list_position(['mem.peak','cpu.user_ms','exit.code','mem.cap_hit'], name) AS nth FROM (

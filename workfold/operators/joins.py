@@ -16,17 +16,28 @@ ENDS = ["FINISHED", "FAILED", "DEAD_LETTERED", "DROPPED"]
 STATUSES = list(M.STATUS_TEXT)
 
 
-def outcomes(lifecycle: DataFrame) -> DataFrame:
-    """The first terminal event of every handle that has one, and how many repeats confirmed it."""
-    ends = lifecycle.where(terminal()).select(
+def end_facts(lifecycle: DataFrame) -> DataFrame:
+    """Terminal events as numbers, so that they aggregate by hash; a stream keeps its event time ``ts``."""
+    return lifecycle.where(terminal()).select(
         "handle", "ts_ms", "attempt", point().alias("_at"),
-        code_of("kind", ENDS).alias("_kind"), code_of("status", STATUSES).alias("_status"))
-    first = ends.groupBy("handle").agg(
-        F.min("_at"), F.min("ts_ms").alias("ended_ms"), F.min_by("attempt", "_at").alias("attempt"),
-        F.min_by("_kind", "_at").alias("_kind"), F.min_by("_status", "_at").alias("_status"),
-        (F.count("*") - 1).alias("confirmations"))
+        code_of("kind", ENDS).alias("_kind"), code_of("status", STATUSES).alias("_status"), *(["ts"] if "ts" in lifecycle.columns else []))
+
+
+def first_end(ends: DataFrame, keys: list) -> DataFrame:
+    """The first of the ``end_facts`` of each key, and how many there are (``n``)."""
+    return ends.groupBy(*keys).agg(
+        F.min("_at").alias("_at"), F.min("ts_ms").alias("ended_ms"), F.min_by("attempt", "_at").alias("attempt"),
+        F.min_by("_kind", "_at").alias("_kind"), F.min_by("_status", "_at").alias("_status"), F.count("*").alias("n"))
+
+
+def named_end(first: DataFrame) -> DataFrame:
     return first.select("handle", name_of("_kind", ENDS).alias("outcome"), name_of("_status", STATUSES).alias("status"),
-                        "attempt", "ended_ms", "confirmations")
+                        "attempt", "ended_ms", (F.col("n") - 1).alias("confirmations"))
+
+
+def outcomes(lifecycle: DataFrame) -> DataFrame:
+    """The first terminal event of every handle that has one, and how many repeats confirmed it."""
+    return named_end(first_end(end_facts(lifecycle), ["handle"]))
 
 
 def first_terminal(handles: DataFrame, lifecycle: DataFrame) -> DataFrame:
@@ -193,13 +204,22 @@ def ledger(submissions: DataFrame, facts: DataFrame) -> DataFrame:
     """
     taken = submissions.select("business_id", (F.col("round") - 1).alias("round"), F.col("ts_ms").alias("_until"))
     rounds = submissions.select("business_id", "round", "handle").join(taken, ["business_id", "round"], "left")
-    live = facts.select("handle", "ts_ms", "attempt", "ok", point().alias("_at"), code_of("status", STATUSES).alias("_status"))
-    live = live.withColumnRenamed("handle", "_handle")
+    live = facts.select(F.col("handle").alias("_handle"), "ts_ms", "arrival", "status", "attempt", "ok")
     in_time = F.col("_until").isNull() | (F.col("ts_ms") < F.col("_until"))
     matched = rounds.join(live, (F.col("handle") == F.col("_handle")) & in_time, "left")
-    per_round = matched.groupBy("business_id", "round", "handle").agg(
-        F.count("_at").alias("n"), F.min_by("_status", "_at").alias("_status"),
-        F.min_by("attempt", "_at").alias("attempts"), F.min_by("ok", "_at").alias("ok"))
+    return current_rounds(facts_of_round(matched, ["business_id", "round", "handle"]))
+
+
+def facts_of_round(rows: DataFrame, keys: list) -> DataFrame:
+    """How many facts (rows with a stamp) a round has, and status, attempts and ok of the first."""
+    facts = rows.withColumns({"_first": F.when(F.col("ts_ms").isNotNull(), point()), "_status": code_of("status", STATUSES)})
+    return facts.groupBy(*keys).agg(
+        F.count("_first").alias("n"), F.min("_first").alias("_first"), F.min_by("_status", "_first").alias("_status"),
+        F.min_by("attempt", "_first").alias("attempts"), F.min_by("ok", "_first").alias("ok"))
+
+
+def current_rounds(per_round: DataFrame) -> DataFrame:
+    """One row per business id from (business_id, round, handle, n, _status, attempts, ok)."""
     extra = F.greatest(F.col("n") - 1, F.lit(0))
     current = {c: F.max_by(c, "round").alias(c) for c in ("handle", "n", "_status", "attempts", "ok")}
     rows = per_round.groupBy("business_id").agg(F.max("round").alias("rounds"), *current.values(), F.sum(extra).alias("confirmations"))

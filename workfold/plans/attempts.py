@@ -13,7 +13,7 @@ QUEUING = ["QUEUED", "RETRIED"]
 ENDING = ["FINISHED", "FAILED"]
 
 
-def _phase():
+def event_phase():
     """Order of events that share a stamp: queued or retried, started, ended, disposed of."""
     return (F.when(F.col("kind").isin(*QUEUING), 0).when(F.col("kind") == "STARTED", 1)
             .when(F.col("kind").isin(*ENDING), 2).otherwise(3))
@@ -22,13 +22,13 @@ def _phase():
 def with_cycle(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Number the requeue cycles of a handle: a STARTED with attempt <= 1 opens the next one.
 
-    Adds ``cycle`` (1 before the first start) and ``base_ms``, the stamp the wait of a start
-    is measured from: the latest QUEUED or RETRIED of the handle before it.
+    Adds ``cycle`` (1 before the first start) and ``base_ms``, the latest QUEUED or RETRIED of the
+    handle before an event: what the wait of a start is measured from that a requeue opened.
     """
     opens = ((F.col("kind") == "STARTED") & (F.col("attempt") <= 1)).cast("long")
     queued = F.when(F.col("kind").isin(*QUEUING), F.col("ts_ms"))
     # A RETRIED belongs after the failure it answers, and the queued event before the first start.
-    keyed = lifecycle.withColumn("_phase", _phase())
+    keyed = lifecycle.withColumn("_phase", event_phase())
     out = running(keyed, keys or ["handle"], ["ts_ms", "attempt", "_phase", "arrival"], {
         "cycle": ("sum", opens, UPTO),
         "base_ms": ("max", queued, BEFORE),
@@ -61,7 +61,7 @@ def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFr
     """
     keys = [k for k in keys or ["handle"] if k != "cycle"]
     lifecycle, kind = cycled(lifecycle, keys), F.col("kind")
-    base = F.col("base_ms") if "base_ms" in lifecycle.columns else F.lit(None).cast("long")
+    base = F.when((F.col("attempt") <= 1) & (F.col("cycle") > 1), F.col("base_ms")) if "base_ms" in lifecycle.columns else F.lit(None).cast("long")
     return lifecycle.groupBy(*keys, "cycle", "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
         F.min(F.when(kind == "STARTED", base)).alias("base_ms"),
         F.min(F.when(kind.isin(*QUEUING), F.col("ts_ms"))).alias("queued_ms"),

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workfold.session import fresh_path
 
 
-def drain(stream: DataFrame, label: str, mode: str = "update", table: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "update", table: str | None = None,
+          each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run ``stream`` over all available input into a parquet table and return the table.
 
-    Each micro-batch overwrites its own folder, so a batch that is run again after a failure
+    ``each`` is applied to every micro-batch before it is written, to fold its rows. Each micro-batch overwrites its own folder, so a batch that is run again after a failure
     leaves its rows once. Checkpoint and table live in the shared folder.
     """
     spark: SparkSession = stream.sparkSession
     table = table or fresh_path(spark, label)
-    schema = stream.schema
+    schema = (each(spark.createDataFrame([], stream.schema)) if each else stream).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{table}-progress").trigger(availableNow=True).start())
