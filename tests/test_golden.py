@@ -519,3 +519,44 @@ def test_never_fits_by_memory(spark):
     costs = spark.createDataFrame([("b", "gpu", 5)], "task string, name string, cost long")
     budget = spark.createDataFrame([("gpu", 4)], "name string, budget long")
     assert sorted(r.handle for r in V.never_fits(items, costs, budget, 50).collect()) == [2, 3]
+
+
+def test_longest_claimed_name_decides_about_a_key(spark):
+    keys = ["tasks.my.task.mem", "tasks.a.bogus", "tasks.a.mem", "tasks.a.b.mem", "tasks.a.b.resources.gpu", "tasks.a.b.resources.disk", "tasks.a", "tasks.c.mem",
+            "resources.gpu", "resources.d", "task_defaults.mem", "task_defaults.mum", "limits.x", "limits.y", "tasks..mem", "", None, "tasks.my.mem"]
+    config = spark.createDataFrame([(1, k, "v") for k in keys], "entity long, key string, value string")
+    got = J.unused_keys(config, spark.createDataFrame([("a",), ("my.task",), ("a.b",)], "task string"), spark.createDataFrame([("gpu", 1)], "name string, budget long"),
+                        spark.createDataFrame([("limits.x",)], "key string"), ["mem"])
+    assert {r.key: r.reason for r in got.collect()} == {
+        "tasks.a.bogus": "no such key of a task", "tasks.a.b.resources.disk": "no such resource", "tasks.a": "no such task", "tasks.c.mem": "no such task",
+        "resources.d": "no such resource", "task_defaults.mum": "no such key", "limits.y": "no such key", "tasks..mem": "no such task", "": "no such key", "tasks.my.mem": "no such task"}
+
+
+def test_near_tables_are_within_two_edits_and_longer_than_three(spark):
+    keys = spark.createDataFrame([(k,) for k in ("taks.a", "stat.x", "limit.y", "tak.x", "limits.z", "measures.q", "entirely.other", "taks")], "key string")
+    tables = spark.createDataFrame([("limits", 0), ("measure", 1), ("stats", 2), ("tasks", 3)], "key string, nth int")
+    assert {r.key: r.suggestion for r in J.suggest_tables(keys, tables).collect()} == {"taks": "tasks", "stat": "stats", "limit": "limits", "measures": "measure"}
+
+
+def test_item_costs_contain_what_the_function_does(spark):
+    from workfold.operators.mapping import item_costs
+
+    def cost(payload):
+        if payload is None:
+            raise SystemExit(3)
+        return {"a": 5, "b": None, "c": (7, "DENIED"), "d": -1, "e": "x", "f": 1 << 63, "g": (9, "OK"), "h": True}.get(payload) if payload != "m" else [][1]
+
+    items = spark.createDataFrame([(p, 100, "t", "k") for p in [*"abcdefghm", None]], "payload string, mem_bytes long, task string, _cost string")
+    got = {r.payload: (r.mem_bytes, r.cost_status) for r in item_costs(items.drop("_cost"), "payload", cost).collect()}
+    assert got == {"a": (5, "OK"), "b": (100, "OK"), "c": (100, "DENIED"), "d": (100, "INVAL"), "e": (100, "INVAL"), "f": (100, "INVAL"), "g": (9, "OK"),
+                   "h": (100, "INVAL"), "m": (100, "TASK"), None: (100, "TASK")}
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("task"), ((F.col("id") * 7919) % 40_009).alias("v"), (F.col("id") % 10).alias("batch"))
+    parts = A.quantile_snapshot(rows, ["task", "batch"], "v")
+    merged = A.merge_quantiles(parts, ["task"])
+    for r in A.quantiles(merged, (1, 50, 99)).collect():
+        rank = rows.where((F.col("task") == r.task) & (F.col("v") <= r.value)).count() / r.n
+        assert abs(rank - r.pct / 100) <= 0.007 and r.n >= 13_333
+    assert A.quantiles(A.merge_quantiles(parts.limit(0), ["task"])).count() == 0

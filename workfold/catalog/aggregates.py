@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from workfold.catalog.registry import longs, query
 from workfold.operators import aggregates as A
+from workfold.session import fresh_path
 
 TERMINAL = "(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED'))"
 COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {n}" for n, k in A.COUNTED.items())
@@ -105,6 +106,21 @@ def _(fx):
     return ranked.select("task", "pct", ((F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)).alias("near"))
 
 
+# Four shards are sketched alone, kept as a snapshot, read back and merged: a value's rank is off by under 0.7 %.
+@query("merged_percentile", f"""
+WITH f AS ({FINISH}) SELECT task, pct, n, TRUE AS near FROM (SELECT task, count(*) AS n FROM f GROUP BY task), (VALUES (50), (95), (99)) p(pct)""", ["fx_lifecycle"])
+def _(fx):
+    times = A.finish_times(fx.lifecycle)
+    path = fresh_path(fx.spark, "quantiles")
+    for shard in range(4):
+        A.quantile_snapshot(times.where(F.col("handle") % 4 == shard), ["task"], "finish_ms").write.mode("append").parquet(path)
+    found = A.quantiles(A.merge_quantiles(fx.spark.read.parquet(path), ["task"]))
+    ranked = times.join(found, "task").groupBy("task", "pct", "n").agg(
+        F.count_if(F.col("finish_ms") < F.col("value")).alias("below"), F.count_if(F.col("finish_ms") <= F.col("value")).alias("upto"))
+    rank, slack = F.ceil(F.col("n") * F.col("pct") / 100), F.ceil(F.col("n") * 0.007) + 1
+    return ranked.select("task", "pct", "n", ((F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)).alias("near"))
+
+
 SNAP = f"""SELECT task, {COUNTS_ALL} FROM fx_lifecycle GROUP BY task"""
 SNAP_T = f"SELECT task, {latency('wait', WAIT)}, {latency('run', RUN)} FROM fx_pivot GROUP BY task"
 

@@ -202,6 +202,9 @@ class Inputs:
                  .otherwise(text(price * entity))),
             pair("label", F.repeat(F.lit("x"), (250 + c % 12).cast("int"))),
             pair(F.concat(F.lit("resources."), F.when(c % 10 == 0, "disk").otherwise("gpu")), text(c)),
+            pair(F.element_at(F.array(*[F.lit(k) for k in (
+                "tasks.2-HIGH.batch.max_kb", "tasks.2-HIGH.bogus", "tasks.2-HIGH.batch.resources.disk", "tasks.3-MEDIUM.resources.gpu", "taks.1-URGENT.max_kb",
+                "resource.gpu", "tasks.2-HIGH.batch.deep.max_kb", "tasks.2-HIGH", "trac.ratio", "tasks.2-HIGHH.max_kb")]), (entity % 10 + 1).cast("int")), text(c)),
         )
         return base.select("entity", F.inline(pairs))
 

@@ -8,6 +8,7 @@ from workfold.catalog.registry import query
 from workfold.functions import exprs as E
 from workfold.operators import joins as J
 from workfold.operators import validation as V
+from workfold.operators.mapping import item_costs
 from workfold.session import fresh_path
 from workfold.sources.lifecycle import read_config
 
@@ -22,6 +23,31 @@ def _(fx):
     return V.screen_submissions(fx.items, fx.policies, fx.task_costs, fx.resources).select("handle", "verdict")
 
 
+def cost_by_name(payload):
+    """The memory an item asks for, by what its payload says; some say nothing, some cannot be read."""
+    task, _, number = payload.rpartition("#")
+    n = int(number)
+    if n % 11 == 0:
+        raise ValueError(payload)
+    if n % 13 == 0:
+        return None, "DENIED"
+    if n % 17 == 0:
+        return -1
+    return None if n % 5 == 0 else n * 4096 * len(task)
+
+
+@query("item_costs", f"""
+WITH {OVER}, c AS (SELECT handle, task, mem_bytes AS own, CASE WHEN handle % 11 = 0 THEN 'TASK' WHEN handle % 13 = 0 THEN 'DENIED' WHEN handle % 17 = 0 THEN 'INVAL' ELSE 'OK' END AS cost_status FROM fx_items),
+m AS (SELECT *, CASE WHEN cost_status = 'OK' AND handle % 5 <> 0 THEN handle * 4096 * length(task) ELSE own END AS mem_bytes FROM c)
+SELECT handle, mem_bytes, cost_status, CASE WHEN p.paused IS NULL OR p.paused THEN 'NOTFOUND' WHEN cost_status <> 'OK' THEN cost_status
+  WHEN m.mem_bytes > p.max_mem THEN 'BUDGET' WHEN o.task IS NOT NULL THEN 'BUDGET' ELSE 'OK' END AS verdict
+FROM m LEFT JOIN policies p ON p.task = m.task LEFT JOIN over_budget o ON o.task = m.task""", ["fx_items", "policies", "task_costs", "resources"])
+def _(fx):
+    items = fx.items.withColumn("payload", F.concat("task", F.lit("#"), F.col("handle").cast("string")))
+    costed = item_costs(items, "payload", cost_by_name)
+    return V.screen_submissions(costed, fx.policies, fx.task_costs, fx.resources).select("handle", "mem_bytes", "cost_status", "verdict")
+
+
 MEMORY = 200_000_000
 
 
@@ -155,27 +181,44 @@ def _(fx):
     return J.gate_outcome(released, screened, max_tries=16)
 
 
-UNUSED = """u AS (SELECT entity, key, value FROM fx_config WHERE key NOT IN (SELECT key FROM settings_schema)
-  AND NOT (split_part(key, '.', 1) = 'tasks' AND split_part(key, '.', 2) IN (SELECT task FROM policies))
-  AND NOT (split_part(key, '.', 1) = 'resources' AND split_part(key, '.', 2) IN (SELECT name FROM resources)))"""
+TASK_KEYS = ["max_kb", "max_retries", "on_failure"]
+UNUSED = """names AS (SELECT task AS name FROM policies UNION ALL SELECT '2-HIGH.batch'),
+k AS (SELECT DISTINCT key FROM fx_config),
+o AS (SELECT key, arg_max(substr(key, length(name) + 8), length(name)) AS rest FROM k JOIN names ON starts_with(key, 'tasks.' || name || '.') GROUP BY key),
+j AS (SELECT k.key, rest, CASE WHEN key LIKE 'resources.%' THEN substr(key, 11) WHEN rest LIKE 'resources.%' THEN substr(rest, 11) END AS resource FROM k LEFT JOIN o USING (key)),
+u AS (SELECT entity, key, value, CASE WHEN resource IS NOT NULL THEN 'no such resource' WHEN rest IS NOT NULL THEN 'no such key of a task'
+  WHEN key LIKE 'tasks.%' THEN 'no such task' ELSE 'no such key' END AS reason FROM fx_config JOIN j USING (key)
+  WHERE key NOT IN (SELECT key FROM settings_schema) AND coalesce(resource NOT IN (SELECT name FROM resources), TRUE) AND coalesce(rest NOT IN ('max_kb', 'max_retries', 'on_failure'), TRUE))"""
+
+
+def unused(fx):
+    tasks = fx.policies.select("task").union(fx.rows([("2-HIGH.batch",)], "task string"))
+    return J.unused_keys(fx.config, tasks, fx.resources, fx.settings_schema, TASK_KEYS)
 
 
 @query("unused_keys", f"WITH {UNUSED} SELECT * FROM u", ["fx_config", "settings_schema", "policies", "resources"])
 def _(fx):
-    return J.unused_keys(fx.config, fx.policies, fx.resources, fx.settings_schema)
+    return unused(fx)
 
 
 @query("suggest_keys", f"""
-WITH {UNUSED}, k AS (SELECT DISTINCT key FROM u),
-p AS (SELECT k.key, s.key AS near, nth, levenshtein(k.key, s.key) AS d FROM k, settings_schema s WHERE levenshtein(k.key, s.key) <= greatest(2, length(k.key) // 4)
-  UNION ALL SELECT n.key, task, 0, levenshtein(n.key, task) FROM (SELECT DISTINCT split_part(key, '.', 2) AS key FROM k WHERE key LIKE 'tasks.%') n, policies WHERE levenshtein(n.key, task) <= 3)
-SELECT key, near AS suggestion, CAST(d AS INT) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, nth, near) = 1""",
+WITH {UNUSED}, w AS (SELECT DISTINCT key, reason FROM u),
+tables AS (SELECT name, row_number() OVER (ORDER BY name) AS nth FROM (SELECT DISTINCT split_part(key, '.', 1) AS name FROM settings_schema WHERE key LIKE '%.%' UNION SELECT 'tasks' UNION SELECT 'resources')),
+p AS (SELECT 'key' AS what, w.key, s.key AS near, nth, levenshtein(w.key, s.key) AS d FROM w, settings_schema s WHERE levenshtein(w.key, s.key) <= greatest(2, length(w.key) // 4)
+  UNION ALL SELECT 'task', n.key, name, 0, levenshtein(n.key, name) FROM (SELECT DISTINCT split_part(key, '.', 2) AS key FROM w WHERE reason = 'no such task') n, names WHERE levenshtein(n.key, name) <= 3
+  UNION ALL SELECT 'table', f.key, name, nth, levenshtein(f.key, name) FROM (SELECT DISTINCT split_part(key, '.', 1) AS key FROM w WHERE key LIKE '%.%') f, tables
+    WHERE length(f.key) > 3 AND f.key NOT IN (SELECT name FROM tables) AND levenshtein(f.key, name) <= 2)
+SELECT what, key, near AS suggestion, CAST(d AS INT) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY what, key ORDER BY d, nth, near) = 1""",
        ["fx_config", "settings_schema", "policies", "resources"])
 def _(fx):
-    unused = J.unused_keys(fx.config, fx.policies, fx.resources, fx.settings_schema).select("key").distinct()
-    names = unused.where(F.col("key").startswith("tasks.")).select(F.split("key", r"\.")[1].alias("key")).distinct()
-    known = fx.policies.select(F.col("task").alias("key"), F.lit(0).alias("nth"))
-    return J.suggest_keys(unused, fx.settings_schema).unionByName(J.suggest_names(names, known))
+    rows = unused(fx).select("key", "reason").distinct()
+    names = rows.where("reason = 'no such task'").select(F.get(F.split("key", r"\."), F.lit(1)).alias("key")).distinct()
+    known = fx.policies.select(F.col("task").alias("key")).union(fx.rows([("2-HIGH.batch",)], "key string")).withColumn("nth", F.lit(0))
+    own = [r.key for r in fx.settings_schema.where("key LIKE '%.%'").select(F.substring_index("key", ".", 1).alias("key")).distinct().collect()]  # a rule table
+    tables = fx.rows([(t, n) for n, t in enumerate(sorted({*own, "tasks", "resources"}))], "key string, nth int")
+    found = {"key": J.suggest_keys(rows, fx.settings_schema), "task": J.suggest_names(names, known), "table": J.suggest_tables(rows, tables)}
+    out = [df.withColumn("what", F.lit(what)) for what, df in found.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def terminal_facts(log):

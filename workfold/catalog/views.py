@@ -103,7 +103,9 @@ LATERAL (VALUES
  ('audit.on', CASE entity % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'yes' END),
  ('serial.first', CASE entity % 4 WHEN 0 THEN '9223372036854775808' WHEN 1 THEN '-9223372036854775808' ELSE CAST(price * entity AS VARCHAR) END),
  ('label', repeat('x', CAST(250 + c % 12 AS INT))),
- ('resources.' || CASE WHEN c % 10 = 0 THEN 'disk' ELSE 'gpu' END, CAST(c AS VARCHAR))) t(key, value)"""),
+ ('resources.' || CASE WHEN c % 10 = 0 THEN 'disk' ELSE 'gpu' END, CAST(c AS VARCHAR)),
+ (['tasks.2-HIGH.batch.max_kb', 'tasks.2-HIGH.bogus', 'tasks.2-HIGH.batch.resources.disk', 'tasks.3-MEDIUM.resources.gpu', 'taks.1-URGENT.max_kb',
+   'resource.gpu', 'tasks.2-HIGH.batch.deep.max_kb', 'tasks.2-HIGH', 'trac.ratio', 'tasks.2-HIGHH.max_kb'][entity % 10 + 1], CAST(c AS VARCHAR))) t(key, value)"""),
     "settings_schema": ([], """
 SELECT * FROM (VALUES (1, 'dispatch.interval', 'UINT', TRUE, 1.0, 1000.0, '', '50'), (2, 'retry.mode', 'ENUM', FALSE, 0.0, 0.0, 'urgent|high|medium|low', 'low'),
  (3, 'trace.ratio', 'DOUBLE', TRUE, 0.0, 1.0, '', '0.1'), (4, 'audit.on', 'BOOL', FALSE, 0.0, 0.0, '', 'false'),

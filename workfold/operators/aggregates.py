@@ -140,6 +140,26 @@ def approx_percentile(lifecycle: DataFrame, percents=(50, 95, 99), accuracy: int
         "task", F.element_at(F.array(*[F.lit(p) for p in percents]), F.col("i") + 1).alias("pct"), "finish_ms")
 
 
+def quantile_snapshot(values: DataFrame, by: list[str], value: str, k: int = 400) -> DataFrame:
+    """One KLL sketch of ``value`` per group: a few kilobytes, however many rows, that ``merge_quantiles`` can fold.
+
+    ``k`` sets the size; the rank error of any quantile, merged or not, stays under 2.5 / k at 99 % confidence
+    (0.7 % of the rows for 400).
+    """
+    return values.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col(value).cast("long"), F.lit(k)).alias("sketch"), F.count(value).alias("n"))
+
+
+def merge_quantiles(snapshots: DataFrame, by: list[str], k: int = 400) -> DataFrame:
+    """Fold sketches of several shards or micro-batches into one a group, without going back to the rows."""
+    return snapshots.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def quantiles(snapshots: DataFrame, percents=(50, 95, 99)) -> DataFrame:
+    """The value at each percentile's rank, read off the sketches; their other columns stay."""
+    found = [F.struct(F.lit(p).alias("pct"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(p / 100)).alias("value")) for p in percents]
+    return snapshots.where("n > 0").select("*", F.inline(F.array(*found))).drop("sketch")
+
+
 def snapshot(lifecycle: DataFrame, by: list[str]) -> DataFrame:
     """Counters and latencies per group, in columns that ``merge_counters`` can fold."""
     keys = [*by, "handle"] if "shard" in by else ["handle"]

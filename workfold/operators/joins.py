@@ -154,14 +154,39 @@ def gate_outcome(released: DataFrame, screened: DataFrame, max_tries: int | None
         "gate", "release_ms", "verdict", result.alias("result"))
 
 
-def unused_keys(config: DataFrame, tasks: DataFrame, resources: DataFrame, schema: DataFrame) -> DataFrame:
-    """Config keys no task, resource or setting uses."""
-    part = F.split("key", r"\.")
-    keys = config.select("key").distinct().withColumns({"table": part[0], "name": F.get(part, F.lit(1))})
-    claimed = (tasks.select(F.lit("tasks").alias("table"), F.col("task").alias("name"))
-               .unionByName(resources.select(F.lit("resources").alias("table"), "name")))
-    unused = keys.join(schema.select("key"), "key", "left_anti").join(claimed, ["table", "name"], "left_anti")
-    return config.join(unused.select("key"), "key", "left_semi")
+def claimed_rest(keys: DataFrame, table: str, names: DataFrame) -> DataFrame:
+    """(key, rest): for keys ``table.<name>.<rest>`` what follows the longest known name, names may hold dots.
+
+    Every dotted prefix of what follows the table is looked up among the names, and the longest one wins.
+    """
+    below = F.substring("key", len(table) + 2, 1 << 30)
+    own = keys.where(F.col("key").startswith(table + ".")).select("key", F.split(below, r"\.").alias("_parts")).where(F.size("_parts") > 1)
+    cuts = own.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)))
+    probe = cuts.select("key", "_n", F.array_join(F.slice("_parts", F.lit(1), F.col("_n")), ".").alias("name"),
+                        F.array_join(F.slice("_parts", F.col("_n") + 1, F.size("_parts")), ".").alias("rest"))
+    return probe.join(names.select("name").distinct(), "name").groupBy("key").agg(F.max_by("rest", "_n").alias("rest"))
+
+
+def unused_keys(config: DataFrame, tasks: DataFrame, resources: DataFrame, schema: DataFrame, task_keys: list[str]) -> DataFrame:
+    """Config rows whose key nothing uses, with the reason.
+
+    A key is used if it is a setting, ``resources.<name>`` of a resource, ``task_defaults.<task key>``, or
+    belongs to a task - the longest known name its part below ``tasks`` begins with - and goes on with one of
+    ``task_keys`` or with ``resources.<name>`` of a resource. Only distinct keys are joined.
+    """
+    keys = config.select("key").distinct()
+    rest = claimed_rest(keys, "tasks", tasks.select(F.col("task").alias("name")))
+    per = keys.join(rest, "key", "left")
+    resource = F.when(F.col("key").startswith("resources."), F.substring("key", 11, 1 << 30)).when(
+        F.col("rest").startswith("resources."), F.substring("rest", 11, 1 << 30))
+    leaf = F.when(F.col("key").startswith("task_defaults."), F.substring("key", 15, 1 << 30)).otherwise(F.col("rest"))
+    known = resources.select(F.col("name").alias("_resource")).distinct().withColumn("_defined", F.lit(True))
+    named = schema.select("key").distinct().withColumn("_setting", F.lit(True))
+    judged = per.withColumns({"_resource": resource, "_leaf": leaf}).join(known, "_resource", "left").join(named, "key", "left")
+    used = F.coalesce("_setting", F.lit(False)) | F.coalesce("_defined", F.lit(False)) | F.coalesce(F.col("_leaf").isin(*task_keys), F.lit(False))
+    reason = (F.when(F.col("_resource").isNotNull(), "no such resource").when(F.col("rest").isNotNull(), "no such key of a task")
+              .when(F.col("key").startswith("tasks."), "no such task").otherwise("no such key"))
+    return config.join(judged.where(~used).select("key", reason.alias("reason")), "key")
 
 
 def closest(wanted: DataFrame, known: DataFrame, limit: Callable[[Column], Column]) -> DataFrame:
@@ -194,6 +219,15 @@ def suggest_names(names: DataFrame, known: DataFrame, within: int = 3) -> DataFr
     return closest(names, known, lambda _: F.lit(within))
 
 
+def suggest_tables(keys: DataFrame, tables: DataFrame) -> DataFrame:
+    """The table the first part of a key is probably meant to be: within 2 edits, for parts longer than 3.
+
+    ``tables`` holds key and nth. A part that is a table needs none.
+    """
+    first = keys.where(F.instr("key", ".") > 0).select(F.substring_index("key", ".", 1).alias("key")).where(F.length("key") > 3).distinct()
+    return suggest_names(first.join(tables.select("key"), "key", "left_anti"), tables, within=2)
+
+
 def ledger(submissions: DataFrame, facts: DataFrame) -> DataFrame:
     """One row per business id, driven by terminal facts about its current handle.
 

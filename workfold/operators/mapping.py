@@ -83,6 +83,35 @@ def map_dead_letter_tables(items: DataFrame, key: str, payload: str, fn: Callabl
             done.where("kind = 'dead_letter'").select("key", "attempt", "status", "error", "payload"))
 
 
+def item_costs(items: DataFrame, payload: str, cost: Callable, mem: str = "mem_bytes") -> DataFrame:
+    """The items with what each costs: ``mem`` from ``cost(payload)`` and ``cost_status``, for ``screen_submissions``.
+
+    The function returns the memory of one item, None to leave the item's own (the task's default), or a pair
+    (memory, status). Whatever it raises, or an answer that is no whole number from 0, marks its row, which keeps
+    its own memory; it never fails the job. Runs over Arrow batches; all columns stay.
+    """
+    def judged(value) -> tuple[int | None, str]:
+        try:
+            got = cost(value)
+            amount, status = got if isinstance(got, tuple) else (got, "OK")
+            if amount is not None and (isinstance(amount, bool) or not isinstance(amount, int) or not 0 <= amount < 1 << 63):
+                return None, "INVAL" if status == "OK" else str(status)
+            return amount, str(status)
+        except MemoryError:
+            return None, "NOMEM"
+        except (Exception, SystemExit):  # contained: this row's status
+            return None, "TASK"
+
+    @F.pandas_udf("mem long, status string")
+    def ask(values: pd.Series) -> pd.DataFrame:
+        got = [judged(v) for v in values]
+        return pd.DataFrame({"mem": pd.array([g[0] for g in got], "Int64"), "status": [g[1] for g in got]})
+
+    asked = items.withColumn("_cost", ask(F.col(payload)))
+    own = F.col(mem) if mem in items.columns else F.lit(None).cast("long")
+    return asked.withColumns({mem: F.when(F.col("_cost.status") == "OK", F.coalesce("_cost.mem", own)).otherwise(own), "cost_status": F.col("_cost.status")}).drop("_cost")
+
+
 def sharded_map(items: DataFrame, key: str, shards: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run ``fn`` over Arrow batches with all rows of one key in one of ``shards`` partitions.
 
