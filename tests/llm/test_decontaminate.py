@@ -76,6 +76,18 @@ def test_planted_copies_are_found_and_nothing_else(spark):
     assert D.without_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
+def test_short_items_are_found_anywhere(spark):
+    items = [(1, "what is the capital"), (2, "Two words"), (3, "what is"), (4, "何が好きですか"), (5, "one two three four five six seven"), (6, "one two three")]
+    docs = [(1, "x " * 3000 + "What is -- the\n" + " " * 9000 + "capital? " + "y " * 3000), (2, "two " + " " * 20000 + "words!"), (3, "two words more"), (4, "what is it"),
+            (5, "あの、何が好きですか？"), (6, "zero one two three four five six seven eight"), (7, "what is the capita l"), (8, "What is")]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (5, 4), (6, 5), (6, 6), (8, 3)}
+    texts = dict(docs)
+    assert D.WORD.findall(texts[1][got[0].start:got[0].end].lower()) == ["what", "is", "the", "capital"]
+    left = D.without_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {3, 4, 7}
+
+
 def test_seeds_keep_half_of_a_copied_item():
     items = D.Items([(1, " ".join("w%d" % i for i in range(20))), (2, " ".join("u%d" % i for i in range(20)))], P)
     often = np.where(np.arange(len(items.grams)) % 2, 5000, 4000)

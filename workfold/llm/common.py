@@ -90,35 +90,40 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) ->
 class WordTable:
     """Texts as arrays of numbers: each word between blanks stands for some numbers, in a fixed width.
 
-    Words seen before come from a table that stops growing at ``most`` words.
+    Words seen before come from a table, two Arrow arrays, that stops growing at ``most`` words.
     """
 
     width = "<u4"
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 600_000):
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known = pa.array([], pa.string())
+        self.values = pa.array([], pa.binary())
 
-    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """The numbers of distinct words, as binary of ``width``."""
         raise NotImplementedError
 
     def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
         """All numbers one after the other, little-endian, and how many each text has.
 
-        Words are numbered by Arrow's dictionary encoding, so Python sees every word of a batch once.
+        Words are numbered by Arrow's dictionary encoding and looked up together, so a word of a batch is
+        looked at once, and Python only sees new ones.
         """
         for blank in ("\n", "\t", "\r"):
             texts = pc.replace_substring(texts, blank, " ")
         parts = pc.split_pattern(texts, " ")
         words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        own = list(map(self.known.get, distinct))
-        if None in own:
-            missing = [w for w, got in zip(distinct, own) if got is None]
-            table = {} if len(self.known) >= self.most else self.known  # a full table keeps its words
-            self._learn(missing, table)
-            own = [table[w] if got is None else got for w, got in zip(distinct, own)]
-        numbers = pa.array(own, pa.binary()).take(words.indices)
+        at = pc.index_in(words.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
+        values, new = self.values, np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        if new.any():
+            missing = words.dictionary.filter(pa.array(new))
+            learned = self._learn(missing)
+            at[new] = len(values) + np.arange(len(missing))
+            values = pa.concat_arrays([values, learned])
+            if len(self.known) < self.most:  # a full table keeps its words
+                self.known, self.values = pa.concat_arrays([self.known, missing]), values
+        numbers = values.take(pa.array(at.astype(np.int64))).take(words.indices)
         ends = np.frombuffer(numbers.buffers()[1], np.int32, len(numbers) + 1, numbers.offset * 4)
         per_text = np.diff(ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]) // np.dtype(self.width).itemsize
         flat = numbers.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if len(numbers) else pa.py_buffer(b"")
@@ -129,6 +134,10 @@ class WordTable:
         return np.frombuffer(flat, self.width), counts
 
 
+LETTERS = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+[.,]?$"
+"""Words of letters below U+0130, where lower case is one letter for one, with one closing mark at most."""
+
+
 class WordIds(WordTable):
     """Token ids of whole texts by the tokenizers library, one call per distinct word.
 
@@ -136,7 +145,7 @@ class WordIds(WordTable):
     of a text are those of its words in order.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__(most)
@@ -144,41 +153,36 @@ class WordIds(WordTable):
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    @staticmethod
-    def _plain(word: str) -> tuple[str, str]:
-        """The word without one closing mark and in lower case, where that splits and lowers alike."""
-        mark = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalnum() and word[-2] < "\u0130" else ""
-        stem = word[:-1] if mark else word
-        if stem.isalpha() and max(stem) < "\u0130":
-            stem = stem.lower()
-        return stem, mark
+        self.marks = pa.array([b"", *self._ids([".", ","])], pa.binary())
 
     def _ids(self, words: list[str]) -> list[bytes]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return [np.array(ids, "<u4").tobytes() for ids in got]
 
-    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+    def _ids_of_letters(self, words: pa.Array) -> pa.Array:
         """The ids of words of letters only, many in one text: each ends with its one closing token."""
-        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
-        got = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        flat = np.array(list(chain.from_iterable(e.ids for e in got)), "<u4")
-        ends = (4 * (np.flatnonzero(self.closing[flat]) + 1)).tolist()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 500), len(words)), pa.int32()), words)
+        got = self.tokenizer.encode_batch_fast(pc.binary_join(lists, " ").to_pylist(), add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in got), "<u4")
+        ends = np.flatnonzero(self.closing[flat]) + 1
         if len(ends) != len(words):
-            return self._ids(words)
-        raw = flat.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
-        split = {w: self._plain(w) for w in words}
-        new = {x for pair in split.values() for x in pair if x not in table and x not in self.known}
-        letters = [w for w in new if w.isalpha() and max(w) < "\u0130"]
-        other = list(new.difference(letters))
-        table.update(zip(letters, self._ids_of_letters(letters)))
-        table.update(zip(other, self._ids(other)))
-        for word, (stem, mark) in split.items():
-            if word not in table:
-                table[word] = (table.get(stem) or self.known.get(stem) or b"") + (table.get(mark) or self.known.get(mark) or b"")
+            return pa.array(self._ids(words.to_pylist()), pa.binary())
+        offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """Words of letters by their stems in lower case, which many share, the mark apart; others as they are."""
+        plain = pc.match_substring_regex(words, LETTERS)
+        low = pc.utf8_lower(words.filter(plain))
+        mark = np.where(pc.ends_with(low, "."), 1, np.where(pc.ends_with(low, ","), 2, 0))
+        stems = pc.utf8_rtrim(low, ".,").dictionary_encode()
+        of_stem = self._ids_of_letters(stems.dictionary) if len(stems) else pa.array([], pa.binary())
+        learned = pc.binary_join_element_wise(of_stem.take(stems.indices), self.marks.take(pa.array(mark)), b"")
+        odd = words.filter(pc.invert(plain)).to_pylist()
+        where = plain.to_numpy(zero_copy_only=False)
+        order = np.empty(len(words), np.int64)
+        order[where], order[~where] = np.arange(where.sum()), where.sum() + np.arange(len(odd))
+        return pa.concat_arrays([learned, pa.array(self._ids(odd), pa.binary())]).take(pa.array(order))
 
 
 _WORD_IDS: dict[str, WordIds] = {}

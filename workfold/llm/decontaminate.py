@@ -9,7 +9,8 @@ shortened or paraphrased in part still score. The score is the alignment's share
 The items are looked up in slices of at most ``slice_chars`` characters, whose size is summed before they
 are read to the driver and shipped; more items mean more slices, each one over all documents, never a
 larger shipment. Defined results: NULL and empty texts match nothing; items with fewer than ``least_words``
-words match only documents of exactly these words, empty ones none; NULL ids stay NULL; repeated documents
+words match wherever these words follow each other, those of one or two words (``ngram`` - 1) only documents of
+exactly these words, empty ones none; letters of scripts without blanks are words each; NULL ids stay NULL; repeated documents
 are judged alone, repeated items each; an empty table on either side gives no rows; other columns are
 ignored.
 """
@@ -24,13 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workfold.llm.common import WordTable, ragged, text_chunks, text_of
+from workfold.llm.common import WordTable, ragged, shipped, text_chunks, text_of
 
-WORD = re.compile(r"[^\W_]+")
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
 @dataclass(frozen=True)
@@ -55,16 +56,21 @@ class Items(WordTable):
         self.of: dict[str, int] = {}
         self.ids: list = []
         self.words: list[np.ndarray] = []
-        self.short: dict[tuple[str, ...], list] = {}
+        short: list[tuple[int, list[int]]] = []
         for item, text in rows:
             words = WORD.findall((text or "").lower())
             if len(words) < max(p.least_words, p.ngram):
                 if words:
-                    self.short.setdefault(tuple(words), []).append(item)
+                    short.append((item, [self.of.setdefault(w, len(self.of) + 1) for w in words]))
                 continue
             self.ids.append(item)
             self.words.append(np.array([self.of.setdefault(w, len(self.of) + 1) for w in words], np.int64))
         self.as_bytes = {w: n.to_bytes(4, "little") for w, n in self.of.items()}
+        # Short items by their number of words: (hashes of all words in order, items).
+        self.short: dict[int, tuple[np.ndarray, list]] = {}
+        for n in sorted({len(w) for _, w in short}):
+            own = sorted((int(self.keys(np.array(w, np.int64), n)[0]), str(item), item) for item, w in short if len(w) == n)
+            self.short[n] = np.array([k for k, _, _ in own], np.uint64), [item for _, _, item in own]
         owner = np.repeat(np.arange(len(self.ids)), [len(w) - p.ngram + 1 for w in self.words]).astype(np.int64)
         keys = np.concatenate([self.keys(w) for w in self.words]) if self.words else np.zeros(0, np.uint64)
         place = np.concatenate([np.arange(len(w) - p.ngram + 1) for w in self.words]) if self.words else np.zeros(0, np.int64)
@@ -72,18 +78,33 @@ class Items(WordTable):
         self.owner, self.place = owner[order], place[order]
         self.grams, self.first, self.often = np.unique(keys[order], return_index=True, return_counts=True)
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
+    def keys(self, words: np.ndarray, n: int | None = None) -> np.ndarray:
         """One number for the n-gram that begins at each word."""
-        out = np.zeros(len(words) - self.p.ngram + 1, np.uint64)
-        for k in range(self.p.ngram):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + words[k:len(words) - self.p.ngram + 1 + k].astype(np.uint64)
+        n = n or self.p.ngram
+        out = np.zeros(len(words) - n + 1, np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words[k:len(words) - n + 1 + k].astype(np.uint64)
         return out
 
-    def _learn(self, words: list[str], table: dict[str, bytes]) -> None:
+    def _learn(self, words: pa.Array) -> pa.Array:
         get, split, other = self.as_bytes.get, WORD.findall, bytes(4)
-        for w in words:
-            parts = split(w.lower())
-            table[w] = get(parts[0], other) if len(parts) == 1 else b"".join([get(x, other) for x in parts])
+        parts = [split(w.lower()) for w in words.to_pylist()]
+        return pa.array([get(p[0], other) if len(p) == 1 else b"".join([get(x, other) for x in p]) for p in parts], pa.binary())
+
+    def short_in(self, words: np.ndarray) -> Iterator[tuple[object, int, int]]:
+        """(item, first word, words) of the short items a text holds, the first place of each."""
+        for n, (hashes, items) in self.short.items():
+            if len(words) < n or (n < self.p.ngram and len(words) != n):
+                continue
+            known = words > 0
+            at = np.flatnonzero(np.convolve(known, np.ones(n, int), "valid") == n)
+            keys = self.keys(words, n)[at]
+            low, high = np.searchsorted(hashes, keys, "left"), np.searchsorted(hashes, keys, "right")
+            seen = set()
+            for place, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                if a not in seen:
+                    seen.add(a)
+                    yield from ((item, place, n) for item in items[a:b])
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, number of the n-gram) wherever an n-gram of the items stands."""
@@ -102,7 +123,8 @@ class Items(WordTable):
         return at[hit], gram[hit]
 
     def found_in(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, words, place, n-gram) of the texts that hold an n-gram of the items."""
+        """(row, words, place, n-gram) of the texts that hold an n-gram of the items; all texts if there are short ones."""
+        none = np.zeros(0, np.int64)
         for a, b in text_chunks(texts):
             words, counts = self.numbers(texts[a:b])
             ends = np.cumsum(counts)
@@ -110,10 +132,11 @@ class Items(WordTable):
             row = np.searchsorted(ends, at, "right")
             inside = at + self.p.ngram <= ends[row]
             at, gram, row = at[inside], gram[inside], row[inside]
-            edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else []
-            for low, high in zip(edges[:-1], edges[1:]):
-                r = int(row[low])
+            edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else none
+            of_row = {int(row[low]): (low, high) for low, high in zip(edges[:-1], edges[1:])}
+            for r in range(b - a) if self.short else of_row:
                 start = int(ends[r] - counts[r])
+                low, high = of_row.get(r, (0, 0))
                 yield a + r, words[start:ends[r]], at[low:high] - start, gram[low:high]
 
     def seeds(self, often: np.ndarray, documents: int) -> np.ndarray:
@@ -145,6 +168,12 @@ def align(item: np.ndarray, text: np.ndarray, p: Alignment) -> tuple[int, int]:
     return best, end
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text stand; where lower case has another length, those of the text as it is."""
+    low = text.lower()
+    return [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
+
+
 def matches(text: str, words: np.ndarray, at: np.ndarray, gram: np.ndarray, items: Items, seeds: np.ndarray) -> list[tuple[int, float, int, int, int]]:
     """(item, score, start, end, seeds) of the items a text holds, the best place of each; in characters."""
     p = items.p
@@ -176,9 +205,7 @@ def matches(text: str, words: np.ndarray, at: np.ndarray, gram: np.ndarray, item
             _, back = align(own[::-1], window[:end][::-1], p)
             best[i] = (share, low + end - back, low + end, hits)
     if best:
-        places = [m.span() for m in WORD.finditer(text.lower())]
-        same = len(text.lower()) == len(text)  # else offsets are those of the lowered text's words, found anew
-        places = places if same else [m.span() for m in WORD.finditer(text)]
+        places = word_places(text)
         for i, (share, first, last, hits) in sorted(best.items()):
             last = min(last, len(places))
             first = min(first, last - 1)
@@ -214,6 +241,7 @@ def _frequencies(texts: DataFrame, items: Items) -> np.ndarray:
 
 def _matchers(texts: DataFrame, benchmark: DataFrame, p: Alignment, item_col: str, text_col: str):
     """For each slice of the items a function texts -> [(item, score, start, end, seeds)] of each."""
+    shipped(texts.sparkSession)
     documents = None
     for rows in slices(benchmark, p, item_col, text_col):
         if not rows:
@@ -224,13 +252,15 @@ def _matchers(texts: DataFrame, benchmark: DataFrame, p: Alignment, item_col: st
 
         def match(texts: pa.Array, items=items, chosen=chosen) -> list[list[tuple]]:
             out: list[list[tuple]] = [[] for _ in range(len(texts))]
-            for row, *found in items.found_in(texts):
-                text = texts[row].as_py()
-                out[row] = [(items.ids[i], *rest) for i, *rest in matches(text, *found, items, chosen)]
-            if items.short:
-                for row in np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) < 4096).tolist():
-                    text = texts[row].as_py()
-                    out[row] += [(item, 1.0, 0, len(text), 1) for item in items.short.get(tuple(WORD.findall(text.lower())), [])]
+            for row, words, *found in items.found_in(texts):
+                if len(found[0]):
+                    out[row] = [(items.ids[i], *rest) for i, *rest in matches(texts[row].as_py(), words, *found, items, chosen)]
+                short = list(items.short_in(words))
+                if short:
+                    places = word_places(texts[row].as_py())
+                    for item, first, n in short:
+                        start, end = min(first, len(places) - 1), min(first + n, len(places)) - 1
+                        out[row].append((item, 1.0, places[start][0], places[max(start, end)][1], 1))
             return out
 
         yield match

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, text_chunks, text_of, word_ids
+from workfold.llm.common import id_back, id_key, shipped, text_chunks, text_of, word_ids
 from workfold.plans.pin import pin
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, nth long, ids binary"
@@ -71,6 +71,7 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, most: i
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the greatest length has to be a power of two")
+    shipped(docs.sparkSession)
     rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
     pieces = pin(rows.mapInArrow(_cutter(vocabulary, end_id, most), PIECES), "pieces")
     counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, ragged, text_chunks, text_of, word_ids
+from workfold.llm.common import id_back, id_key, ragged, shipped, text_chunks, text_of, word_ids
 from workfold.plans.pin import pin
 
 BLOCK = 4096
@@ -63,7 +63,6 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     n_blocks = -(-n // BLOCK)
-    top = int(values.max()) if n else 0
     selector = np.full(n, 15, np.uint8)
     bits = _bits(values)
     block_end = np.minimum((np.arange(n, dtype=np.int64) // BLOCK + 1) * BLOCK, n)
@@ -195,8 +194,10 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
     Documents are cut into shards by ranges of their ids. A shard is written by one task, so a task
     that is run again writes the same shard.
     """
-    rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    shipped(docs.sparkSession)
+    rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # Ranges of id and text, so that one id (NULL, for one) may hold most rows.
+    ordered = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select("id", "text")
     return pin(ordered.mapInArrow(_encoder(vocabulary, end_id), RUN_SCHEMA), "token-ids")
 
 
