@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by prefixes of min-hashes, as deep as the target recall allows.
 
 Texts are sets of word n-grams (lower case, split at white space; a text of fewer words is one n-gram).
 Equal sets are one class, which is compared once for all its copies. Every class has a signature of
-min-hashes dealt into trees; a tree is the sorted order of its signatures, a shared prefix is a subtree.
-Prefixes start at the greatest depth and are shortened until the chance to meet in some tree reaches the
-target recall for pairs at the threshold. Classes that share a prefix and whose sketches leave the
+min-hashes dealt into trees. The prefixes that meet in a tree have one depth, worked out from the parameters:
+the greatest at which the chance to meet in some tree reaches the target recall for pairs at the threshold.
+No depth is adapted to the candidates found, as a forest of prefix tries would. Classes that share a prefix and whose sketches leave the
 threshold possible are joined into coarse groups; the groups are compared exactly, in blocks.
 
 Defined results: NULL and blank texts have no n-grams, are one class and link with nothing; NULL ids
@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, mixed, runs, text_chunks, text_of
+from workfold.llm.common import id_back, id_key, mixed, runs, shipped, text_chunks, text_of
 from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, deal_large, forest, same_sets
 from workfold.plans.pin import pin
 
@@ -48,30 +49,16 @@ class Forest:
         return 1
 
 
-class WordHashes:
-    """64-bit hashes of words, kept in a bounded table."""
-
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known = {}
-        got = list(map(self.known.get, words))
-        if None in got:
-            for w in {w for w, g in zip(words, got) if g is None}:
-                self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            got = map(self.known.__getitem__, words)
-        return np.fromiter(got, np.uint64, len(words))
-
-
-_HASHES = WordHashes()
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, each distinct one hashed once; nothing is kept for later batches."""
+    of = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+    return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
 
 
 def ngram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     words = [t.lower().split() for t in texts]
-    flat = _HASHES([w for ws in words for w in ws])
+    flat = word_hashes([w for ws in words for w in ws])
     out, at = [], 0
     for ws in words:
         own = flat[at:at + len(ws)]
@@ -182,6 +169,7 @@ def jaccard_classes(docs: DataFrame, params: Forest = Forest(), id_col: str = "d
     ``n_links`` counts the other classes linked with it; ``group_id`` is the least id reachable by links;
     ``kept`` marks one (id, text) of each group. ``mark`` is the hash of the text.
     """
+    shipped(docs.sparkSession)
     rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
     marked = rows.select("id", F.xxhash64("text").alias("mark"), "text")
     signed = pin(marked.mapInArrow(_signer(params), "id long, mark long, node long, prefixes array<bigint>, sketch binary"), "signatures")
