@@ -30,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the least id."""
     shipped(spark)
-    kept = jaccard.jaccard_classes(docs).where("kept").select(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    keyed = docs.withColumns({"_id": id_key("doc_id"), "_mark": F.xxhash64(text_of("text"))})
-    return keyed.join(kept, ["_id", "_mark"]).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    kept = jaccard.jaccard_classes(docs).where("kept").select(id_key("doc_id").alias("id"), "mark").distinct()
+    # The row is one column, so no name of the table's can clash with the keys.
+    keyed = docs.select(id_key("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("mark"), F.struct("*").alias("row"))
+    return keyed.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
