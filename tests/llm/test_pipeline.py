@@ -85,6 +85,17 @@ def test_odd_rows_pass_every_stage(spark):
     assert {r.doc_id for r in docs.collect()} == {*range(30), None, 102}
 
 
+def test_columns_of_any_name_come_back_unchanged(spark):
+    rows = [(i, f"some words of text number {i} and more of them here", "en", "s", 5, f"own {i}", i * 7, "r", "m", "ID", "n") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, _mark long, row string, mark string, id string, node string")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r._id, r._mark, r.row, r.mark, r.id, r.node) for r in out.collect()} <= {(r[0], *r[5:]) for r in rows}
+        docs = C.pin(out, name)
+    assert docs.count() > 0
+
+
 def test_run_gives_the_last_stage(spark):
     got = C.pipeline(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0

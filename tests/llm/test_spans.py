@@ -1,6 +1,7 @@
 """Personal data, secrets and toxicity: spans against the plain patterns, models on rows they have not seen."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -185,3 +186,22 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity_scores(odd, labels.limit(0)).count() == len(ODD)
     assert toxicity.toxicity_scores(odd.limit(0), labels).count() == 0
+
+
+def test_secret_field_finds_more_than_the_patterns_and_leaves_prose_alone(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    value = lambda: "".join(rng.choice("abcdefghABCDEFGH0123456789_") for _ in range(rng.randint(12, 30)))
+    train = [(i, f"{say(12)}. {rng.choice(['password', 'api_key', 'secret', 'token'])}{rng.choice([': ', '=', ' = '])}{value()}\n{say(20)}, {say(2).replace(' ', '-')}.") for i in range(300)]
+    train += [(1000 + i, f"{say(30)} the key of {say(2)} and a {'-'.join(say(4).split())} token {say(20)}") for i in range(300)]
+    field = secrets.learn(spark.createDataFrame(train, "doc_id long, text string"))
+    hidden = ["-".join(say(4).split()), "QWERTYUIOPASDFGHJK", "abcdefghijklmnopqrstu", "zz-yy-xx-ww-vv-uu", "ABCDEFGHIJKLMNOPABCD"]
+    planted = [(f"{say(8)} {name}{v}\n{say(9)}", v) for name in ("passphrase: ", "client key = ", "Authorization: Bearer ", "credential: ", "private_key=") for v in hidden for _ in range(4)]
+    found = [[text[s:e] for s, _, e in secrets.find(text, field)[1]] for text, _ in planted]
+    hits, added = sum(v in f for f, (_, v) in zip(found, planted)), sum(map(len, found))
+    clean = [f"{say(20)} the {'-'.join(say(4).split())} of {say(8)} key {say(9)} www.{rng.choice(words)}.org" for _ in range(200)]
+    wrong = sum(len(secrets.find(t, field)[1]) for t in clean)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * (added + wrong), (hits, len(planted), added, wrong)
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(planted)], "doc_id long, text string, f string")
+    assert {r.doc_id for r in secrets.find_secrets(docs, field=field).where("spans LIKE '%secret:%'").collect()} == {i for i, f in enumerate(found) if f}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workfold.llm.common import id_back, id_key, runs
+from workfold.llm.common import id_back, id_key, runs, shipped
 from workfold.llm.links import compare_in_blocks, components, deal_into_blocks, deal_large, forest
 from workfold.plans.pin import pin
 
@@ -167,6 +167,7 @@ def cap_components(vectors: DataFrame, params: Caps = Caps(), id_col: str = "vec
     ``n_links`` counts the other vectors of the same label with at least the wanted cosine;
     ``component_id`` is the least id reachable by links, itself included; ``kept`` marks that one.
     """
+    shipped(vectors.sparkSession)
     rows = vectors.select(id_key(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     rows = rows.select(F.xxhash64("label", "embedding").alias("node"), "id", "label", "embedding")
     may_link = rows.where("label IS NOT NULL AND embedding IS NOT NULL")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workfold.llm.common import text_of
+from workfold.llm.common import shipped, text_of
 
 # Fixed values of the folding: look-alikes, and signs that stand for letters between letters.
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁԛԝһкмнтвαοερτικνυχωη", "aeopcyxijsdqwhkmhtbaoeptikvuxwn"))
@@ -63,7 +63,6 @@ class Toxicity:
     min_precision: float = 0.6
     min_gain: float = 0.002
     times: int = 2
-    max_entries: int = 4096
     threshold: float = 0.3
 
 
@@ -154,6 +153,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Fit the lexicon on labelled rows that are not held out."""
+    shipped(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
     n = known.count()
@@ -191,8 +191,8 @@ def _fit(rows: DataFrame, p: Toxicity) -> Lexicon:
 
     counted = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     good = counted.where((F.col("pos") >= p.min_docs) & (F.col("pos") / (F.col("pos") + F.col("neg")) >= p.min_precision))
-    # At most 16 candidates for every entry the lexicon may hold.
-    table = {r.term: (r.pos, r.neg) for r in good.orderBy(F.desc("pos"), F.asc("neg"), "term").limit(16 * p.max_entries).collect()}
+    # Bounded by the sample: a term stands in ``min_docs`` of its texts and is dense there, so a text has 1 / min_density at most.
+    table = {r.term: (r.pos, r.neg) for r in good.collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def _fit(rows: DataFrame, p: Toxicity) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
 
     toxic = [set(r.terms) for r in rows.where("y = 1").mapInArrow(held, "terms array<string>").collect()]
-    chosen = cover(toxic, table, max(p.min_docs, math.ceil(p.min_gain * pos)), p.max_entries, p.times)
+    chosen = cover(toxic, table, max(p.min_docs, math.ceil(p.min_gain * pos)), p.times)
     weights = {t: math.log((table[t][0] + 0.5) / (pos + 1)) - math.log((table[t][1] + 0.5) / (neg + 1)) for t in chosen}
     lexicon = Lexicon({t: w for t, w in weights.items() if w > 0}, base=base)
     if not lexicon.weights:
@@ -214,7 +214,7 @@ def _fit(rows: DataFrame, p: Toxicity) -> Lexicon:
 
     said = rows.mapInArrow(told, "said array<string>, y int").select(F.explode("said").alias("phrase"), "y")
     only_clean = said.groupBy("phrase").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).where(f"pos = 0 AND n >= {p.min_docs}")
-    lexicon.exceptions = tuple(r.phrase for r in only_clean.orderBy(F.desc("n"), "phrase").limit(p.max_entries).collect())
+    lexicon.exceptions = tuple(sorted(r.phrase for r in only_clean.select("phrase").collect()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
@@ -232,7 +232,7 @@ def _counts(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
 
 
-def cover(toxic: list[set[str]], table: dict[str, tuple[int, int]], least: int, most: int, times: int) -> list[str]:
+def cover(toxic: list[set[str]], table: dict[str, tuple[int, int]], least: int, times: int) -> list[str]:
     """Entries in the order they explain the most texts that earlier entries do not explain ``times`` times.
 
     A clean text that holds an entry costs what two toxic ones gain. Among equals the longer entry, so the
@@ -245,7 +245,7 @@ def cover(toxic: list[set[str]], table: dict[str, tuple[int, int]], least: int,
     left, missing, chosen = set(range(len(toxic))), [times] * len(toxic), []
     gains = {t: len(where[t]) - 2 * table[t][1] for t in where}
     order = sorted(where, key=lambda t: (-gains[t], -len(t), t))
-    while len(chosen) < most:
+    while True:
         best, best_gain = None, least - 1
         for t in order:
             if gains[t] <= best_gain:
