@@ -17,7 +17,7 @@ from workfold.operators import policy as Y
 from workfold.operators import series as S
 from workfold.operators import validation as V
 from workfold.plans.attempts import attempt_pivot, with_cycle
-from workfold.sources.lifecycle import known_events
+from workfold.sources.lifecycle import dead_letters, known_events
 
 TASK = "TASK"
 
@@ -560,3 +560,24 @@ def test_merged_sketches_keep_their_rank_error(spark):
         rank = rows.where((F.col("task") == r.task) & (F.col("v") <= r.value)).count() / r.n
         assert abs(rank - r.pct / 100) <= 0.007 and r.n >= 13_333
     assert A.quantiles(A.merge_quantiles(parts.limit(0), ["task"])).count() == 0
+
+
+def test_one_pass_and_ordered_paths_agree(spark):
+    from tests.test_streams import random_log
+    from workfold.plans.attempts import cycled
+
+    for log in (random_log(5), [e for e in random_log(6) if e[1] % 5]):  # with items that start over, and without
+        df = lifecycle(spark, log)
+        numbered = cycled(df).cache()
+        assert (numbered.agg(F.max("cycle")).first()[0] > 1) == any(e[1] % 5 == 0 for e in log)
+        for operator in (A.gauges, A.wait_latency):
+            assert by(operator(df), "task") == by(operator(numbered), "task")
+
+
+def test_dead_letters_are_driven_again_with_what_they_carried(spark):
+    log = lifecycle(spark, [event("DEAD_LETTERED", h, 100, 2, status="TASK") for h in (1, 2, 3, 4)])
+    items = spark.createDataFrame([(1, 5, 900, b"a"), (2, 6, None, b"b"), (3, 7, 150, b"c"), (4, 8, 50, None)], "handle long, priority int, due_ms long, payload binary")
+    rows = spark.createDataFrame([("x", 1, 0), ("y", 2, 2), ("z", 3, 1), ("w", 4, 0)], "business_id string, handle long, rounds int")
+    got = by(Y.redrive_plan(rows, dead_letters(log, items), bound=2, now_ms=200, drop_late=True), "business_id")
+    assert {k: (r["plan"], r["due_in_ms"], r["priority"], r["payload"]) for k, r in got.items()} == {
+        "x": ("resubmit", 700, 5, bytearray(b"a")), "y": ("declined", None, 6, bytearray(b"b")), "z": ("late", None, 7, bytearray(b"c")), "w": ("late", None, 8, None)}

@@ -29,24 +29,31 @@ FINISH = """SELECT handle, task, greatest(0, min(ts_ms) FILTER (kind = 'FINISHED
 BUCKET = "CAST(CASE WHEN finish_ms <= 0 THEN 0 ELSE least(31, length(bin(finish_ms))) END AS INT)"
 
 
+def both_logs(fx, operator):
+    """An operator over the log where items are retried, and the one where some start over."""
+    return operator(fx.lifecycle).withColumn("log", F.lit("retried")).unionByName(operator(fx.requeued).withColumn("log", F.lit("requeued")))
+
+
 @query("counters", f"SELECT {TASK}, {COUNTS_ALL} FROM fx_lifecycle {ROLL}", ["fx_lifecycle"])
 def _(fx):
     return A.counters(fx.lifecycle)
 
 
 @query("gauges", f"""
-WITH h AS (SELECT handle, task, max(CASE WHEN {TERMINAL} THEN 1 ELSE 0 END) AS closed,
+SELECT 'retried' AS log, * FROM (WITH h AS (SELECT handle, task, max(CASE WHEN {TERMINAL} THEN 1 ELSE 0 END) AS closed,
   max(greatest(attempt, 1) * 4 + CASE WHEN kind IN ('QUEUED','RETRIED') THEN 0 WHEN kind = 'STARTED' THEN 1 ELSE 2 END) % 4 AS phase
   FROM fx_lifecycle GROUP BY ALL)
 SELECT {TASK}, count(*) FILTER (closed = 0 AND phase = 0) AS pending, count(*) FILTER (closed = 0 AND phase = 1) AS in_flight
-FROM h {ROLL}""", ["fx_lifecycle"])
+FROM h {ROLL})
+UNION ALL SELECT 'requeued', {TASK}, count(*) FILTER (state = 'pending'), count(*) FILTER (state = 'in_flight') FROM fx_requeued_state {ROLL}""", ["fx_lifecycle", "fx_requeued_state"])
 def _(fx):
-    return A.gauges(fx.lifecycle)
+    return both_logs(fx, A.gauges)
 
 
-@query("wait_latency", f"SELECT {TASK}, {latency('wait', WAIT)} FROM fx_pivot {ROLL}", ["fx_pivot"])
+@query("wait_latency", f"""SELECT 'retried' AS log, {TASK}, {latency('wait', WAIT)} FROM fx_pivot {ROLL}
+UNION ALL SELECT 'requeued', {TASK}, {latency('wait', REQUEUED_WAIT)} FROM fx_requeued_pivot {ROLL}""", ["fx_pivot", "fx_requeued_pivot"])
 def _(fx):
-    return longs(A.wait_latency(fx.lifecycle), "wait_ms_sum")
+    return longs(both_logs(fx, A.wait_latency), "wait_ms_sum")
 
 
 @query("run_latency", f"SELECT {TASK}, {latency('run', RUN)} FROM fx_pivot {ROLL}", ["fx_pivot"])

@@ -153,13 +153,23 @@ class Inputs:
         base = numbered.withColumn("file", F.concat(F.lit("j"), F.col("f").cast("string")))
         seq, handle = F.col("seq"), F.col("handle")
 
-        def rec(pos, kind, s, name=None, k=None):
+        def rec(pos, kind, s, name=None, k=None, payload=None, opts=None):
             return F.struct(pos.cast("long").alias("pos"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
                             s.cast("long").alias("seq"), (F.lit(None) if name is None else name).cast("string").alias("name"),
-                            (F.lit(None) if k is None else k).cast("long").alias("k"))
+                            (F.lit(None) if payload is None else payload).cast("binary").alias("payload"),
+                            (F.lit(None) if k is None else k).cast("long").alias("k"), (F.lit(None) if opts is None else opts).cast(M.OPTIONS).alias("opts"))
+
+        def options(priority, due):
+            return F.struct(priority.cast("int").alias("priority"), (handle * 10).alias("timeout_ms"), due.alias("due_ms"), (handle % 3).cast("int").alias("flags"))
+
+        due = F.when(handle % 2 == 1, handle * 1000)
 
         heads = base.select("file", F.inline(F.array_compact(F.array(
-            rec(seq * 100, "P", seq, F.col("task")),
+            rec(seq * 100, "P", seq, F.col("task"), payload=F.concat("task", F.lit(":"), handle.cast("string"))),
+            # Options; some are written again, some before the record they are not for.
+            F.when(handle % 6 < 2, rec(seq * 100 + 40, "O", seq, opts=options(handle % 7, due))),
+            F.when(handle % 12 == 1, rec(seq * 100 + 41, "O", seq, opts=options(handle % 7 + 100, due))),
+            F.when(handle % 10 == 0, rec(seq * 100 - 2, "O", seq, opts=options(handle % 7 + 200, due))),
             F.when(handle % 5 == 0, rec(seq * 100 + 1, "K", seq, None, handle % 4)),
             F.when((handle % 50 == 0) & (seq > 1), rec(seq * 100 + 99, "P", seq - 1, F.lit("stale"))),
         ))))

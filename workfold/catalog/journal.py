@@ -23,16 +23,33 @@ def _(fx):
     return read.groupBy("file", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+OPTS = "opts.priority AS priority, opts.timeout_ms AS timeout_ms, opts.due_ms AS due_ms, opts.flags AS flags"
+
+
+def plain(df):
+    """Payload as text and the options as columns."""
+    return df.withColumn("payload", F.col("payload").cast("string")).select("*", "opts.*").drop("opts")
+
+
+def mixed(fx):
+    """The journal with a type that a later writer added, and seqs no writer makes."""
+    heads = fx.journal.where("type = 'P' AND seq % 3 = 0")
+    return fx.journal.unionByName(heads.withColumn("type", F.lit("Z"))).unionByName(heads.withColumns({"seq": -F.col("seq"), "pos": F.col("pos") + 50}))
+
+
 @query("journal_validate", """
 SELECT file, pos, type, seq, 'seq does not rise' AS damage FROM (SELECT *, max(seq) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
-  FROM fx_journal WHERE type = 'P') WHERE seq <= coalesce(above, 0)""", ["fx_journal"])
+  FROM fx_journal WHERE type = 'P') WHERE seq <= coalesce(above, 0)
+UNION ALL SELECT file, pos + 50, type, -seq, 'seq too large' FROM fx_journal WHERE type = 'P' AND seq % 3 = 0""", ["fx_journal"])
 def _(fx):
-    return V.journal_validate(fx.journal)
+    return V.journal_validate(mixed(fx).where(F.col("type") != "Z"))
 
 
-@query("journal_replay", "SELECT file, seq, name, done, quarantined, inflight, crashes FROM fx_state", ["fx_state"])
+@query("journal_replay", f"SELECT file, seq, name, payload, done, quarantined, inflight, crashes, {OPTS} FROM fx_state", ["fx_state"])
 def _(fx):
-    return J.journal_replay(fx.journal).drop("payload", "opts")
+    path = fresh_path(fx.spark, "journal")
+    mixed(fx).write.parquet(path)
+    return plain(J.journal_replay(read_journal(fx.spark, path)))
 
 
 @query("journal_next_seq", "SELECT file, max(seq) + 1 AS next_seq FROM fx_journal WHERE NOT (type = 'P' AND name = 'stale') GROUP BY file", ["fx_journal"])
@@ -49,11 +66,14 @@ def _opened(fx):
     return J.journal_crash_loop(J.journal_replay(fx.journal))
 
 
-@query("journal_recover", """
-SELECT file, seq, name, CASE WHEN state = 'suspect' THEN row_number() OVER (PARTITION BY file, state ORDER BY seq) ELSE 0 END AS turn
+NOW = 3_000_000
+
+
+@query("journal_recover", f"""
+SELECT file, seq, name, payload, opts.priority AS priority, opts.timeout_ms AS timeout_ms, CASE WHEN opts.due_ms IS NOT NULL THEN greatest(0, opts.due_ms - {NOW}) END AS due_in_ms, CASE WHEN state = 'suspect' THEN row_number() OVER (PARTITION BY file, state ORDER BY seq) ELSE 0 END AS turn
 FROM fx_opened WHERE state IN ('pending', 'suspect')""", ["fx_opened"])
 def _(fx):
-    return J.journal_recover(pin(_opened(fx), "opened"), now_ms=0).select("file", "seq", "name", "turn")
+    return J.journal_recover(pin(_opened(fx), "opened"), now_ms=NOW).withColumn("payload", F.col("payload").cast("string"))
 
 
 @query("journal_pending", "SELECT file, seq, name FROM fx_state WHERE NOT done AND NOT quarantined", ["fx_state"])
@@ -61,15 +81,17 @@ def _(fx):
     return J.journal_pending(fx.journal)
 
 
-COMPACT = """SELECT file, seq * 8 AS pos, 'P' AS type, seq, name, CAST(NULL AS BIGINT) AS k FROM {t} WHERE {w}
-UNION ALL SELECT file, seq * 8 + 2, 'K', seq, NULL, crashes FROM {t} WHERE {w} AND crashes > 0
-UNION ALL SELECT file, seq * 8 + 3, 'S', seq, NULL, NULL FROM {t} WHERE {w} AND inflight
-UNION ALL SELECT file, seq * 8 + 4, 'Q', seq, NULL, NULL FROM {t} WHERE {w} AND quarantined"""
+COMPACT = """SELECT file, pos, type, seq, name, k, payload, {o} FROM (
+SELECT file, seq * 8 AS pos, 'P' AS type, seq, name, CAST(NULL AS BIGINT) AS k, payload, CAST(NULL AS STRUCT(priority INT, timeout_ms BIGINT, due_ms BIGINT, flags INT)) AS opts FROM {t} WHERE {w}
+UNION ALL SELECT file, seq * 8 + 1, 'O', seq, NULL, NULL, NULL, opts FROM {t} WHERE {w} AND opts.flags > 0
+UNION ALL SELECT file, seq * 8 + 2, 'K', seq, NULL, crashes, NULL, NULL FROM {t} WHERE {w} AND crashes > 0
+UNION ALL SELECT file, seq * 8 + 3, 'S', seq, NULL, NULL, NULL, NULL FROM {t} WHERE {w} AND inflight
+UNION ALL SELECT file, seq * 8 + 4, 'Q', seq, NULL, NULL, NULL, NULL FROM {t} WHERE {w} AND quarantined)""".replace("{o}", OPTS)
 
 
 @query("journal_compact", COMPACT.format(t="fx_opened", w="NOT done"), ["fx_opened"])
 def _(fx):
-    return J.journal_compact(_opened(fx)).drop("payload", "opts")
+    return plain(J.journal_compact(_opened(fx)))
 
 
 def _records(fx):
@@ -100,10 +122,10 @@ def _(fx):
 
 
 @query("quarantine_drain", f"""
-SELECT 'drained' AS out, file, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS type, seq, name, crashes AS k FROM fx_opened WHERE quarantined AND NOT done
+SELECT 'drained' AS out, file, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS type, seq, name, crashes AS k, payload, {OPTS} FROM fx_opened WHERE quarantined AND NOT done
 UNION ALL SELECT 'journal', * FROM ({COMPACT.format(t='fx_opened', w='NOT done AND NOT quarantined')})""", ["fx_opened"])
 def _(fx):
     drained, rest = J.quarantine_drain(pin(_opened(fx), "opened"))
     out = drained.select(F.lit("drained").alias("out"), "file", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("type"),
-                         "seq", "name", F.col("crashes").alias("k"))
-    return out.unionByName(J.journal_compact(rest).drop("payload", "opts").withColumn("out", F.lit("journal")))
+                         "seq", "name", F.col("crashes").alias("k"), "payload", "opts")
+    return plain(out.unionByName(J.journal_compact(rest).withColumn("out", F.lit("journal"))))

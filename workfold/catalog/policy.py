@@ -13,6 +13,7 @@ from workfold.catalog.rules import FAILED, LEDGER, NOW, RULED, failures, termina
 from workfold.operators import joins as J
 from workfold.operators import mapping as P
 from workfold.operators import policy as Q
+from workfold.sources.lifecycle import dead_letters
 
 # The task bodies below travel with the plan.
 register_pickle_by_value(sys.modules[__name__])
@@ -41,16 +42,16 @@ def _(fx):
 
 
 @query("redrive_plan", f"""
-WITH {LEDGER}, x AS (SELECT DISTINCT handle FROM fx_damaged WHERE kind IN ('DEAD_LETTERED', 'DROPPED'))
-SELECT business_id, i.handle, rounds, priority, CASE WHEN rounds >= 2 THEN 'declined' WHEN due_ms < {NOW} THEN 'late' ELSE 'resubmit' END AS plan,
- CASE WHEN rounds < 2 AND due_ms >= {NOW} THEN due_ms - {NOW} END AS due_in_ms
-FROM fx_items i JOIN x USING (handle) JOIN led ON led.handle = i.handle""",
+WITH {LEDGER}, x AS (SELECT i.handle, priority, task || ':' || handle AS payload, CASE WHEN due_ms IS NOT NULL THEN greatest(l.ts_ms, due_ms) END AS due
+  FROM fx_items i JOIN fx_damaged l USING (handle, task) WHERE l.kind = 'DEAD_LETTERED')
+SELECT business_id, x.handle, rounds, priority, payload, CASE WHEN rounds >= 2 THEN 'declined' WHEN due < {NOW} THEN 'late' ELSE 'resubmit' END AS plan,
+ CASE WHEN rounds < 2 AND due >= {NOW} THEN due - {NOW} END AS due_in_ms
+FROM x JOIN led ON led.handle = x.handle""",
        ["fx_submissions", "fx_damaged", "fx_items"])
 def _(fx):
     rows = J.ledger(fx.submissions, terminal_facts(fx.damaged))
-    ids = fx.damaged.where(F.col("kind").isin("DEAD_LETTERED", "DROPPED")).select("handle").distinct()
-    dead = fx.items.join(ids, "handle", "left_semi")
-    return Q.redrive_plan(rows, dead, bound=2, now_ms=NOW, drop_late=True)
+    items = fx.items.select("handle", "priority", "due_ms", F.concat("task", F.lit(":"), F.col("handle").cast("string")).alias("payload"))
+    return Q.redrive_plan(rows, dead_letters(fx.damaged, items), bound=2, now_ms=NOW, drop_late=True)
 
 
 def measure_text(text: str, attempt: int) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from workfold.catalog.aggregates import both_logs
 from workfold.catalog.registry import query
 from workfold.functions.exprs import unpack_handle, unpack_shard
 from workfold.operators import aggregates as A
@@ -23,9 +24,10 @@ s AS (SELECT task, ts_ms, CAST(sum(p) OVER w AS BIGINT) AS pending, CAST(sum(f)
   CAST(sum(f) OVER w - f AS BIGINT) AS in_flight_before FROM b WINDOW w AS (PARTITION BY task ORDER BY ts_ms))"""
 
 
-@query("inflight_series", f"WITH {SERIES} SELECT * FROM s", ["fx_pivot"])
+@query("inflight_series", f"SELECT 'retried' AS log, * FROM (WITH {SERIES} SELECT * FROM s) UNION ALL SELECT 'requeued', * FROM (WITH {SERIES.replace('fx_pivot', 'fx_requeued_pivot')} SELECT * FROM s)",
+       ["fx_pivot", "fx_requeued_pivot"])
 def _(fx):
-    return S.inflight_series(fx.lifecycle)
+    return both_logs(fx, S.inflight_series)
 
 
 @query("inflight_peak", f"""WITH {SERIES},

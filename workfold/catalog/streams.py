@@ -79,15 +79,18 @@ def _(fx):
 
 
 @query("sink_dead_letter", """
-SELECT l.handle, l.task, l.ts_ms AS dead_ms, l.status, l.attempt AS attempts, l.mem_bytes, m.value AS peak FROM fx_lifecycle l
-JOIN fx_measures m ON m.handle = l.handle AND m.attempt = l.attempt AND m.name = 'mem.peak' WHERE l.kind = 'DEAD_LETTERED'""", ["fx_lifecycle", "fx_measures"])
+SELECT l.handle, l.task, l.ts_ms AS dead_ms, l.status, l.attempt AS attempts, l.mem_bytes, m.value AS peak, i.priority, l.task || ':' || l.handle AS payload,
+ CASE WHEN i.due_ms IS NOT NULL THEN greatest(0, i.due_ms - l.ts_ms) END AS due_in_ms FROM fx_lifecycle l JOIN fx_items i ON i.handle = l.handle
+JOIN fx_measures m ON m.handle = l.handle AND m.attempt = l.attempt AND m.name = 'mem.peak' WHERE l.kind = 'DEAD_LETTERED'""", ["fx_lifecycle", "fx_measures", "fx_items"])
 def _(fx):
     from workfold.functions.exprs import measure
 
     path = fresh_path(fx.spark, "dead")
-    L.write_dead_letters(L.dead_letters(fx.lifecycle), path)
+    items = fx.items.select("handle", "priority", "due_ms", F.concat("task", F.lit(":"), F.col("handle").cast("string")).alias("payload"))
+    L.write_dead_letters(L.dead_letters(fx.lifecycle, items), path)
     back = fx.spark.read.parquet(path)
-    return back.select("handle", "task", "dead_ms", "status", "attempts", "mem_bytes", measure("mem.peak").cast("long").alias("peak"))
+    return back.select("handle", "task", "dead_ms", "status", "attempts", "mem_bytes", measure("mem.peak").cast("long").alias("peak"),
+                       "priority", "payload", "due_in_ms")
 
 
 @query("stream_counters", f"SELECT {TASK}, {COUNTS_ALL} FROM fx_lifecycle {ROLL}", ["fx_lifecycle"])

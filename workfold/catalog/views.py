@@ -84,15 +84,20 @@ SELECT user_id + 1 AS handle, event_id AS arrival, CAST({_days('ts')} AS BIGINT)
        'mem.current' AS name, CAST(floor(value * 1024) AS BIGINT) AS value, 'procfs.process.resident' AS method
 FROM events"""),
     "fx_journal": (["fx_items", "fx_attempts"], """
-SELECT * FROM (WITH s AS (SELECT handle, task, handle % 4 AS f, row_number() OVER (PARTITION BY handle % 4 ORDER BY handle) AS seq FROM fx_items)
-SELECT concat('j', CAST(f AS VARCHAR)) AS file, seq * 100 AS pos, 'P' AS type, seq, task AS name, CAST(NULL AS BIGINT) AS k FROM s
-UNION ALL SELECT concat('j', CAST(f AS VARCHAR)), seq * 100 + 1, 'K', seq, NULL, handle % 4 FROM s WHERE handle % 5 = 0
-UNION ALL SELECT concat('j', CAST(s.f AS VARCHAR)), s.seq * 100 + 2 * a.attempt, 'S', s.seq, NULL, NULL FROM s JOIN fx_attempts a ON a.handle = s.handle
-UNION ALL SELECT concat('j', CAST(s.f AS VARCHAR)), s.seq * 100 + 2 * a.attempt + 1,
+SELECT * REPLACE ('j' || file AS file) FROM (WITH s AS (SELECT handle, task, handle % 4 AS f, row_number() OVER (PARTITION BY handle % 4 ORDER BY handle) AS seq,
+  {'priority': CAST(handle % 7 AS INT), 'timeout_ms': handle * 10, 'due_ms': CASE WHEN handle % 2 = 1 THEN handle * 1000 END, 'flags': CAST(handle % 3 AS INT)} AS o FROM fx_items)
+SELECT f AS file, seq * 100 AS pos, 'P' AS type, seq, task AS name, CAST(NULL AS BIGINT) AS k, task || ':' || handle AS payload,
+  CAST(NULL AS STRUCT(priority INT, timeout_ms BIGINT, due_ms BIGINT, flags INT)) AS opts FROM s
+UNION ALL SELECT f, seq * 100 + 1, 'K', seq, NULL, handle % 4, NULL, NULL FROM s WHERE handle % 5 = 0
+UNION ALL SELECT s.f, s.seq * 100 + 2 * a.attempt, 'S', s.seq, NULL, NULL, NULL, NULL FROM s JOIN fx_attempts a ON a.handle = s.handle
+UNION ALL SELECT s.f, s.seq * 100 + 2 * a.attempt + 1,
        CASE WHEN a.attempt < a.n_attempts OR a.status = 'CANCELLED' THEN 'F' WHEN a.status = 'OK' THEN 'D'
-            WHEN a.handle % 2 = 0 THEN 'Q' ELSE 'D' END, s.seq, NULL, NULL
+            WHEN a.handle % 2 = 0 THEN 'Q' ELSE 'D' END, s.seq, NULL, NULL, NULL, NULL
 FROM s JOIN fx_attempts a ON a.handle = s.handle WHERE NOT (a.attempt = a.n_attempts AND a.handle % 7 = 0)
-UNION ALL SELECT concat('j', CAST(f AS VARCHAR)), seq * 100 + 99, 'P', seq - 1, 'stale', NULL FROM s WHERE handle % 50 = 0 AND seq > 1)"""),
+UNION ALL SELECT f, seq * 100 + 99, 'P', seq - 1, 'stale', NULL, NULL, NULL FROM s WHERE handle % 50 = 0 AND seq > 1
+UNION ALL SELECT f, seq * 100 + 40, 'O', seq, NULL, NULL, NULL, o FROM s WHERE handle % 6 < 2
+UNION ALL SELECT f, seq * 100 + 41, 'O', seq, NULL, NULL, NULL, struct_update(o, priority := CAST(o.priority + 100 AS INT)) FROM s WHERE handle % 12 = 1
+UNION ALL SELECT f, seq * 100 - 2, 'O', seq, NULL, NULL, NULL, struct_update(o, priority := CAST(o.priority + 200 AS INT)) FROM s WHERE handle % 10 = 0)"""),
     "fx_config": ([], """
 SELECT entity, key, value FROM (SELECT o_orderkey AS entity, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderpriority AS prio FROM orders) o,
 LATERAL (VALUES
@@ -146,12 +151,13 @@ UNION ALL SELECT 'DROPPED', handle, task, ts_ms + 1, status, attempt, arrival +
     "fx_state": (["fx_journal"], """
 SELECT p.file, p.seq, p.name, coalesce(bool_or(m.type = 'D'), FALSE) AS done, coalesce(bool_or(m.type = 'Q'), FALSE) AS quarantined,
  coalesce(arg_max(m.type, m.pos) FILTER (m.type IN ('S','F')) = 'S', FALSE) AS inflight,
- coalesce(arg_max(CASE WHEN m.type = 'K' THEN m.k ELSE 0 END, m.pos) FILTER (m.type IN ('K','F')), 0) AS crashes
+ coalesce(arg_max(CASE WHEN m.type = 'K' THEN m.k ELSE 0 END, m.pos) FILTER (m.type IN ('K','F')), 0) AS crashes,
+ any_value(p.payload) AS payload, arg_max(m.opts, m.pos) FILTER (m.type = 'O') AS opts
 FROM (SELECT * FROM (SELECT *, max(CASE WHEN type = 'P' THEN seq END) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
   FROM fx_journal) WHERE type = 'P' AND seq > coalesce(above, 0)) p
 LEFT JOIN fx_journal m ON m.file = p.file AND m.seq = p.seq AND m.type <> 'P' AND m.pos > p.pos GROUP BY p.file, p.seq, p.name"""),
     "fx_opened": (["fx_state"], """
-SELECT file, seq, name, done, quarantined OR state = 'crash-quarantined' AS quarantined, inflight AND (done OR quarantined) AS inflight, n AS crashes, state FROM (
+SELECT file, seq, name, payload, opts, done, quarantined OR state = 'crash-quarantined' AS quarantined, inflight AND (done OR quarantined) AS inflight, n AS crashes, state FROM (
  SELECT *, CASE WHEN done THEN 'done' WHEN quarantined THEN 'quarantined' WHEN n >= 3 THEN 'crash-quarantined' WHEN n >= 2 THEN 'suspect' ELSE 'pending' END AS state
  FROM (SELECT *, crashes + CASE WHEN inflight AND NOT done AND NOT quarantined THEN 1 ELSE 0 END AS n FROM fx_state))"""),
     # Small rule tables used by the queries that need them.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from workfold import model as M
 from workfold.functions.exprs import U64, bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
-from workfold.plans.attempts import ENDING, QUEUING, attempt_pivot, cycled, queuing, reached, run_ms, state_of_handle, wait_ms
+from workfold.plans.attempts import (
+    ENDING, QUEUING, attempt_pivot, cycled, pivot_once, queuing, reached, run_ms, state_of_handle, state_once, unless_requeued, wait_ms)
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -18,6 +19,11 @@ COUNTED = {
 }
 
 
+def _again() -> tuple:
+    """Counts items with more than one first start."""
+    return F.count_if(F.col("opened") > 1), "sum"
+
+
 def _counter_aggs(when=None):
     live = F.lit(True) if when is None else when
     aggs = {name: (F.count_if(live & (F.col("kind") == kind)), "sum") for name, kind in COUNTED.items()}
@@ -33,10 +39,15 @@ def counters(lifecycle: DataFrame) -> DataFrame:
 
 def gauges(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Items pending and in flight at the end of the log, per task and '(total)'."""
-    return per_task_and_total(state_of_handle(lifecycle, keys), {
-        "pending": (F.count_if(F.col("state") == "pending"), "sum"),
-        "in_flight": (F.count_if(F.col("state") == "in_flight"), "sum"),
-    })
+    keys = keys or ["handle"]
+    counted = {"pending": (F.count_if(F.col("state") == "pending"), "sum"), "in_flight": (F.count_if(F.col("state") == "in_flight"), "sum")}
+
+    def ordered() -> DataFrame:
+        return per_task_and_total(state_of_handle(lifecycle, keys), counted)
+
+    if "cycle" in lifecycle.columns:
+        return ordered()
+    return unless_requeued(per_task_and_total(state_once(lifecycle, keys), {**counted, "_again": _again()}), ordered)
 
 
 def _latency(name: str, sample, live=None):
@@ -51,7 +62,14 @@ def _latency(name: str, sample, live=None):
 
 def wait_latency(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Queued or retried until started."""
-    return per_task_and_total(attempt_pivot(lifecycle, keys), _latency("wait", wait_ms(queuing())))
+    waits = _latency("wait", wait_ms(queuing()))
+
+    def ordered() -> DataFrame:
+        return per_task_and_total(attempt_pivot(lifecycle, keys), waits)
+
+    if "cycle" in lifecycle.columns:
+        return ordered()
+    return unless_requeued(per_task_and_total(pivot_once(lifecycle, keys), {**waits, "_again": _again()}), ordered)
 
 
 def cycle_waits(cycled: DataFrame, carry: bool = True) -> DataFrame:

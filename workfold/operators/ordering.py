@@ -48,10 +48,8 @@ def topk_per_task(items: DataFrame, keys: list[Column], k: int) -> DataFrame:
     return items.withColumn("rank", F.row_number().over(by_task)).where(F.col("rank") <= k)
 
 
-def _shares(items: DataFrame, max_tenants: int | None) -> DataFrame:
-    """Tenants in the order first seen; those past ``max_tenants`` (None: none) share one share."""
-    if max_tenants is None:
-        return items.select("tenant").distinct().withColumn("shared", F.lit(False))
+def _shares(items: DataFrame, max_tenants: int) -> DataFrame:
+    """Tenants in the order first seen; those past ``max_tenants`` share one share."""
     seen = items.groupBy("tenant").agg(F.min("seq").alias("_seen"))
     return ordinal(seen, [], ["_seen"], "_nth").select("tenant", (F.col("_nth") > max_tenants).alias("shared"))
 
@@ -61,7 +59,7 @@ def order_fair_share(items: DataFrame, weight: Column | str, max_tenants: int |
 
     The k-th item of a share gets tag (k-1)*floor(2^20/weight); items go by tag, then submission.
     """
-    weighed = items.join(_shares(items, max_tenants), "tenant")
+    weighed = items.withColumn("shared", F.lit(False)) if max_tenants is None else items.join(_shares(items, max_tenants), "tenant")
     w = F.when(F.col("shared"), F.lit(1)).otherwise(F.least(F.greatest(col(weight), F.lit(1)), F.lit(M.FAIR_SCALE)))
     share = weighed.withColumns({"_share": F.when(F.col("shared"), F.lit(-1).cast("long")).otherwise(F.col("tenant")), "_w": w})
     numbered = ordinal(share, ["shared", "_share"], ["seq"], "_k")

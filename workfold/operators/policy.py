@@ -59,10 +59,15 @@ def retry_decision(failures: DataFrame, policies: DataFrame, rules: DataFrame) -
 def redrive_plan(ledger_rows: DataFrame, dead_letters: DataFrame, bound: int, now_ms: int, drop_late: bool = False) -> DataFrame:
     """Dead letters to submit again, at most ``bound`` times per business id, with what is left of their due time.
 
-    A dead letter of a superseded handle matches no ledger row and is left alone.
+    ``dead_letters`` is what ``sources.lifecycle.dead_letters(log, items)`` gives (or any rows with handle and
+    due_ms); priority, timeout_ms and payload go along where they are there. A dead letter of a superseded
+    handle matches no ledger row and is left alone.
     """
+    if "due_ms" not in dead_letters.columns:  # what was left when the item died
+        dead_letters = dead_letters.withColumn("due_ms", F.col("dead_ms") + F.col("due_in_ms"))
     rows = dead_letters.join(ledger_rows.select("business_id", "handle", "rounds"), "handle")
+    options = [c for c in ("priority", "timeout_ms", "payload") if c in dead_letters.columns]
     left = remaining("due_ms", F.lit(now_ms))
     late = F.coalesce(F.col("due_ms") < now_ms, F.lit(False))
     plan = (F.when(F.col("rounds") >= bound, "declined").when(F.lit(drop_late) & late, "late").otherwise("resubmit"))
-    return rows.select("business_id", "handle", "rounds", "priority", F.when(plan == "resubmit", left).alias("due_in_ms"), plan.alias("plan"))
+    return rows.select("business_id", "handle", "rounds", *options, F.when(plan == "resubmit", left).alias("due_in_ms"), plan.alias("plan"))

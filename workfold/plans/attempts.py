@@ -25,7 +25,7 @@ def with_cycle(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame
     Adds ``cycle`` (1 before the first start) and ``base_ms``, the latest QUEUED or RETRIED of the
     handle before an event: what the wait of a start is measured from that a requeue opened.
     """
-    opens = ((F.col("kind") == "STARTED") & (F.col("attempt") <= 1)).cast("long")
+    opens = opens_cycle().cast("long")
     queued = F.when(F.col("kind").isin(*QUEUING), F.col("ts_ms"))
     # A RETRIED belongs after the failure it answers, and the queued event before the first start.
     keyed = lifecycle.withColumn("_phase", event_phase())
@@ -40,16 +40,31 @@ def cycled(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The log with its cycles numbered; a log that brings ``cycle`` is left as it is.
 
     Only items that started anew are ordered. Who they are is counted and written first, so the plan
-    knows how few they are; the other events are in cycle 1.
+    knows how few they are; the other events are in cycle 1, as are all where there is none.
     """
     if "cycle" in lifecycle.columns:
         return lifecycle
     keys = keys or ["handle"]
-    starts = lifecycle.where((F.col("kind") == "STARTED") & (F.col("attempt") <= 1))
+    starts = lifecycle.where(opens_cycle())
     again = pin(starts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "requeued")
+    first = {"cycle": F.lit(1).cast("long"), "base_ms": F.lit(None).cast("long")}
+    if again.isEmpty():
+        return lifecycle.withColumns(first)
     numbered = with_cycle(lifecycle.join(again, keys, "left_semi"), keys)
-    once = lifecycle.join(again, keys, "left_anti")
-    return numbered.unionByName(once.withColumns({"cycle": F.lit(1).cast("long"), "base_ms": F.lit(None).cast("long")}))
+    return numbered.unionByName(lifecycle.join(again, keys, "left_anti").withColumns(first))
+
+
+def opens_cycle():
+    return (F.col("kind") == "STARTED") & (F.col("attempt") <= 1)
+
+
+def unless_requeued(totals: DataFrame, otherwise) -> DataFrame:
+    """Totals that count requeued items as ``_again``, computed once; ``otherwise()`` where there are any.
+
+    The few rows are written, so where nothing was requeued, as in most logs, one pass over the log is all.
+    """
+    done = pin(totals, "totals")
+    return otherwise() if done.where("_again > 0").limit(1).count() else done.drop("_again")
 
 
 def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -60,7 +75,11 @@ def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFr
     requeue opened. Conditional minima only, so a hot handle is reduced before the shuffle.
     """
     keys = [k for k in keys or ["handle"] if k != "cycle"]
-    lifecycle, kind = cycled(lifecycle, keys), F.col("kind")
+    return _pivot(cycled(lifecycle, keys), keys).drop("opened")
+
+
+def _pivot(lifecycle: DataFrame, keys: list[str]) -> DataFrame:
+    kind = F.col("kind")
     base = F.when((F.col("attempt") <= 1) & (F.col("cycle") > 1), F.col("base_ms")) if "base_ms" in lifecycle.columns else F.lit(None).cast("long")
     return lifecycle.groupBy(*keys, "cycle", "task", F.greatest("attempt", F.lit(1)).alias("attempt")).agg(
         F.min(F.when(kind == "STARTED", base)).alias("base_ms"),
@@ -70,9 +89,16 @@ def attempt_pivot(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFr
         F.min(F.when(terminal(), F.col("ts_ms"))).alias("closed_ms"),
         F.max(kind == "FINISHED").alias("finished"),
         F.max((kind == "FAILED") & (F.col("status") == "CANCELLED")).alias("cancelled"),
+        F.count_if(opens_cycle()).alias("opened"),
     )
 
 
+def pivot_once(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The pivot of a log taken as free of requeues; an attempt ``opened`` more than once says that it is not."""
+    first = {"cycle": F.lit(1).cast("long"), "base_ms": F.lit(None).cast("long")}
+    return _pivot(lifecycle.withColumns(first), [k for k in keys or ["handle"] if k != "cycle"])
+
+
 def wait_ms(since=None):
     """Wait of a pivot row: an inverted pair of stamps counts as 0. A requeue has no queuing event of its
     own, so with ``since`` (see ``queuing``) its wait runs from the latest one before."""
@@ -105,10 +131,14 @@ def state_of_handle(lifecycle: DataFrame, keys: list[str] | None = None) -> Data
     a late RETRIED moves nothing.
     """
     keys = keys or ["handle"]
-    lifecycle = cycled(lifecycle, keys)
+    return state_once(cycled(lifecycle, keys), keys).drop("opened")
+
+
+def state_once(lifecycle: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of a log with its cycles, or of one taken as free of requeues; ``opened`` counts the first starts."""
     per = lifecycle.where(F.col("kind") != "SAMPLE").groupBy(*keys, "task").agg(
-        F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"),
+        F.max(reached(lifecycle)).alias("reached"), F.max(terminal()).alias("over"), F.count_if(opens_cycle()).alias("opened"),
     )
     at = F.col("reached") % 4
     state = (F.when(F.col("over"), "over").when(at == 1, "in_flight").when(at == 0, "pending").otherwise("limbo"))
-    return per.select(*keys, "task", state.alias("state"))
+    return per.select(*keys, "task", state.alias("state"), "opened")
