@@ -61,7 +61,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert all("o_orderpriority" not in s for s in items)
 
 
-@pytest.mark.parametrize("op", [A.counters, A.wait_latency, A.gauges, A.latency_histogram, lambda log: P.measure_fold(P.measure_rows(log)),
+@pytest.mark.parametrize("op", [A.counters, A.wait_totals, lambda log: A.gauge_totals(log, ["handle"]), A.latency_histogram, lambda log: P.measure_fold(P.measure_rows(log)),
                                 lambda log: P.suggest_memory(log), lambda log: A.run_report(log)])
 def test_event_rows_are_hash_aggregated_before_the_shuffle(spark, tmp_path, op):
     from workfold.catalog.inputs import Inputs

@@ -37,17 +37,23 @@ def counters(lifecycle: DataFrame) -> DataFrame:
     return per_task_and_total(lifecycle, _counter_aggs())
 
 
+def _gauges() -> dict:
+    return {"pending": (F.count_if(F.col("state") == "pending"), "sum"), "in_flight": (F.count_if(F.col("state") == "in_flight"), "sum")}
+
+
+def gauge_totals(lifecycle: DataFrame, keys: list[str]) -> DataFrame:
+    """The gauges of a log taken as free of requeues, and how many items were (``_again``)."""
+    return per_task_and_total(state_once(lifecycle, keys), {**_gauges(), "_again": _again()})
+
+
 def gauges(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Items pending and in flight at the end of the log, per task and '(total)'."""
     keys = keys or ["handle"]
-    counted = {"pending": (F.count_if(F.col("state") == "pending"), "sum"), "in_flight": (F.count_if(F.col("state") == "in_flight"), "sum")}
 
     def ordered() -> DataFrame:
-        return per_task_and_total(state_of_handle(lifecycle, keys), counted)
+        return per_task_and_total(state_of_handle(lifecycle, keys), _gauges())
 
-    if "cycle" in lifecycle.columns:
-        return ordered()
-    return unless_requeued(per_task_and_total(state_once(lifecycle, keys), {**counted, "_again": _again()}), ordered)
+    return ordered() if "cycle" in lifecycle.columns else unless_requeued(gauge_totals(lifecycle, keys), ordered)
 
 
 def _latency(name: str, sample, live=None):
@@ -60,16 +66,17 @@ def _latency(name: str, sample, live=None):
     }
 
 
+def wait_totals(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The waits of a log taken as free of requeues, and how many items were (``_again``)."""
+    return per_task_and_total(pivot_once(lifecycle, keys), {**_latency("wait", wait_ms(queuing())), "_again": _again()})
+
+
 def wait_latency(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Queued or retried until started."""
-    waits = _latency("wait", wait_ms(queuing()))
-
     def ordered() -> DataFrame:
-        return per_task_and_total(attempt_pivot(lifecycle, keys), waits)
+        return per_task_and_total(attempt_pivot(lifecycle, keys), _latency("wait", wait_ms(queuing())))
 
-    if "cycle" in lifecycle.columns:
-        return ordered()
-    return unless_requeued(per_task_and_total(pivot_once(lifecycle, keys), {**waits, "_again": _again()}), ordered)
+    return ordered() if "cycle" in lifecycle.columns else unless_requeued(wait_totals(lifecycle, keys), ordered)
 
 
 def cycle_waits(cycled: DataFrame, carry: bool = True) -> DataFrame:
