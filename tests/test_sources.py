@@ -106,3 +106,31 @@ def test_map_dead_letter_contains_an_exit_and_keeps_types(spark, tmp_path):
     assert sorted((r.key, r.attempt, r.status) for r in attempts.collect()) == [("a", 1, "TASK"), ("a", 2, "TASK"), ("b", 1, "OK")]
     assert [(r.key, bytes(r.payload), r.error) for r in letters.collect()] == [("a", b"exit", "SystemExit: 3")]
     assert (tmp_path / "calls").stat().st_size == 3
+
+
+def test_scratch_removes_what_was_written_inside(spark, tmp_path):
+    import os
+
+    from workfold.plans.pin import pin
+    from workfold.session import scratch
+    from workfold.streaming import aggregates as G
+    from workfold.streaming.run import drain
+
+    log = lifecycle(spark, [event("QUEUED", 1, 0), event("STARTED", 1, 5, 1)])
+    kept = pin(log, "kept")
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch(spark):
+        outer = pin(log, "outer")
+        with scratch(spark):
+            assert A.gauges(log).count() == 2
+        assert outer.count() == 2
+        path = str(tmp_path / "log")
+        log.write.parquet(path)
+        drain(G.stream_counters(L.stream_lifecycle(spark, path)), "drained")
+        assert len(set(os.listdir(shared_dir(spark))) - before) == 3
+    assert set(os.listdir(shared_dir(spark))) <= before
+    with pytest.raises(RuntimeError):
+        with scratch(spark):
+            pin(log, "failed")
+            raise RuntimeError
+    assert set(os.listdir(shared_dir(spark))) <= before and kept.count() == 2

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -48,8 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder; an enclosing ``scratch`` owns it."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    if owners := _OWNED.get():
+        owners[-1].append(path)
+    return path
+
+
+_OWNED: ContextVar[tuple[list[str], ...]] = ContextVar("owned", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own what is written to the shared folder inside: intermediates go at the end, also after a failure.
+
+    Results have to be written elsewhere, or read, before the block ends; blocks may be nested.
+    """
+    own: list[str] = []
+    token = _OWNED.set((*_OWNED.get(), own))
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in own:
+            for written in (path, f"{path}-progress"):
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def rows_per_cell(spark: SparkSession) -> int:
