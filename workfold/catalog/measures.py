@@ -82,7 +82,7 @@ def _(fx):
 
 EVIDENCE = """e AS (SELECT a.task, a.handle, a.attempt, a.ended_ms AS ts_ms, a.handle * 1000 + a.attempt * 10 + CASE WHEN a.status = 'OK' THEN 3 ELSE 4 END AS arrival,
   a.mem_bytes, a.mem_peak AS peak, a.method, (a.method = 'cgroup.job.resident' AND a.mem_peak > a.mem_bytes) AS was_hit
-  FROM fx_attempts a WHERE a.status <> 'CANCELLED'),
+  FROM fx_attempts a WHERE a.status <> 'CANCELLED' AND NOT (a.status = 'TASK' AND a.exit_code = 7)),
 o AS (SELECT task, arg_min(method, arrival) AS own FROM e GROUP BY task),
 x AS (SELECT e.*, own, CASE WHEN method = own THEN peak END AS own_peak FROM e JOIN o USING (task))"""
 SUGGEST = """CASE WHEN {hits} = 0 AND {n} < 5 THEN 0 ELSE CAST(ceil(greatest(1048576, greatest({peak} // 100 * 125 + ({peak} % 100) * 125 // 100,

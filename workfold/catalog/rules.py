@@ -97,16 +97,18 @@ def _(fx):
     return J.first_terminal(fx.items.select("handle", "task"), fx.lifecycle)
 
 
-FAILED = """f AS (SELECT handle, task, attempt, ended_ms AS ts_ms, status, CASE WHEN status = 'TASK' AND exit_code <> 7 THEN exit_code END AS exit_code,
+REASON = """CASE WHEN status <> 'TASK' THEN 'task cancelled' WHEN exit_code = 7 THEN 'not started (error 2)' WHEN exit_code = 9 THEN 'signal 9' ELSE 'exit ' || exit_code END
+  || CASE status WHEN 'TASK' THEN ' · unit ' || (exit_code % 3) || ' gave up' ELSE '' END"""
+FAILED = """f AS (SELECT handle, task, attempt, ended_ms AS ts_ms, status, CASE WHEN status = 'TASK' AND exit_code NOT IN (7, 9) THEN exit_code END AS exit_code,
   CASE WHEN status = 'TASK' AND exit_code = 7 THEN 2 END AS start_error FROM fx_attempts WHERE status <> 'OK')"""
 
 
 def failures(fx):
-    """Failed attempts with their exit code; code 7 stands for a program that never started."""
+    """Failed attempts with their exit code, the error of a program that never started, or neither where a signal ended it."""
     code, task = F.col("exit_code"), F.col("status") == "TASK"
     return fx.attempts.where("status <> 'OK'").select(
         "handle", "task", "attempt", F.col("ended_ms").alias("ts_ms"), "status",
-        F.when(task & (code != 7), code).alias("exit_code"), F.when(task & (code == 7), F.lit(2)).alias("start_error"))
+        F.when(task & ~code.isin(7, 9), code).alias("exit_code"), F.when(task & (code == 7), F.lit(2)).alias("start_error"))
 
 
 RULED = """, m AS (SELECT f.*, coalesce(o.wait_ms, g.wait_ms) AS wait_ms FROM f
@@ -171,13 +173,14 @@ def _(fx):
 
 @query("gate_outcome", f"""
 WITH {OVER}, d AS (SELECT gate, count(*) AS deps, count(ended_ms) AS over, max(ended_ms) AS last FROM fx_gate_deps LEFT JOIN fx_outcomes ON handle = dep GROUP BY gate),
-v AS (SELECT g.gate, CASE WHEN p.paused IS NULL OR p.paused THEN 'NOTFOUND' WHEN g.mem_bytes > p.max_mem THEN 'BUDGET' WHEN o.task IS NOT NULL THEN 'BUDGET' ELSE 'OK' END AS verdict
+v AS (SELECT g.gate, nullif(g.gate % 20, 0) AS tries, CASE WHEN p.paused IS NULL OR p.paused THEN 'NOTFOUND' WHEN g.mem_bytes > p.max_mem THEN 'BUDGET' WHEN o.task IS NOT NULL THEN 'BUDGET' ELSE 'OK' END AS verdict
   FROM fx_gates g LEFT JOIN policies p ON p.task = g.task LEFT JOIN over_budget o ON o.task = g.task)
-SELECT v.gate, coalesce(last, 1) AS release_ms, verdict, CASE verdict WHEN 'OK' THEN 'submitted' WHEN 'NOTFOUND' THEN 'retry' ELSE 'stalled' END AS result
+SELECT v.gate, coalesce(last, 1) AS release_ms, verdict, CASE WHEN verdict = 'OK' THEN 'submitted' WHEN verdict = 'NOTFOUND' AND coalesce(tries, 1) < 16 THEN 'retry' ELSE 'stalled' END AS result
 FROM v LEFT JOIN d ON d.gate = v.gate WHERE coalesce(deps, 0) = coalesce(over, 0)""", ["fx_gates", "fx_gate_deps", "fx_outcomes", "policies", "task_costs", "resources"])
 def _(fx):
     released = J.gate_release(fx.gates.select("gate"), fx.gate_deps, fx.lifecycle, now_ms=1)
-    screened = V.screen_submissions(fx.gates, fx.policies, fx.task_costs, fx.resources).select("gate", "verdict")
+    screened = V.screen_submissions(fx.gates, fx.policies, fx.task_costs, fx.resources).select(
+        "gate", "verdict", F.nullif(F.col("gate") % 20, F.lit(0)).alias("tries"))
     return J.gate_outcome(released, screened, max_tries=16)
 
 
@@ -285,16 +288,17 @@ for _name, _columns in {"fn_terminal": "kind, status, terminal", "fn_class": "ki
 
 
 @query("fn_measure", """
-SELECT handle, attempt, max(value) FILTER (name = 'mem.peak') AS peak, max(value) FILTER (name = 'exit.code') AS exit_code
+SELECT handle, attempt, max(value) FILTER (name = 'mem.peak') AS peak, max(value) FILTER (name = 'exit.code') AS exit_code,
+ max(value) FILTER (name = 'exit.signal') AS exit_signal, max(value) FILTER (name = 'start.error') AS start_error, max(value) FILTER (name = 'cpu.throttled_ms') AS throttled_ms
 FROM fx_measures GROUP BY handle, attempt HAVING count(*) FILTER (name = 'mem.peak') > 0""", ["fx_measures"])
 def _(fx):
     ended = fx.lifecycle.where(F.col("kind").isin("FINISHED", "FAILED"))
-    return ended.select("handle", "attempt", E.measure("mem.peak").cast("long").alias("peak"), E.measure("exit.code").cast("long").alias("exit_code"))
+    names = {"peak": "mem.peak", "exit_code": "exit.code", "exit_signal": "exit.signal", "start_error": "start.error", "throttled_ms": "cpu.throttled_ms"}
+    return ended.select("handle", "attempt", *[E.measure(m).cast("long").alias(n) for n, m in names.items()])
 
 
-@query("fn_why", """
-SELECT handle, attempt, CASE status WHEN 'TASK' THEN 'exit ' || exit_code || ' · unit ' || (exit_code % 3) || ' gave up' ELSE 'task cancelled' END AS why
-FROM fx_attempts WHERE status <> 'OK'""", ["fx_attempts"])
+@query("fn_why", f"""
+SELECT handle, attempt, {REASON} AS why FROM fx_attempts WHERE status <> 'OK'""", ["fx_attempts"])
 def _(fx):
     reason = E.why(E.measure("start.error"), E.measure("exit.code"), E.measure("exit.signal"), "status", "stderr_tail")
     return fx.lifecycle.where(F.col("kind") == "FAILED").select("handle", "attempt", reason.alias("why"))

@@ -74,10 +74,13 @@ SELECT handle, task, CASE WHEN is_over THEN 'over' WHEN reached % 4 = 1 THEN 'in
   bool_or(kind IN ('FINISHED','DROPPED','DEAD_LETTERED') OR (kind = 'FAILED' AND status = 'CANCELLED')) AS is_over FROM fx_requeued_events GROUP BY handle, task)"""),
     "fx_measures": (["fx_attempts"], """
 SELECT *, handle * 1000 + attempt * 10 + CASE WHEN status = 'OK' THEN 3 ELSE 4 END AS arrival,
- list_position(['mem.peak','cpu.user_ms','exit.code','mem.cap_hit'], name) AS nth FROM (
+ list_position(['mem.peak','cpu.user_ms','exit.code','mem.cap_hit','exit.signal','start.error','cpu.throttled_ms'], name) AS nth FROM (
 SELECT handle, task, attempt, status, mem_bytes, ended_ms AS ts_ms, 'mem.peak' AS name, mem_peak AS value, 'BYTES' AS unit, 'PEAK' AS kind, method FROM fx_attempts
 UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'cpu.user_ms', (ended_ms - started_ms) * (1 + handle % 3), 'MS', 'TOTAL', 'rusage.process' FROM fx_attempts
-UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'exit.code', CAST(exit_code AS BIGINT), 'CODE', 'CURRENT', 'posix.wait' FROM fx_attempts WHERE status = 'TASK'
+UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'exit.code', CAST(exit_code AS BIGINT), 'CODE', 'CURRENT', 'posix.wait' FROM fx_attempts WHERE status = 'TASK' AND exit_code NOT IN (7, 9)
+UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'exit.signal', CAST(exit_code AS BIGINT), 'CODE', 'CURRENT', 'posix.wait' FROM fx_attempts WHERE status = 'TASK' AND exit_code = 9
+UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'start.error', 2, 'CODE', 'CURRENT', 'posix.exec' FROM fx_attempts WHERE status = 'TASK' AND exit_code = 7
+UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'cpu.throttled_ms', (ended_ms - started_ms) // 8 * (handle % 4), 'MS', 'TOTAL', 'cgroup.job' FROM fx_attempts WHERE method = 'cgroup.job.resident' AND handle % 3 = 0
 UNION ALL SELECT handle, task, attempt, status, mem_bytes, ended_ms, 'mem.cap_hit', CASE WHEN mem_peak > mem_bytes THEN 1 ELSE 0 END, 'FLAG', 'FLAG', 'cgroup.job' FROM fx_attempts WHERE method = 'cgroup.job.resident')"""),
     "fx_samples": ([], f"""
 SELECT user_id + 1 AS handle, event_id AS arrival, CAST({_days('ts')} AS BIGINT) * 86400000 AS ts_ms,
