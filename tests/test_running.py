@@ -50,23 +50,23 @@ def test_running_matches_brute_force(spark, small_cells, seed, hot_share):
 
 def test_global_ordinal_is_cut_into_cells(spark, small_cells):
     df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"))
-    assert R._layout(df, [], ["k"]).select(R.CELL).distinct().count() > 20
+    assert R._layout(df, [], ["k"])[0].select(R.CELL).distinct().count() > 20
     out = R.ordinal(df, [], ["k"], "n", total="all")
     assert out.where("n <> k + 1 or all <> 2000").count() == 0
 
 
 def test_hot_tie_is_split_by_the_next_column(spark, small_cells):
     df = spark.range(1000).select(F.lit(5).alias("ts"), "id")
-    cells = R._layout(df, [], ["ts", "id"]).groupBy(R.CELL).count().agg(F.max("count")).first()[0]
+    cells = R._layout(df, [], ["ts", "id"])[0].groupBy(R.CELL).count().agg(F.max("count")).first()[0]
     assert cells < 200
 
 
 def test_groups_that_cross_no_border_have_no_offset(spark, small_cells):
     df = spark.createDataFrame([("hot" if i % 2 else f"g{i}", i) for i in range(1000)], "g string, i int")
-    layout = R._layout(df, ["g"], ["i"])
-    offsets = R._offsets(layout, ["g"], {"n": ("sum", F.lit(1).cast("long"), R.UPTO)})
+    layout, bound = R._layout(df, ["g"], ["i"])
+    offsets = R._offsets(layout, bound, ["g"], {"n": ("sum", F.lit(1).cast("long"), R.UPTO)})
     cells = layout.select(R.CELL).distinct().count()
-    assert cells > 20 and offsets.count() <= 2 * cells
+    assert 20 < cells <= bound and offsets.count() <= 2 * cells
     assert offsets.where("_g_g = 'hot'").count() > 5
 
 
@@ -86,6 +86,28 @@ def test_one_plan_for_every_size(spark):
         spark.conf.set("workfold.rowsPerCell", "1500")
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("workfold.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("workfold.broadcastRows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("hot_share", [0.35, 1.0])
+def test_many_cells_join_by_shuffle(spark, small_cells, no_broadcast, hot_share):
+    rows = [(None if g == "g3" else g, o, i, v) for g, o, i, v in rows_of(5, 900, hot_share)]
+    df = spark.createDataFrame(rows, "g string, o int, i int, v long")
+    got = R.running(df, ["g"], ["o", "i"], {
+        "upto": ("sum", F.col("v"), R.UPTO), "before": ("sum", F.col("v"), R.BEFORE), "high": ("max", F.col("v"), R.UPTO),
+        "high_before": ("max", F.col("v"), R.BEFORE), "total": ("sum", F.col("v"), R.ALL)})
+    assert {"SortMergeJoin"} == {s for s in shape(got) if "Join" in s or s == "BroadcastExchange"}
+    have = {r.i: (r.upto, r.before, r.high, r.high_before, r.total) for r in got.collect()}
+    assert have == brute(rows)
+
+
 def test_null_groups_and_no_rows(spark, small_cells):
     df = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(400)], "g string, i int")
     out = R.ordinal(df, ["g"], ["i"], "n")

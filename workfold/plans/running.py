@@ -3,7 +3,8 @@
 A plain window puts a whole group into one task. Here the rows are range-partitioned by group and order
 and written once, which fixes the layout; a partition is a cell. The cells are summed, the sums of the
 groups that go on over a border are carried forward (at most two groups a cell), and the window runs
-inside each cell. The plan is the same for every size and has no greatest number of cells: where a cell
+inside each cell. The plan has no greatest number of cells; what the cells carry forward is broadcast while
+it is short (``broadcast_rows``) and joined by cell and group beyond, where no key holds more than a cell. Where a cell
 of the session's shuffle partitions turns out too large, the written rows are laid out once more in as
 many cells as it takes. The cuts come from Spark's range sampling and only steer the layout.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workfold.plans.pin import pin
-from workfold.session import rows_per_cell
+from workfold.session import broadcast_rows, rows_per_cell
 
 CELL = "_cell"
 EVERY = "_every"  # the one group of rows that have none, kept in the written rows
@@ -33,30 +34,37 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     written when the plan is built.
     """
     keys = group or [EVERY]
-    layout = _layout(df, group, order, rows)
+    layout, cells = _layout(df, group, order, rows)
     inner = _local(layout, [F.col(CELL), *[F.col(k) for k in keys]], order, aggs)
-    offsets = _offsets(layout, keys, aggs)
-    same = F.col(CELL) == F.col("_g_cell")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    # Broadcast: a row for each cell a crossing group is in, so at most two a cell.
-    joined = inner.join(F.broadcast(offsets), same, "left")
+    offsets = _offsets(layout, cells, keys, aggs)
+    joined = inner.join(_hinted(offsets, cells), _same(keys), "left")
     return joined.select(
         *[F.col(c) for c in df.columns if c not in aggs],
         *[_merge(op, frame, F.col(out), F.col(f"_o_{out}"), F.col("_g_cell").isNotNull()).alias(out) for out, (op, _, frame) in aggs.items()],
     )
 
 
-def _offsets(layout: DataFrame, keys: list[str], aggs: dict[str, tuple]) -> DataFrame:
-    """What the other cells add, for the groups that cross a border: those in more than one cell."""
-    spread = layout.groupBy(*keys).agg(F.min(CELL).alias("_from"), F.max(CELL).alias("_to")).where("_from < _to")
-    border = spread.select(*[F.col(k).alias(f"_g_{k}") for k in keys])
-    match = F.lit(True)
+def _same(keys: list[str]) -> Column:
+    """A row's cell and group are those of the other side."""
+    same = F.col(CELL) == F.col("_g_cell")
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    crossing = layout.join(F.broadcast(border), match)  # at most one group a border
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return same
+
+
+def _hinted(side: DataFrame, cells: int) -> DataFrame:
+    """A side with a row for each cell a crossing group is in, so at most two a cell: broadcast if those are few."""
+    return F.broadcast(side) if 2 * cells <= broadcast_rows(side.sparkSession) else side
+
+
+def _offsets(layout: DataFrame, cells: int, keys: list[str], aggs: dict[str, tuple]) -> DataFrame:
+    """What the other cells add, for the groups that cross a border: those in more than one cell."""
     groups = [f"_g_{k}" for k in keys]
-    partial = crossing.groupBy(*groups, F.col(CELL).alias("_g_cell")).agg(
+    spread = layout.groupBy(*keys).agg(F.min(CELL).alias("_from"), F.max(CELL).alias("_to")).where("_from < _to")
+    # A group's rows are in cells next to one another, so it is in all between its first and its last.
+    border = spread.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.explode(F.sequence("_from", "_to")).alias("_g_cell"))
+    crossing = layout.join(_hinted(border, cells), _same(keys))
+    partial = crossing.groupBy(*groups, "_g_cell").agg(
         *[_agg(op)(value).alias(f"_c_{out}") for out, (op, value, _) in aggs.items()])
     by_group = Window.partitionBy(*groups)
     carried = by_group.orderBy("_g_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,8 +115,8 @@ def _local(df: DataFrame, keys: list[Column], order: list[str], aggs: dict[str,
     )
 
 
-def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None = None) -> DataFrame:
-    """The rows written in cells: ranges of group and order, numbered in that order."""
+def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None = None) -> tuple[DataFrame, int]:
+    """The rows written in cells, ranges of group and order numbered in that order, and a bound of how many cells."""
     per_cell = rows_per_cell(df.sparkSession)
     keyed = df if group else df.withColumn(EVERY, F.lit(0))
     keys = [*(group or [EVERY]), *order]
@@ -117,9 +125,11 @@ def _layout(df: DataFrame, group: list[str], order: list[str], rows: int | None
         return pin(source.repartitionByRange(*count, *keys).withColumn(CELL, F.spark_partition_id()), "cells")
 
     if rows is not None and rows > per_cell:
-        return cut(keyed, -(-rows // per_cell))
+        wanted = -(-rows // per_cell)
+        return cut(keyed, wanted), wanted
     layout = cut(keyed)
-    size = layout.groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
-    if (size.most or 0) > 2 * per_cell:
-        layout = cut(layout.drop(CELL), -(-size.rows // per_cell))
-    return layout
+    size = layout.groupBy(CELL).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count("*").alias("cells")).first()
+    if (size.most or 0) <= 2 * per_cell:
+        return layout, size.cells
+    wanted = -(-size.rows // per_cell)
+    return cut(layout.drop(CELL), wanted), wanted

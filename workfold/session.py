@@ -16,6 +16,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 OWN_DIR_CONF = "workfold.sharedDir"
 ROWS_PER_CELL_CONF = "workfold.rowsPerCell"
 DEFAULT_ROWS_PER_CELL = 500_000
+BROADCAST_ROWS_CONF = "workfold.broadcastRows"
+DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -82,3 +84,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def rows_per_cell(spark: SparkSession) -> int:
     """How many rows one window task should sort at most (see ``plans.running``)."""
     return int(spark.conf.get(ROWS_PER_CELL_CONF, str(DEFAULT_ROWS_PER_CELL)))
+
+
+def broadcast_rows(spark: SparkSession) -> int:
+    """How many rows of a few numbers a plan may ask Spark to broadcast; longer sides join by shuffle."""
+    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
