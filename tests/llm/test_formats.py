@@ -116,6 +116,22 @@ def test_id_files_round_trip(spark, vocabulary, odd_docs):
     assert simple8b.read_ids(simple8b.write_ids(odd_docs.limit(0), vocabulary_path())).count() == 0
 
 
+def test_many_shards_join_by_shuffle(spark, odd_docs):
+    file = simple8b.write_ids(odd_docs, vocabulary_path())
+    want = simple8b.read_ids(file)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("workfold.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simple8b.read_ids(file)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.unset("workfold.broadcastRows")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_packing_keeps_every_id(spark, vocabulary, odd_docs):
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
         got = packing.pack_power_of_two(docs, vocabulary_path()).collect()

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from workfold.llm.common import id_back, id_key, ragged, shipped, text_chunks, text_of, word_ids
 from workfold.plans.pin import pin
+from workfold.session import broadcast_rows
 
 BLOCK = 4096
 RUN_IDS = 1 << 19
@@ -209,8 +210,10 @@ def read_ids(file: DataFrame) -> DataFrame:
     """
     per_shard = file.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row per shard, so as many as the writing job had tasks: small whatever the documents hold.
-    shards = F.broadcast(per_shard.select("shard", before.alias("before_shard")))
+    shards = per_shard.select("shard", before.alias("before_shard"))
+    # One row per task that wrote: broadcast where they are few, else joined by shard, which holds what one task wrote.
+    if file.select("shard").distinct().count() <= broadcast_rows(file.sparkSession):
+        shards = F.broadcast(shards)
     based = file.join(shards, "shard").withColumn("base", F.col("before_shard") + F.col("before"))
     return based.mapInArrow(_decode_part, "id long, start long, n_tokens long, ids_crc32 long, ids binary").select(
         id_back(F.col("id")).alias("id"), "start", "n_tokens", "ids_crc32", "ids")
