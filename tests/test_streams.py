@@ -291,3 +291,21 @@ def test_batch_written_again_counts_once(spark, tmp_path):
     drain(G.stream_counters(stream), "c", table=table)
     again = drain(G.stream_counters(stream), "c", table=table)     # restarts from the checkpoint: nothing new
     assert by(newest(again, ["task"]), "task")["t"]["queued"] == 2
+
+
+@pytest.mark.parametrize("named", [None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"])
+def test_state_machines_run_where_the_session_names_no_store_for_them(spark, tmp_path, named):
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.unset(conf) if named is None else spark.conf.set(conf, named)
+    try:
+        log = [event("QUEUED", 1, 0), event("STARTED", 1, 10, 1), event("FINISHED", 1, 30, 1), event("QUEUED", 2, 5)]
+        changes = drain(S.stream_lifecycle_state(feed(spark, str(tmp_path / "a" / "in"), [log])), "changes", machine=True)
+        got = by(S.fold_changes(changes), "task")["t"]
+        assert (got["pending"], got["wait_ms_sum"], got["run_ms_sum"]) == (1, 10, 20)
+        deps = spark.createDataFrame([(7, 1)], "gate long, dep long")
+        gates = drain(S.stream_gates(feed(spark, str(tmp_path / "b" / "in"), [log]), deps, origin_ms=10**12), "gates", "append", machine=True)
+        assert [(r.gate, r.deps, r.release_ms) for r in gates.collect()] == [(7, 1, 30)]
+        assert spark.conf.get(conf, None) == named
+    finally:
+        spark.conf.set(conf, before)
