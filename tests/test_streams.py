@@ -309,3 +309,30 @@ def test_state_machines_run_where_the_session_names_no_store_for_them(spark, tmp
         assert spark.conf.get(conf, None) == named
     finally:
         spark.conf.set(conf, before)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 4000])
+def test_slices_are_written_by_several_tasks_and_taken_whole(spark, rows):
+    from workfold.catalog import streams as C
+
+    odd = F.when(F.col("id") % 10 < 7, 5).otherwise(F.col("id"))  # most of the rows share a stamp, so some slices are empty
+    log = spark.range(0, rows, 1, 6).select(F.lit("FINISHED").alias("kind"), F.col("id").alias("handle"), odd.cast("long").alias("ts_ms"))
+    path, files = C.written_in_order(log, "slices", rows_per_file=200)
+    assert files == (4 if rows == 4000 else 1)
+    names = spark.read.parquet(path).inputFiles()
+    assert len(names) == 5 * files
+    names.sort(key=lambda n: os.stat(n.removeprefix("file:")).st_mtime_ns)
+    spans = [spark.read.schema(log.schema).parquet(*names[i:i + files]).agg(F.min("ts_ms"), F.max("ts_ms"), F.count("*")).first() for i in range(0, 5 * files, files)]
+    held = [s for s in spans if s[2]]
+    assert all(a[1] < b[0] for a, b in zip(held, held[1:])) and sum(s[2] for s in spans) == rows
+
+
+def test_batches_of_a_stream_do_not_grow_with_its_files(spark):
+    from types import SimpleNamespace
+
+    from workfold.catalog import streams as C
+
+    log = lifecycle(spark, [event("FINISHED", h, 10 + h, 1) for h in range(80)]).repartition(40)
+    stream = C.streamed(SimpleNamespace(spark=spark, lifecycle=log))
+    out = drain(stream.groupBy("task").agg(F.count("*").alias("n")), "n")
+    assert out.select("batch").distinct().count() <= 5 and out.agg(F.max("n")).first()[0] == 80
