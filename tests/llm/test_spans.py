@@ -205,3 +205,27 @@ def test_secret_field_finds_more_than_the_patterns_and_leaves_prose_alone(spark)
     assert hits >= 0.9 * len(planted) and hits >= 0.9 * (added + wrong), (hits, len(planted), added, wrong)
     docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(planted)], "doc_id long, text string, f string")
     assert {r.doc_id for r in secrets.find_secrets(docs, field=field).where("spans LIKE '%secret:%'").collect()} == {i for i, f in enumerate(found) if f}
+
+
+def test_every_token_is_decoded():
+    rng = np.random.RandomState(2)
+    field = secrets.Field(rng.standard_normal((secrets.N_FEATURES, 3)), rng.standard_normal((3, 3)))
+    texts = ["", "plain words only here", "a key= Zz9/x then\nmany  plain words", " ", "one", "plain " * 40 + "x=1"]
+    labels = secrets.Chains(field, words=2).labels(texts)
+    for text, got in zip(texts, labels):
+        run = [m.span() for m in re.finditer(r"\S+", text)]
+        assert len(got) == len(run)
+        if run:
+            assert field.decode(secrets.features(text, run, secrets.file_features(text))) == got.tolist()
+    assert sum(map(len, labels)) == 53 and any(got.any() for got in labels)
+
+
+def test_a_secret_of_plain_letters_is_found(spark):
+    from workfold.llm.secrets import Field
+
+    weights = np.zeros((secrets.N_FEATURES, 3))
+    weights[0, secrets.OUT] = 1.0
+    weights[1 + 4, secrets.BEGIN] = 9.0  # 16 to 23 characters
+    docs = spark.createDataFrame([(1, "the correcthorsebattery is plain"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs, field=Field(weights, np.zeros((3, 3)))).collect()}
+    assert got == {1: "secret:4:22", 2: "", 3: ""}

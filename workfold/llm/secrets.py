@@ -1,16 +1,16 @@
 """Secrets by a linear-chain conditional random field over the tokens of a text.
 
 Base spans are those of fixed patterns (assignments, access keys, hex strings); they always stay. Tokens
-are runs without white space. A token may be part of a secret if it holds a digit, a sign that keys are made
-of or a capital after a small letter, if it is long and in capitals or joined by hyphens or dots, or if it
-follows a cue word (password, key, bearer ..); plain words elsewhere are outside by the model's definition,
-so they cut the chain and need no decoding. On the runs in between, features of a token's shape, its
-neighbours' words and the file give emission weights, and Viterbi decodes begin, inside or outside.
+are runs without white space. Features of a token's shape, its neighbours' words and the file give emission
+weights, and Viterbi decodes begin, inside or outside over all tokens of the whole text, as one chain.
 
 The weights are learned by maximum likelihood on the tokens of a bounded sample of documents, labelled by
 the base patterns. Each assignment found there is shown again under other names and with values of other
 shapes (capitals, small letters, hyphenated words), so that the field learns what surrounds a secret rather
-than the patterns; decoding reads every whole text. Defined results: NULL and empty texts have no spans;
+than the patterns. Tokens that hold a digit, a sign that keys are made of or a capital after a small letter, that are
+long and in capitals or joined by hyphens or dots, or that follow a cue word are learned in runs of neighbours
+(``token_runs``), the others one by one between outside tokens; equal ones are counted, and together the others weigh no more
+than the runs. Decoding reads every whole text. Defined results: NULL and empty texts have no spans;
 ids may be NULL or repeated (each row is judged alone); an empty table gives no rows and learns nothing
 (then only base spans are found); other columns are ignored.
 """
@@ -21,10 +21,13 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from heapq import merge
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,7 @@ LONG = re.compile(r"[A-Z]{16}|(?<=[A-Za-z0-9])[-.](?=[A-Za-z0-9])")
 NEAR = re.compile(r"""(?:passw|passphrase|secret|token|key|auth|bearer|credential|login)[a-z]*["']?(?:[ \t]*[:=]+)?[ \t]*["']?(?=\S{8})""")
 LEAST_LONG = 16
 BLANK = re.compile(r"[ \n\t\r]")
+TOKEN = re.compile(r"[^ \n\t\r]+")
 CUE_WORDS = frozenset("password passwd pwd secret token apikey api_key key auth authorization bearer credential credentials access private client_secret passphrase login".split())
 EDGE = "\"'`(),;:.<>{}[]"
 VALUE = re.compile(r"""[\w.\-]*["']?[:=]["']?(?=\S{8})""")
@@ -99,23 +103,28 @@ N_OWN, N_SIDE = 24, 6
 N_FEATURES = 1 + N_OWN + 3 * N_SIDE + 2
 
 
+HEX_DIGITS, KEY_SIGNS = "0123456789abcdef", frozenset("+/=_-")
+NO_DIGITS, NO_LOWER, NO_UPPER = (str.maketrans("", "", cs) for cs in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
+def _mix(value: str) -> float:
+    """Bits a character; of fewer than eight different ones it is below 3 and taken as 0."""
+    kinds, n = set(value), len(value)
+    return -sum(k / n * math.log2(k / n) for k in map(value.count, kinds)) if len(kinds) >= 8 else 0.0
+
+
 def own_features(token: str) -> list[int]:
     """Shape of a token: size, kinds of characters, their mix, quotes, assignment, cue word."""
     body = token.strip(EDGE)
     value = body[m.end():] if (m := VALUE.match(body)) else body
-    n = len(value)
-    out = [sum(n >= s for s in SIZES)]
-    digits, lower, upper = sum("0" <= c <= "9" for c in value), sum(c.islower() for c in value), sum(c.isupper() for c in value)
-    signs = n - digits - lower - upper
-    counts = Counter(value)
-    mix = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
-    for i, held in enumerate((
-            digits > 0, lower > 0, upper > 0, signs > 0, digits == n, all(c in "0123456789abcdef" for c in value), mix >= 3, mix >= 3.5,
-            0 < digits < n and lower + upper > 0, value is not body, token != body and token[:1] in "\"'`", value.isascii(), "://" in token or "@" in token,
-            value.count(".") >= 2, any(c in value for c in "+/=_-"), _word(token) in CUE_WORDS)):
-        if held:
-            out.append(len(SIZES) + 1 + i)
-    return out
+    n, plain = len(value), value.isascii()
+    digits = n - len(value.translate(NO_DIGITS))
+    lower, upper = (n - len(value.translate(NO_LOWER)), n - len(value.translate(NO_UPPER))) if plain else (sum(c.islower() for c in value), sum(c.isupper() for c in value))
+    mix = _mix(value)
+    held = (digits > 0, lower > 0, upper > 0, n > digits + lower + upper, digits == n, not value.strip(HEX_DIGITS), mix >= 3, mix >= 3.5,
+            0 < digits < n and lower + upper > 0, value is not body, token != body and token[:1] in "\"'`", plain, "://" in token or "@" in token,
+            value.count(".") >= 2, not KEY_SIGNS.isdisjoint(value), _word(token) in CUE_WORDS)
+    return [bisect_right(SIZES, n), *(len(SIZES) + 1 + i for i, h in enumerate(held) if h)]
 
 
 def side_features(token: str) -> list[int]:
@@ -135,6 +144,16 @@ def file_features(text: str) -> list[int]:
     return [i for i, held in enumerate((text.count("=") + text.count(": ") > 0.3 * head, text.count("{") + text.count(";\n") > 0.1 * head)) if held]
 
 
+@lru_cache(100_000)
+def _kept(word: str) -> tuple[tuple[int, ...], ...]:
+    return tuple(own_features(word)), tuple(side_features(word))
+
+
+def _features_of(word: str) -> tuple:
+    """Own and side features of a word; a worker remembers those of short ones."""
+    return _kept(word) if len(word) <= 64 else (own_features(word), side_features(word))
+
+
 def features(text: str, run: list[tuple[int, int]], file: list[int]) -> list[list[int]]:
     """The feature numbers of every token of a run."""
     before = text[max(0, run[0][0] - 40):run[0][0]].split()[-2:]
@@ -142,9 +161,9 @@ def features(text: str, run: list[tuple[int, int]], file: list[int]) -> list[lis
     words = ["", "", *before][-2:] + [text[s:e] for s, e in run] + (after or [""])
     out = []
     for i in range(len(run)):
-        own = [0] + [1 + f for f in own_features(words[i + 2])]
+        own = [0] + [1 + f for f in _features_of(words[i + 2])[0]]
         for k, w in enumerate((words[i + 1], words[i], words[i + 3])):
-            own += [1 + N_OWN + k * N_SIDE + f for f in side_features(w)]
+            own += [1 + N_OWN + k * N_SIDE + f for f in _features_of(w)[1]]
         out.append(own + [1 + N_OWN + 3 * N_SIDE + f for f in file])
     return out
 
@@ -155,10 +174,17 @@ NEVER = -30.0
 
 def gold(run: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
     """Labels of a run's tokens by the base spans that reach into them."""
-    out, last = [], None
+    out, last, low = [], None, 0
     for s, e in run:
-        # The value of an assignment is the secret, so its last token counts.
-        hit = next(((b, k, f) for b, k, f in spans if b < e and f > s and (k != 0 or f <= e)), None)
+        while low < len(spans) and spans[low][2] <= s:
+            low += 1
+        hit = None
+        for b, k, f in islice(spans, low, None):
+            if b >= e:
+                break
+            if f > s and (k != 0 or f <= e):  # the value of an assignment is the secret, so its last token counts
+                hit = b, k, f
+                break
         out.append(OUT if hit is None else INSIDE if hit == last else BEGIN)
         last = hit
     return out
@@ -184,6 +210,72 @@ class Field:
         return labels[::-1]
 
 
+class Chains:
+    """Decodes whole texts with a field, many side by side. What words weigh is remembered and decides no result."""
+
+    def __init__(self, field: Field, words: int = 300_000):
+        self.field, self.words = field, words
+        self.known: dict[str, int] = {}
+        self.shapes: dict[tuple, int] = {}
+        self.weights = np.empty((1024, 4, 3))
+
+    def _number(self, word: str) -> int:
+        shape = tuple(own_features(word)), tuple(side_features(word))
+        n = self.shapes.get(shape)
+        if n is None:  # few shapes among many words
+            n = self.shapes[shape] = len(self.shapes)
+            if n == len(self.weights):
+                self.weights = np.concatenate([self.weights, np.empty_like(self.weights)])
+            own, side = shape
+            self.weights[n, 0] = self.field.emission[[0, *(1 + f for f in own)]].sum(0)
+            for k in range(3):
+                self.weights[n, 1 + k] = self.field.emission[[1 + N_OWN + k * N_SIDE + f for f in side]].sum(0)
+        if len(word) <= 64:
+            self.known[word] = n
+        return n
+
+    def emissions(self, text: str) -> np.ndarray:
+        """The weights of every label at every token: its own, those of two tokens before and one after, the file's."""
+        none = self.known.get("")
+        none = self._number("") if none is None else none
+        get, number = self.known.get, self._number
+        at = np.array([none, none, *[number(w) if (n := get(w)) is None else n for w in TOKEN.findall(text)], none])
+        own, before, second, after = (self.weights[:, k] for k in range(4))
+        file = self.field.emission[[1 + N_OWN + 3 * N_SIDE + f for f in file_features(text)]].sum(0)
+        return own[at[2:-1]] + before[at[1:-2]] + second[at[:-3]] + after[at[3:]] + file
+
+    def labels(self, texts: list[str]) -> list[np.ndarray]:
+        """The best labels of all tokens of each text; outside stands on both sides of a text."""
+        if len(self.known) > self.words:
+            self.known.clear()
+        rows = [self.emissions(t) for t in texts]
+        sizes = np.array([len(r) for r in rows])
+        order = np.argsort(-sizes, kind="stable")
+        held = sizes[order]
+        first = np.concatenate([[0], np.cumsum(held)[:-1]])  # where a chain begins among all tokens
+        flat = np.concatenate([rows[i] for i in order]) if len(rows) else np.empty((0, 3))
+        steps = int(held[0]) if len(held) else 0
+        live = np.searchsorted(-held, -np.arange(steps), side="left")  # chains longer than t
+        transition, back, found = self.field.transition, np.zeros(flat.shape, np.uint8), np.zeros(len(flat), np.uint8)
+        if steps:
+            best = transition[OUT] + flat[np.minimum(first, len(flat) - 1)]
+        for t in range(1, steps):
+            n = live[t]
+            all_ = best[:n, :, None] + transition
+            back[first[:n] + t] = all_.argmax(1)
+            best[:n] = all_.max(1) + flat[first[:n] + t]
+        if steps:
+            now = (best + transition[:, OUT]).argmax(1)
+        for t in range(steps - 1, -1, -1):
+            n = live[t]
+            found[first[:n] + t] = now[:n]
+            now[:n] = back[first[:n] + t, now[:n]]
+        out = [found[:0]] * len(rows)
+        for i, low, n in zip(order, first, held):
+            out[i] = found[low:low + n]
+        return out
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -239,7 +331,7 @@ def fit(runs: list[tuple[list[list[int]], list[int], int]], rounds: int = 300, r
     return Field(emission, transition)
 
 
-OTHER_NAMES = ("passphrase: ", "client key = ", "Bearer ", "auth: ", "private_key=", "credential: ", "access key: ", "login = ")
+OTHER_NAMES = ("passphrase: ", "client key = ", "Bearer ", "auth: ", "private_key=", "credential: ", "access key: ", "login = ", "Authorization: Bearer ")
 
 
 def shown_again(text: str, span: tuple[int, int, int]) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -288,16 +380,25 @@ def learn(docs: DataFrame, sample: Sample = Sample(), text_col: str = "text") ->
             for text in batch["text"].to_pylist():
                 spans, file = base_spans(text), file_features(text)
                 for shown, own in [(text, spans), *(x for span in spans if span[1] == 0 for x in shown_again(text, span))]:
-                    for run in token_runs(shown):
+                    reach = 0
+                    for run in [*token_runs(shown), []]:
                         for low in range(0, len(run), sample.run):
                             part = run[low:low + sample.run]
-                            seen[json.dumps([features(shown, part, file), gold(part, own)])] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["run", "n"])
+                            seen[json.dumps([features(shown, part, file), gold(part, own)]), False] += 1
+                        for m in TOKEN.finditer(shown, reach, run[0][0] if run else len(shown)):
+                            part = [m.span()]
+                            seen[json.dumps([features(shown, part, file), gold(part, own) if own else [OUT]]), True] += 1
+                        reach = run[-1][1] if run else reach
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.bool_()),
+                                          pa.array(seen.values(), pa.int64())], ["run", "other", "n"])
 
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
-    counted = picked.mapInArrow(label, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    counted = picked.mapInArrow(label, "run string, other boolean, n long").groupBy("run", "other").agg(F.sum("n").alias("n"))
     # All different runs of the sampled documents; equal ones are counted, so they are far fewer than its tokens.
-    runs = sorted((*json.loads(r.run), r.n) for r in counted.collect())
+    found = [(*json.loads(r.run), r.other, r.n) for r in counted.collect()]
+    weight = [sum(n for _, _, o, n in found if o == other) for other in (False, True)]
+    less = min(1.0, weight[0] / weight[1]) if weight[0] and weight[1] else 1.0
+    runs = sorted((rows, labels, n * less if other else n) for rows, labels, other, n in found)
     return fit(runs) if runs else None
 
 
@@ -311,34 +412,49 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return (m.end() if m else start), end
 
 
-def find(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added ones; an added span touches no base span."""
+def find(text: str, field: Field | None, labels: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and added ones, by the ``labels`` of all tokens (decoded here if not given); an added span touches no base span."""
     base = base_spans(text)
-    if field is None:
+    if labels is None:
+        labels = Chains(field).labels([text])[0] if field else np.zeros(0, np.uint8)
+    if not labels.any():
         return base, []
-    added, file = [], None
+    added = []
     taken = sorted((s, e) for s, _, e in base)
-    at = 0
-    for run in token_runs(text):
-        file = file_features(text) if file is None else file
-        labels = field.decode(features(text, run, file))
-        i = 0
-        while i < len(run):
-            if labels[i] == OUT:
-                i += 1
-                continue
-            j = i + 1
-            while j < len(run) and labels[j] == INSIDE:
-                j += 1
-            start, end = trimmed(text, run[i][0], run[j - 1][1])
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if end > start and not any(b < end and f > start for b, f in taken[max(0, at - 2):at + 4]):
-                added.append((start, 3, end))
-            i = j
+    run = [m.span() for m in TOKEN.finditer(text)]
+    i = at = 0
+    while i < len(run):
+        if labels[i] == OUT:
+            i += 1
+            continue
+        j = i + 1
+        while j < len(run) and labels[j] == INSIDE:
+            j += 1
+        start, end = trimmed(text, run[i][0], run[j - 1][1])
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if end > start and not any(b < end and f > start for b, f in taken[max(0, at - 2):at + 4]):
+            added.append((start, 3, end))
+        i = j
     return base, added
 
 
+CHARS = 4_000_000
+
+
+def together(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
+    """The texts in order, in groups of so many characters or one longer text."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > chars:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -349,12 +465,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     field = field or learn(docs, text_col=text_col)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            base, added = find(text, field)
-            counts = [sum(k == i for _, k, _ in base) for i in range(3)]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added))))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        chains = field and Chains(field)
+        for texts in batches:
+            rows = []
+            for group in together(texts.tolist()):
+                for text, labels in zip(group, chains.labels(group) if chains else [np.zeros(0, np.uint8)] * len(group)):
+                    base, added = find(text, field, labels)
+                    counts = [sum(k == i for _, k, _ in base) for i in range(3)]
+                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added))))
+            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return docs.select(F.col(id_col).alias("doc_id"), found(text_of(text_col)).alias("f")).select("doc_id", "f.*")
