@@ -208,7 +208,7 @@ def test_secret_field_finds_more_than_the_patterns_and_leaves_prose_alone(spark)
 
 
 def test_every_token_is_decoded():
-    rng = np.random.RandomState(2)
+    rng = np.random.RandomState(5)
     field = secrets.Field(rng.standard_normal((secrets.N_FEATURES, 3)), rng.standard_normal((3, 3)))
     texts = ["", "plain words only here", "a key= Zz9/x then\nmany  plain words", " ", "one", "plain " * 40 + "x=1"]
     labels = secrets.Chains(field, words=2).labels(texts)
@@ -217,7 +217,7 @@ def test_every_token_is_decoded():
         assert len(got) == len(run)
         if run:
             assert field.decode(secrets.features(text, run, secrets.file_features(text))) == got.tolist()
-    assert sum(map(len, labels)) == 53 and any(got.any() for got in labels)
+    assert sum(map(len, labels)) == 53 and labels[1].any() and set(np.concatenate(labels)) == {0, 1, 2}
 
 
 def test_a_secret_of_plain_letters_is_found(spark):
@@ -228,4 +228,4 @@ def test_a_secret_of_plain_letters_is_found(spark):
     weights[1 + 4, secrets.BEGIN] = 9.0  # 16 to 23 characters
     docs = spark.createDataFrame([(1, "the correcthorsebattery is plain"), (2, "nothing here"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.find_secrets(docs, field=Field(weights, np.zeros((3, 3)))).collect()}
-    assert got == {1: "secret:4:22", 2: "", 3: ""}
+    assert got == {1: "secret:4:23", 2: "", 3: ""}

@@ -213,7 +213,7 @@ class Field:
 class Chains:
     """Decodes whole texts with a field, many side by side. What words weigh is remembered and decides no result."""
 
-    def __init__(self, field: Field, words: int = 300_000):
+    def __init__(self, field: Field, words: int = 600_000):
         self.field, self.words = field, words
         self.known: dict[str, int] = {}
         self.shapes: dict[tuple, int] = {}
@@ -276,6 +276,12 @@ class Chains:
         return out
 
 
+@lru_cache(1)
+def _chains(emission: bytes, transition: bytes) -> Chains:
+    """The chains of a field, kept by a worker from task to task with the words it remembers."""
+    return Chains(Field(np.frombuffer(emission).reshape(-1, 3), np.frombuffer(transition).reshape(3, 3)))
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -466,7 +472,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        chains = field and Chains(field)
+        chains = field and _chains(field.emission.tobytes(), field.transition.tobytes())
         for texts in batches:
             rows = []
             for group in together(texts.tolist()):
