@@ -80,3 +80,25 @@ def test_topk_is_limited_before_the_shuffle(spark):
 
     plan = plan_of(O.topk_per_task(Inputs(spark, SF).items, O.edf_keys(), 5))
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_waits_and_pivots_carry_no_payload_through_their_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from workfold.operators import aggregates as A
+    from workfold.plans import attempts, running
+
+    written = []
+    real = running.pin
+    monkeypatch.setattr(running, "pin", lambda df, label: written.append((df.columns, df.count())) or real(df, label))
+    events = [("QUEUED", 0, 0), ("STARTED", 1, 10), ("FAILED", 1, 20), ("STARTED", 1, 30), ("FINISHED", 1, 40), ("SAMPLE", 1, 41)]
+    rows = [(k, h, "t", a, ts, "TASK" if k == "FAILED" else "OK", i) for h in (7, None) for i, (k, a, ts) in enumerate(events)] + [("STARTED", 8, "t", 1, 9, "OK", 50)]
+    log = spark.createDataFrame(rows, "kind string, handle long, task string, attempt int, ts_ms long, status string, arrival long")
+    log = log.withColumn("measures", F.array(F.lit("x"))).withColumn("stderr_tail", F.lit("y"))
+    waits = {(r.handle, r.cycle): r.wait_ms for r in A.attempt_waits(log).collect()}
+    assert waits == {(7, 1): 10, (7, 2): 30, (None, 1): 10, (None, 2): 30, (8, 1): None} or waits[8, 1] in (None, 0)
+    assert [n for _, n in written] == [7]  # starts and what queues them
+    pivot = {(r.handle, r.cycle): (r.queued_ms, r.base_ms, r.started_ms, r.ended_ms) for r in attempts.attempt_pivot(log).collect()}
+    assert pivot == {(7, 1): (0, None, 10, 20), (7, 2): (None, 0, 30, 40), (None, 1): (0, None, 10, 20), (8, 1): (None, None, 9, None)}
+    assert [n for _, n in written][1:] == [6]  # only the item that started anew
+    assert all("measures" not in columns and "stderr_tail" not in columns for columns, _ in written)

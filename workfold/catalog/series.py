@@ -12,7 +12,6 @@ from workfold.operators import aggregates as A
 from workfold.operators import ordering as O
 from workfold.operators import series as S
 from workfold.operators import sets as X
-from workfold.plans.attempts import with_cycle
 
 SERIES = """d AS (
   SELECT task, CASE WHEN started_ms IS NULL THEN queued_ms ELSE least(queued_ms, started_ms) END AS ts_ms, 1 AS p, 0 AS f FROM fx_pivot WHERE queued_ms IS NOT NULL
@@ -86,7 +85,7 @@ p AS (SELECT handle, task, cycle, greatest(attempt, 1) AS attempt, min(ts_ms) FI
   FROM c GROUP BY handle, task, cycle, greatest(attempt, 1))
 SELECT handle, task, cycle, attempt, greatest(0, s - coalesce(q, b)) AS wait_ms FROM p WHERE s IS NOT NULL""", ["fx_lifecycle"])
 def _(fx):
-    return A.cycle_waits(with_cycle(requeued(fx.lifecycle)))
+    return A.attempt_waits(requeued(fx.lifecycle))
 
 
 @query("round_robin", "SELECT handle, seq, CAST((row_number() OVER (ORDER BY seq) - 1) % 7 AS INT) AS shard FROM fx_items", ["fx_items"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from workfold import model as M
 from workfold.functions.exprs import U64, bucket_upper, code_of, log2_bucket, measure, name_of, point, shard_of, terminal, why
 from workfold.plans.attempts import (
-    ENDING, QUEUING, attempt_pivot, cycled, pivot_once, queuing, reached, run_ms, state_of_handle, state_once, unless_requeued, wait_ms)
+    ENDING, QUEUING, attempt_pivot, cycled, pivot_once, queuing, reached, run_ms, state_of_handle, state_once, unless_requeued, wait_ms, with_cycle)
 from workfold.plans.pin import pin
 from workfold.plans.running import ALL, UPTO, ordinal, running
 from workfold.plans.totals import per_task_and_total
@@ -100,6 +100,15 @@ def cycle_waits(cycled: DataFrame, carry: bool = True) -> DataFrame:
     )
 
 
+def attempt_waits(lifecycle: DataFrame, carry: bool = True) -> DataFrame:
+    """Wait per attempt (``cycle_waits``) of a log whose cycles are not numbered yet.
+
+    Only starts and what queues them decide a wait, so only those are ordered, without their payload.
+    """
+    waiting = lifecycle.where(F.col("kind").isin("STARTED", *QUEUING)).select("handle", "task", "kind", "ts_ms", "attempt", "arrival")
+    return cycle_waits(with_cycle(waiting), carry)
+
+
 def run_latency(lifecycle: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Started until finished or failed, per attempt."""
     return per_task_and_total(attempt_pivot(lifecycle, keys), _latency("run", run_ms()))
