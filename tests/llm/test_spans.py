@@ -229,3 +229,14 @@ def test_a_secret_of_plain_letters_is_found(spark):
     docs = spark.createDataFrame([(1, "the correcthorsebattery is plain"), (2, "nothing here"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.find_secrets(docs, field=Field(weights, np.zeros((3, 3)))).collect()}
     assert got == {1: "secret:4:23", 2: "", 3: ""}
+
+
+def test_lone_tokens_are_counted_by_shapes_that_tell_their_features():
+    far = "password: " + "x" * 50 + " = tail\n" + " " * 60 + "end token: Ab3"
+    for text in ("", "one", "the Key, is 'secret' = a1B2 (DEAF) beef", far, "a\u00a0b c\x0bd e", "\u0130stanbul \u00e9t\u00e9 passwd="):
+        shapes = secrets.Shapes(words=3)
+        tokens = [m.span() for m in secrets.TOKEN.finditer(text)]
+        for token, held in zip(tokens, shapes.each(text, tokens), strict=True):
+            assert shapes.features((*held, 1), 1) == secrets.features(text, [token], [1])
+        if tokens:
+            assert shapes.features(tuple(shapes.of(text, tokens)), len(tokens)) == secrets.features(text, tokens, [])

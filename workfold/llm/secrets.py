@@ -40,6 +40,7 @@ from workfold.llm.common import shipped, text_of
 KINDS = ("assign", "access", "hex", "secret")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KEY_PARTS = ("passw", "secret", "token", "api")
+KEY_PART = re.compile("|".join(KEY_PARTS))
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 
@@ -49,6 +50,7 @@ NEAR = re.compile(r"""(?:passw|passphrase|secret|token|key|auth|bearer|credentia
 LEAST_LONG = 16
 BLANK = re.compile(r"[ \n\t\r]")
 TOKEN = re.compile(r"[^ \n\t\r]+")
+OTHER_BLANK = re.compile(r"[^\S \n\t\r]")
 CUE_WORDS = frozenset("password passwd pwd secret token apikey api_key key auth authorization bearer credential credentials access private client_secret passphrase login".split())
 EDGE = "\"'`(),;:.<>{}[]"
 VALUE = re.compile(r"""[\w.\-]*["']?[:=]["']?(?=\S{8})""")
@@ -116,6 +118,26 @@ def _mix(value: str) -> float:
 def own_features(token: str) -> list[int]:
     """Shape of a token: size, kinds of characters, their mix, quotes, assignment, cue word."""
     body = token.strip(EDGE)
+    if body.isalpha() and body.isascii():  # most words: letters alone, which hold no name, digit or sign
+        kinds = len(SIZES) + 1
+        mix = _mix(body)
+        out = [bisect_right(SIZES, len(body))]
+        if not body.isupper():
+            out.append(kinds + 1)
+        if not body.islower():
+            out.append(kinds + 2)
+        if not body.strip(HEX_DIGITS):
+            out.append(kinds + 5)
+        if mix >= 3:
+            out.append(kinds + 6)
+        if mix >= 3.5:
+            out.append(kinds + 7)
+        if token[0] in "\"'`":
+            out.append(kinds + 10)
+        out.append(kinds + 11)
+        if body.lower() in CUE_WORDS:
+            out.append(kinds + 15)
+        return out
     value = body[m.end():] if (m := VALUE.match(body)) else body
     n, plain = len(value), value.isascii()
     digits = n - len(value.translate(NO_DIGITS))
@@ -129,12 +151,19 @@ def own_features(token: str) -> list[int]:
 
 def side_features(token: str) -> list[int]:
     """What a neighbour tells: none, cue word, assignment sign alone or at its end, quote, number."""
-    word = _word(token)
-    out = []
-    for i, held in enumerate((not token, word in CUE_WORDS or any(k in word for k in KEY_PARTS), token in ("=", ":", ":=", "=>"), token[-1:] in ("=", ":") and len(token) > 1,
-                              token[-1:] in ("\"", "'"), word.isdigit())):
-        if held:
-            out.append(i)
+    if not token:
+        return [0]
+    word, last, out = _word(token), token[-1], []
+    if word in CUE_WORDS or KEY_PART.search(word):
+        out.append(1)
+    if token in ("=", ":", ":=", "=>"):
+        out.append(2)
+    if last in "=:" and len(token) > 1:
+        out.append(3)
+    if last in "\"'":
+        out.append(4)
+    if word.isdigit():
+        out.append(5)
     return out
 
 
@@ -154,20 +183,79 @@ def _features_of(word: str) -> tuple:
     return _kept(word) if len(word) <= 64 else (own_features(word), side_features(word))
 
 
-def features(text: str, run: list[tuple[int, int]], file: list[int]) -> list[list[int]]:
-    """The feature numbers of every token of a run."""
-    before = text[max(0, run[0][0] - 40):run[0][0]].split()[-2:]
-    after = text[run[-1][1]:run[-1][1] + 40].split()[:1]
-    words = ["", "", *before][-2:] + [text[s:e] for s, e in run] + (after or [""])
+def around(text: str, run: list[tuple[int, int]]) -> list[str]:
+    """Two words before a run, its tokens and the word after it; those that are not there are empty."""
+    start, end = run[0][0], run[-1][1]
+    before = text[max(0, start - 40):start].rsplit(None, 2)[-2:]
+    after = text[end:end + 40].split(None, 1)[:1]
+    return ["", "", *before][-2:] + [text[s:e] for s, e in run] + (after or [""])
+
+
+def listed(shapes: list[tuple], file: list[int] | tuple[int, ...]) -> list[list[int]]:
+    """The feature numbers of a run's tokens, by the own and side features of the words of ``around``."""
     out = []
-    for i in range(len(run)):
-        own = [0] + [1 + f for f in _features_of(words[i + 2])[0]]
-        for k, w in enumerate((words[i + 1], words[i], words[i + 3])):
-            own += [1 + N_OWN + k * N_SIDE + f for f in _features_of(w)[1]]
+    for i in range(len(shapes) - 3):
+        own = [0] + [1 + f for f in shapes[i + 2][0]]
+        for k, (_, side) in enumerate((shapes[i + 1], shapes[i], shapes[i + 3])):
+            own += [1 + N_OWN + k * N_SIDE + f for f in side]
         out.append(own + [1 + N_OWN + 3 * N_SIDE + f for f in file])
     return out
 
 
+def features(text: str, run: list[tuple[int, int]], file: list[int]) -> list[list[int]]:
+    """The feature numbers of every token of a run."""
+    return listed([_features_of(w) for w in around(text, run)], file)
+
+
+class Shapes:
+    """Numbers of words that look alike (``_features_of``), so that runs are counted without spelling their features out."""
+
+    def __init__(self, words: int = 300_000):
+        self.words = words
+        self.known: dict[str, int] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+
+    def _number(self, word: str) -> int:
+        own, side = _features_of(word)
+        shape = tuple(own), tuple(side)
+        n = self.numbers.setdefault(shape, len(self.shapes))
+        if n == len(self.shapes):
+            self.shapes.append(shape)
+        if len(word) <= 64:
+            if len(self.known) >= self.words:
+                self.known.clear()
+            self.known[word] = n
+        return n
+
+    def of(self, text: str, run: list[tuple[int, int]]) -> list[int]:
+        """The shapes of two words before a run, of its tokens and of the word after it."""
+        get, number = self.known.get, self._number
+        return [number(w) if (n := get(w)) is None else n for w in around(text, run)]
+
+    def each(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, ...]]:
+        """``of`` for every token of a text as a run of its own; ``tokens`` are all its tokens."""
+        if not tokens or OTHER_BLANK.search(text):
+            return [tuple(self.of(text, [token])) for token in tokens]
+        get, number = self.known.get, self._number
+        none = number("")
+        at = [none, none, *[number(w) if (n := get(w)) is None else n for w in (text[s:e] for s, e in tokens)], none]
+        out = list(zip(at, at[1:], at[2:], at[3:]))
+        # ``around`` looks 40 characters far, so words that reach beyond are cut there.
+        starts, ends = np.array(tokens).T
+        far = np.zeros(len(out), bool)
+        far[1:] |= starts[1:] - starts[:-1] > 40
+        far[2:] |= starts[2:] - starts[:-2] > 40
+        far[:-1] |= ends[1:] - ends[:-1] > 40
+        for i in np.flatnonzero(far).tolist():
+            out[i] = tuple(self.of(text, [tokens[i]]))
+        return out
+
+    def features(self, held: tuple[int, ...], length: int) -> list[list[int]]:
+        """The feature numbers of a run's tokens, by the shapes of ``of`` and the features of the file behind them."""
+        return listed([self.shapes[n] for n in held[:length + 3]], held[length + 3:])
+
+
 OUT, BEGIN, INSIDE = 0, 1, 2
 NEVER = -30.0
 
@@ -382,21 +470,26 @@ def learn(docs: DataFrame, sample: Sample = Sample(), text_col: str = "text") ->
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        shapes = Shapes()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 spans, file = base_spans(text), file_features(text)
                 for shown, own in [(text, spans), *(x for span in spans if span[1] == 0 for x in shown_again(text, span))]:
-                    reach = 0
-                    for run in [*token_runs(shown), []]:
+                    runs = token_runs(shown)
+                    for run in runs:
                         for low in range(0, len(run), sample.run):
                             part = run[low:low + sample.run]
-                            seen[json.dumps([features(shown, part, file), gold(part, own)]), False] += 1
-                        for m in TOKEN.finditer(shown, reach, run[0][0] if run else len(shown)):
-                            part = [m.span()]
-                            seen[json.dumps([features(shown, part, file), gold(part, own) if own else [OUT]]), True] += 1
-                        reach = run[-1][1] if run else reach
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.bool_()),
-                                          pa.array(seen.values(), pa.int64())], ["run", "other", "n"])
+                            seen[(*shapes.of(shown, part), *file), tuple(gold(part, own)), False] += 1
+                    tokens = [m.span() for m in TOKEN.finditer(shown)]
+                    inside = {token for run in runs for token in run}
+                    alone = [(token, held) for token, held in zip(tokens, shapes.each(shown, tokens)) if token not in inside]
+                    seen.update(((*held, *file), tuple(gold([token], own)) if own else (OUT,), True) for token, held in alone)
+        # Equal features are written alike, whatever the numbers of a worker's shapes.
+        told: Counter = Counter()
+        for (held, labels, other), n in seen.items():
+            told[json.dumps([shapes.features(held, len(labels)), labels]), other] += n
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in told], pa.string()), pa.array([p for _, p in told], pa.bool_()),
+                                          pa.array(told.values(), pa.int64())], ["run", "other", "n"])
 
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
     counted = picked.mapInArrow(label, "run string, other boolean, n long").groupBy("run", "other").agg(F.sum("n").alias("n"))
