@@ -99,3 +99,12 @@ def test_columns_of_any_name_come_back_unchanged(spark):
 def test_run_gives_the_last_stage(spark):
     got = C.pipeline(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_text_stages_send_few_texts_at_once_and_leave_the_session_alone(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C.pii, "mask_personal", lambda docs: seen.append(int(spark.conf.get(C.BATCH_CONF))) or docs)
+    before = spark.conf.get(C.BATCH_CONF)
+    docs = spark.createDataFrame([(1, "a", None), (None, None, 4)], "doc_id long, text string, n_chars long")
+    assert C.mask_personal(spark, docs, SF).count() == 2
+    assert seen == [C.TEXTS] and spark.conf.get(C.BATCH_CONF) == before
