@@ -151,5 +151,22 @@ def test_packing_keeps_every_id(spark, vocabulary, odd_docs):
     assert packing.pack_power_of_two(odd_docs.limit(0), vocabulary_path()).count() == 0
 
 
+def test_packing_shuffles_no_pieces_to_number_them(spark, odd_docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = packing.pack_power_of_two(odd_docs, vocabulary_path())
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        spark.conf.set("workfold.broadcastRows", "0")
+        many = packing.pack_power_of_two(odd_docs, vocabulary_path())
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+    finally:
+        spark.conf.unset("workfold.broadcastRows")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fingerprint_is_of_the_path_set():
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"]) == hashlib.sha256(b"a|b").hexdigest()

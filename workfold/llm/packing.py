@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from workfold.llm.common import id_back, id_key, shipped, text_chunks, text_of, word_ids
 from workfold.plans.pin import pin
+from workfold.plans.short import rule_table
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, nth long, ids binary"
 
@@ -67,7 +68,7 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, most: i
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ``ids`` are little-endian unsigned 32-bit numbers. The pieces are written once; numbering them takes
-    one row per bucket and task, summed forward.
+    one row per bucket and task, summed forward and broadcast while they are few.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the greatest length has to be a power of two")
@@ -76,7 +77,8 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, most: i
     pieces = pin(rows.mapInArrow(_cutter(vocabulary, end_id, most), PIECES), "pieces")
     counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Without its hint Spark shuffles the pieces, ids and all, before it sees how few rows these are.
+    bases = rule_table(pin(counts.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases"))
     return pieces.join(bases, ["bucket", "part"]).select(
         id_back(F.col("id")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
         (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
