@@ -102,3 +102,23 @@ def test_waits_and_pivots_carry_no_payload_through_their_cells(spark, monkeypatc
     assert pivot == {(7, 1): (0, None, 10, 20), (7, 2): (None, 0, 30, 40), (None, 1): (0, None, 10, 20), (8, 1): (None, None, 9, None)}
     assert [n for _, n in written][1:] == [6]  # only the item that started anew
     assert all("measures" not in columns and "stderr_tail" not in columns for columns, _ in written)
+
+
+@pytest.mark.parametrize("table", ["attempts", "journal"])
+def test_derived_rows_come_in_tasks_of_bounded_rows(spark, table):
+    from workfold.catalog.inputs import Inputs
+
+    def tasks():
+        rows = getattr(Inputs(spark, SF), table).withColumn("task_id", F.spark_partition_id())
+        return [r["count"] for r in rows.groupBy("task_id").count().collect()]
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    before = spark.conf.get("workfold.rowsPerCell")
+    try:
+        spark.conf.set("workfold.rowsPerCell", str(lines))
+        whole = sum(tasks())
+        spark.conf.set("workfold.rowsPerCell", str(lines // 30))
+        dealt = tasks()
+    finally:
+        spark.conf.set("workfold.rowsPerCell", before)
+    assert sum(dealt) == whole and len(dealt) >= 25 and max(dealt) <= 4 * lines // 30
