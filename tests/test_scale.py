@@ -122,3 +122,17 @@ def test_derived_rows_come_in_tasks_of_bounded_rows(spark, table):
     finally:
         spark.conf.set("workfold.rowsPerCell", before)
     assert sum(dealt) == whole and len(dealt) >= 25 and max(dealt) <= 4 * lines // 30
+
+
+def test_pinned_rows_leave_no_shuffle_behind(spark):
+    from workfold.plans.pin import SWEEP_CONF, pin
+
+    def shuffles():
+        return str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",")).count("shuffle_")
+
+    spark.sparkContext._jvm.System.gc()
+    before, conf = shuffles(), spark.conf.get(SWEEP_CONF, None)
+    rows = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n"))
+    assert pin(rows, "swept").agg(F.sum("n")).first()[0] == 5000
+    assert pin(rows.repartitionByRange(3, "k"), "swept").count() == 700
+    assert shuffles() <= before + 2 * 4 and spark.conf.get(SWEEP_CONF, None) == conf  # those of the sums over the pinned rows only
