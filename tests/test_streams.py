@@ -336,3 +336,37 @@ def test_batches_of_a_stream_do_not_grow_with_its_files(spark):
     stream = C.streamed(SimpleNamespace(spark=spark, lifecycle=log))
     out = drain(stream.groupBy("task").agg(F.count("*").alias("n")), "n")
     assert out.select("batch").distinct().count() <= 5 and out.agg(F.max("n")).first()[0] == 80
+
+
+def test_cycles_that_are_kept_make_no_python_call_per_key(spark, tmp_path):
+    log = [event(k, 1, ts, n, status=s, arrival=i) for i, (k, ts, n, s) in enumerate(SEVEN)]
+    stream = feed(spark, str(tmp_path / "in"), [log[4:], log[:4], log])
+    assert "TransformWithState" not in S.stream_lifecycle_state(stream)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" in S.stream_lifecycle_state(stream, ttl_ms=1000, origin_ms=10**12)._jdf.queryExecution().logical().toString()
+    told = drain(S.stream_lifecycle_state(stream), "told").orderBy("batch").collect()
+    assert [(r.batch, r.d_pending, r.d_in_flight, r.wait_samples) for r in told] == [(0, 0, 1, 1), (1, 0, 0, 3)]  # delivered again: no row
+
+
+def test_attempts_keep_their_state_out_of_the_heap(spark, tmp_path, monkeypatch):
+    from workfold.catalog import streams as C
+    from workfold.catalog.registry import QUERIES
+    from workfold.streaming import run as R
+
+    given = {}
+    monkeypatch.setattr(C, "drain", lambda stream, label, **how: given.update(how) or drain(stream, label, **how))
+    assert QUERIES["stream_attempts"](spark, "/root/testdata/sf0.001").count() == 6 and given == {"machine": True}
+    used, names = [], [R.STORE_CONF, *R.BOUNDED]
+    before = spark.conf.get(R.STORE_CONF)
+    spark.conf.unset(R.STORE_CONF)
+    try:
+        stream = feed(spark, str(tmp_path / "in"), [[event("QUEUED", 1, 0)]])
+        drain(G.stream_attempts(stream), "kept", machine=True, each=lambda b: used.append([b.sparkSession.conf.get(n, None) for n in names]) or b)
+        assert used[-1] == [R.ROCKSDB, *R.BOUNDED.values()] and all(spark.conf.get(n, None) is None for n in R.BOUNDED)
+    finally:
+        spark.conf.set(R.STORE_CONF, before)
+
+
+def test_a_long_log_is_streamed_in_more_slices():
+    from workfold.catalog import streams as C
+
+    assert [C.slices_of(n) for n in (0, 11_000_000, 114_000_000)] == [5, 5, 46] and C.slices_of(70, rows_per_slice=10) == 7
