@@ -136,3 +136,16 @@ def test_pinned_rows_leave_no_shuffle_behind(spark):
     assert pin(rows, "swept").agg(F.sum("n")).first()[0] == 5000
     assert pin(rows.repartitionByRange(3, "k"), "swept").count() == 700
     assert shuffles() <= before + 2 * 4 and spark.conf.get(SWEEP_CONF, None) == conf  # those of the sums over the pinned rows only
+
+
+def test_log_is_folded_by_handle_without_another_shuffle(spark):
+    from workfold.catalog.inputs import Inputs
+    from workfold.plans.attempts import PIVOTED, pivot_once
+
+    before = spark.conf.get("workfold.rowsPerCell")
+    spark.conf.set("workfold.rowsPerCell", "500")
+    try:
+        tree = plan_of(pivot_once(Inputs(spark, SF).lifecycle.select("handle", *PIVOTED))).split("\n\n")[0]
+    finally:
+        spark.conf.set("workfold.rowsPerCell", before)
+    assert "Exchange" in tree and "Exchange" not in tree[:tree.index("Union")], tree
